@@ -91,6 +91,11 @@ def _substring_hits(texts: DataFrame, text: str, names: DataFrame, name: str) ->
     return hits
 
 
+def word_parts(company: Column) -> Column:
+    """the parts of a name split on single spaces, longer than 2 characters."""
+    return F.filter(F.split(company, " "), lambda p: F.length(p) > 2)
+
+
 def match_company(messages: DataFrame, companies: DataFrame) -> DataFrame:
     """Per message the company to update.  Tier 1: the company key is a
     substring of the lowered sender or subject; tier 2 (only without a tier-1
@@ -103,8 +108,7 @@ def match_company(messages: DataFrame, companies: DataFrame) -> DataFrame:
     c = companies.select("company_key", "company_ord")
     t1 = (_substring_hits(texts, "_text", c, "company_key")
           .select("seq", "company_key", "company_ord", F.lit(1).alias("tier")))
-    parts = c.select("company_key", "company_ord",
-                     F.explode(F.filter(F.split(F.col("company_key"), " "), lambda p: F.length(p) > 2)).alias("_part"))
+    parts = c.select("company_key", "company_ord", F.explode(word_parts(F.col("company_key"))).alias("_part"))
     t2 = (_substring_hits(m.select("seq", F.col("_s").alias("_text")), "_text", parts, "_part")
           .select("seq", "company_key", "company_ord", F.lit(2).alias("tier")))
     best = F.min(F.struct("tier", "company_ord", "company_key"))
@@ -129,10 +133,14 @@ def plan_crawl(sites: DataFrame, queries: list[str] | None = None) -> DataFrame:
     return sites.select("*", F.explode(arr).alias("_q")).select("*", "_q.query", "_q.query_ord").drop("_q")
 
 
+def is_fresh(fetched_at: Column, now: Column, ttl_seconds: int = rules.CACHE_TTL_SECONDS) -> Column:
+    """a cached result is valid while ``now < fetched_at + ttl`` (strict)."""
+    return now < fetched_at + F.make_dt_interval(secs=F.lit(ttl_seconds))
+
+
 def skip_fresh(tasks: DataFrame, results: DataFrame, now: Column, ttl_seconds: int = rules.CACHE_TTL_SECONDS):
-    """Tasks without an unexpired cached result, and the reusable results.
-    A result is fresh while ``now < fetched_at + ttl``."""
-    fresh = results.where(now < F.col("fetched_at") + F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    """Tasks without an unexpired cached result, and the reusable results."""
+    fresh = results.where(is_fresh(F.col("fetched_at"), now, ttl_seconds))
     keyed_tasks = tasks.withColumn("task_key", urls.task_key(F.col("site"), F.col("query")))
     keys = fresh.select(urls.task_key(F.col("site"), F.col("query")).alias("task_key")).distinct()
     to_fetch = keyed_tasks.join(keys, "task_key", "left_anti")

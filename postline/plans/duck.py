@@ -196,3 +196,22 @@ CARDS = ("cards AS (SELECT page_id, regexp_replace(regexp_extract(page_url, " +
          "FROM (SELECT page_id, url AS page_url, regexp_extract_all(html, " + q(LI_A) + ", 1) AS links, "
          "regexp_extract_all(html, " + q(LI_A) + ", 2) AS texts FROM pages) l, "
          "LATERAL (SELECT unnest(generate_series(1, len(l.links))) AS i) g)")
+
+
+def keyword_classification(subject: str, body: str) -> dict:
+    """SQL of the default classifier's four fields."""
+    from postline.sources import mail
+    t = f"lower(concat_ws(' ', {subject}, {body}))"
+
+    def has(words):
+        return "(" + " OR ".join(f"contains({t}, {q(w)})" for w in words) + ")"
+
+    declined = has(mail.DECLINE_WORDS)
+    sub = "(CASE " + " ".join(f"WHEN {has(ws)} THEN {q(st)}" for st, ws in mail.SUB_STAGE_WORDS) + " END)"
+    return {
+        "is_relevant_update": f"({declined} OR {sub} IS NOT NULL)",
+        "new_stage": f"(CASE WHEN {declined} THEN 'Declined' WHEN {sub} IS NOT NULL THEN 'In Process' END)",
+        "new_sub_stage": f"(CASE WHEN NOT {declined} THEN {sub} END)",
+        "reasoning": (f"(CASE WHEN {declined} THEN 'rejection wording' WHEN {sub} IS NOT NULL THEN 'mentions ' || lower({sub}) "
+                      "ELSE 'no next step' END)"),
+    }

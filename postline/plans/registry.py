@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postline import rules
@@ -564,3 +564,290 @@ def u2(spark, sf):
     a = joins.active_order(filters.active_jobs(tb.jobs(spark, sf)))
     pos = reports.global_positions(a.withColumn("_g", F.lit(1)), ["_g"], [F.col("active_ord")], out="active_position")
     return pos.select("id", "stage", "active_position")
+
+
+# ---------------------------------------------------------------------------
+# 2.3 joins
+# ---------------------------------------------------------------------------
+B_CANON = d.canonical_url("batch", "url", "f1", False, "id, title, company")
+SEEN_URL = "EXISTS (SELECT 1 FROM store s WHERE s.url = b.f1)"
+SEEN_TC = ("(coalesce(b.title, '') <> '' AND coalesce(b.company, '') <> '' AND EXISTS (SELECT 1 FROM store s "
+           "WHERE lower(trim(s.title)) = lower(trim(b.title)) AND lower(trim(s.company)) = lower(trim(b.company))))")
+
+
+@query("J1", STORE_BATCH + f"SELECT id FROM ({B_CANON}) b WHERE NOT {SEEN_URL} AND NOT {SEEN_TC}")
+def j1(spark, sf):
+    store, batch = tb.store_and_batch(spark, sf)
+    return joins.drop_seen(batch, store).select("id")
+
+
+@query("J2", STORE_BATCH + f"SELECT id, CASE WHEN {SEEN_URL} THEN 'url' WHEN {SEEN_TC} THEN 'title_company' END AS seen_by "
+       f"FROM ({B_CANON}) b")
+def j2(spark, sf):
+    store, batch = tb.store_and_batch(spark, sf)
+    return joins.is_processed(batch, store).select("id", "seen_by")
+
+
+MATCH_SQL = d.with_(
+    d.MAIL_JOBS, d.MESSAGES,
+    "active AS (SELECT * FROM mail_jobs WHERE stage IN ('To Apply', 'In Process'))",
+    "idx AS (SELECT lower(trim(company)) AS company_key, min({'b': CASE WHEN stage = 'To Apply' THEN 0 ELSE 1 END, "
+    "'d': -epoch_us(date_found), 'id': id}) AS ord FROM active WHERE lower(trim(company)) <> '' GROUP BY 1)",
+    "m AS (SELECT seq, lower(coalesce(sender, '')) AS s, lower(coalesce(subject, '')) AS j FROM messages)",
+    "hits AS (SELECT m.seq, i.company_key, i.ord, 1 AS tier FROM m JOIN idx i ON contains(m.s, i.company_key) "
+    "OR contains(m.j, i.company_key) UNION ALL SELECT m.seq, i.company_key, i.ord, 2 AS tier FROM m JOIN idx i "
+    "ON len(list_filter(string_split(i.company_key, ' '), lambda p: length(p) > 2 AND contains(m.s, p))) > 0)",
+    "matched AS (SELECT seq, arg_min(company_key, {'t': tier, 'o': ord}) AS company_key, min(tier) AS tier "
+    "FROM hits GROUP BY seq)")
+
+
+def _matched(spark, sf):
+    active = filters.active_jobs(tb.mail_jobs(spark, sf))
+    return joins.match_company(tb.messages(spark, sf), joins.company_index(active)), active
+
+
+@query("J3", MATCH_SQL + "SELECT seq, company_key, tier FROM matched")
+def j3(spark, sf):
+    return _matched(spark, sf)[0].select("seq", "company_key", "tier")
+
+
+@query("J4", MATCH_SQL + "SELECT m.seq, a.id, m.company_key, m.tier FROM matched m JOIN active a "
+       "ON lower(trim(a.company)) = m.company_key")
+def j4(spark, sf):
+    matched, active = _matched(spark, sf)
+    return joins.fan_out_updates(matched, active).select("seq", "id", "company_key", "tier")
+
+
+@query("J5", d.with_(d.ATTEMPTS, QUERIES_SQL) + "SELECT s.site, qs.query, qs.query_ord FROM (SELECT DISTINCT site FROM attempts) s, qs")
+def j5(spark, sf):
+    sites = tb.attempts(spark, sf).select("site").distinct()
+    return joins.plan_crawl(sites).select("site", "query", "query_ord")
+
+
+TASKS_SQL = d.with_(d.ATTEMPTS, "tasks AS (SELECT DISTINCT site, query FROM attempts)")
+FRESH_SQL = (f"(SELECT max(ts) FROM attempts) < ts + INTERVAL {rules.CACHE_TTL_SECONDS} SECOND")
+
+
+def _now(df: DataFrame) -> Column:
+    """The run's reference time as a literal (a one-value aggregate)."""
+    return F.lit(df.agg(F.max("ts")).first()[0])
+
+
+@query("J6", TASKS_SQL + "SELECT site, query, md5(site || ':' || query) AS task_key FROM tasks WHERE md5(site || ':' || query) "
+       f"NOT IN (SELECT md5(site || ':' || query) FROM attempts WHERE success AND {FRESH_SQL})")
+def j6(spark, sf):
+    a = tb.attempts(spark, sf)
+    tasks = a.select("site", "query").distinct()
+    results = a.where(F.col("success")).withColumnRenamed("ts", "fetched_at")
+    to_fetch, _ = joins.skip_fresh(tasks, results, _now(a))
+    return to_fetch.select("site", "query", "task_key")
+
+
+@query("J7", TRAIL_SQL[:-1] + ", tasks AS (SELECT DISTINCT site, query FROM attempts) SELECT site, query FROM tasks WHERE site NOT IN "
+    f"(SELECT site FROM trail WHERE trailing_failures >= {rules.BREAKER_THRESHOLD} AND "
+    f"(epoch_us({NOW_SQL}) - epoch_us(last_failure_ts)) / 1e6 <= {rules.BREAKER_RECOVERY_SECONDS})")
+def j7(spark, sf):
+    a = tb.attempts(spark, sf)
+    tasks = a.select("site", "query").distinct()
+    return joins.skip_open_circuits(tasks, reports.breaker_state(a, _now(a))).select("site", "query")
+
+
+# ---------------------------------------------------------------------------
+# 2.4 / 2.6 / 2.7: G4, K5, U1, U3
+# ---------------------------------------------------------------------------
+P11_DESC = f"(SELECT *, {P11_EXPR} AS reason, {F18_SCORE} AS score FROM described)"
+GEO_COUNT = f"(SELECT count(*) FROM (SELECT {GEO_REASON} AS g FROM jobs) WHERE g IS NOT NULL)"
+
+
+def _matches(spark, sf):
+    """New matches of a scan over the described postings: not rejected,
+    scored, routed To Apply."""
+    pf = filters.pre_filter(tb.described(spark, sf)).where(~F.col("is_rejected"))
+    e = F.col("evaluation")
+    s = scoring.score_postings(pf).select("id", "title", "company", "location", "description",
+                                          e["match_score"].alias("score"), e["is_relevant"].alias("is_relevant"),
+                                          scoring.evaluation_json(e).alias("ai_summary"))
+    return s.where(ev.route_by_score(F.col("is_relevant"), F.col("score")) == "To Apply")
+
+
+@query("G4", d.with_(d.JOBS, d.DESCRIBED, f"mt AS (SELECT * FROM {P11_DESC} WHERE reason IS NULL AND score >= 70)")
+       + "SELECT (SELECT count(*) FROM described) AS total_scanned, (SELECT count(*) FROM mt) AS new_matches, "
+       "(SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM jobs GROUP BY lower(trim(title)), "
+       f"lower(trim(company)))) AS duplicates_removed, {GEO_COUNT} AS geo_filtered, "
+       "(SELECT count(*) FROM jobs WHERE stage = 'To Apply') AS total_to_apply, "
+       "(SELECT count(*) FROM mt WHERE score >= 95) AS tier_95, (SELECT count(*) FROM mt WHERE score >= 85 AND score < 95) "
+       "AS tier_85, (SELECT count(*) FROM mt WHERE score >= 70 AND score < 85) AS tier_70")
+def g4(spark, sf):
+    j = tb.jobs(spark, sf)
+    geo = filters.apply_geo_filter(j).agg(F.count_if(F.col("geo_reason").isNotNull()).cast("bigint").alias("geo_filtered"))
+    return reports.scan_summary(tb.described(spark, sf), _matches(spark, sf), dedup.dedup_removed_count(j), geo, j)
+
+
+@query("K5", d.with_(d.ATTEMPTS) + "SELECT task_key, strftime(expiry, '%Y-%m-%d %H:%M:%S.%f') AS expiry FROM (SELECT "
+       f"md5(site || ':' || query) AS task_key, max(ts) + INTERVAL {rules.CACHE_TTL_SECONDS} SECOND AS expiry FROM attempts "
+       f"WHERE success GROUP BY 1) ORDER BY expiry DESC, task_key LIMIT {rules.CACHE_MAX_ENTRIES}")
+def k5(spark, sf):
+    a = tb.attempts(spark, sf).where(F.col("success")).withColumn("task_key", urls.task_key(F.col("site"), F.col("query")))
+    latest = dedup.keep_best(a, ["task_key"], [-F.unix_micros(F.col("ts"))])
+    entries = latest.select("task_key", (F.col("ts") + F.make_dt_interval(secs=F.lit(rules.CACHE_TTL_SECONDS))).alias("expiry"))
+    out = reports.evict_cache(entries)
+    return out.select("task_key", F.date_format("expiry", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("expiry"))
+
+
+@query("U1", d.with_(d.CARDS, d.DESCRIBED) + "SELECT site, query, position, title, url FROM cards UNION ALL "
+       "SELECT 'described' AS site, company AS query, CAST(id AS INTEGER) AS position, title, NULL AS url FROM described")
+def u1(spark, sf):
+    cards = html.extract_list_cards(tb.read(spark, sf, "pages")).select("site", "query", "position", "title", "url")
+    other = tb.described(spark, sf).select(F.lit("described").alias("site"), F.col("company").alias("query"),
+                                           F.col("id").cast("int").alias("position"), "title")
+    return joins.union_sources(cards, other).select("site", "query", "position", "title", "url")
+
+
+@query("U3", DESC + f"SELECT id, 'Irrelevant' AS stage, 0 AS match_score FROM {P11_DESC} WHERE reason IS NOT NULL "
+       f"UNION ALL SELECT id, CASE WHEN score >= 70 THEN 'To Apply' ELSE 'Irrelevant' END AS stage, score AS match_score "
+       f"FROM {P11_DESC} WHERE reason IS NULL")
+def u3(spark, sf):
+    pf = filters.pre_filter(tb.described(spark, sf))
+    rejected = pf.where(F.col("is_rejected")).select("id", F.lit("Irrelevant").alias("stage"), F.lit(0).alias("match_score"))
+    e = F.col("evaluation")
+    scored = scoring.score_postings(pf.where(~F.col("is_rejected"))).select(
+        "id", ev.route_by_score(e["is_relevant"], e["match_score"]).alias("stage"), e["match_score"].alias("match_score"))
+    return joins.union_outcomes(rejected, scored)
+
+
+# ---------------------------------------------------------------------------
+# 2.8 scalar functions: F6, F8-F10, F12-F14, F16, F17
+# ---------------------------------------------------------------------------
+F6_OK = (f"({d.is_obj('ai_summary')} AND (TRY_CAST(json_extract_string({d.valid('ai_summary')}, '$.match_score') AS INTEGER) "
+         f"IS NOT NULL OR json_extract({d.valid('ai_summary')}, '$.match_score') IS NULL))")
+
+
+@query("F6", J + f"SELECT id, CASE WHEN {F6_OK} THEN {d.relevant('ai_summary')} ELSE false END AS is_relevant, "
+       f"CASE WHEN {F6_OK} THEN {d.score('ai_summary')} ELSE 0 END AS match_score, "
+       f"CASE WHEN {F6_OK} THEN json_extract_string({d.valid('ai_summary')}, '$.summary') ELSE 'Error: invalid JSON from AI.' "
+       "END AS summary FROM jobs")
+def f6(spark, sf):
+    e = ev.coerce_evaluation(F.col("ai_summary"))
+    return tb.jobs(spark, sf).select("id", e["is_relevant"].alias("is_relevant"), e["match_score"].alias("match_score"),
+                                     e["summary"].alias("summary"))
+
+
+# classifier output text built from the events (fenced for a third, broken for a few)
+CLASS_TEXT = [
+    "event_id AS seq",
+    "CASE WHEN event_id % 17 = 0 THEN 'no json here' ELSE "
+    "CASE WHEN event_id % 3 = 0 THEN '```json' || chr(10) ELSE '' END || "
+    "'{\"is_relevant_update\": ' || CASE WHEN event_type IN ('click', 'purchase', 'view') THEN 'true' ELSE 'false' END || "
+    "', \"new_stage\": ' || CASE event_type WHEN 'purchase' THEN '\"Declined\"' WHEN 'error' THEN 'null' "
+    "ELSE '\"In Process\"' END || ', \"new_sub_stage\": ' || CASE event_type WHEN 'click' THEN '\"HR Screen\"' "
+    "WHEN 'view' THEN '\"Tech Interview\"' ELSE 'null' END || ', \"reasoning\": \"' || event_type || '\"}' || "
+    "CASE WHEN event_id % 3 = 0 THEN chr(10) || '```' ELSE '' END END AS raw",
+]
+CLASS_SQL = d.with_(d.cte("cls", CLASS_TEXT, "events"))
+F8_SQL = "regexp_replace(regexp_replace(raw, '^`+|`+$', '', 'g'), '^json' || chr(10), '')"
+
+
+@query("F8", CLASS_SQL + f"SELECT seq, {F8_SQL} AS text FROM cls")
+def f8(spark, sf):
+    c = tb.read(spark, sf, "events").selectExpr(*CLASS_TEXT)
+    return c.select("seq", ev.strip_code_fence(F.col("raw")).alias("text"))
+
+
+@query("F9", CLASS_SQL + f"SELECT seq, CASE WHEN ok THEN TRY_CAST(json_extract(t, '$.is_relevant_update') AS BOOLEAN) END "
+       "AS is_relevant_update, CASE WHEN ok THEN json_extract_string(t, '$.new_stage') END AS new_stage, "
+       "CASE WHEN ok THEN json_extract_string(t, '$.new_sub_stage') END AS new_sub_stage FROM (SELECT seq, "
+       f"CASE WHEN json_valid({F8_SQL}) THEN {F8_SQL} END AS t, coalesce(json_type(CASE WHEN json_valid({F8_SQL}) "
+       f"THEN {F8_SQL} END) = 'OBJECT', false) AS ok FROM cls)")
+def f9(spark, sf):
+    c = tb.read(spark, sf, "events").selectExpr(*CLASS_TEXT)
+    p = ev.parse_classification(F.col("raw"))
+    return c.select("seq", p["is_relevant_update"].alias("is_relevant_update"), p["new_stage"].alias("new_stage"),
+                    p["new_sub_stage"].alias("new_sub_stage"))
+
+
+# evaluation field values in the three shapes a scorer returns: list, dict with a list, plain text
+F10_VALUE = ("CASE p_partkey % 3 WHEN 0 THEN '[\"' || replace(p_type, ' ', '\", \"') || '\"]' "
+             "WHEN 1 THEN p_type ELSE '{\"bullet_points\": [\"' || replace(p_type, ' ', '\", \"') || '\"]}' END")
+
+
+@query("F10", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 1 THEN p_type ELSE '- ' || replace(p_type, ' ', chr(10) || '- ') "
+       "END AS formatted FROM part")
+def f10(spark, sf):
+    v = tb.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr(F10_VALUE).alias("value"))
+    return v.select("id", ev.format_field(F.col("value")).alias("formatted"))
+
+
+@query("F12", d.with_(d.ATTEMPTS) + f"SELECT id, {FRESH_SQL} AS fresh FROM attempts WHERE success")
+def f12(spark, sf):
+    a = tb.attempts(spark, sf)
+    return a.where(F.col("success")).select("id", joins.is_fresh(F.col("ts"), _now(a)).alias("fresh"))
+
+
+@query("F13", d.with_(d.MAIL_JOBS) + "SELECT DISTINCT lower(trim(company)) AS company_key, array_to_string(list_filter("
+       "string_split(lower(trim(company)), ' '), lambda p: length(p) > 2), '|') AS parts FROM mail_jobs")
+def f13(spark, sf):
+    keys = tb.mail_jobs(spark, sf).select(dedup.norm_key(F.col("company")).alias("company_key")).distinct()
+    return keys.select("company_key", F.array_join(joins.word_parts(F.col("company_key")), "|").alias("parts"))
+
+
+JOB_MSG = ("'\U0001F916 *New Job Match!*' || chr(10) || chr(10) || '*' || title || '* at ' || company || chr(10) || "
+           "'\U0001F4CD ' || {loc} || ' | \U0001F3AF Score: ' || {score} || '/100' || chr(10) || '✨ ' || {feat} || "
+           "chr(10) || chr(10) || 'Summary: ' || {summ} || chr(10) || chr(10) || 'Apply here: ' || url")
+
+
+def _guarded_field(key: str, default: str) -> str:
+    return f"(CASE WHEN {d.is_obj('ai_summary')} THEN {d.field('ai_summary', key, default)} ELSE {d.q(default)} END)"
+
+
+@query("F14", J + "SELECT id, " + JOB_MSG.format(
+    loc=_guarded_field("location", rules.NOT_SPECIFIED), score=_guarded_field("match_score", "None"),
+    feat=_guarded_field("key_features", "N/A"), summ=_guarded_field("summary", "None")) + " AS message FROM jobs")
+def f14(spark, sf):
+    return reports.render_job_message(tb.jobs(spark, sf))
+
+
+TOP_ITEM = ("'*' || rk || '. ' || coalesce(title, 'Unknown') || '*' || chr(10) || '   @ ' || coalesce(company, 'Unknown') "
+            "|| chr(10) || '   Score: ' || score || '/100 | ' || {loc} || chr(10) || CASE WHEN {summ} <> '' THEN '   ' || "
+            "{summ} || chr(10) ELSE '' END || CASE WHEN {feat} <> '' THEN '   ' || {feat} || chr(10) ELSE '' END || "
+            "'   Apply: ' || coalesce(url, '') || chr(10) || chr(10)")
+
+
+@query("F16", SCORED_JOBS + "SELECT regexp_replace('*Top ' || count(*) || ' Job Matches*' || chr(10) || chr(10) || "
+       "coalesce(string_agg(item, '' ORDER BY rk), ''), '^\\s+|\\s+$', '', 'g') AS message FROM (SELECT *, "
+       + TOP_ITEM.format(loc=_guarded_field("location", rules.NOT_SPECIFIED), summ=_guarded_field("summary", ""),
+                         feat=_guarded_field("key_features", "")) +
+       " AS item FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rk FROM (SELECT *, row_number() OVER "
+       "(PARTITION BY url ORDER BY score DESC, id) AS rn FROM sj WHERE stage = 'To Apply') WHERE rn = 1 ORDER BY score DESC, "
+       "id LIMIT 5))")
+def f16(spark, sf):
+    return reports.render_top_jobs(reports.top_jobs(tb.jobs(spark, sf)))
+
+
+@query("F17", SITE_METRICS_SQL + "SELECT site, round(success_rate, 6) AS success_rate, round(avg_response_ms, 3) "
+       "AS avg_response_ms FROM sm")
+def f17(spark, sf):
+    m = reports.site_metrics(tb.attempts(spark, sf))
+    return m.select("site", F.round("success_rate", 6).alias("success_rate"), F.round("avg_response_ms", 3).alias("avg_response_ms"))
+
+
+# ---------------------------------------------------------------------------
+# mail: X2 (classification), P21 (relevant updates)
+# ---------------------------------------------------------------------------
+KW = d.keyword_classification("subject", "substr(body, 1, 2000)")
+
+
+@query("X2", d.with_(d.MESSAGES) + f"SELECT seq, {KW['is_relevant_update']} AS is_relevant_update, {KW['new_stage']} AS new_stage, "
+       f"{KW['new_sub_stage']} AS new_sub_stage, {KW['reasoning']} AS reasoning FROM messages")
+def x2(spark, sf):
+    c = scoring.classify_messages(tb.messages(spark, sf))
+    k = F.col("classification")
+    return c.select("seq", k["is_relevant_update"].alias("is_relevant_update"), k["new_stage"].alias("new_stage"),
+                    k["new_sub_stage"].alias("new_sub_stage"), k["reasoning"].alias("reasoning"))
+
+
+@query("P21", d.with_(d.MESSAGES) + f"SELECT seq, {KW['new_stage']} AS new_stage, {KW['new_sub_stage']} AS new_sub_stage "
+       f"FROM messages WHERE {KW['is_relevant_update']}")
+def p21(spark, sf):
+    c = scoring.classify_messages(tb.messages(spark, sf))
+    k = F.col("classification")
+    return filters.relevant_updates(c).select("seq", k["new_stage"].alias("new_stage"), k["new_sub_stage"].alias("new_sub_stage"))

@@ -107,23 +107,33 @@ def mail_provider(address: Column) -> Column:
     return F.struct(name.alias("provider"), host.alias("host"), F.lit(993).alias("port"))
 
 
+# Default classifier keywords (this module's own rules; a user-supplied
+# classifier replaces them).  Sub-stages are tested in this order.
+DECLINE_WORDS = ["unfortunately", "not to move forward", "regret", "other candidates"]
+SUB_STAGE_WORDS = [
+    ("Offer", ["offer letter", "pleased to offer"]),
+    ("Home Assignment", ["home assignment", "take-home"]),
+    ("Tech Interview", ["technical interview", "tech interview"]),
+    ("Manager Interview", ["manager interview", "hiring manager"]),
+    ("HR Screen", ["hr screen", "phone screen", "hr interview"]),
+]
+
+
 def keyword_classification(subject: Column, body: Column) -> Column:
     """Default classifier: keyword rules -> classification struct."""
     t = F.lower(F.concat_ws(" ", subject, body))
 
-    def has(*words):
+    def has(words):
         out = None
         for w in words:
             c = F.contains(t, F.lit(w))
             out = c if out is None else out | c
         return out
 
-    declined = has("unfortunately", "not to move forward", "regret", "other candidates")
-    sub = (F.when(has("offer letter", "pleased to offer"), F.lit("Offer"))
-           .when(has("home assignment", "take-home"), F.lit("Home Assignment"))
-           .when(has("technical interview", "tech interview"), F.lit("Tech Interview"))
-           .when(has("manager interview", "hiring manager"), F.lit("Manager Interview"))
-           .when(has("hr screen", "phone screen", "hr interview"), F.lit("HR Screen")))
+    declined = has(DECLINE_WORDS)
+    sub = None
+    for stage, words in SUB_STAGE_WORDS:
+        sub = F.when(has(words), F.lit(stage)) if sub is None else sub.when(has(words), F.lit(stage))
     relevant = declined | sub.isNotNull()
     return F.struct(relevant.alias("is_relevant_update"),
                     F.when(declined, F.lit("Declined")).when(sub.isNotNull(), F.lit("In Process")).alias("new_stage"),
