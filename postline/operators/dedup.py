@@ -100,7 +100,8 @@ def trailing_failures(attempts: DataFrame) -> DataFrame:
     after = F.col("_last_ok").isNull() | (_order_key() > F.col("_last_ok"))
     return tagged.groupBy("site").agg(
         F.count_if(~F.col("success") & after).cast("bigint").alias("trailing_failures"),
-        F.max(F.when(~F.col("success"), F.col("ts"))).alias("last_failure_ts"))
+        F.max(F.when(~F.col("success"), F.col("ts"))).alias("last_failure_ts"),
+        F.max(F.col("_last_ok").isNotNull()).alias("has_success"))
 
 
 def failure_runs(attempts: DataFrame, threshold: int = rules.BREAKER_THRESHOLD) -> DataFrame:

@@ -17,9 +17,10 @@ from postline.functions import evaluation as ev
 from postline.functions import urls
 from postline.operators import dedup, filters, joins, reports, state
 from postline.plans import duck as d
-from postline.plans import scoring
+from postline.plans import cycle, scoring
 from postline.sources import html
 from postline.sources import tables as tb
+from postline.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,16 +95,34 @@ def s5(spark, sf):
     return parse_messages(render_rfc822(raw)).where(F.col("error").isNull()).select("seq", "sender", "subject", "body")
 
 
-@query("S6", "SELECT * FROM (VALUES " + ", ".join(
-    f"({d.q(n)}, {i + 1}, {d.q(p)})" for n, vals in [
-        ("rejected_location", rules.REJECTED_LOCATIONS), ("overseas_company", rules.OVERSEAS_COMPANY_PATTERNS),
-        ("local_university", rules.LOCAL_UNIVERSITIES), ("seniority", rules.SENIORITY_KEYWORDS),
-        ("experience", rules.EXPERIENCE_PATTERNS), ("store_tracking", rules.STORE_TRACKING_PARAMS),
-        ("crawl_tracking", rules.CRAWL_TRACKING_PARAMS), ("tracker", rules.TRACKER_PATTERNS),
-        ("blocked_type", rules.BLOCKED_RESOURCE_TYPES), ("query", rules.DEFAULT_QUERIES)]
-    for i, p in enumerate(vals)) + ") AS t(rule_set, ordinal, pattern)")
+RULE_VALUES = ("rules AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({d.q(n)}, {i + 1}, {d.q(p)})" for n, vals in rules.RULE_SETS for i, p in enumerate(vals)) + ") AS t(rule_set, ordinal, pattern))")
+S6_HITS = ("hits AS (SELECT 'rejected_location' AS rule_set, unnest(list_filter([" + ", ".join(d.q(x) for x in rules.REJECTED_LOCATIONS)
+           + "], lambda p: contains(lower(location), p))) AS pattern FROM located UNION ALL SELECT 'overseas_company', "
+           "unnest(list_filter([" + ", ".join(d.q(x) for x in rules.OVERSEAS_COMPANY_PATTERNS)
+           + "], lambda p: contains(lower(company), p) OR contains(lower(title), p))) FROM described UNION ALL SELECT 'tracker', "
+           "unnest(list_filter([" + ", ".join(d.q(x) for x in rules.TRACKER_PATTERNS) + "], lambda p: contains(lower(url), p))) "
+           "FROM pages)")
+
+
+@query("S6", d.with_(d.LOCATED, d.DESCRIBED, RULE_VALUES, S6_HITS) + "SELECT r.rule_set, r.ordinal, r.pattern, "
+       "CAST(count(h.pattern) AS BIGINT) AS hits FROM rules r LEFT JOIN hits h ON r.rule_set = h.rule_set AND r.pattern = h.pattern "
+       "GROUP BY ALL")
 def s6(spark, sf):
-    return rules.rules_frame(spark)
+    """The ordered rule tables with how often each pattern fires on the
+    data (every contained pattern, not only the first)."""
+    def fired(df, name, pats, text_of):
+        arr = F.array(*[F.lit(x) for x in pats])
+        return df.select(F.lit(name).alias("rule_set"), F.explode(F.filter(arr, text_of)).alias("pattern"))
+    loc = fired(tb.located(spark, sf), "rejected_location", rules.REJECTED_LOCATIONS,
+                lambda p: F.contains(F.lower(F.col("location")), p))
+    com = fired(tb.described(spark, sf), "overseas_company", rules.OVERSEAS_COMPANY_PATTERNS,
+                lambda p: F.contains(F.lower(F.col("company")), p) | F.contains(F.lower(F.col("title")), p))
+    trk = fired(tb.read(spark, sf, "pages"), "tracker", rules.TRACKER_PATTERNS, lambda p: F.contains(F.lower(F.col("url")), p))
+    counts = loc.unionByName(com).unionByName(trk).groupBy("rule_set", "pattern").agg(F.count(F.lit(1)).alias("hits"))
+    # the rule table has a fixed, small size (the lists in rules.py)
+    return (F.broadcast(rules.rules_frame(spark)).join(counts, ["rule_set", "pattern"], "left")
+            .select("rule_set", "ordinal", "pattern", F.coalesce(F.col("hits"), F.lit(0)).cast("bigint").alias("hits")))
 
 
 STORE_BATCH = d.with_(d.JOBS, d.STORE, d.BATCH)
@@ -162,12 +181,20 @@ QUERIES_SQL = ("qs AS (SELECT * FROM (VALUES " + ", ".join(
     f"({d.q(x)}, {i + 1})" for i, x in enumerate(rules.DEFAULT_QUERIES)) + ") AS t(query, query_ord))")
 
 
-@query("P1", d.with_(SITES_SQL, QUERIES_SQL) + "SELECT site, query, pre || " + d.quote("query") + " || suf AS search_url "
-       "FROM sites, qs")
+P1_TASKS = ("tasks AS (SELECT p_partkey AS id, p_name AS query, CASE p_partkey % 6 " + " ".join(
+    f"WHEN {i} THEN {d.q(x[0])}" for i, x in enumerate(rules.SITES)) + " END AS site, CASE p_partkey % 6 " + " ".join(
+    f"WHEN {i} THEN {d.q(x[2])}" for i, x in enumerate(rules.SITES)) + " END AS pre, CASE p_partkey % 6 " + " ".join(
+    f"WHEN {i} THEN {d.q(x[3])}" for i, x in enumerate(rules.SITES)) + " END AS suf FROM part)")
+
+
+@query("P1", d.with_(P1_TASKS) + "SELECT id, site, pre || " + d.quote("query") + " || suf AS search_url FROM tasks")
 def p1(spark, sf):
-    tasks = joins.plan_crawl(rules.sites_frame(spark))
-    return tasks.select("site", "query", urls.build_search_url(F.col("search_prefix"), F.col("query"),
-                                                               F.col("search_suffix")).alias("search_url"))
+    """One crawl task per part: the part name is the search text, the board
+    is picked by key, so the task list grows with the data."""
+    tasks = tb.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("query"))
+    prof = rules.site_profile(F.col("id") % len(rules.SITES))
+    return tasks.select("id", prof["site"].alias("site"),
+                        urls.build_search_url(prof["search_prefix"], F.col("query"), prof["search_suffix"]).alias("search_url"))
 
 
 @query("P2", CLEAN_SQL + "SELECT page_id, position, link FROM linked")
@@ -664,7 +691,7 @@ def _matches(spark, sf):
     scored, routed To Apply."""
     pf = filters.pre_filter(tb.described(spark, sf)).where(~F.col("is_rejected"))
     e = F.col("evaluation")
-    s = scoring.score_postings(pf).select("id", "title", "company", "location", "description",
+    s = scoring.score_postings(pf).select("id", "title", "company", "url", "location", "description",
                                           e["match_score"].alias("score"), e["is_relevant"].alias("is_relevant"),
                                           scoring.evaluation_json(e).alias("ai_summary"))
     return s.where(ev.route_by_score(F.col("is_relevant"), F.col("score")) == "To Apply")
@@ -851,3 +878,152 @@ def p21(spark, sf):
     c = scoring.classify_messages(tb.messages(spark, sf))
     k = F.col("classification")
     return filters.relevant_updates(c).select("seq", k["new_stage"].alias("new_stage"), k["new_sub_stage"].alias("new_sub_stage"))
+
+
+# ---------------------------------------------------------------------------
+# A6 (iterative, rows-only here; tests compare it with a sequential loop)
+# ---------------------------------------------------------------------------
+@query("A6")
+def a6(spark, sf):
+    return dedup.admit_batch(tb.arrivals(spark, sf)).select("seq", "url", "title")
+
+
+# ---------------------------------------------------------------------------
+# composites: F15, X3, X4
+# ---------------------------------------------------------------------------
+@query("F15")
+def f15(spark, sf):
+    j = tb.jobs(spark, sf)
+    geo = filters.apply_geo_filter(j).agg(F.count_if(F.col("geo_reason").isNotNull()).cast("bigint").alias("geo_filtered"))
+    matches = _matches(spark, sf)
+    summary = reports.scan_summary(tb.described(spark, sf), matches, dedup.dedup_removed_count(j), geo, j)
+    return reports.render_scan_summary(summary, reports.top_new_matches(matches))
+
+
+X3_EVAL = ("'{\"is_relevant\": ' || CASE WHEN score >= 70 THEN 'true' ELSE 'false' END || ', \"match_score\": ' || "
+           "CAST(score AS VARCHAR) || ', \"summary\": ' || " + d.dumps_str("'Rule score for ' || coalesce(title, '')")
+           + " || ', \"location\": ' || " + d.dumps_str("coalesce(location, " + d.q(rules.NOT_SPECIFIED) + ")")
+           + " || ', \"key_features\": \"\", \"important_qualifications\": \"\"}'")
+
+
+@query("X3", d.with_(d.JOBS, "rc AS (SELECT id, title, company, url, CASE WHEN " + d.is_obj("ai_summary") + " THEN "
+       + d.field("ai_summary", "location", rules.NOT_SPECIFIED) + " ELSE " + d.q(rules.NOT_SPECIFIED) + " END AS location, "
+       + RECHECK_DESC + " AS description FROM jobs WHERE stage IN ('To Apply', 'Irrelevant'))",
+       f"pr AS (SELECT *, {P11_EXPR} AS reason, {F18_SCORE} AS score FROM rc)")
+       + "SELECT id, CASE WHEN reason IS NULL AND score >= 70 THEN 'To Apply' ELSE 'Irrelevant' END AS stage, "
+       f"CASE WHEN reason IS NOT NULL THEN {d.rejected_eval('reason', 'location')} ELSE {X3_EVAL} END AS ai_summary FROM pr")
+def x3(spark, sf):
+    return cycle.recheck(tb.jobs(spark, sf)).select("id", "stage", "ai_summary")
+
+
+def _cycle_inputs(spark, sf):
+    store, batch = tb.store_and_batch(spark, sf)
+    postings = batch.select(F.col("id").alias("seq"), "title", "company", "url", "location",
+                            F.concat_ws(" ", F.col("title"), F.lit("position")).alias("description"))
+    return store, postings
+
+
+@query("X4")
+def x4(spark, sf):
+    store, postings = _cycle_inputs(spark, sf)
+    out = cycle.run_cycle(store, postings, F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return out["store"].select("id", "title", "company", "url", "stage")
+
+
+# ---------------------------------------------------------------------------
+# sources / sinks through files: S4, S10
+# ---------------------------------------------------------------------------
+@query("S4", d.with_(d.MESSAGES) + "SELECT seq, sender, subject FROM messages")
+def s4(spark, sf):
+    """Raw messages land as a table; the stream delivers each once (a second
+    run over the same folder and checkpoint finds nothing new)."""
+    from postline.sources.mail import parse_messages, render_rfc822
+    data, ck = streams.stream_scratch(spark, "inbox")
+    render_rfc822(tb.messages(spark, sf)).write.parquet(f"{data}/raw")
+    out = f"{data}/parsed"
+
+    def per_batch(batch, batch_id):
+        parse_messages(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    for _ in range(2):
+        streams.run_available_now(streams.read_message_table_stream(spark, f"{data}/raw").writeStream
+                                  .foreachBatch(per_batch), ck)
+    return spark.read.parquet(out).where(F.col("error").isNull()).select("seq", "sender", "subject")
+
+
+@query("S10", ORACLE["F14"])
+def s10(spark, sf):
+    data, _ = streams.stream_scratch(spark, "outbox")
+    state.outbox_sink(reports.render_job_message(tb.jobs(spark, sf)), data)
+    return spark.read.parquet(data).select("id", "message")
+
+
+# ---------------------------------------------------------------------------
+# 2.9 streaming: T1-T5 (availableNow runs read back from their sinks)
+# ---------------------------------------------------------------------------
+@query("T1")
+def t1(spark, sf):
+    store, postings = _cycle_inputs(spark, sf)
+    data, ck = streams.stream_scratch(spark, "ingest")
+    postings.write.parquet(f"{data}/incoming")
+    streams.seed_table(store, f"{data}/store")
+    streams.ingest_stream(spark, f"{data}/incoming", f"{data}/store", ck, postings.schema,
+                          now=F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return state.read_latest(spark, f"{data}/store").select("id", "title", "company", "url", "stage")
+
+
+def _event_stream(spark, sf):
+    schema = tb.read(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query("T2", d.with_(d.ARRIVALS) + "SELECT DISTINCT url FROM arrivals")
+def t2(spark, sf):
+    n = tb.read(spark, sf, "events").count()
+    s = _event_stream(spark, sf).withColumn("n", F.lit(n)).selectExpr(*tb.ARRIVALS, "CAST(ts AS TIMESTAMP) AS ts")
+    data, ck = streams.stream_scratch(spark, "dedup")
+    streams.run_available_now(streams.stream_dedup(s).writeStream.format("parquet").option("path", data), ck)
+    return spark.read.parquet(data).select("url")
+
+
+T3_SQL = MATCH_SQL[:-1] + (
+    f", cls AS (SELECT m.seq, m.company_key, {d.keyword_classification('g.subject', 'substr(g.body, 1, 2000)')['is_relevant_update']} "
+    f"AS rel, {d.keyword_classification('g.subject', 'substr(g.body, 1, 2000)')['new_stage']} AS ns, "
+    f"{d.keyword_classification('g.subject', 'substr(g.body, 1, 2000)')['new_sub_stage']} AS nss "
+    "FROM matched m JOIN messages g ON m.seq = g.seq), "
+    "fan AS (SELECT a.id, c.seq, c.ns, c.nss FROM cls c JOIN active a ON lower(trim(a.company)) = c.company_key WHERE c.rel), "
+    "latest AS (SELECT id, arg_max({'s': ns, 'ss': nss}, seq) AS u FROM fan GROUP BY id) "
+    "SELECT j.id, CASE WHEN l.id IS NOT NULL THEN l.u.s ELSE j.stage END AS stage, "
+    "CASE WHEN l.id IS NOT NULL THEN l.u.ss END AS sub_stage FROM mail_jobs j LEFT JOIN latest l ON j.id = l.id")
+
+
+@query("T3", T3_SQL)
+def t3(spark, sf):
+    from postline.sources.mail import render_rfc822
+    data, ck = streams.stream_scratch(spark, "mail")
+    render_rfc822(tb.messages(spark, sf)).write.parquet(f"{data}/raw")
+    streams.seed_table(tb.mail_jobs(spark, sf).withColumn("sub_stage", F.lit(None).cast("string")), f"{data}/jobs")
+    streams.mail_updates_stream(spark, f"{data}/raw", f"{data}/jobs", ck)
+    return state.read_latest(spark, f"{data}/jobs").select("id", "stage", "sub_stage")
+
+
+@query("T4", ORACLE["G7"])
+def t4(spark, sf):
+    a = _event_stream(spark, sf).selectExpr(*tb.ATTEMPTS)
+    data, ck = streams.stream_scratch(spark, "breaker")
+    streams.seed_table(spark.createDataFrame([], streams.BREAKER_STATE), f"{data}/state")
+    streams.breaker_stream(spark, a, f"{data}/state", ck)
+    st = state.read_latest(spark, f"{data}/state")
+    return streams.breaker_open(st, _now(tb.attempts(spark, sf)))
+
+
+@query("T5", d.with_(d.ATTEMPTS) + "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, site, "
+       "count(*) AS attempts, count(*) FILTER (WHERE success) AS successes, CAST(coalesce(sum(jobs_found), 0) AS BIGINT) "
+       "AS jobs_found FROM attempts GROUP BY ALL")
+def t5(spark, sf):
+    a = _event_stream(spark, sf).selectExpr(*tb.ATTEMPTS)
+    data, ck = streams.stream_scratch(spark, "metrics")
+    streams.cycle_metrics_stream(spark, a, data, ck)
+    m = streams.read_cycle_metrics(spark, data)
+    return m.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "site", "attempts", "successes",
+                    "jobs_found")

@@ -8,7 +8,8 @@ matters wherever "first match wins".
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -196,6 +197,20 @@ SITE_SELECTORS = {
 }
 
 
+RULE_SETS = [
+    ("rejected_location", REJECTED_LOCATIONS),
+    ("overseas_company", OVERSEAS_COMPANY_PATTERNS),
+    ("local_university", LOCAL_UNIVERSITIES),
+    ("seniority", SENIORITY_KEYWORDS),
+    ("experience", EXPERIENCE_PATTERNS),
+    ("store_tracking", STORE_TRACKING_PARAMS),
+    ("crawl_tracking", CRAWL_TRACKING_PARAMS),
+    ("tracker", TRACKER_PATTERNS),
+    ("blocked_type", BLOCKED_RESOURCE_TYPES),
+    ("query", DEFAULT_QUERIES),
+]
+
+
 def rules_frame(spark: SparkSession) -> DataFrame:
     """Every ordered pattern list as one ``(rule_set, ordinal, pattern)`` table.
 
@@ -203,18 +218,7 @@ def rules_frame(spark: SparkSession) -> DataFrame:
     against it may be broadcast safely.
     """
     rows = []
-    for name, values in [
-        ("rejected_location", REJECTED_LOCATIONS),
-        ("overseas_company", OVERSEAS_COMPANY_PATTERNS),
-        ("local_university", LOCAL_UNIVERSITIES),
-        ("seniority", SENIORITY_KEYWORDS),
-        ("experience", EXPERIENCE_PATTERNS),
-        ("store_tracking", STORE_TRACKING_PARAMS),
-        ("crawl_tracking", CRAWL_TRACKING_PARAMS),
-        ("tracker", TRACKER_PATTERNS),
-        ("blocked_type", BLOCKED_RESOURCE_TYPES),
-        ("query", DEFAULT_QUERIES),
-    ]:
+    for name, values in RULE_SETS:
         rows.extend((name, i + 1, v) for i, v in enumerate(values))
     schema = T.StructType([
         T.StructField("rule_set", T.StringType(), False),
@@ -224,6 +228,14 @@ def rules_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def site_profile(index: Column) -> Column:
+    """The board profile at 0-based ``index`` as a struct (site, base_url,
+    search_prefix, search_suffix), from an array literal: no join."""
+    arr = F.array(*[F.struct(F.lit(s).alias("site"), F.lit(b).alias("base_url"), F.lit(p).alias("search_prefix"),
+                             F.lit(x).alias("search_suffix")) for s, b, p, x in SITES])
+    return F.element_at(arr, (index + 1).cast("int"))
+
+
 def sites_frame(spark: SparkSession) -> DataFrame:
     schema = "site string, base_url string, search_prefix string, search_suffix string, site_ord int"
     return spark.createDataFrame([(s, b, p, x, i + 1) for i, (s, b, p, x) in enumerate(SITES)], schema)
