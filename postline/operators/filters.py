@@ -1,9 +1,12 @@
 """Rule classification.
 
 Each rule is a Column expression over the posting's own columns, so a
-whole cascade is one projection inside whole-stage codegen: no join
-against the rule tables, no Python.  ``coalesce`` of ``when`` branches
-short-circuits and keeps list order ("first pattern in the list wins").
+whole cascade is one projection: no join against the rule tables, no
+Python.  "First pattern in list order" is ``filter`` over the pattern
+array, element 1: one compact expression per rule, which keeps the
+generated code of a full cascade far below the JVM method-size limit
+(a ``coalesce`` of ~100 ``when`` branches exceeds it and drops the whole
+stage out of whole-stage codegen).
 """
 
 from __future__ import annotations
@@ -20,9 +23,13 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
+def _patterns(patterns: list[str]) -> Column:
+    return F.array(*[F.lit(p) for p in patterns])
+
+
 def first_contained(text_lower: Column, patterns: list[str]) -> Column:
     """First pattern (list order) that is a substring of ``text_lower``."""
-    return F.coalesce(*[F.when(F.contains(text_lower, F.lit(p)), F.lit(p)) for p in patterns])
+    return F.try_element_at(F.filter(_patterns(patterns), lambda p: F.contains(text_lower, p)), F.lit(1))
 
 
 def location_rejected(location: Column) -> Column:
@@ -33,15 +40,15 @@ def location_rejected(location: Column) -> Column:
 def overseas_company(company: Column, title: Column) -> Column:
     """The first overseas pattern found in company or title, or NULL."""
     c, t = F.lower(company), F.lower(title)
-    return F.coalesce(*[F.when(F.contains(c, F.lit(p)) | F.contains(t, F.lit(p)), F.lit(p))
-                        for p in rules.OVERSEAS_COMPANY_PATTERNS])
+    hits = F.filter(_patterns(rules.OVERSEAS_COMPANY_PATTERNS), lambda p: F.contains(c, p) | F.contains(t, p))
+    return F.try_element_at(hits, F.lit(1))
 
 
 def foreign_university(company: Column) -> Column:
     """Company mentions university/college and no listed local one."""
     c = F.lower(company)
     marked = F.contains(c, F.lit("university")) | F.contains(c, F.lit("college"))
-    local = F.coalesce(*[F.when(F.contains(c, F.lit(u)), F.lit(True)) for u in rules.LOCAL_UNIVERSITIES], F.lit(False))
+    local = F.exists(_patterns(rules.LOCAL_UNIVERSITIES), lambda u: F.contains(c, u))
     return marked & ~local
 
 
@@ -74,11 +81,12 @@ def pre_filter_reason(title: Column, company: Column, location: Column, descript
     p5 = location_rejected(loc)
     p6 = overseas_company(c, t)
     p9 = senior_title(t)
+    # concat is NULL when its pattern is NULL, so each reason needs no guard
     return F.coalesce(
-        F.when(p5.isNotNull(), F.concat(F.lit("Location '"), loc, F.lit("' matches rejected pattern '"), p5, F.lit("'"))),
-        F.when(p6.isNotNull(), F.concat(F.lit("Company/Title matches rejected overseas pattern '"), p6, F.lit("'"))),
+        F.concat(F.lit("Location '"), loc, F.lit("' matches rejected pattern '"), p5, F.lit("'")),
+        F.concat(F.lit("Company/Title matches rejected overseas pattern '"), p6, F.lit("'")),
         F.when(foreign_university(c), F.concat(F.lit("Non-Israeli university: '"), c, F.lit("'"))),
-        F.when(p9.isNotNull(), F.concat(F.lit("Title contains seniority keyword '"), p9, F.lit("'"))),
+        F.concat(F.lit("Title contains seniority keyword '"), p9, F.lit("'")),
         F.when(requires_experience(t, d), F.lit(rules.EXPERIENCE_REASON)),
     )
 
