@@ -130,6 +130,12 @@ def duplicate_groups(jobs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Greedy in-batch admission
 # ---------------------------------------------------------------------------
+def _log_round(r: int) -> None:
+    import os
+    if os.environ.get("POSTLINE_TRACE"):
+        print(f"admit_batch round {r}", flush=True)
+
+
 def admit_batch(batch: DataFrame, seq: str = "seq", checkpoint_every: int = 4, max_rounds: int | None = None) -> DataFrame:
     """The items a sequential loop would admit: an item is admitted when
     no earlier *admitted* item shares its URL or its (title, company) key.
@@ -152,6 +158,7 @@ def admit_batch(batch: DataFrame, seq: str = "seq", checkpoint_every: int = 4, m
     rounds = 0
     while True:
         rounds += 1
+        _log_round(rounds)
         first_u = undecided.groupBy("u").agg(F.min("seq").alias("seq"))
         first_t = undecided.where(F.col("tk").isNotNull()).groupBy("tk").agg(F.min("seq").alias("seq"))
         cand = undecided.join(first_u.select("seq"), "seq", "left_semi")

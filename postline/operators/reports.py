@@ -235,8 +235,8 @@ def render_scan_summary(summary: DataFrame, top3: DataFrame, dashboard_link: str
         F.lit("• \U0001F3C6 95-100 (Student / Internship): "), F.col("tier_95").cast("string"), F.lit("\n"),
         F.lit("• \U0001F947 85-94 (No Experience Required): "), F.col("tier_85").cast("string"), F.lit("\n"),
         F.lit("• ⭐️ 70-84 (Junior / 1-2 Yrs Exp): "), F.col("tier_70").cast("string"), F.lit("\n"))
-    # both sides are exactly one row: an equi-join on a constant key
-    one = summary.withColumn("_k", F.lit(1)).join(F.broadcast(picks.withColumn("_k", F.lit(1))), "_k", "left")
+    # the picks block is one value: a scalar subquery, no join
+    one = summary.withColumn("_picks", picks.scalar())
     top_block = F.when(F.coalesce(F.col("_picks"), F.lit("")) != "",
                        F.concat(F.lit("\n\U0001F680 *Top Picks From This Scan:*\n"), F.col("_picks"))).otherwise(F.lit(""))
     link = F.lit(f"\n\U0001F4F1 *View Kanban Dashboard:*\n{dashboard_link}" if dashboard_link else "")

@@ -25,12 +25,12 @@ def append_new(jobs: DataFrame, batch: DataFrame, now: Column, first_id: Column
     b = b.join(jobs.select("url").distinct(), "url", "left_anti")
     # first arrival per URL wins (a conflicting later insert is ignored)
     b = dedup.keep_best(b, ["url"], [F.col("seq")])
-    max_id = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_m"))
+    # the stored maximum is a scalar subquery: evaluated once, no join
+    max_id = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     from postline.operators.reports import global_positions
     numbered = global_positions(b.withColumn("_all", F.lit(1)), ["_all"], [F.col("seq")], out="_n").drop("_all")
-    numbered = numbered.withColumn("_k", F.lit(1)).join(F.broadcast(max_id.withColumn("_k", F.lit(1))), "_k").drop("_k")
     return numbered.select(
-        (F.col("_m") + F.col("_n")).alias("id"), "title", "company", "url",
+        (max_id + F.col("_n")).alias("id"), "title", "company", "url",
         now.alias("date_found"), "ai_summary", F.coalesce(F.col("stage"), F.lit("To Apply")).alias("stage"),
         F.lit(None).cast("string").alias("sub_stage"),
         F.coalesce(F.col("location"), F.lit(rules.NOT_SPECIFIED)).alias("location"))
