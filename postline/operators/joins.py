@@ -21,27 +21,44 @@ def _has_title_company(title: Column, company: Column) -> Column:
     return (F.coalesce(title, F.lit("")) != "") & (F.coalesce(company, F.lit("")) != "")
 
 
+def _known_keys(batch: DataFrame, jobs: DataFrame):
+    """The stored URLs and (title, company) keys that occur in the batch.
+
+    The stored table is only semi-joined to the batch's keys, so the big
+    side is never deduplicated or shuffled as a whole: once AQE has measured
+    the batch's key set it can broadcast it and stream the stored table
+    past it.  Both results are bounded by the batch size."""
+    b_url = batch.select("_nu").distinct()
+    b_tc = batch.where(_has_title_company(F.col("title"), F.col("company"))).select("_t", "_c").distinct()
+    seen_url = jobs.select(F.col("url").alias("_nu")).join(b_url, "_nu", "left_semi").distinct()
+    seen_tc = (jobs.select(norm_key(F.col("title")).alias("_t"), norm_key(F.col("company")).alias("_c"))
+               .join(b_tc, ["_t", "_c"], "left_semi").distinct())
+    return seen_url, seen_tc
+
+
+def _keyed(batch: DataFrame) -> DataFrame:
+    return (batch.withColumn("_nu", urls.normalize_url(F.col("url")))
+            .withColumn("_t", norm_key(F.col("title"))).withColumn("_c", norm_key(F.col("company"))))
+
+
 def drop_seen(batch: DataFrame, jobs: DataFrame) -> DataFrame:
     """Postings whose canonical URL is not stored and whose (title,
     company), compared lower/trim and only when both are non-empty, is not
-    stored either."""
-    b = (batch.withColumn("_nu", urls.normalize_url(F.col("url")))
-         .withColumn("_t", norm_key(F.col("title"))).withColumn("_c", norm_key(F.col("company"))))
-    seen_url = jobs.select(F.col("url").alias("_nu")).distinct()
-    seen_tc = jobs.select(norm_key(F.col("title")).alias("_st"), norm_key(F.col("company")).alias("_sc")).distinct()
+    stored either.  Two equi anti joins (an OR condition would plan as a
+    nested-loop join)."""
+    b = _keyed(batch)
+    seen_url, seen_tc = _known_keys(b, jobs)
     b = b.join(seen_url, "_nu", "left_anti")
-    cond = (b["_t"] == seen_tc["_st"]) & (b["_c"] == seen_tc["_sc"]) & _has_title_company(b["title"], b["company"])
+    cond = (b["_t"] == seen_tc["_t"]) & (b["_c"] == seen_tc["_c"]) & _has_title_company(b["title"], b["company"])
     return b.join(seen_tc, cond, "left_anti").drop("_nu", "_t", "_c")
 
 
 def is_processed(batch: DataFrame, jobs: DataFrame) -> DataFrame:
     """J1 as a flag: ``seen_by`` is 'url', 'title_company' or NULL."""
-    b = (batch.withColumn("_nu", urls.normalize_url(F.col("url")))
-         .withColumn("_t", norm_key(F.col("title"))).withColumn("_c", norm_key(F.col("company"))))
-    seen_url = jobs.select(F.col("url").alias("_nu")).distinct().withColumn("_hit_u", F.lit(True))
-    seen_tc = (jobs.select(norm_key(F.col("title")).alias("_t"), norm_key(F.col("company")).alias("_c")).distinct()
-               .withColumn("_hit_t", F.lit(True)))
-    out = b.join(seen_url, "_nu", "left").join(seen_tc, ["_t", "_c"], "left")
+    b = _keyed(batch)
+    seen_url, seen_tc = _known_keys(b, jobs)
+    out = (b.join(seen_url.withColumn("_hit_u", F.lit(True)), "_nu", "left")
+           .join(seen_tc.withColumn("_hit_t", F.lit(True)), ["_t", "_c"], "left"))
     flag = (F.when(F.col("_hit_u"), F.lit("url"))
             .when(F.col("_hit_t") & _has_title_company(F.col("title"), F.col("company")), F.lit("title_company")))
     return out.withColumn("seen_by", flag).drop("_nu", "_t", "_c", "_hit_u", "_hit_t")

@@ -26,8 +26,9 @@ def global_positions(df: DataFrame, group_cols: list[str], order_cols: list[Colu
     Rows are range-partitioned by (group, order) and sorted inside each
     partition; a row's position is its index inside the partition plus the
     number of rows of the same group in earlier partitions.  The offset
-    table has (partitions x groups-per-partition) rows -- bounded by the
-    partition count, not by the data -- and is broadcast.
+    table has one row per (partition, group) present -- for the few-group
+    rankings it serves (board columns, one stage, one batch) that is
+    bounded by the partition count; AQE broadcasts it after measuring it.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -37,7 +38,7 @@ def global_positions(df: DataFrame, group_cols: list[str], order_cols: list[Colu
     stats = s.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     wprev = W.partitionBy(*group_cols).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(wprev), F.lit(0)))
-    joined = s.join(F.broadcast(stats.select("_pid", *group_cols, "_first", "_off")), ["_pid", *group_cols])
+    joined = s.join(stats.select("_pid", *group_cols, "_first", "_off"), ["_pid", *group_cols])
     return joined.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint")) \
         .drop("_pid", "_mid", "_first", "_off")
 

@@ -22,7 +22,9 @@ def append_new(jobs: DataFrame, batch: DataFrame, now: Column, first_id: Column
     earlier batch rows) silently skipped, ``date_found`` stamped, new ids
     continuing after the stored maximum in arrival order."""
     b = batch.withColumn("url", urls.normalize_url(F.col("url")))
-    b = b.join(jobs.select("url").distinct(), "url", "left_anti")
+    # stored URLs restricted to the batch's URLs first (bounded by the batch)
+    known = jobs.select("url").join(b.select("url").distinct(), "url", "left_semi").distinct()
+    b = b.join(known, "url", "left_anti")
     # first arrival per URL wins (a conflicting later insert is ignored)
     b = dedup.keep_best(b, ["url"], [F.col("seq")])
     # the stored maximum is a scalar subquery: evaluated once, no join
