@@ -85,27 +85,14 @@ def company_index(active: DataFrame) -> DataFrame:
                                         F.count(F.lit(1)).cast("bigint").alias("n_jobs"))
 
 
-def _positions(df: DataFrame, text: str) -> DataFrame:
-    """One row per character position of ``text`` with its 1-, 2-, 3-grams."""
-    t = F.col(text)
+def _grams(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """One row per (text position, gram length in ``lengths``) with the gram there."""
+    t = F.col("_text")
     pos = F.explode(F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t))).otherwise(F.array().cast("array<int>")))
-    out = df.select("*", pos.alias("_i"))
-    return (out.withColumn("_g1", t.substr(F.col("_i"), F.lit(1)))
-            .withColumn("_g2", t.substr(F.col("_i"), F.lit(2)))
-            .withColumn("_g3", t.substr(F.col("_i"), F.lit(3))))
-
-
-def _substring_hits(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """Exact 'name occurs in text' pairs via gram equi-joins + verification."""
-    pos = _positions(texts, text)
-    n = names.withColumn("_len", F.length(F.col(name)))
-    hits = None
-    for k in (1, 2, 3):
-        side = n.where((F.col("_len") == k) if k < 3 else (F.col("_len") >= 3)).withColumn("_key", F.col(name).substr(1, k))
-        j = pos.join(side, pos[f"_g{k}"] == side["_key"])
-        j = j.where(F.col(text).substr(F.col("_i"), F.col("_len")) == F.col(name))
-        hits = j if hits is None else hits.unionByName(j)
-    return hits
+    at = texts.select("*", pos.alias("_i"))
+    grams = F.array(*[F.struct(F.lit(k).alias("k"), t.substr(F.col("_i"), F.lit(k)).alias("g")) for k in lengths])
+    return (at.select("*", F.explode(grams).alias("_kg"))
+            .select("*", F.col("_kg.k").alias("_k"), F.col("_kg.g").alias("_gram")).drop("_kg"))
 
 
 def word_parts(company: Column) -> Column:
@@ -118,18 +105,38 @@ def match_company(messages: DataFrame, companies: DataFrame) -> DataFrame:
     substring of the lowered sender or subject; tier 2 (only without a tier-1
     hit): a space-separated part of the key longer than 2 characters is a
     substring of the sender.  Within a tier the company first in active order
-    wins.  Returns (seq, company_key, tier)."""
-    m = messages.select("seq", F.lower(F.coalesce(F.col("sender"), F.lit(""))).alias("_s"),
-                        F.lower(F.coalesce(F.col("subject"), F.lit(""))).alias("_j"))
-    texts = m.select("seq", F.col("_s").alias("_text")).unionByName(m.select("seq", F.col("_j").alias("_text")))
+    wins.  Returns (seq, company_key, tier).
+
+    Plan: the messages are scanned once and cut into (position, gram of
+    length 1..3) rows; every needle (a whole key for tier 1, a part for tier
+    2) is keyed by its first min(len, 3) characters.  One equi-join on
+    (length, gram) yields the candidates, an exact substring test keeps the
+    hits, and a partial ``min`` aggregate per message picks the winner.  No
+    cross join: a position only meets needles that start with its gram."""
+    both = F.array(
+        F.struct(F.lit(True).alias("is_sender"), F.lower(F.coalesce(F.col("sender"), F.lit(""))).alias("text")),
+        F.struct(F.lit(False).alias("is_sender"), F.lower(F.coalesce(F.col("subject"), F.lit(""))).alias("text")))
+    texts = (messages.select("seq", F.explode(both).alias("_m"))
+             .select("seq", F.col("_m.is_sender").alias("_is_sender"), F.col("_m.text").alias("_text")))
     c = companies.select("company_key", "company_ord")
-    t1 = (_substring_hits(texts, "_text", c, "company_key")
-          .select("seq", "company_key", "company_ord", F.lit(1).alias("tier")))
-    parts = c.select("company_key", "company_ord", F.explode(word_parts(F.col("company_key"))).alias("_part"))
-    t2 = (_substring_hits(m.select("seq", F.col("_s").alias("_text")), "_text", parts, "_part")
-          .select("seq", "company_key", "company_ord", F.lit(2).alias("tier")))
+    needles = (c.select("company_key", "company_ord", F.lit(1).alias("tier"), F.col("company_key").alias("_needle"))
+               .unionByName(c.select("company_key", "company_ord", F.lit(2).alias("tier"),
+                                     F.explode(word_parts(F.col("company_key"))).alias("_needle")))
+               .where(F.length("_needle") > 0)
+               .withColumn("_len", F.length("_needle"))
+               .withColumn("_k", F.least(F.col("_len"), F.lit(3)))
+               .withColumn("_gram", F.col("_needle").substr(F.lit(1), F.col("_k"))))
+    # gram lengths present among the needles (at most three values): positions
+    # only emit those, so short names cost nothing when there are none
+    lengths = sorted(r[0] for r in needles.select("_k").distinct().collect())
+    if not lengths:
+        return messages.select("seq", F.lit(None).cast("string").alias("company_key"),
+                               F.lit(None).cast("int").alias("tier")).limit(0)
+    cand = _grams(texts, lengths).join(needles, ["_k", "_gram"])
+    hits = cand.where((F.col("_text").substr(F.col("_i"), F.col("_len")) == F.col("_needle"))
+                      & ((F.col("tier") == 1) | F.col("_is_sender")))
     best = F.min(F.struct("tier", "company_ord", "company_key"))
-    return (t1.unionByName(t2).groupBy("seq").agg(best.alias("_b"))
+    return (hits.groupBy("seq").agg(best.alias("_b"))
             .select("seq", F.col("_b.company_key").alias("company_key"), F.col("_b.tier").alias("tier")))
 
 
