@@ -154,31 +154,37 @@ def admit_batch(batch: DataFrame, seq: str = "seq", checkpoint_every: int = 4, m
     ukey = F.coalesce(F.col("url"), F.concat(F.lit("\u0002"), F.col(seq).cast("string")))
     items = batch.select(F.col(seq).alias("seq"), ukey.alias("u"), F.when(has_t, tkey).alias("tk")).cache()
     undecided = items
-    admitted = None
+    news = []
     rounds = 0
     while True:
         rounds += 1
         _log_round(rounds)
+        # first item of every URL group and of every title group (partial
+        # aggregates: a hot key reaches the shuffle as one row per task)
         first_u = undecided.groupBy("u").agg(F.min("seq").alias("seq"))
         first_t = undecided.where(F.col("tk").isNotNull()).groupBy("tk").agg(F.min("seq").alias("seq"))
         cand = undecided.join(first_u.select("seq"), "seq", "left_semi")
-        cand_t = cand.where(F.col("tk").isNull()).unionByName(cand.join(first_t.select("seq"), "seq", "left_semi"))
-        new = cand_t.select("seq", "u", "tk")
-        new = new.checkpoint() if rounds % checkpoint_every == 0 else new.cache()
-        n_new = new.count()
-        if n_new == 0:
-            break
-        admitted = new if admitted is None else admitted.unionByName(new)
+        new = cand.where(F.col("tk").isNull()).unionByName(cand.join(first_t.select("seq"), "seq", "left_semi"))
+        ckpt = rounds % checkpoint_every == 0
+        new = new.checkpoint() if ckpt else new.cache()
+        news.append(new)
         rest = (undecided.join(new.select("seq"), "seq", "left_anti")
                 .join(new.select("u").distinct(), "u", "left_anti"))
         # anti join keeps NULL-key rows (they never match)
         rest = rest.join(new.where(F.col("tk").isNotNull()).select("tk").distinct(), "tk", "left_anti")
-        rest = rest.checkpoint() if rounds % checkpoint_every == 0 else rest.cache()
-        if rest.count() == 0:
+        rest = rest.checkpoint() if ckpt else rest.cache()
+        # the globally first undecided item is admitted every round, so one
+        # count per round (of what is left) decides termination
+        left = rest.count()
+        if undecided is not items:
+            undecided.unpersist()
+        if left == 0:
+            rest.unpersist()
             break
         undecided = rest
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError("admission did not converge within max_rounds")
-    if admitted is None:
-        return batch.limit(0)
+    admitted = news[0]
+    for n in news[1:]:
+        admitted = admitted.unionByName(n)
     return batch.join(admitted.select(F.col("seq").alias(seq)), seq, "left_semi")
