@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from postline import rules
 from postline.functions import evaluation as ev
-from postline.session import checkpoint_dir
+from postline.session import written
 
 
 def norm_key(c: Column) -> Column:
@@ -32,20 +32,24 @@ def stage_rank(stage: Column, ranks: dict | None = None) -> Column:
     return expr.otherwise(F.lit(1))
 
 
-def keep_best(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
+def keep_best(df: DataFrame, keys: list, order: list[Column], size_col: str | None = None) -> DataFrame:
     """Per key, the row that is smallest under ``order`` (a list of Columns,
-    compared left to right).  Partial aggregation keeps hot keys cheap."""
+    compared left to right).  Partial aggregation keeps hot keys cheap.
+    With ``size_col`` the group's row count is added in the same aggregation."""
     cols = df.columns
     best = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*cols).alias("_row")))
-    return df.groupBy(*keys).agg(best.alias("_best")).select("_best._row.*")
+    aggs = [best.alias("_best")] + ([F.count(F.lit(1)).alias(size_col)] if size_col else [])
+    out = df.groupBy(*keys).agg(*aggs)
+    return out.select("_best._row.*", *([size_col] if size_col else []))
 
 
-def dedup_postings(jobs: DataFrame, ranks: dict | None = None) -> DataFrame:
+def dedup_postings(jobs: DataFrame, ranks: dict | None = None, size_col: str | None = None) -> DataFrame:
     """A1: one row per (lower(trim(title)), lower(trim(company))): highest
-    stage rank, then highest score, then lowest id.  Returns the survivors."""
+    stage rank, then highest score, then lowest id.  Returns the survivors
+    (with the group size in ``size_col`` when given: G10 = sum(size - 1))."""
     keyed = jobs.withColumn("_t", norm_key(F.col("title"))).withColumn("_c", norm_key(F.col("company")))
     order = [-stage_rank(F.col("stage"), ranks), -ev.parse_score(F.col("ai_summary")), F.col("id")]
-    return keep_best(keyed, ["_t", "_c"], order).drop("_t", "_c")
+    return keep_best(keyed, ["_t", "_c"], order, size_col).drop("_t", "_c")
 
 
 def dedup_losers(jobs: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -136,24 +140,24 @@ def _log_round(r: int) -> None:
         print(f"admit_batch round {r}", flush=True)
 
 
-def admit_batch(batch: DataFrame, seq: str = "seq", checkpoint_every: int = 4, max_rounds: int | None = None) -> DataFrame:
+def admit_batch(batch: DataFrame, seq: str = "seq", max_rounds: int | None = None) -> DataFrame:
     """The items a sequential loop would admit: an item is admitted when
     no earlier *admitted* item shares its URL or its (title, company) key.
 
     Round scheme (exact): among undecided items, those first by ``seq`` in
     both their URL group and their title group are admitted; undecided items
     sharing a key with a newly admitted one are rejected.  The globally first
-    undecided item is admitted every round, so the loop ends.  Lineage is
-    cut with reliable ``checkpoint()`` into the shared checkpoint folder.
+    undecided item is admitted every round, so the loop ends.  Each round's
+    admitted and undecided sets are written to the shared checkpoint folder
+    and read back, so plans stay the same size however many rounds run and
+    a lost executor never replays earlier rounds.
     """
-    spark = batch.sparkSession
-    checkpoint_dir(spark)
     tkey = F.concat_ws("\u0001", norm_key(F.col("title")), norm_key(F.col("company")))
     has_t = (F.coalesce(F.col("title"), F.lit("")) != "") & (F.coalesce(F.col("company"), F.lit("")) != "")
     # a NULL url never equals anything: give each its own key
     ukey = F.coalesce(F.col("url"), F.concat(F.lit("\u0002"), F.col(seq).cast("string")))
-    items = batch.select(F.col(seq).alias("seq"), ukey.alias("u"), F.when(has_t, tkey).alias("tk")).cache()
-    undecided = items
+    undecided = written(batch.select(F.col(seq).alias("seq"), ukey.alias("u"), F.when(has_t, tkey).alias("tk")),
+                        "admit_items")
     news = []
     rounds = 0
     while True:
@@ -164,27 +168,22 @@ def admit_batch(batch: DataFrame, seq: str = "seq", checkpoint_every: int = 4, m
         first_u = undecided.groupBy("u").agg(F.min("seq").alias("seq"))
         first_t = undecided.where(F.col("tk").isNotNull()).groupBy("tk").agg(F.min("seq").alias("seq"))
         cand = undecided.join(first_u.select("seq"), "seq", "left_semi")
-        new = cand.where(F.col("tk").isNull()).unionByName(cand.join(first_t.select("seq"), "seq", "left_semi"))
-        ckpt = rounds % checkpoint_every == 0
-        new = new.checkpoint() if ckpt else new.cache()
+        new = written(cand.where(F.col("tk").isNull()).unionByName(cand.join(first_t.select("seq"), "seq", "left_semi")),
+                      "admit_new")
         news.append(new)
         rest = (undecided.join(new.select("seq"), "seq", "left_anti")
                 .join(new.select("u").distinct(), "u", "left_anti"))
         # anti join keeps NULL-key rows (they never match)
-        rest = rest.join(new.where(F.col("tk").isNotNull()).select("tk").distinct(), "tk", "left_anti")
-        rest = rest.checkpoint() if ckpt else rest.cache()
-        # the globally first undecided item is admitted every round, so one
-        # count per round (of what is left) decides termination
-        left = rest.count()
-        if undecided is not items:
-            undecided.unpersist()
-        if left == 0:
-            rest.unpersist()
+        rest = written(rest.join(new.where(F.col("tk").isNotNull()).select("tk").distinct(), "tk", "left_anti"),
+                       "admit_rest")
+        # the globally first undecided item is admitted every round, so the
+        # size of what is left (parquet footers) decides termination
+        if rest.count() == 0:
             break
         undecided = rest
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError("admission did not converge within max_rounds")
-    admitted = news[0]
+    admitted = news[0].select("seq")
     for n in news[1:]:
-        admitted = admitted.unionByName(n)
-    return batch.join(admitted.select(F.col("seq").alias(seq)), seq, "left_semi")
+        admitted = admitted.unionByName(n.select("seq"))
+    return batch.join(admitted.withColumnRenamed("seq", seq), seq, "left_semi")

@@ -12,6 +12,7 @@ from postline import rules
 from postline.functions import evaluation as ev
 from postline.operators import dedup, filters, joins, reports, state
 from postline.plans import scoring
+from postline.session import written
 
 
 def recheck(jobs: DataFrame, scorer: Callable | None = None) -> DataFrame:
@@ -36,24 +37,32 @@ def recheck(jobs: DataFrame, scorer: Callable | None = None) -> DataFrame:
 def ingest(store: DataFrame, postings: DataFrame, now: Column, scorer: Callable | None = None) -> dict:
     """The per-posting part of X4: in-batch admission (A6), seen check (J1),
     pre-filter (P11), rejected evaluation (P16) or score + route (X1, P15),
-    append (S7).  Returns the new store and the cycle's new matches."""
+    append (S7).  Returns the new store and the cycle's new matches.
+
+    Only batch-sized data is materialised: the postings left after the
+    seen check (read by both branches), the inserted rows (read by the new
+    store and by the matches) and, with a user scorer, its output (so every
+    posting is scored once)."""
     admitted = dedup.admit_batch(postings.withColumn("url", F.coalesce(F.col("url"), F.lit(""))))
-    fresh = joins.drop_seen(admitted, store)
+    # batch-sized and read by several branches below: written once
+    fresh = written(joins.drop_seen(admitted, store), "fresh")
     pf = filters.pre_filter(fresh)
     rejected = pf.where(F.col("is_rejected")).select(
         "seq", "title", "company", "url", "location",
         ev.rejected_evaluation(F.col("reject_reason"), F.col("location")).alias("ai_summary"),
         F.lit("Irrelevant").alias("stage"), F.lit(0).alias("score"))
     scored = scoring.score_postings(pf.where(~F.col("is_rejected")), scorer)
-    scored = scored.checkpoint()            # one evaluation per posting even though two branches read it
+    if scorer is not None:
+        scored = written(scored, "scored")  # one (paid) evaluation per posting
     e = F.col("evaluation")
     routed = scored.select("seq", "title", "company", "url", "location",
                            scoring.evaluation_json(e).alias("ai_summary"),
                            ev.route_by_score(e["is_relevant"], e["match_score"]).alias("stage"),
                            e["match_score"].alias("score"))
     outcomes = joins.union_outcomes(rejected, routed)
-    inserted = state.append_new(store, outcomes, now)
-    matches = routed.where(F.col("stage") == "To Apply").join(inserted.select("url", "id"), "url")
+    inserted = written(state.append_new(store, outcomes, now), "inserted")
+    # routed To Apply rows are exactly the inserted To Apply rows
+    matches = inserted.where(F.col("stage") == "To Apply").withColumn("score", ev.parse_score(F.col("ai_summary")))
     new_store = store.unionByName(inserted)
     return {"admitted": admitted, "outcomes": outcomes, "inserted": inserted, "store": new_store, "matches": matches}
 
@@ -61,20 +70,22 @@ def ingest(store: DataFrame, postings: DataFrame, now: Column, scorer: Callable
 def run_cycle(store: DataFrame, postings: DataFrame, now: Column, scorer: Callable | None = None,
               dashboard_link: str = "") -> dict:
     """Ingest, then dedup (A1) -> demote (P14) -> geo filter (P13) in
-    this order, then the KPI row (G4) and the summary message (F15)."""
-    spark = store.sparkSession
+    this order, then the KPI row (G4) and the summary message (F15).
+
+    The store after ingest is read once (dedup also counts each group, which
+    gives G10); the cycle's result is materialised once and every KPI is
+    read from it, so no pass over the whole store is repeated."""
     step = ingest(store, postings, now, scorer)
-    after_ingest = step["store"].checkpoint()
-    removed = dedup.dedup_removed_count(after_ingest)
-    deduped = dedup.dedup_postings(after_ingest)
+    deduped = dedup.dedup_postings(step["store"], size_col="_group_n")
     demoted = filters.demote_low_scores(deduped).drop("demoted")
-    geo = filters.apply_geo_filter(demoted)
-    geo_count = geo.agg(F.count_if(F.col("geo_reason").isNotNull()).cast("bigint").alias("geo_filtered"))
-    final = geo.drop("geo_reason").checkpoint()
-    summary = reports.scan_summary(postings, step["matches"], removed, geo_count, final)
+    final = written(filters.apply_geo_filter(demoted), "cycle_store")
+    removed = final.agg(F.coalesce(F.sum(F.col("_group_n") - 1), F.lit(0)).cast("bigint").alias("removed"))
+    geo_count = final.agg(F.count_if(F.col("geo_reason").isNotNull()).cast("bigint").alias("geo_filtered"))
+    new_store = final.drop("_group_n", "geo_reason")
+    summary = reports.scan_summary(postings, step["matches"], removed, geo_count, new_store)
     top3 = reports.top_new_matches(step["matches"])
     message = reports.render_scan_summary(summary, top3, dashboard_link)
-    return {"store": final, "summary": summary, "message": message, "matches": step["matches"]}
+    return {"store": new_store, "summary": summary, "message": message, "matches": step["matches"]}
 
 
 def mail_updates(messages: DataFrame, jobs: DataFrame, classifier: Callable | None = None) -> DataFrame:

@@ -918,8 +918,10 @@ def x3(spark, sf):
 
 def _cycle_inputs(spark, sf):
     store, batch = tb.store_and_batch(spark, sf)
+    kinds = F.array(*[F.lit(k) for k in ("student position", "entry level role", "junior developer", "position")])
     postings = batch.select(F.col("id").alias("seq"), "title", "company", "url", "location",
-                            F.concat_ws(" ", F.col("title"), F.lit("position")).alias("description"))
+                            F.concat_ws(" ", F.col("title"), F.element_at(kinds, (F.floor(F.col("id") / 2) % 4 + 1).cast("int")))
+                            .alias("description"))
     return store, postings
 
 

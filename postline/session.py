@@ -58,3 +58,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def written(df, name: str):
+    """Cut lineage by writing ``df`` as a table in the shared checkpoint
+    folder and reading it back: one pass over ``df`` (a reliable RDD
+    checkpoint may compute it twice), a plan leaf of constant size for
+    everything downstream, and a copy that survives executor loss."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"{name}_{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
