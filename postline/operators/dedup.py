@@ -110,17 +110,26 @@ def trailing_failures(attempts: DataFrame) -> DataFrame:
 
 def failure_runs(attempts: DataFrame, threshold: int = rules.BREAKER_THRESHOLD) -> DataFrame:
     """Runs of consecutive failures per site: start, end, length and the
-    time the run reached ``threshold`` (NULL if it never did)."""
-    w = W.partitionBy("site").orderBy("ts", "id")
-    islands = attempts.withColumn("_run", F.sum(F.col("success").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    fails = islands.where(~F.col("success"))
-    w2 = W.partitionBy("site", "_run").orderBy("ts", "id")
-    fails = fails.withColumn("_k", F.row_number().over(w2))
-    return fails.groupBy("site", "_run").agg(
+    time the run reached ``threshold`` (NULL if it never did).
+
+    A failure's run number is the count of successes before it, i.e. its
+    position among all of the site's attempts minus its position among the
+    site's failures.  Both positions come from ``global_positions`` (a
+    range-partitioned sort), so a site holding a large share of all
+    attempts is spread over many tasks instead of one window partition."""
+    from postline.operators.reports import global_positions
+    order = [F.col("ts"), F.col("id")]
+    allpos = global_positions(attempts.select("site", "ts", "id", "success"), ["site"], order, out="_q")
+    fails = global_positions(allpos.where(~F.col("success")), ["site"], order, out="_f")
+    fails = fails.withColumn("run_no", (F.col("_q") - F.col("_f")).cast("bigint"))
+    runs = fails.groupBy("site", "run_no").agg(
         F.min("ts").alias("run_start"), F.max("ts").alias("run_end"),
-        F.count(F.lit(1)).cast("bigint").alias("run_length"),
-        F.max(F.when(F.col("_k") == threshold, F.col("ts"))).alias("opened_at"),
-    ).withColumnRenamed("_run", "run_no")
+        F.count(F.lit(1)).cast("bigint").alias("run_length"), F.min("_f").alias("_f0"))
+    # the failure that reached the threshold: the run's threshold-th one
+    reached = (fails.join(runs.select("site", "run_no", "_f0"), ["site", "run_no"])
+               .where(F.col("_f") == F.col("_f0") + (threshold - 1))
+               .select("site", "run_no", F.col("ts").alias("opened_at")))
+    return runs.drop("_f0").join(reached, ["site", "run_no"], "left")
 
 
 def duplicate_groups(jobs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from postline import rules
 from postline.functions import evaluation as ev
 from postline.operators.dedup import trailing_failures, dedup_by_url
+from postline.session import written
 
 
 def global_positions(df: DataFrame, group_cols: list[str], order_cols: list[Column], out: str = "position",
@@ -29,12 +30,17 @@ def global_positions(df: DataFrame, group_cols: list[str], order_cols: list[Colu
     table has one row per (partition, group) present -- for the few-group
     rankings it serves (board columns, one stage, one batch) that is
     bounded by the partition count; AQE broadcasts it after measuring it.
+    The numbered rows are written to the shared checkpoint folder once.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group_cols] + list(order_cols)
     s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    # the partition ids and row ids are only consistent within one
+    # computation (range bounds come from sampling): write them once and
+    # derive both the offsets and the positions from that copy
+    s = written(s, "positions")
     stats = s.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     wprev = W.partitionBy(*group_cols).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(wprev), F.lit(0)))

@@ -90,14 +90,21 @@ def run_cycle(store: DataFrame, postings: DataFrame, now: Column, scorer: Callab
 
 def mail_updates(messages: DataFrame, jobs: DataFrame, classifier: Callable | None = None) -> DataFrame:
     """Section 3.2 as one job: J3 -> X2 -> P21 -> J4 -> A4.  Returns the
-    updates (id, seq, new_stage, new_sub_stage) to apply with S8."""
+    updates (id, seq, new_stage, new_sub_stage) to apply with S8.
+
+    Every job of a company receives the same messages, so the last relevant
+    message per company decides each of its jobs (A4): the messages are
+    reduced per company (partial max) before the fan-out join (J4), which
+    then yields one row per job instead of messages x jobs."""
     active = filters.active_jobs(jobs)
     companies = joins.company_index(active)
     matched = joins.match_company(messages, companies)
     with_text = matched.join(messages.select("seq", "subject", "body"), "seq")
     classified = scoring.classify_messages(with_text, classifier)
     relevant = filters.relevant_updates(classified)
-    fanned = joins.fan_out_updates(relevant.select("seq", "company_key", "classification"), active)
-    updates = fanned.select("id", "seq", F.col("classification.new_stage").alias("new_stage"),
-                            F.col("classification.new_sub_stage").alias("new_sub_stage"))
-    return dedup.latest_update_per_job(updates)
+    latest = relevant.groupBy("company_key").agg(
+        F.max(F.struct(F.col("seq"), F.col("classification.new_stage").alias("new_stage"),
+                       F.col("classification.new_sub_stage").alias("new_sub_stage"))).alias("_u"))
+    fanned = joins.fan_out_updates(latest, active)
+    return fanned.select("id", F.col("_u.seq").alias("seq"), F.col("_u.new_stage").alias("new_stage"),
+                         F.col("_u.new_sub_stage").alias("new_sub_stage"))
