@@ -216,6 +216,29 @@ def render_top_jobs(top: DataFrame, dashboard_link: str = "") -> DataFrame:
     return msg.select(ev.truncate_text(stripped, rules.MESSAGE_LIMIT, rules.TRUNCATION_SUFFIX).alias("message"))
 
 
+# FIXED VALUES -- scan summary message text (labels in display order)
+SUMMARY_HEAD = "\U0001F50D *Job Search Scan Completed!* \U0001F916\n\n\U0001F4CA *Scan Statistics:*\n"
+SUMMARY_KPIS = [
+    ("total_scanned", "• \U0001F310 Total Scanned on Web: "),
+    ("new_matches", "• \U0001F3AF New Matches (Score ≥ 70): "),
+    ("duplicates_removed", "• \U0001F9F9 Duplicates Cleaned: "),
+    ("geo_filtered", "• \U0001F5FA️ Overseas Jobs Filtered: "),
+    ("total_to_apply", "• \U0001F4BC Total 'To Apply' in Dashboard: "),
+]
+SUMMARY_TIER_HEAD = "\n\U0001F31F *Score Breakdown (New Matches):*\n"
+SUMMARY_TIERS = [
+    ("tier_95", "• \U0001F3C6 95-100 (Student / Internship): "),
+    ("tier_85", "• \U0001F947 85-94 (No Experience Required): "),
+    ("tier_70", "• ⭐️ 70-84 (Junior / 1-2 Yrs Exp): "),
+]
+SUMMARY_PICKS_HEAD = "\n\U0001F680 *Top Picks From This Scan:*\n"
+PICK_LOCATION = "\n     \U0001F4CD Location: "
+PICK_SCORE = " | \U0001F3AF Score: "
+PICK_FEATURES = "     ✨ "
+PICK_LINK = "     \U0001F517 "
+SUMMARY_LINK = "\n\U0001F4F1 *View Kanban Dashboard:*\n"
+
+
 def render_scan_summary(summary: DataFrame, top3: DataFrame, dashboard_link: str = "") -> DataFrame:
     """KPI block, tier block, top-3 block and link; truncated, stripped.
     ``summary`` is G4's one row; ``top3`` is K4's output (score, title, company,
@@ -224,29 +247,25 @@ def render_scan_summary(summary: DataFrame, top3: DataFrame, dashboard_link: str
     feats = ev.json_field(js, "key_features", "")
     w = W.orderBy(F.col("score").desc(), F.col("id"))
     item = F.concat(
-        F.lit("  "), F.col("rank").cast("string"), F.lit(". *"), F.col("title"), F.lit("* @ "), F.col("company"), F.lit("\n"),
-        F.lit("     \U0001F4CD Location: "), ev.json_field(js, "location", "N/A"),
-        F.lit(" | \U0001F3AF Score: "), F.col("score").cast("string"), F.lit("/100\n"),
-        F.when(feats != "", F.concat(F.lit("     ✨ "), feats, F.lit("\n"))).otherwise(F.lit("")),
-        F.lit("     \U0001F517 "), F.col("url"), F.lit("\n"))
+        F.lit("  "), F.col("rank").cast("string"), F.lit(". *"), F.col("title"), F.lit("* @ "), F.col("company"),
+        F.lit(PICK_LOCATION), ev.json_field(js, "location", "N/A"),
+        F.lit(PICK_SCORE), F.col("score").cast("string"), F.lit("/100\n"),
+        F.when(feats != "", F.concat(F.lit(PICK_FEATURES), feats, F.lit("\n"))).otherwise(F.lit("")),
+        F.lit(PICK_LINK), F.col("url"), F.lit("\n"))
     picks = (top3.withColumn("rank", F.row_number().over(w)).withColumn("_item", item)
              .agg(F.expr("listagg(_item, '') WITHIN GROUP (ORDER BY rank)").alias("_picks")))
-    head = F.concat(
-        F.lit("\U0001F50D *Job Search Scan Completed!* \U0001F916\n\n\U0001F4CA *Scan Statistics:*\n"),
-        F.lit("• \U0001F310 Total Scanned on Web: "), F.col("total_scanned").cast("string"), F.lit("\n"),
-        F.lit("• \U0001F3AF New Matches (Score ≥ 70): "), F.col("new_matches").cast("string"), F.lit("\n"),
-        F.lit("• \U0001F9F9 Duplicates Cleaned: "), F.col("duplicates_removed").cast("string"), F.lit("\n"),
-        F.lit("• \U0001F5FA️ Overseas Jobs Filtered: "), F.col("geo_filtered").cast("string"), F.lit("\n"),
-        F.lit("• \U0001F4BC Total 'To Apply' in Dashboard: "), F.col("total_to_apply").cast("string"), F.lit("\n\n"),
-        F.lit("\U0001F31F *Score Breakdown (New Matches):*\n"),
-        F.lit("• \U0001F3C6 95-100 (Student / Internship): "), F.col("tier_95").cast("string"), F.lit("\n"),
-        F.lit("• \U0001F947 85-94 (No Experience Required): "), F.col("tier_85").cast("string"), F.lit("\n"),
-        F.lit("• ⭐️ 70-84 (Junior / 1-2 Yrs Exp): "), F.col("tier_70").cast("string"), F.lit("\n"))
+    parts = [F.lit(SUMMARY_HEAD)]
+    for col, label in SUMMARY_KPIS:
+        parts += [F.lit(label), F.col(col).cast("string"), F.lit("\n")]
+    parts.append(F.lit(SUMMARY_TIER_HEAD))
+    for col, label in SUMMARY_TIERS:
+        parts += [F.lit(label), F.col(col).cast("string"), F.lit("\n")]
+    head = F.concat(*parts)
     # the picks block is one value: a scalar subquery, no join
     one = summary.withColumn("_picks", picks.scalar())
     top_block = F.when(F.coalesce(F.col("_picks"), F.lit("")) != "",
-                       F.concat(F.lit("\n\U0001F680 *Top Picks From This Scan:*\n"), F.col("_picks"))).otherwise(F.lit(""))
-    link = F.lit(f"\n\U0001F4F1 *View Kanban Dashboard:*\n{dashboard_link}" if dashboard_link else "")
+                       F.concat(F.lit(SUMMARY_PICKS_HEAD), F.col("_picks"))).otherwise(F.lit(""))
+    link = F.lit(f"{SUMMARY_LINK}{dashboard_link}" if dashboard_link else "")
     msg = F.concat(head, top_block, link)
     truncated = ev.truncate_text(msg, rules.MESSAGE_LIMIT, rules.TRUNCATION_SUFFIX)
     return one.select(F.regexp_replace(truncated, r"(?U)^\s+|\s+$", "").alias("message"))

@@ -697,7 +697,10 @@ def _matches(spark, sf):
     return s.where(ev.route_by_score(F.col("is_relevant"), F.col("score")) == "To Apply")
 
 
-@query("G4", d.with_(d.JOBS, d.DESCRIBED, f"mt AS (SELECT * FROM {P11_DESC} WHERE reason IS NULL AND score >= 70)")
+G4_CTES = (d.JOBS, d.DESCRIBED, f"mt AS (SELECT * FROM {P11_DESC} WHERE reason IS NULL AND score >= 70)")
+
+
+@query("G4", d.with_(*G4_CTES)
        + "SELECT (SELECT count(*) FROM described) AS total_scanned, (SELECT count(*) FROM mt) AS new_matches, "
        "(SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM jobs GROUP BY lower(trim(title)), "
        f"lower(trim(company)))) AS duplicates_removed, {GEO_COUNT} AS geo_filtered, "
@@ -891,7 +894,26 @@ def a6(spark, sf):
 # ---------------------------------------------------------------------------
 # composites: F15, X3, X4
 # ---------------------------------------------------------------------------
-@query("F15")
+def _f15_sql() -> str:
+    g4_select = ORACLE["G4"][len(d.with_(*G4_CTES)):]
+    head = _sql_text(reports.SUMMARY_HEAD)
+    for col, label in reports.SUMMARY_KPIS:
+        head += f" || {_sql_text(label)} || CAST({col} AS VARCHAR) || chr(10)"
+    head += f" || {_sql_text(reports.SUMMARY_TIER_HEAD)}"
+    for col, label in reports.SUMMARY_TIERS:
+        head += f" || {_sql_text(label)} || CAST({col} AS VARCHAR) || chr(10)"
+    item = (f"'  ' || rk || '. *' || title || '* @ ' || company || {_sql_text(reports.PICK_LOCATION)} || location || "
+            f"{_sql_text(reports.PICK_SCORE)} || score || '/100' || chr(10) || {_sql_text(reports.PICK_LINK)} || url || chr(10)")
+    picks = (f"picks AS (SELECT string_agg(item, '' ORDER BY rk) AS p FROM (SELECT *, {item} AS item FROM (SELECT *, "
+             "row_number() OVER (ORDER BY score DESC, id) AS rk FROM (SELECT * FROM mt ORDER BY score DESC, id LIMIT 3))))")
+    msg = (f"{head} || CASE WHEN coalesce(p, '') <> '' THEN {_sql_text(reports.SUMMARY_PICKS_HEAD)} || p ELSE '' END")
+    return (d.with_(*G4_CTES, f"g AS ({g4_select})", picks)
+            + f"SELECT regexp_replace(CASE WHEN length(msg) > {rules.MESSAGE_LIMIT} THEN substr(msg, 1, {rules.MESSAGE_LIMIT}) || "
+            f"{_sql_text(rules.TRUNCATION_SUFFIX)} ELSE msg END, '^\\s+|\\s+$', '', 'g') AS message FROM (SELECT {msg} AS msg "
+            "FROM g, picks)")
+
+
+@query("F15", _f15_sql())
 def f15(spark, sf):
     j = tb.jobs(spark, sf)
     geo = filters.apply_geo_filter(j).agg(F.count_if(F.col("geo_reason").isNotNull()).cast("bigint").alias("geo_filtered"))
