@@ -18,8 +18,14 @@ from postline.functions import evaluation as ev
 from postline.session import written
 
 
-def norm_key(c: Column) -> Column:
-    """lower + trim (spaces) entity key."""
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def norm_key(c: Column, ascii_only: bool = False) -> Column:
+    """lower + trim (spaces) entity key.  ``ascii_only`` lowers A-Z only,
+    as SQLite's LOWER does (Q4); the default lowers all of Unicode."""
+    if ascii_only:
+        return F.translate(F.trim(c), _UPPER, _UPPER.lower())
     return F.lower(F.trim(c))
 
 

@@ -11,6 +11,8 @@ stage out of whole-stage codegen).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +60,16 @@ def is_overseas(title: Column, company: Column, location: Column) -> Column:
             | foreign_university(company))
 
 
-def senior_title(title: Column) -> Column:
-    """The first seniority keyword matched as ``\\b<kw>\\b`` (unescaped),
-    unless the title contains 'student' or 'intern'."""
+def senior_title(title: Column, escape: bool = False) -> Column:
+    """The first seniority keyword matched as ``\\b<kw>\\b`` (unescaped,
+    so 'sr.' matches 'srx' but not 'Sr. Developer'; ``escape=True`` matches
+    keywords literally, Q7), unless the title contains 'student' or 'intern'."""
     t = F.lower(title)
     exempt = F.contains(t, F.lit("student")) | F.contains(t, F.lit("intern"))
-    hit = F.coalesce(*[F.when(t.rlike(r"(?U)\b" + kw + r"\b"), F.lit(kw)) for kw in rules.SENIORITY_KEYWORDS])
+    pats = [(kw, re.escape(kw) if escape else kw) for kw in rules.SENIORITY_KEYWORDS]
+    # a literal keyword ending in a non-word character ('sr.') has no \b after it
+    hit = F.coalesce(*[F.when(t.rlike(r"(?U)\b" + p + (r"\b" if not escape or kw[-1].isalnum() else "")), F.lit(kw))
+                       for kw, p in pats])
     return F.when(~exempt, hit)
 
 

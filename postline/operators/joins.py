@@ -21,7 +21,7 @@ def _has_title_company(title: Column, company: Column) -> Column:
     return (F.coalesce(title, F.lit("")) != "") & (F.coalesce(company, F.lit("")) != "")
 
 
-def _known_keys(batch: DataFrame, jobs: DataFrame):
+def _known_keys(batch: DataFrame, jobs: DataFrame, empty_url_fallback: bool = False):
     """The stored URLs and (title, company) keys that occur in the batch.
 
     The stored table is only semi-joined to the batch's keys, so the big
@@ -29,6 +29,9 @@ def _known_keys(batch: DataFrame, jobs: DataFrame):
     the batch's key set it can broadcast it and stream the stored table
     past it.  Both results are bounded by the batch size."""
     b_url = batch.select("_nu").distinct()
+    if empty_url_fallback:
+        # an empty URL identifies nothing: only (title, company) decides (Q6)
+        b_url = b_url.where(F.col("_nu") != "")
     b_tc = batch.where(_has_title_company(F.col("title"), F.col("company"))).select("_t", "_c").distinct()
     seen_url = jobs.select(F.col("url").alias("_nu")).join(b_url, "_nu", "left_semi").distinct()
     seen_tc = (jobs.select(norm_key(F.col("title")).alias("_t"), norm_key(F.col("company")).alias("_c"))
@@ -41,22 +44,23 @@ def _keyed(batch: DataFrame) -> DataFrame:
             .withColumn("_t", norm_key(F.col("title"))).withColumn("_c", norm_key(F.col("company"))))
 
 
-def drop_seen(batch: DataFrame, jobs: DataFrame) -> DataFrame:
+def drop_seen(batch: DataFrame, jobs: DataFrame, empty_url_fallback: bool = False) -> DataFrame:
     """Postings whose canonical URL is not stored and whose (title,
     company), compared lower/trim and only when both are non-empty, is not
     stored either.  Two equi anti joins (an OR condition would plan as a
-    nested-loop join)."""
+    nested-loop join).  By default an empty URL matches a stored empty URL
+    (as a UNIQUE column does); ``empty_url_fallback`` ignores empty URLs."""
     b = _keyed(batch)
-    seen_url, seen_tc = _known_keys(b, jobs)
+    seen_url, seen_tc = _known_keys(b, jobs, empty_url_fallback)
     b = b.join(seen_url, "_nu", "left_anti")
     cond = (b["_t"] == seen_tc["_t"]) & (b["_c"] == seen_tc["_c"]) & _has_title_company(b["title"], b["company"])
     return b.join(seen_tc, cond, "left_anti").drop("_nu", "_t", "_c")
 
 
-def is_processed(batch: DataFrame, jobs: DataFrame) -> DataFrame:
+def is_processed(batch: DataFrame, jobs: DataFrame, empty_url_fallback: bool = False) -> DataFrame:
     """J1 as a flag: ``seen_by`` is 'url', 'title_company' or NULL."""
     b = _keyed(batch)
-    seen_url, seen_tc = _known_keys(b, jobs)
+    seen_url, seen_tc = _known_keys(b, jobs, empty_url_fallback)
     out = (b.join(seen_url.withColumn("_hit_u", F.lit(True)), "_nu", "left")
            .join(seen_tc.withColumn("_hit_t", F.lit(True)), ["_t", "_c"], "left"))
     flag = (F.when(F.col("_hit_u"), F.lit("url"))

@@ -88,20 +88,38 @@ def run_cycle(store: DataFrame, postings: DataFrame, now: Column, scorer: Callab
     return {"store": new_store, "summary": summary, "message": message, "matches": step["matches"]}
 
 
-def mail_updates(messages: DataFrame, jobs: DataFrame, classifier: Callable | None = None) -> DataFrame:
+def valid_classification(c: Column) -> Column:
+    """A classification that may be applied: known stage, known (or no)
+    sub-stage (Q18: the classifier's output is not trusted)."""
+    return (c["new_stage"].isin(rules.STAGES)
+            & (c["new_sub_stage"].isNull() | c["new_sub_stage"].isin(rules.SUB_STAGES)))
+
+
+def invalid_classifications(classified: DataFrame) -> DataFrame:
+    """Relevant classifications that ``mail_updates`` leaves out, for an error table."""
+    k = F.col("classification")
+    return filters.relevant_updates(classified).where(~F.coalesce(valid_classification(k), F.lit(False)))
+
+
+def mail_updates(messages: DataFrame, jobs: DataFrame, classifier: Callable | None = None,
+                 active_stages: list[str] | None = None, validate: bool = True) -> DataFrame:
     """Section 3.2 as one job: J3 -> X2 -> P21 -> J4 -> A4.  Returns the
     updates (id, seq, new_stage, new_sub_stage) to apply with S8.
 
     Every job of a company receives the same messages, so the last relevant
     message per company decides each of its jobs (A4): the messages are
     reduced per company (partial max) before the fan-out join (J4), which
-    then yields one row per job instead of messages x jobs."""
-    active = filters.active_jobs(jobs)
+    then yields one row per job instead of messages x jobs.  ``active_stages``
+    defaults to To Apply + In Process (Applied is not tracked, Q16);
+    classifications with an unknown stage are left out (``validate``)."""
+    active = filters.active_jobs(jobs, active_stages)
     companies = joins.company_index(active)
     matched = joins.match_company(messages, companies)
     with_text = matched.join(messages.select("seq", "subject", "body"), "seq")
     classified = scoring.classify_messages(with_text, classifier)
     relevant = filters.relevant_updates(classified)
+    if validate:
+        relevant = relevant.where(F.coalesce(valid_classification(F.col("classification")), F.lit(False)))
     latest = relevant.groupBy("company_key").agg(
         F.max(F.struct(F.col("seq"), F.col("classification.new_stage").alias("new_stage"),
                        F.col("classification.new_sub_stage").alias("new_sub_stage"))).alias("_u"))

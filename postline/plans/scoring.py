@@ -16,6 +16,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postline import rules
 from postline.functions import evaluation as ev
@@ -70,7 +71,7 @@ def score_postings(df: DataFrame, scorer: Callable | None = None) -> DataFrame:
     if scorer is None:
         return default_evaluation(df)
     cols = [c for c in ("title", "company", "location", "description") if c in df.columns]
-    schema = df.schema.add("raw_evaluation", "string")
+    schema = T.StructType(df.schema.fields + [T.StructField("raw_evaluation", T.StringType())])
     scored = df.mapInPandas(_scorer_batches(scorer, cols), schema)
     return scored.withColumn("evaluation", ev.coerce_evaluation(F.col("raw_evaluation"))).drop("raw_evaluation")
 
@@ -96,6 +97,6 @@ def classify_messages(df: DataFrame, classifier: Callable | None = None) -> Data
     if classifier is None:
         body = F.substring(F.col("body"), 1, rules.MAIL_BODY_LIMIT)
         return df.withColumn("classification", keyword_classification(F.col("subject"), body))
-    schema = df.schema.add("raw_classification", "string")
+    schema = T.StructType(df.schema.fields + [T.StructField("raw_classification", T.StringType())])
     out = df.mapInPandas(_classifier_batches(classifier), schema)
     return out.withColumn("classification", ev.parse_classification(F.col("raw_classification"))).drop("raw_classification")

@@ -94,9 +94,28 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     return raw.select("seq", "content").mapInPandas(_parse_batches, PARSED_SCHEMA)
 
 
-def mail_provider(address: Column) -> Column:
-    """Provider by substring of the domain; unknown -> gmail."""
+# exact-domain mode (Q23): provider domains
+PROVIDER_DOMAINS = {
+    "gmail": ["gmail.com", "googlemail.com"],
+    "outlook": ["outlook.com", "hotmail.com", "live.com", "office365.com"],
+    "yahoo": ["yahoo.com"],
+    "icloud": ["icloud.com", "me.com", "mac.com"],
+}
+
+
+def mail_provider(address: Column, exact_domain: bool = False) -> Column:
+    """Provider by substring of the domain; unknown -> gmail.  The
+    substring test sends 'acme.com' to icloud ('me.com'); ``exact_domain``
+    compares whole domains instead (Q23)."""
     dom = F.when(F.contains(address, F.lit("@")), F.lower(F.substring_index(address, "@", -1))).otherwise(F.lit(""))
+    if exact_domain:
+        name = None
+        for prov, doms in PROVIDER_DOMAINS.items():
+            hit = dom.isin(doms)
+            name = F.when(hit, F.lit(prov)) if name is None else name.when(hit, F.lit(prov))
+        name = name.otherwise(F.lit("gmail"))
+        host = F.coalesce(*[F.when(name == n, F.lit(h)) for n, h, _ in rules.MAIL_PROVIDERS])
+        return F.struct(name.alias("provider"), host.alias("host"), F.lit(993).alias("port"))
     name = (F.when(F.contains(dom, F.lit("gmail.com")), F.lit("gmail"))
             .when(F.contains(dom, F.lit("outlook")) | F.contains(dom, F.lit("office365")) | F.contains(dom, F.lit("live."))
                   | F.contains(dom, F.lit("hotmail.")), F.lit("outlook"))

@@ -165,3 +165,52 @@ def test_format_field(spark):
     df = _one_col(spark, list(cases))
     got = dict(df.select("v", ev.format_field(F.col("v")).alias("f")).collect())
     assert got == cases
+
+
+def test_quirk_options(spark):
+    df = _one_col(spark, ["Sr. Developer", "srx", "ÉCOLE "])
+    r = {x.v: x for x in df.select("v", filters.senior_title(F.col("v"), escape=True).alias("k"),
+                                   dedup.norm_key(F.col("v"), ascii_only=True).alias("a"),
+                                   dedup.norm_key(F.col("v")).alias("u")).collect()}
+    assert r["Sr. Developer"].k == "sr." and r["srx"].k is None
+    assert (r["ÉCOLE "].a, r["ÉCOLE "].u) == ("École", "école")
+    m = _one_col(spark, ["x@acme.com", "y@me.com", "z@olive.com"])
+    got = {x.v: x.p.provider for x in m.select("v", mail_provider(F.col("v"), exact_domain=True).alias("p")).collect()}
+    assert got == {"x@acme.com": "gmail", "y@me.com": "icloud", "z@olive.com": "gmail"}
+
+
+def test_empty_url_option(spark):
+    store = spark.createDataFrame([(1, "A", "Co", "")], "id long, title string, company string, url string")
+    batch = spark.createDataFrame([(2, "B", "Co", "")], "id long, title string, company string, url string")
+    assert joins.drop_seen(batch, store).count() == 0                       # '' equals the stored ''
+    assert joins.drop_seen(batch, store, empty_url_fallback=True).count() == 1
+
+
+def test_invalid_classifier_output_is_not_applied(spark):
+    from postline.plans import cycle
+    t0 = datetime(2024, 1, 2)
+    jobs = spark.createDataFrame([(1, "acme", "To Apply", t0, None)],
+                                 "id long, company string, stage string, date_found timestamp, sub_stage string")
+    msgs = spark.createDataFrame([(1, "hr@acme.com", "s", "b"), (2, "hr@acme.com", "s", "b")],
+                                 "seq long, sender string, subject string, body string")
+
+    def classifier(subject, body, company):
+        return {"is_relevant_update": True, "new_stage": "Applied", "new_sub_stage": None}
+
+    def bad(subject, body, company):
+        return '{"is_relevant_update": true, "new_stage": "Hired!!", "new_sub_stage": null}'
+    assert [(r.id, r.new_stage) for r in cycle.mail_updates(msgs, jobs, classifier).collect()] == [(1, "Applied")]
+    assert cycle.mail_updates(msgs, jobs, bad).count() == 0
+
+
+def test_user_scorer_runs_once_per_posting(spark):
+    from postline.plans import scoring
+    posts = spark.createDataFrame([(1, "Student Dev", "Acme", "Haifa", "x"), (2, "Dev", "Beta", "Haifa", "y")],
+                                  "id long, title string, company string, location string, description string")
+
+    def scorer(p):
+        return {"is_relevant": p["title"].startswith("Student"), "match_score": 96 if p["title"].startswith("Student") else 10,
+                "summary": "s", "location": p["location"], "key_features": "", "important_qualifications": ""}
+    out = {r.id: (r.evaluation.is_relevant, r.evaluation.match_score)
+           for r in scoring.score_postings(posts, scorer).collect()}
+    assert out == {1: (True, 96), 2: (False, 10)}
