@@ -65,14 +65,20 @@ def _scorer_batches(scorer: Callable, cols: list[str]):
     return run
 
 
-def score_postings(df: DataFrame, scorer: Callable | None = None) -> DataFrame:
+def score_postings(df: DataFrame, scorer: Callable | None = None, max_concurrency: int | None = None) -> DataFrame:
     """Posting -> ``evaluation`` struct.  ``scorer`` maps a posting dict
-    (title, company, location, description) to a dict or JSON text."""
+    (title, company, location, description) to a dict or JSON text.
+
+    ``max_concurrency`` bounds how many tasks call the scorer at once (an
+    external service's rate limit): the postings are spread round-robin over
+    that many partitions first.  Rejections must be filtered out *before*
+    this call: Catalyst does not push filters below ``mapInPandas``."""
     if scorer is None:
         return default_evaluation(df)
     cols = [c for c in ("title", "company", "location", "description") if c in df.columns]
     schema = T.StructType(df.schema.fields + [T.StructField("raw_evaluation", T.StringType())])
-    scored = df.mapInPandas(_scorer_batches(scorer, cols), schema)
+    src = df.repartition(max_concurrency) if max_concurrency else df
+    scored = src.mapInPandas(_scorer_batches(scorer, cols), schema)
     return scored.withColumn("evaluation", ev.coerce_evaluation(F.col("raw_evaluation"))).drop("raw_evaluation")
 
 

@@ -214,3 +214,5 @@ def test_user_scorer_runs_once_per_posting(spark):
     out = {r.id: (r.evaluation.is_relevant, r.evaluation.match_score)
            for r in scoring.score_postings(posts, scorer).collect()}
     assert out == {1: (True, 96), 2: (False, 10)}
+    bounded = scoring.score_postings(posts, scorer, max_concurrency=2)
+    assert bounded.rdd.getNumPartitions() == 2 and bounded.count() == 2
