@@ -170,11 +170,20 @@ def health_report(metrics: DataFrame) -> DataFrame:
 def breaker_state(attempts: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
                   recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
     """A site's breaker is open iff its trailing failures reach the
-    threshold and the last failure is no more than ``recovery`` seconds old."""
-    tf = trailing_failures(attempts)
+    threshold and the last failure is no more than ``recovery`` seconds old.
+    The state is the one after a check at ``now``: a count at the threshold
+    whose last failure is older than ``recovery`` is reset to 0."""
+    return breaker_after_check(trailing_failures(attempts), now, threshold, recovery_seconds)
+
+
+def breaker_after_check(state: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
+                        recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
+    """(site, trailing_failures, last_failure_ts) -> (site, trailing_failures, is_open) after a check at ``now``."""
     age = (F.unix_micros(now) - F.unix_micros(F.col("last_failure_ts"))) / 1e6
-    is_open = (F.col("trailing_failures") >= threshold) & (age <= recovery_seconds)
-    return tf.select("site", "trailing_failures", F.coalesce(is_open, F.lit(False)).alias("is_open"))
+    reached = F.col("trailing_failures") >= threshold
+    is_open = F.coalesce(reached & (age <= recovery_seconds), F.lit(False))
+    count = F.when(reached & ~is_open, F.lit(0).cast("bigint")).otherwise(F.col("trailing_failures"))
+    return state.select("site", count.alias("trailing_failures"), is_open.alias("is_open"))
 
 
 # ---------------------------------------------------------------------------

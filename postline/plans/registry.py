@@ -531,8 +531,12 @@ def g6(spark, sf):
 NOW_SQL = "(SELECT max(ts) FROM attempts)"
 
 
-@query("G7", TRAIL_SQL + f"SELECT site, trailing_failures, coalesce(trailing_failures >= 5 AND "
-       f"(epoch_us({NOW_SQL}) - epoch_us(last_failure_ts)) / 1e6 <= 300, false) AS is_open FROM trail")
+G7_OPEN = (f"coalesce(trailing_failures >= {rules.BREAKER_THRESHOLD} AND (epoch_us({NOW_SQL}) - epoch_us(last_failure_ts)) "
+           f"/ 1e6 <= {rules.BREAKER_RECOVERY_SECONDS}, false)")
+
+
+@query("G7", TRAIL_SQL + f"SELECT site, CASE WHEN trailing_failures >= {rules.BREAKER_THRESHOLD} AND NOT {G7_OPEN} THEN 0 "
+       f"ELSE trailing_failures END AS trailing_failures, {G7_OPEN} AS is_open FROM trail")
 def g7(spark, sf):
     a = tb.attempts(spark, sf)
     now = a.agg(F.max("ts")).scalar()

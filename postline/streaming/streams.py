@@ -159,9 +159,8 @@ def breaker_stream(spark: SparkSession, attempts: DataFrame, state_root: str, ch
 def breaker_open(st: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
                  recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
     """G7 over the streamed state."""
-    age = (F.unix_micros(now) - F.unix_micros(F.col("last_failure_ts"))) / 1e6
-    is_open = (F.col("trailing_failures") >= threshold) & (age <= recovery_seconds)
-    return st.select("site", "trailing_failures", F.coalesce(is_open, F.lit(False)).alias("is_open"))
+    from postline.operators.reports import breaker_after_check
+    return breaker_after_check(st, now, threshold, recovery_seconds)
 
 
 # ---------------------------------------------------------------------------

@@ -149,6 +149,10 @@ def test_breaker_sequences(spark):
     assert state([False], 1, 2, t + timedelta(seconds=2.2)) is False
     assert state([False] * 3, 5, 1800, t + timedelta(seconds=3)) is False
     assert state([False] * 6, 5, 1800, t + timedelta(seconds=6)) is True
+    # a check after the recovery window closes the breaker and resets its count
+    df = spark.createDataFrame([(0, "s", t, False)], "id long, site string, ts timestamp, success boolean")
+    r = reports.breaker_state(df, F.lit(t + timedelta(seconds=2.2)), 1, 2).first()
+    assert (r.is_open, r.trailing_failures) == (False, 0)
 
 
 def test_mail_provider(spark):
