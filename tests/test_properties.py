@@ -127,3 +127,44 @@ def test_admission_long_chain(spark):
     df = spark.createDataFrame([(s, u, t, "Co") for s, u, t in items], "seq long, url string, title string, company string")
     got = [r.seq for r in dedup.admit_batch(df).orderBy("seq").collect()]
     assert got == admit_model(items)
+
+
+# ---------------------------------------------------------------------------
+# J3 against the two-stage substring loop
+# ---------------------------------------------------------------------------
+NAME_WORDS = st.sampled_from(["acme", "ab", "x", "blue gear", "gear", "red ring", "ring", "io", "data co", "co"])
+TEXT_WORDS = st.sampled_from(["acme", "gear", "hr", "x", "ring", "blue", "red", "io", "co", "data", "@", ".com", "-", " "])
+
+
+def match_model(messages, companies):
+    """companies: keys in active order.  First tier-1 hit in order, else
+    first company with a part (> 2 chars) inside the sender."""
+    out = {}
+    for seq, sender, subject in messages:
+        s, j = sender.lower(), subject.lower()
+        hit = next((c for c in companies if c in s or c in j), None)
+        tier = 1
+        if hit is None:
+            tier = 2
+            hit = next((c for c in companies if any(len(p) > 2 and p in s for p in c.split(" "))), None)
+        if hit is not None:
+            out[seq] = (hit, tier)
+    return out
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(NAME_WORDS, min_size=1, max_size=6, unique=True),
+       st.lists(st.tuples(st.lists(TEXT_WORDS, max_size=6).map("".join), st.lists(TEXT_WORDS, max_size=6).map("".join)),
+                min_size=1, max_size=40))
+def test_company_matching_matches_loop(spark, companies, texts):
+    from datetime import datetime, timedelta
+
+    from postline.operators import joins
+    t0 = datetime(2024, 1, 1)
+    # active order: To Apply newest first -> list order via decreasing dates
+    jobs = spark.createDataFrame([(i + 1, c, "To Apply", t0 - timedelta(days=i)) for i, c in enumerate(companies)],
+                                 "id long, company string, stage string, date_found timestamp")
+    msgs = [(i + 1, s, j) for i, (s, j) in enumerate(texts)]
+    mdf = spark.createDataFrame(msgs, "seq long, sender string, subject string")
+    got = {r.seq: (r.company_key, r.tier) for r in joins.match_company(mdf, joins.company_index(jobs)).collect()}
+    assert got == match_model(msgs, companies)
