@@ -40,33 +40,44 @@ def render_rfc822(messages: DataFrame) -> DataFrame:
     return messages.select("seq", F.encode(text, "UTF-8").alias("content"))
 
 
+def _as_text(part) -> str:
+    """One part's decoded payload as text: the part's charset (UTF-8 when it
+    names none), undecodable bytes dropped; '' when there is no payload or
+    the charset is unknown."""
+    try:
+        return part.get_payload(decode=True).decode(part.get_content_charset() or "utf-8", errors="ignore")
+    except Exception:
+        return ""
+
+
 def _body(msg) -> str:
-    text = ""
-    if msg.is_multipart():
-        for part in msg.walk():
-            if part.get_content_type() == "text/plain":
-                try:
-                    raw = part.get_payload(decode=True)
-                    text += raw.decode(part.get_content_charset() or "utf-8", errors="ignore")
-                except Exception:
-                    pass
-    else:
-        try:
-            raw = msg.get_payload(decode=True)
-            text = raw.decode(msg.get_content_charset() or "utf-8", errors="ignore")
-        except Exception:
-            pass
-    return text
+    """The text of a message: every text/plain part of a multipart message
+    joined in document order; for a single-part message its payload,
+    whatever its content type."""
+    if not msg.is_multipart():
+        return _as_text(msg)
+    return "".join(_as_text(p) for p in msg.walk() if p.get_content_type() == "text/plain")
+
+
+def _subject(msg) -> str:
+    """Only the first fragment of the Subject header, decoded with its own
+    charset (UTF-8 when unnamed).  A message without a Subject is an error:
+    the item is reported in ``error`` and skipped downstream."""
+    header = msg.get("Subject")
+    if header is None:
+        raise ValueError("no Subject header")
+    fragments = decode_header(header)
+    if not fragments:
+        return ""
+    first = fragments[0]
+    if isinstance(first[0], bytes):
+        return first[0].decode((first[1] if len(first) > 1 else None) or "utf-8", errors="ignore")
+    return first[0]
 
 
 def _parse_one(content: bytes):
     msg = email.message_from_bytes(content)
-    decoded = decode_header(msg.get("Subject"))          # raises on a missing Subject
-    subject = decoded[0][0] if decoded else ""
-    enc = decoded[0][1] if decoded and len(decoded[0]) > 1 else None
-    if isinstance(subject, bytes):
-        subject = subject.decode(enc or "utf-8", errors="ignore")
-    return msg.get("From"), subject, _body(msg)
+    return msg.get("From"), _subject(msg), _body(msg)
 
 
 def _parse_batches(batches):

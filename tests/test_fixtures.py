@@ -220,3 +220,19 @@ def test_user_scorer_runs_once_per_posting(spark):
     assert out == {1: (True, 96), 2: (False, 10)}
     bounded = scoring.score_postings(posts, scorer, max_concurrency=2)
     assert bounded.rdd.getNumPartitions() == 2 and bounded.count() == 2
+
+
+def test_rfc822_parsing(spark):
+    from postline.sources.mail import parse_messages
+    multipart = (b"From: hr@acme.com\r\nSubject: =?utf-8?b?w4lxdWlwZQ==?= =?iso-8859-1?q?_two?=\r\nMIME-Version: 1.0\r\n"
+                 b"Content-Type: multipart/alternative; boundary=XX\r\n\r\n--XX\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"
+                 b"part one\r\n--XX\r\nContent-Type: text/html\r\n\r\n<p>html</p>\r\n--XX\r\nContent-Type: text/plain\r\n\r\n"
+                 b"part two\r\n--XX--\r\n")
+    single_html = b"From: a@b.com\r\nSubject: plain\r\nContent-Type: text/html\r\n\r\n<b>hi</b>"
+    no_subject = b"From: a@b.com\r\n\r\nbody"
+    raw = spark.createDataFrame([(1, bytearray(multipart)), (2, bytearray(single_html)), (3, bytearray(no_subject))],
+                                "seq long, content binary")
+    got = {r.seq: r for r in parse_messages(raw).collect()}
+    assert got[1].subject == "Équipe" and got[1].body == "part onepart two"
+    assert (got[2].subject, got[2].body) == ("plain", "<b>hi</b>")
+    assert got[3].error is not None and got[3].subject is None
