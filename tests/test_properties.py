@@ -49,8 +49,9 @@ def crawl_drop(k):
 
 
 KEYS = st.sampled_from(["q", "page", "ref", "trk", "utm_source", "role", "site", "Ref", "a", "b", "sortBy", "refId",
-                        "currentJobId", "x"])
-VALUES = st.sampled_from(["1", "", "a b", "x+y", "%20z", "abc", "2", "Tel%20Aviv", "~t", "a/b"])
+                        "currentJobId", "x", "עיר", "k%20y"])
+VALUES = st.sampled_from(["1", "", "a b", "x+y", "%20z", "abc", "2", "Tel%20Aviv", "~t", "a/b", "תל אביב", "café",
+                          "%D7%AA", "a=b", "*!'()"])
 
 
 @st.composite
