@@ -15,14 +15,14 @@ from postline.plans import scoring
 from postline.session import written
 
 
-def recheck(jobs: DataFrame, scorer: Callable | None = None) -> DataFrame:
+def recheck(jobs: DataFrame, scorer: Callable | None = None, strip_prior_reason: bool = False) -> DataFrame:
     """To Apply + Irrelevant rows are rebuilt from their stored
     evaluation (P22), pre-filtered (P11), the rest re-scored (X1) and routed
     (P15).  Returns (id, stage, ai_summary) for every rechecked row."""
     s = jobs.where(F.col("stage").isin("To Apply", "Irrelevant"))
     s = s.select("id", "title", "company", "url",
                  ev.recheck_location(F.col("ai_summary")).alias("location"),
-                 ev.recheck_input(F.col("ai_summary")).alias("description"))
+                 ev.recheck_input(F.col("ai_summary"), strip_prior_reason).alias("description"))
     s = filters.pre_filter(s)
     rejected = s.where(F.col("is_rejected")).select(
         "id", F.lit("Irrelevant").alias("stage"),

@@ -236,3 +236,13 @@ def test_rfc822_parsing(spark):
     assert got[1].subject == "Équipe" and got[1].body == "part onepart two"
     assert (got[2].subject, got[2].body) == ("plain", "<b>hi</b>")
     assert got[3].error is not None and got[3].subject is None
+
+
+def test_recheck_prior_reason_option(spark):
+    from postline.plans import cycle
+    stored = ev.rejected_evaluation(F.lit("Requires prior professional experience (3+ years)"), F.lit("Tel Aviv"))
+    jobs = spark.createDataFrame([(1, "Student Developer", "Acme", "u", "Irrelevant")],
+                                 "id long, title string, company string, url string, stage string") \
+        .withColumn("ai_summary", stored)
+    assert cycle.recheck(jobs).first().stage == "Irrelevant"                          # Q10: rejected again
+    assert cycle.recheck(jobs, strip_prior_reason=True).first().stage == "To Apply"
