@@ -34,13 +34,46 @@ def first_contained(text_lower: Column, patterns: list[str]) -> Column:
     return F.try_element_at(F.filter(_patterns(patterns), lambda p: F.contains(text_lower, p)), F.lit(1))
 
 
-def location_rejected(location: Column) -> Column:
-    """P5: the first rejected location pattern found, or NULL."""
+_NON_WORD = r"[^\p{L}\p{N}]+"
+
+
+def _words(text: Column) -> Column:
+    """Lowered text with every run of non-letters/digits as one space, padded."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _NON_WORD, " "), F.lit(" "))
+
+
+def _word_form(pattern: str) -> str:
+    return " " + re.sub(r"[^\w]+|_", " ", pattern.lower()).strip() + " "
+
+
+def _first_word_match(texts: list[Column], patterns: list[str]) -> Column:
+    """Word-boundary variant (Q5): the first pattern whose words occur as
+    whole words in one of ``texts``; returns the pattern as listed."""
+    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(_word_form(p)).alias("w")) for p in patterns])
+    words = [_words(t) for t in texts]
+
+    def hit(x):
+        out = None
+        for w in words:
+            c = F.contains(w, x["w"])
+            out = c if out is None else out | c
+        return out
+    return F.try_element_at(F.filter(pairs, hit), F.lit(1))["p"]
+
+
+def location_rejected(location: Column, word_boundary: bool = False) -> Column:
+    """P5: the first rejected location pattern found, or NULL.  Patterns are
+    substrings ('usa' inside 'jerusalem', Q5); ``word_boundary`` matches
+    whole words only."""
+    if word_boundary:
+        return _first_word_match([location], rules.REJECTED_LOCATIONS)
     return first_contained(F.lower(location), rules.REJECTED_LOCATIONS)
 
 
-def overseas_company(company: Column, title: Column) -> Column:
+def overseas_company(company: Column, title: Column, word_boundary: bool = False) -> Column:
     """The first overseas pattern found in company or title, or NULL."""
+    if word_boundary:
+        return _first_word_match([company, title], rules.OVERSEAS_COMPANY_PATTERNS)
     c, t = F.lower(company), F.lower(title)
     hits = F.filter(_patterns(rules.OVERSEAS_COMPANY_PATTERNS), lambda p: F.contains(c, p) | F.contains(t, p))
     return F.try_element_at(hits, F.lit(1))
@@ -81,11 +114,12 @@ def requires_experience(title: Column, description: Column) -> Column:
     return F.lower(title).rlike(EXPERIENCE_REGEX) | F.lower(description).rlike(EXPERIENCE_REGEX)
 
 
-def pre_filter_reason(title: Column, company: Column, location: Column, description: Column) -> Column:
+def pre_filter_reason(title: Column, company: Column, location: Column, description: Column,
+                      word_boundary: bool = False) -> Column:
     """Ordered cascade P5 -> P6 -> P7 -> P9 -> P10; the first reason, or NULL."""
     t, c, loc, d = py_strip(title), py_strip(company), py_strip(location), py_strip(description)
-    p5 = location_rejected(loc)
-    p6 = overseas_company(c, t)
+    p5 = location_rejected(loc, word_boundary)
+    p6 = overseas_company(c, t, word_boundary)
     p9 = senior_title(t)
     # concat is NULL when its pattern is NULL, so each reason needs no guard
     return F.coalesce(
@@ -98,9 +132,9 @@ def pre_filter_reason(title: Column, company: Column, location: Column, descript
 
 
 def pre_filter(df: DataFrame, title="title", company="company", location="location",
-               description="description") -> DataFrame:
+               description="description", word_boundary: bool = False) -> DataFrame:
     """P11 as a DataFrame operator: adds ``reject_reason`` and ``is_rejected``."""
-    reason = pre_filter_reason(F.col(title), F.col(company), F.col(location), F.col(description))
+    reason = pre_filter_reason(F.col(title), F.col(company), F.col(location), F.col(description), word_boundary)
     return df.withColumn("reject_reason", reason).withColumn("is_rejected", F.col("reject_reason").isNotNull())
 
 

@@ -246,3 +246,15 @@ def test_recheck_prior_reason_option(spark):
         .withColumn("ai_summary", stored)
     assert cycle.recheck(jobs).first().stage == "Irrelevant"                          # Q10: rejected again
     assert cycle.recheck(jobs, strip_prior_reason=True).first().stage == "To Apply"
+
+
+def test_word_boundary_option(spark):
+    locs = ["jerusalem", "new york, usa", "milwaukee", "london, uk", "caesarea", "Austin, CA", "indiana"]
+    df = _one_col(spark, locs)
+    got = {r.v: (r.sub, r.word) for r in df.select("v", filters.location_rejected(F.col("v")).alias("sub"),
+                                                   filters.location_rejected(F.col("v"), word_boundary=True).alias("word"))
+           .collect()}
+    assert got["jerusalem"] == ("usa", None)
+    assert got["new york, usa"][1] is not None and got["london, uk"][1] is not None
+    assert got["milwaukee"][1] is None and got["caesarea"][1] is None
+    assert got["Austin, CA"][1] is not None
