@@ -258,3 +258,16 @@ def test_word_boundary_option(spark):
     assert got["new york, usa"][1] is not None and got["london, uk"][1] is not None
     assert got["milwaukee"][1] is None and got["caesarea"][1] is None
     assert got["Austin, CA"][1] is not None
+
+
+def test_strict_relevance_and_success_time(spark):
+    df = _one_col(spark, ['{"is_relevant": "false", "match_score": 80}', '{"is_relevant": true, "match_score": 80}'])
+    got = [(r.a.is_relevant, r.b.is_relevant) for r in df.orderBy("i").select(
+        ev.coerce_evaluation(F.col("v")).alias("a"), ev.coerce_evaluation(F.col("v"), strict=True).alias("b")).collect()]
+    assert got == [(True, False), (True, True)]
+    t = datetime(2024, 1, 1)
+    att = spark.createDataFrame([(1, "s", t, True, 3, 100.0, None), (2, "s", t + timedelta(seconds=1), False, 0, 50.0, "x")],
+                                "id long, site string, ts timestamp, success boolean, jobs_found int, "
+                                "response_time_ms double, error string")
+    m = reports.site_metrics(att).first()
+    assert (m.avg_response_ms, m.avg_success_ms) == (50.0, 100.0)
