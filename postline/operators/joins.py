@@ -90,13 +90,27 @@ def company_index(active: DataFrame) -> DataFrame:
 
 
 def _grams(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """One row per (text position, gram length in ``lengths``) with the gram there."""
-    t = F.col("_text")
-    pos = F.explode(F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t))).otherwise(F.array().cast("array<int>")))
-    at = texts.select("*", pos.alias("_i"))
-    grams = F.array(*[F.struct(F.lit(k).alias("k"), t.substr(F.col("_i"), F.lit(k)).alias("g")) for k in lengths])
-    return (at.select("*", F.explode(grams).alias("_kg"))
-            .select("*", F.col("_kg.k").alias("_k"), F.col("_kg.g").alias("_gram")).drop("_kg"))
+    """(seq, _is_sender, _text, _i, _k, _gram): for every code-point position
+    of the text and gram length k in ``lengths``, the k characters there.
+
+    The text is split into code points once; positions come from
+    ``posexplode`` of that array and each gram is assembled with
+    constant-time ``element_at`` (a substring per position would rescan
+    multi-byte text from its start) -- all plain, code-generated
+    expressions, no per-element lambda."""
+    chars = F.regexp_extract_all(F.col("_text"), F.lit("(?s)."), 0)
+    pos = (texts.select("seq", "_is_sender", "_text", chars.alias("_chars"))
+           .select("seq", "_is_sender", "_text", "_chars", F.posexplode("_chars").alias("_p0", "_c0")))
+    if len(lengths) > 1:
+        pos = pos.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in lengths])))
+    else:
+        pos = pos.withColumn("_k", F.lit(lengths[0]))
+    i = F.col("_p0") + 1
+    n = F.size("_chars")
+    parts = [F.col("_c0")] + [F.when(F.col("_k") > j, F.try_element_at("_chars", i + j)).otherwise(F.lit(""))
+                              for j in range(1, max(lengths))]
+    return (pos.where(i + F.col("_k") - 1 <= n)
+            .select("seq", "_is_sender", "_text", i.alias("_i"), "_k", F.concat(*parts).alias("_gram")))
 
 
 def word_parts(company: Column) -> Column:
@@ -111,12 +125,12 @@ def match_company(messages: DataFrame, companies: DataFrame) -> DataFrame:
     substring of the sender.  Within a tier the company first in active order
     wins.  Returns (seq, company_key, tier).
 
-    Plan: the messages are scanned once and cut into (position, gram of
-    length 1..3) rows; every needle (a whole key for tier 1, a part for tier
-    2) is keyed by its first min(len, 3) characters.  One equi-join on
-    (length, gram) yields the candidates, an exact substring test keeps the
-    hits, and a partial ``min`` aggregate per message picks the winner.  No
-    cross join: a position only meets needles that start with its gram."""
+    Plan: the messages are cut into (position, gram of length 1..3) rows;
+    every needle (a whole key for tier 1, a part for tier 2) is keyed by its
+    first min(len, 3) characters.  One equi-join on (length, gram) yields
+    the candidates, an exact substring test keeps the hits, and a partial
+    ``min`` aggregate per message picks the winner.  No cross join: a
+    position only meets needles that start with its gram."""
     both = F.array(
         F.struct(F.lit(True).alias("is_sender"), F.lower(F.coalesce(F.col("sender"), F.lit(""))).alias("text")),
         F.struct(F.lit(False).alias("is_sender"), F.lower(F.coalesce(F.col("subject"), F.lit(""))).alias("text")))
@@ -137,8 +151,9 @@ def match_company(messages: DataFrame, companies: DataFrame) -> DataFrame:
         return messages.select("seq", F.lit(None).cast("string").alias("company_key"),
                                F.lit(None).cast("int").alias("tier")).limit(0)
     cand = _grams(texts, lengths).join(needles, ["_k", "_gram"])
-    hits = cand.where((F.col("_text").substr(F.col("_i"), F.col("_len")) == F.col("_needle"))
-                      & ((F.col("tier") == 1) | F.col("_is_sender")))
+    # exact check, only for candidates (the gram join keeps few positions)
+    hits = cand.where(((F.col("tier") == 1) | F.col("_is_sender"))
+                      & (F.col("_text").substr(F.col("_i"), F.col("_len")) == F.col("_needle")))
     best = F.min(F.struct("tier", "company_ord", "company_key"))
     return (hits.groupBy("seq").agg(best.alias("_b"))
             .select("seq", F.col("_b.company_key").alias("company_key"), F.col("_b.tier").alias("tier")))
