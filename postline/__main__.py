@@ -1,7 +1,7 @@
 """Command-line entry points over a versioned jobs table.
 
     python -m postline init    --store DIR --jobs PARQUET
-    python -m postline cycle   --store DIR --postings PATH [--link URL]
+    python -m postline cycle   --store DIR --postings PATH [--link URL] [--incremental]
     python -m postline recheck --store DIR
     python -m postline geo     --store DIR
     python -m postline cleanup --store DIR
@@ -46,7 +46,8 @@ def cmd_cycle(spark, a):
     postings = tb.scan_postings(spark, a.postings)
     if "seq" not in postings.columns:
         postings = postings.withColumn("seq", F.monotonically_increasing_id())
-    out = cycle.run_cycle(store, postings, F.current_timestamp(), dashboard_link=a.link or "")
+    out = cycle.run_cycle(store, postings, F.current_timestamp(), dashboard_link=a.link or "",
+                          incremental=a.incremental)
     print(state.write_version(out["store"], a.store))
     print(out["message"].first()["message"])
 
@@ -102,6 +103,8 @@ def main(argv=None) -> int:
         if name == "cycle":
             sp.add_argument("--postings", required=True)
             sp.add_argument("--link", default="")
+            sp.add_argument("--incremental", action="store_true",
+                            help="the store is the output of an earlier cycle: recompute touched groups only")
         if name == "top":
             sp.add_argument("--k", type=int, default=5)
             sp.add_argument("--outbox", default=None)

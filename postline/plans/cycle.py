@@ -68,20 +68,40 @@ def ingest(store: DataFrame, postings: DataFrame, now: Column, scorer: Callable
 
 
 def run_cycle(store: DataFrame, postings: DataFrame, now: Column, scorer: Callable | None = None,
-              dashboard_link: str = "") -> dict:
+              dashboard_link: str = "", incremental: bool = False) -> dict:
     """Ingest, then dedup (A1) -> demote (P14) -> geo filter (P13) in
     this order, then the KPI row (G4) and the summary message (F15).
 
     The store after ingest is read once (dedup also counts each group, which
     gives G10); the cycle's result is materialised once and every KPI is
-    read from it, so no pass over the whole store is repeated."""
+    read from it, so no pass over the whole store is repeated.
+
+    ``incremental``: the store is the result of an earlier cycle, so every
+    (title, company) group in it has one row and demotion and the geo filter
+    have already been applied to it (both are row-local and idempotent).
+    Then only the groups that received new rows can change: the store is
+    semi-joined to the new rows' keys, dedup / demotion / geo filter run on
+    those groups alone, and the untouched rows are carried over as they are.
+    Same result as the full cycle; the work is bounded by the touched groups
+    instead of the whole store."""
     step = ingest(store, postings, now, scorer)
-    deduped = dedup.dedup_postings(step["store"], size_col="_group_n")
+    if incremental:
+        t, c = dedup.norm_key(F.col("title")), dedup.norm_key(F.col("company"))
+        keys = step["inserted"].select(t.alias("_t"), c.alias("_c")).distinct()
+        keyed = store.withColumn("_t", t).withColumn("_c", c)
+        touched = keyed.join(keys, ["_t", "_c"], "left_semi").drop("_t", "_c")
+        untouched = keyed.join(keys, ["_t", "_c"], "left_anti").drop("_t", "_c")
+        work = touched.unionByName(step["inserted"])
+    else:
+        untouched, work = None, step["store"]
+    deduped = dedup.dedup_postings(work, size_col="_group_n")
     demoted = filters.demote_low_scores(deduped).drop("demoted")
     final = written(filters.apply_geo_filter(demoted), "cycle_store")
     removed = final.agg(F.coalesce(F.sum(F.col("_group_n") - 1), F.lit(0)).cast("bigint").alias("removed"))
     geo_count = final.agg(F.count_if(F.col("geo_reason").isNotNull()).cast("bigint").alias("geo_filtered"))
     new_store = final.drop("_group_n", "geo_reason")
+    if untouched is not None:
+        new_store = untouched.unionByName(new_store)
     summary = reports.scan_summary(postings, step["matches"], removed, geo_count, new_store)
     top3 = reports.top_new_matches(step["matches"])
     message = reports.render_scan_summary(summary, top3, dashboard_link)

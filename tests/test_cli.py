@@ -27,6 +27,7 @@ def test_commands_version_the_store(spark, capsys):
     assert "Job Search Scan Completed" in out
     after = state.read_latest(spark, s)
     assert after.count() > 0 and set(after.columns) >= {"id", "title", "company", "url", "stage", "ai_summary"}
+    assert main(["cycle", "--store", s, "--postings", f"{base}/postings", "--incremental"]) == 0
     for cmd in ("recheck", "geo", "cleanup"):
         assert main([cmd, "--store", s]) == 0
     assert main(["top", "--store", s, "--k", "3", "--outbox", f"{base}/outbox"]) == 0
