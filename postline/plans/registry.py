@@ -473,8 +473,8 @@ def a5(spark, sf):
 @query("A7", d.with_(d.ATTEMPTS) + "SELECT site, run_no, CAST(count(*) AS BIGINT) AS run_length, "
        "strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS run_start, strftime(max(CASE WHEN k = 5 THEN ts END), "
        "'%Y-%m-%d %H:%M:%S.%f') AS opened_at FROM (SELECT *, row_number() OVER (PARTITION BY site, run_no ORDER BY ts, id) AS k "
-       "FROM (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY ts, id ROWS BETWEEN "
-       "UNBOUNDED PRECEDING AND CURRENT ROW) AS run_no FROM attempts) WHERE NOT success) GROUP BY site, run_no")
+       "FROM (SELECT *, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY ts, id ROWS BETWEEN "
+       "UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run_no FROM attempts) WHERE NOT success) GROUP BY site, run_no")
 def a7(spark, sf):
     r = dedup.failure_runs(tb.attempts(spark, sf))
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
