@@ -271,3 +271,21 @@ def test_strict_relevance_and_success_time(spark):
                                 "response_time_ms double, error string")
     m = reports.site_metrics(att).first()
     assert (m.avg_response_ms, m.avg_success_ms) == (50.0, 100.0)
+
+
+def test_empty_inputs(spark):
+    from postline.plans import cycle
+    from postline.sources import tables as tb
+    from conftest import SF_SMALL
+    store, batch = tb.store_and_batch(spark, SF_SMALL)
+    none = batch.select(F.col("id").alias("seq"), "title", "company", "url", "location",
+                        F.col("title").alias("description")).limit(0)
+    out = cycle.run_cycle(store, none, F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    assert out["summary"].first().total_scanned == 0 and out["summary"].first().new_matches == 0
+    assert out["store"].count() > 0 and "Top Picks" not in out["message"].first()[0]
+    msgs = spark.createDataFrame([], "seq long, sender string, subject string, body string")
+    assert cycle.mail_updates(msgs, tb.mail_jobs(spark, SF_SMALL)).count() == 0
+    att = spark.createDataFrame([], "id long, site string, ts timestamp, success boolean, jobs_found int, "
+                                    "response_time_ms double, error string")
+    assert reports.site_metrics(att).count() == 0 and dedup.failure_runs(att).count() == 0
+    assert reports.global_positions(att, ["site"], [F.col("ts")]).count() == 0
