@@ -112,3 +112,17 @@ def test_incremental_cycle_equals_full_cycle(spark):
     assert summary == full["summary"].first().asDict()
     assert summary["duplicates_removed"] > 0 and summary["new_matches"] > 0      # groups were really touched
     assert inc["message"].first()[0] == full["message"].first()[0]
+
+
+def test_stream_dedup_across_micro_batches(spark):
+    e = tb.read(spark, SF_SMALL, "events")
+    arr = e.withColumn("n", F.lit(e.count())).selectExpr(*tb.ARRIVALS, "CAST(ts AS TIMESTAMP) AS ts", "event_id AS id")
+    base = scratch_path(spark, f"test_dedup_{uuid.uuid4().hex}")
+    _split_by_time(arr, 3, f"{base}/in")
+    stream = spark.readStream.schema(arr.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = (streams.stream_dedup(stream, delay="40 days").writeStream.format("parquet")
+         .option("path", f"{base}/out"))
+    streams.run_available_now(q, f"{base}/ck")
+    out = spark.read.parquet(f"{base}/out")
+    assert out.count() == arr.select("url").distinct().count()          # each URL passed once, over 3 batches
+    assert out.select("url").distinct().count() == out.count()
