@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from postline.operators import dedup, filters, reports, state
 from postline.plans import cycle
-from postline.session import get_session
+from postline.session import drop_scratch, get_session
 from postline.sources import tables as tb
 from postline.streaming import streams
 
@@ -113,7 +113,10 @@ def main(argv=None) -> int:
             sp.add_argument("--checkpoint", required=True)
     a = p.parse_args(argv)
     spark = get_session(a.master)
-    globals()[f"cmd_{a.cmd}"](spark, a)
+    try:
+        globals()[f"cmd_{a.cmd}"](spark, a)
+    finally:
+        drop_scratch(spark)             # every result has been written or printed
     return 0
 
 

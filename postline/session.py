@@ -60,12 +60,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+_SCRATCH: list[str] = []
+
+
 def written(df, name: str):
     """Cut lineage by writing ``df`` as a table in the shared checkpoint
     folder and reading it back: one pass over ``df`` (a reliable RDD
     checkpoint may compute it twice), a plan leaf of constant size for
-    everything downstream, and a copy that survives executor loss."""
+    everything downstream, and a copy that survives executor loss.  The
+    folder is remembered for ``drop_scratch``."""
     import uuid
     path = scratch_path(df.sparkSession, f"{name}_{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the lineage-cut tables this process wrote.  Call it only once
+    every result that reads them has been written out (DataFrames built on
+    them are unusable afterwards).  Returns the number of folders removed."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    removed = 0
+    while _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p) and fs.delete(p, True):
+            removed += 1
+    return removed

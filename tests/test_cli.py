@@ -41,3 +41,14 @@ def test_commands_version_the_store(spark, capsys):
     assert main(["mail", "--store", s, "--inbox", f"{base}/inbox", "--checkpoint", f"{base}/ck"]) == 0
     assert len(state._versions(spark, s)) == before + 1          # the replay found nothing new
     assert n0 > 0
+
+
+def test_scratch_tables_are_dropped(spark):
+    from postline.session import _SCRATCH, drop_scratch, written
+    w = written(spark.range(10), "probe")
+    assert w.count() == 10 and _SCRATCH
+    path = _SCRATCH[-1]
+    drop_scratch(spark)
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) and not _SCRATCH
