@@ -1,7 +1,6 @@
 """Board-profile card extraction (S3) and the clean-up chain
 (A3 -> P3 -> P2 -> F2 -> P4) on small hand-written pages."""
 
-from pyspark.sql import functions as F
 
 from postline.sources import html
 
