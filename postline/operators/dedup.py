@@ -1,7 +1,7 @@
 """Dedup, survivorship and sequence operators.
 
 Survivorship (A1, A2, A4) is a keyed ``min``/``max`` over an ordering
-struct that carries the whole row.  That is a hash/sort aggregate with a
+struct that carries the whole row.  Spark plans it as a sort-based aggregate with a
 map-side partial step, so a hot key (company 'Unknown', url '') is reduced
 to one row per map task before anything is shuffled -- no task ever holds
 a whole group.
