@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from postline import rules
 from postline.functions import urls
 from postline.operators.dedup import norm_key
+from postline.operators.filters import py_strip
 
 
 def _has_title_company(title: Column, company: Column) -> Column:
@@ -79,11 +80,24 @@ def active_order(active: DataFrame) -> DataFrame:
                                                     F.col("id").alias("id")))
 
 
+def company_key(company: Column) -> Column:
+    """Tracked-company key: lowered, surrounding whitespace stripped the way
+    Python's ``str.strip`` does (the mail matcher keys companies in Python,
+    unlike the SQL TRIM of the dedup key)."""
+    return F.lower(py_strip(company))
+
+
+def _as_text(c: Column) -> Column:
+    """A header as the matcher reads it: ``str(value).lower()``, so a missing
+    header reads as 'none'."""
+    return F.lower(F.coalesce(c, F.lit("None")))
+
+
 def company_index(active: DataFrame) -> DataFrame:
     """One row per tracked company key with its position in the active
     order and its job count.  Blank keys are dropped (a blank name would
     match every message and then fail the truthiness test)."""
-    a = active_order(active).withColumn("company_key", F.lower(F.trim(F.col("company"))))
+    a = active_order(active).withColumn("company_key", company_key(F.col("company")))
     a = a.where(F.col("company_key") != "")
     return a.groupBy("company_key").agg(F.min("active_ord").alias("company_ord"),
                                         F.count(F.lit(1)).cast("bigint").alias("n_jobs"))
@@ -132,8 +146,8 @@ def match_company(messages: DataFrame, companies: DataFrame) -> DataFrame:
     ``min`` aggregate per message picks the winner.  No cross join: a
     position only meets needles that start with its gram."""
     both = F.array(
-        F.struct(F.lit(True).alias("is_sender"), F.lower(F.coalesce(F.col("sender"), F.lit(""))).alias("text")),
-        F.struct(F.lit(False).alias("is_sender"), F.lower(F.coalesce(F.col("subject"), F.lit(""))).alias("text")))
+        F.struct(F.lit(True).alias("is_sender"), _as_text(F.col("sender")).alias("text")),
+        F.struct(F.lit(False).alias("is_sender"), _as_text(F.col("subject")).alias("text")))
     texts = (messages.select("seq", F.explode(both).alias("_m"))
              .select("seq", F.col("_m.is_sender").alias("_is_sender"), F.col("_m.text").alias("_text")))
     c = companies.select("company_key", "company_ord")
@@ -161,7 +175,7 @@ def match_company(messages: DataFrame, companies: DataFrame) -> DataFrame:
 
 def fan_out_updates(matched: DataFrame, active: DataFrame) -> DataFrame:
     """Every active job of the matched company gets the message's update."""
-    jobs = active.select("id", F.lower(F.trim(F.col("company"))).alias("company_key"))
+    jobs = active.select("id", company_key(F.col("company")).alias("company_key"))
     return matched.join(jobs, "company_key")
 
 

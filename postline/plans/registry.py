@@ -551,9 +551,9 @@ def g8(spark, sf):
     return reports.health_report(reports.site_metrics(tb.attempts(spark, sf)))
 
 
-@query("G9", d.with_(d.JOBS) + "SELECT company_key, n_jobs, first_id FROM (SELECT lower(trim(company)) AS company_key, "
+@query("G9", d.with_(d.JOBS) + "SELECT company_key, n_jobs, first_id FROM (SELECT lower(" + d.strip("company") + ") AS company_key, "
        "count(*) AS n_jobs, arg_min(id, (CASE WHEN stage = 'To Apply' THEN 0 ELSE 1 END, -epoch_us(date_found), id)) AS first_id "
-       "FROM jobs WHERE stage IN ('To Apply', 'In Process') AND lower(trim(company)) <> '' GROUP BY 1)")
+       "FROM jobs WHERE stage IN ('To Apply', 'In Process') AND lower(" + d.strip("company") + ") <> '' GROUP BY 1)")
 def g9(spark, sf):
     idx = joins.company_index(filters.active_jobs(tb.jobs(spark, sf)))
     return idx.select("company_key", "n_jobs", F.col("company_ord.id").alias("first_id"))
@@ -622,9 +622,10 @@ def j2(spark, sf):
 MATCH_SQL = d.with_(
     d.MAIL_JOBS, d.MESSAGES,
     "active AS (SELECT * FROM mail_jobs WHERE stage IN ('To Apply', 'In Process'))",
-    "idx AS (SELECT lower(trim(company)) AS company_key, min({'b': CASE WHEN stage = 'To Apply' THEN 0 ELSE 1 END, "
-    "'d': -epoch_us(date_found), 'id': id}) AS ord FROM active WHERE lower(trim(company)) <> '' GROUP BY 1)",
-    "m AS (SELECT seq, lower(coalesce(sender, '')) AS s, lower(coalesce(subject, '')) AS j FROM messages)",
+    "idx AS (SELECT lower(" + d.strip("company") + ") AS company_key, min({'b': CASE WHEN stage = 'To Apply' THEN 0 "
+    "ELSE 1 END, 'd': -epoch_us(date_found), 'id': id}) AS ord FROM active WHERE lower(" + d.strip("company") + ") <> '' "
+    "GROUP BY 1)",
+    "m AS (SELECT seq, lower(coalesce(sender, 'None')) AS s, lower(coalesce(subject, 'None')) AS j FROM messages)",
     "hits AS (SELECT m.seq, i.company_key, i.ord, 1 AS tier FROM m JOIN idx i ON contains(m.s, i.company_key) "
     "OR contains(m.j, i.company_key) UNION ALL SELECT m.seq, i.company_key, i.ord, 2 AS tier FROM m JOIN idx i "
     "ON len(list_filter(string_split(i.company_key, ' '), lambda p: length(p) > 2 AND contains(m.s, p))) > 0)",
@@ -643,7 +644,7 @@ def j3(spark, sf):
 
 
 @query("J4", MATCH_SQL + "SELECT m.seq, a.id, m.company_key, m.tier FROM matched m JOIN active a "
-       "ON lower(trim(a.company)) = m.company_key")
+       "ON lower(" + d.strip("a.company") + ") = m.company_key")
 def j4(spark, sf):
     matched, active = _matched(spark, sf)
     return joins.fan_out_updates(matched, active).select("seq", "id", "company_key", "tier")
@@ -817,10 +818,10 @@ def f12(spark, sf):
     return a.where(F.col("success")).select("id", joins.is_fresh(F.col("ts"), _now(a)).alias("fresh"))
 
 
-@query("F13", d.with_(d.MAIL_JOBS) + "SELECT DISTINCT lower(trim(company)) AS company_key, array_to_string(list_filter("
-       "string_split(lower(trim(company)), ' '), lambda p: length(p) > 2), '|') AS parts FROM mail_jobs")
+@query("F13", d.with_(d.MAIL_JOBS) + "SELECT DISTINCT lower(" + d.strip("company") + ") AS company_key, array_to_string(list_filter("
+       "string_split(lower(" + d.strip("company") + "), ' '), lambda p: length(p) > 2), '|') AS parts FROM mail_jobs")
 def f13(spark, sf):
-    keys = tb.mail_jobs(spark, sf).select(dedup.norm_key(F.col("company")).alias("company_key")).distinct()
+    keys = tb.mail_jobs(spark, sf).select(joins.company_key(F.col("company")).alias("company_key")).distinct()
     return keys.select("company_key", F.array_join(joins.word_parts(F.col("company_key")), "|").alias("parts"))
 
 
@@ -1019,7 +1020,8 @@ T3_SQL = MATCH_SQL[:-1] + (
     f"AS rel, {d.keyword_classification('g.subject', 'substr(g.body, 1, 2000)')['new_stage']} AS ns, "
     f"{d.keyword_classification('g.subject', 'substr(g.body, 1, 2000)')['new_sub_stage']} AS nss "
     "FROM matched m JOIN messages g ON m.seq = g.seq), "
-    "fan AS (SELECT a.id, c.seq, c.ns, c.nss FROM cls c JOIN active a ON lower(trim(a.company)) = c.company_key WHERE c.rel), "
+    "fan AS (SELECT a.id, c.seq, c.ns, c.nss FROM cls c JOIN active a ON lower(" + d.strip("a.company") + ") = c.company_key "
+    "WHERE c.rel), "
     "latest AS (SELECT id, arg_max({'s': ns, 'ss': nss}, seq) AS u FROM fan GROUP BY id) "
     "SELECT j.id, CASE WHEN l.id IS NOT NULL THEN l.u.s ELSE j.stage END AS stage, "
     "CASE WHEN l.id IS NOT NULL THEN l.u.ss END AS sub_stage FROM mail_jobs j LEFT JOIN latest l ON j.id = l.id")

@@ -289,3 +289,14 @@ def test_empty_inputs(spark):
                                     "response_time_ms double, error string")
     assert reports.site_metrics(att).count() == 0 and dedup.failure_runs(att).count() == 0
     assert reports.global_positions(att, ["site"], [F.col("ts")]).count() == 0
+
+
+def test_matcher_reads_headers_like_python(spark):
+    t0 = datetime(2024, 1, 2)
+    jobs = spark.createDataFrame([(1, " Acme\t", "To Apply", t0), (2, "One", "In Process", t0)],
+                                 "id long, company string, stage string, date_found timestamp")
+    msgs = spark.createDataFrame([(1, "hr@acme.com", "x"), (2, None, "hello")], "seq long, sender string, subject string")
+    idx = joins.company_index(jobs)
+    assert sorted(r.company_key for r in idx.collect()) == ["acme", "one"]      # Python strip: the tab goes too
+    got = {r.seq: r.company_key for r in joins.match_company(msgs, idx).collect()}
+    assert got == {1: "acme", 2: "one"}                                          # a missing sender reads 'none'
