@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postline import rules
 from postline.functions import evaluation as ev
+from postline.functions import urls
 from postline.operators import dedup, filters, joins, reports, state
 from postline.plans import scoring
 from postline.session import written
@@ -43,7 +44,10 @@ def ingest(store: DataFrame, postings: DataFrame, now: Column, scorer: Callable
     seen check (read by both branches), the inserted rows (read by the new
     store and by the matches) and, with a user scorer, its output (so every
     posting is scored once)."""
-    admitted = dedup.admit_batch(postings.withColumn("url", F.coalesce(F.col("url"), F.lit(""))))
+    # the seen check and the insert both compare canonical URLs, so a later
+    # posting whose URL differs only by tracking parameters is a repeat
+    canonical = postings.withColumn("url", F.coalesce(urls.normalize_url(F.col("url")), F.lit("")))
+    admitted = dedup.admit_batch(canonical)
     # batch-sized and read by several branches below: written once
     fresh = written(joins.drop_seen(admitted, store), "fresh")
     pf = filters.pre_filter(fresh)

@@ -300,3 +300,15 @@ def test_matcher_reads_headers_like_python(spark):
     assert sorted(r.company_key for r in idx.collect()) == ["acme", "one"]      # Python strip: the tab goes too
     got = {r.seq: r.company_key for r in joins.match_company(msgs, idx).collect()}
     assert got == {1: "acme", 2: "one"}                                          # a missing sender reads 'none'
+
+
+def test_ingest_admits_on_canonical_urls(spark):
+    from postline.plans import cycle
+    store = spark.createDataFrame([(1, "Old", "Co", "https://x.com/j/1", None, "To Apply", None, "Tel Aviv", datetime(2024, 1, 1))],
+                                  "id long, title string, company string, url string, ai_summary string, stage string, "
+                                  "sub_stage string, location string, date_found timestamp")
+    posts = spark.createDataFrame([(1, "Student Dev", "Acme", "https://x.com/j/2?trk=a", "Tel Aviv", "student"),
+                                   (2, "Student QA", "Beta", "https://x.com/j/2?utm_source=b", "Tel Aviv", "student")],
+                                  "seq long, title string, company string, url string, location string, description string")
+    ins = cycle.ingest(store, posts, F.lit(datetime(2024, 6, 1)))["inserted"].collect()
+    assert [(r.title, r.url) for r in ins] == [("Student Dev", "https://x.com/j/2")]
