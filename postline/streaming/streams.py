@@ -36,6 +36,16 @@ def run_available_now(writer, checkpoint: str) -> None:
         raise RuntimeError(str(q.exception()))
 
 
+def run_stream(writer, checkpoint: str, every: str | None = None):
+    """``every=None``: process what is available and stop.  Otherwise start
+    a continuous query with a processing-time trigger (the hourly cycle is
+    ``every='1 hour'``) and return it; the caller stops or awaits it."""
+    if every is None:
+        run_available_now(writer, checkpoint)
+        return None
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def _version_path(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/v={batch_id + 1:06d}"
 
@@ -65,7 +75,7 @@ def seed_table(df: DataFrame, root: str) -> str:
 # Ingest stream
 # ---------------------------------------------------------------------------
 def ingest_stream(spark: SparkSession, postings_path: str, store_root: str, checkpoint: str,
-                  schema, now: Column | None = None, scorer: Callable | None = None) -> None:
+                  schema, now: Column | None = None, scorer: Callable | None = None, every: str | None = None):
     """New posting files -> in-batch admission, seen check, pre-filter,
     scoring, routing and append (``cycle.ingest``), one store version per
     micro-batch."""
@@ -80,7 +90,7 @@ def ingest_stream(spark: SparkSession, postings_path: str, store_root: str, chec
         step = cycle.ingest(store, batch, stamp, scorer)
         step["store"].write.mode("overwrite").parquet(target)
 
-    run_available_now(postings.writeStream.foreachBatch(per_batch), checkpoint)
+    return run_stream(postings.writeStream.foreachBatch(per_batch), checkpoint, every)
 
 
 # ---------------------------------------------------------------------------
@@ -102,7 +112,7 @@ def read_message_table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mail_updates_stream(spark: SparkSession, raw_path: str, jobs_root: str, checkpoint: str,
-                        classifier: Callable | None = None) -> None:
+                        classifier: Callable | None = None, every: str | None = None):
     """Each micro-batch of raw messages is parsed (S5), matched against a
     snapshot of the active jobs taken once per batch (J3), classified (X2),
     fanned out (J4), reduced to the last update per job (A4) and applied
@@ -118,7 +128,7 @@ def mail_updates_stream(spark: SparkSession, raw_path: str, jobs_root: str, chec
         updates = cycle.mail_updates(parsed, jobs, classifier)
         state.apply_updates(jobs, updates).write.mode("overwrite").parquet(target)
 
-    run_available_now(raw.writeStream.foreachBatch(per_batch), checkpoint)
+    return run_stream(raw.writeStream.foreachBatch(per_batch), checkpoint, every)
 
 
 def mail_updates_stream_into(spark: SparkSession, raw_path: str, store: str, checkpoint: str,

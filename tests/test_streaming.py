@@ -126,3 +126,25 @@ def test_stream_dedup_across_micro_batches(spark):
     out = spark.read.parquet(f"{base}/out")
     assert out.count() == arr.select("url").distinct().count()          # each URL passed once, over 3 batches
     assert out.select("url").distinct().count() == out.count()
+
+
+def test_continuous_ingest_picks_up_new_files(spark):
+    store, batch = tb.store_and_batch(spark, SF_SMALL)
+    postings = batch.select(F.col("id").alias("seq"), "title", "company", "url", "location",
+                            F.concat_ws(" ", F.col("title"), F.lit("position")).alias("description"))
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    base = scratch_path(spark, f"test_cont_{uuid.uuid4().hex}")
+    streams.seed_table(store, f"{base}/store")
+    postings.where(F.col("seq") % 4 == 1).write.parquet(f"{base}/in/part1")
+    q = streams.ingest_stream(spark, f"{base}/in/*", f"{base}/store", f"{base}/ck", postings.schema, now=now,
+                              every="1 second")
+    try:
+        q.processAllAvailable()
+        postings.where(F.col("seq") % 4 == 3).write.parquet(f"{base}/in/part2")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    streamed = state.read_latest(spark, f"{base}/store")
+    batch_store = cycle.ingest(cycle.ingest(store, postings.where(F.col("seq") % 4 == 1), now)["store"],
+                               postings.where(F.col("seq") % 4 == 3), now)["store"]
+    assert rows(streamed, "id", "url", "stage") == rows(batch_store, "id", "url", "stage")
