@@ -47,13 +47,15 @@ def evaluation_json(e) -> F.Column:
         F.lit("}"))
 
 
-def _scorer_batches(scorer: Callable, cols: list[str]):
+def _scorer_batches(scorer: Callable | None, cols: list[str], factory: Callable | None = None):
     def run(batches):
+        # a factory builds one scorer (e.g. a model client) per task
+        score = factory() if factory is not None else scorer
         for pdf in batches:
             raw = []
             for rec in pdf[cols].to_dict("records"):
                 try:
-                    out = scorer(rec)
+                    out = score(rec)
                     raw.append(out if isinstance(out, str) else json.dumps(out))
                 except Exception as e:
                     raw.append(json.dumps({"is_relevant": False, "match_score": 0,
@@ -64,20 +66,23 @@ def _scorer_batches(scorer: Callable, cols: list[str]):
     return run
 
 
-def score_postings(df: DataFrame, scorer: Callable | None = None, max_concurrency: int | None = None) -> DataFrame:
+def score_postings(df: DataFrame, scorer: Callable | None = None, max_concurrency: int | None = None,
+                   scorer_factory: Callable[[], Callable] | None = None) -> DataFrame:
     """Posting -> ``evaluation`` struct.  ``scorer`` maps a posting dict
-    (title, company, location, description) to a dict or JSON text.
+    (title, company, location, description) to a dict or JSON text;
+    ``scorer_factory`` instead returns such a callable and is invoked once
+    per task (one client per task).
 
     ``max_concurrency`` bounds how many tasks call the scorer at once (an
     external service's rate limit): the postings are spread round-robin over
     that many partitions first.  Rejections must be filtered out *before*
     this call: Catalyst does not push filters below ``mapInPandas``."""
-    if scorer is None:
+    if scorer is None and scorer_factory is None:
         return default_evaluation(df)
     cols = [c for c in ("title", "company", "location", "description") if c in df.columns]
     schema = T.StructType(df.schema.fields + [T.StructField("raw_evaluation", T.StringType())])
     src = df.repartition(max_concurrency) if max_concurrency else df
-    scored = src.mapInPandas(_scorer_batches(scorer, cols), schema)
+    scored = src.mapInPandas(_scorer_batches(scorer, cols, scorer_factory), schema)
     return scored.withColumn("evaluation", ev.coerce_evaluation(F.col("raw_evaluation"))).drop("raw_evaluation")
 
 

@@ -220,6 +220,8 @@ def test_user_scorer_runs_once_per_posting(spark):
     assert out == {1: (True, 96), 2: (False, 10)}
     bounded = scoring.score_postings(posts, scorer, max_concurrency=2)
     assert bounded.rdd.getNumPartitions() == 2 and bounded.count() == 2
+    built = scoring.score_postings(posts, scorer_factory=lambda: scorer, max_concurrency=1)
+    assert {r.id: r.evaluation.match_score for r in built.collect()} == {1: 96, 2: 10}
 
 
 def test_rfc822_parsing(spark):
