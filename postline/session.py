@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -60,7 +61,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-_SCRATCH: list[str] = []
+_LOCAL = threading.local()
+
+
+def scratch_tables() -> list[str]:
+    """Lineage-cut tables written by the current thread (a streaming
+    micro-batch runs in one thread, so concurrent queries keep apart)."""
+    if not hasattr(_LOCAL, "paths"):
+        _LOCAL.paths = []
+    return _LOCAL.paths
 
 
 def written(df, name: str):
@@ -72,19 +81,20 @@ def written(df, name: str):
     import uuid
     path = scratch_path(df.sparkSession, f"{name}_{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _SCRATCH.append(path)
+    scratch_tables().append(path)
     return df.sparkSession.read.parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> int:
-    """Delete the lineage-cut tables this process wrote.  Call it only once
+    """Delete the lineage-cut tables this thread wrote.  Call it only once
     every result that reads them has been written out (DataFrames built on
     them are unusable afterwards).  Returns the number of folders removed."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
     removed = 0
-    while _SCRATCH:
-        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    paths = scratch_tables()
+    while paths:
+        p = jvm.org.apache.hadoop.fs.Path(paths.pop())
         fs = p.getFileSystem(conf)
         if fs.exists(p) and fs.delete(p, True):
             removed += 1

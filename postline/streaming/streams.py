@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from postline import rules
 from postline.operators import dedup, state
 from postline.plans import cycle
-from postline.session import scratch_path
+from postline.session import drop_scratch, scratch_path
 from postline.sources import mail
 
 
@@ -89,6 +89,7 @@ def ingest_stream(spark: SparkSession, postings_path: str, store_root: str, chec
         stamp = F.current_timestamp() if now is None else now
         step = cycle.ingest(store, batch, stamp, scorer)
         step["store"].write.mode("overwrite").parquet(target)
+        drop_scratch(spark)           # the batch's lineage cuts are no longer read
 
     return run_stream(postings.writeStream.foreachBatch(per_batch), checkpoint, every)
 

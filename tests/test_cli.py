@@ -44,11 +44,11 @@ def test_commands_version_the_store(spark, capsys):
 
 
 def test_scratch_tables_are_dropped(spark):
-    from postline.session import _SCRATCH, drop_scratch, written
+    from postline.session import drop_scratch, scratch_tables, written
     w = written(spark.range(10), "probe")
-    assert w.count() == 10 and _SCRATCH
-    path = _SCRATCH[-1]
+    assert w.count() == 10 and scratch_tables()
+    path = scratch_tables()[-1]
     drop_scratch(spark)
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) and not _SCRATCH
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) and not scratch_tables()
