@@ -11,6 +11,7 @@ stage out of whole-stage codegen).
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -29,9 +30,26 @@ def _patterns(patterns: list[str]) -> Column:
     return F.array(*[F.lit(p) for p in patterns])
 
 
+def _first_hit(texts: list[Column], patterns: list[str], test) -> Column:
+    """First pattern (list order) for which ``test(texts, pattern)`` holds.
+
+    A fold over the pattern array whose accumulator carries the texts: each
+    text expression is evaluated once per row, never once per pattern, even
+    when Catalyst inlines an upstream expression (a pushed-down filter does;
+    expressions inside a lambda are not shared by subexpression
+    elimination)."""
+    init = F.struct(*[t.alias(f"t{i}") for i, t in enumerate(texts)], F.lit(None).cast("string").alias("hit"))
+
+    def step(acc, p):
+        ts = [acc[f"t{i}"] for i in range(len(texts))]
+        return F.struct(*[x.alias(f"t{i}") for i, x in enumerate(ts)],
+                        F.coalesce(acc["hit"], F.when(test(ts, p), p)).alias("hit"))
+    return F.aggregate(_patterns(patterns), init, step)["hit"]
+
+
 def first_contained(text_lower: Column, patterns: list[str]) -> Column:
     """First pattern (list order) that is a substring of ``text_lower``."""
-    return F.try_element_at(F.filter(_patterns(patterns), lambda p: F.contains(text_lower, p)), F.lit(1))
+    return _first_hit([text_lower], patterns, lambda ts, p: F.contains(ts[0], p))
 
 
 _NON_WORD = r"[^\p{L}\p{N}]+"
@@ -49,16 +67,10 @@ def _word_form(pattern: str) -> str:
 def _first_word_match(texts: list[Column], patterns: list[str]) -> Column:
     """Word-boundary variant (Q5): the first pattern whose words occur as
     whole words in one of ``texts``; returns the pattern as listed."""
-    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(_word_form(p)).alias("w")) for p in patterns])
-    words = [_words(t) for t in texts]
-
-    def hit(x):
-        out = None
-        for w in words:
-            c = F.contains(w, x["w"])
-            out = c if out is None else out | c
-        return out
-    return F.try_element_at(F.filter(pairs, hit), F.lit(1))["p"]
+    forms = {_word_form(p): p for p in reversed(patterns)}          # first listed pattern per word form
+    hit = _first_hit([_words(t) for t in texts], [_word_form(p) for p in patterns],
+                     lambda ts, w: functools.reduce(lambda a, b: a | b, [F.contains(x, w) for x in ts]))
+    return F.element_at(F.create_map(*[F.lit(x) for kv in forms.items() for x in kv]), hit)
 
 
 def location_rejected(location: Column, word_boundary: bool = False) -> Column:
@@ -74,16 +86,15 @@ def overseas_company(company: Column, title: Column, word_boundary: bool = False
     """The first overseas pattern found in company or title, or NULL."""
     if word_boundary:
         return _first_word_match([company, title], rules.OVERSEAS_COMPANY_PATTERNS)
-    c, t = F.lower(company), F.lower(title)
-    hits = F.filter(_patterns(rules.OVERSEAS_COMPANY_PATTERNS), lambda p: F.contains(c, p) | F.contains(t, p))
-    return F.try_element_at(hits, F.lit(1))
+    return _first_hit([F.lower(company), F.lower(title)], rules.OVERSEAS_COMPANY_PATTERNS,
+                      lambda ts, p: F.contains(ts[0], p) | F.contains(ts[1], p))
 
 
 def foreign_university(company: Column) -> Column:
     """Company mentions university/college and no listed local one."""
     c = F.lower(company)
     marked = F.contains(c, F.lit("university")) | F.contains(c, F.lit("college"))
-    local = F.exists(_patterns(rules.LOCAL_UNIVERSITIES), lambda u: F.contains(c, u))
+    local = _first_hit([c], rules.LOCAL_UNIVERSITIES, lambda ts, u: F.contains(ts[0], u)).isNotNull()
     return marked & ~local
 
 
