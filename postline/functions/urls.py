@@ -36,40 +36,59 @@ def quote(c: Column) -> Column:
     return F.replace(F.replace(enc, F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
 
 
-def _parts(url: Column):
-    scheme = F.lower(F.regexp_extract(url, _URL_RE, 1))
-    net = F.regexp_extract(url, _URL_RE, 2)
-    netloc = F.regexp_replace(net, "^//", "")
-    path = F.regexp_extract(url, _URL_RE, 3)
-    query = F.regexp_extract(url, _URL_RE, 4)
-    return scheme, netloc, path, query
+def let(values: dict[str, Column], body) -> Column:
+    """``body(v)`` with every ``v[name]`` evaluated once per row.
+
+    A one-element fold: its initial struct is computed once and the
+    finishing lambda reads the bound values as fields.  Subexpression
+    elimination covers neither lambdas nor conditional branches, so a value
+    used several times inside them would otherwise be recomputed."""
+    init = F.struct(*[c.alias(k) for k, c in values.items()])
+    return F.aggregate(F.array(F.lit(0)), init, lambda acc, _x: acc, body)
+
+
+_PAIR = "struct<g:int,pos:int,k:string,v:string>"
 
 
 def _canonical(url: Column, drop_key) -> Column:
-    scheme, netloc, path, query = _parts(url)
-    # ;params of the last path segment are discarded
-    path = F.regexp_replace(path, ";[^/]*$", "")
-    raw = F.split(query, "&")
-    # a pair needs '=' and a non-empty value (parse_qs without keep_blank_values)
-    kept = F.filter(raw, lambda x: (F.instr(x, "=") > 0) & (F.length(x) > F.instr(x, "=")))
-    pairs = F.transform(kept, lambda x, i: F.struct(
-        _decode(F.substring_index(x, "=", 1)).alias("k"),
-        _decode(F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1)).alias("v"),
-        i.alias("pos")))
-    pairs = F.filter(pairs, lambda p: ~drop_key(p["k"]))
-    keys = F.transform(pairs, lambda p: p["k"])
-    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(
-        F.array_position(keys, p["k"]).alias("first"), p["pos"].alias("pos"),
-        p["k"].alias("k"), p["v"].alias("v"))))
-    new_query = F.array_join(F.transform(ordered, lambda p: F.concat(quote_plus(p["k"]), F.lit("="), quote_plus(p["v"]))), "&")
-    has_net = netloc != F.lit("")
-    body = (F.when(has_net, F.concat(F.lit("//"), netloc,
-                                     F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
-            .when(scheme.isin(_NETLOC_SCHEMES) & (scheme != "") & path.startswith("/"), F.concat(F.lit("//"), path))
-            .otherwise(path))
-    out = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")), body,
-                   F.when(new_query != "", F.concat(F.lit("?"), new_query)).otherwise(F.lit("")))
-    return F.when(url.isNull() | (url == ""), url).otherwise(out)
+    parts = {
+        "scheme": F.lower(F.regexp_extract(url, _URL_RE, 1)),
+        "net": F.regexp_replace(F.regexp_extract(url, _URL_RE, 2), "^//", ""),
+        # ;params of the last path segment are discarded
+        "path": F.regexp_replace(F.regexp_extract(url, _URL_RE, 3), ";[^/]*$", ""),
+        "query": F.regexp_extract(url, _URL_RE, 4),
+    }
+
+    def build(u):
+        # a pair needs '=' and a non-empty value (parse_qs without keep_blank_values)
+        kept = F.filter(F.split(u["query"], "&"), lambda x: (F.instr(x, "=") > 0) & (F.length(x) > F.instr(x, "=")))
+        pairs = F.transform(kept, lambda x, i: F.struct(
+            _decode(F.substring_index(x, "=", 1)).alias("k"),
+            _decode(F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1)).alias("v"),
+            i.alias("pos")))
+        pairs = F.filter(pairs, lambda p: ~drop_key(p["k"]))
+
+        # repeated keys are grouped at their first key's position: one fold
+        # that carries the keys seen so far, then a sort by (group, position)
+        def step(acc, p):
+            seen = F.array_contains(acc["keys"], p["k"])
+            g = F.when(seen, F.array_position(acc["keys"], p["k"])).otherwise(F.size(acc["keys"]) + 1).cast("int")
+            return F.struct(F.when(seen, acc["keys"]).otherwise(F.array_append(acc["keys"], p["k"])).alias("keys"),
+                            F.array_append(acc["out"], F.struct(g.alias("g"), p["pos"].alias("pos"), p["k"].alias("k"),
+                                                                p["v"].alias("v"))).alias("out"))
+        init = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast(f"array<{_PAIR}>").alias("out"))
+        grouped = F.array_sort(F.aggregate(pairs, init, step)["out"])
+        query = F.array_join(F.transform(grouped, lambda p: F.concat(quote_plus(p["k"]), F.lit("="), quote_plus(p["v"]))), "&")
+        # '?' + query, or nothing when the query is empty (one reference to it)
+        query_part = F.regexp_replace(F.concat(F.lit("?"), query), r"^\?$", "")
+        scheme, net, path = u["scheme"], u["net"], u["path"]
+        body = (F.when(net != "", F.concat(F.lit("//"), net,
+                                           F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
+                .when(scheme.isin(_NETLOC_SCHEMES) & (scheme != "") & path.startswith("/"), F.concat(F.lit("//"), path))
+                .otherwise(path))
+        return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")), body, query_part)
+
+    return F.when(url.isNull() | (url == ""), url).otherwise(let(parts, build))
 
 
 def normalize_url(url: Column, drop=None) -> Column:
