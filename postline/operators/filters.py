@@ -47,6 +47,18 @@ def _first_hit(texts: list[Column], patterns: list[str], test) -> Column:
     return F.aggregate(_patterns(patterns), init, step)["hit"]
 
 
+def all_hits(texts: list[Column], patterns: list[str], test) -> Column:
+    """Every pattern (list order) for which ``test(texts, pattern)`` holds,
+    with the texts carried in the fold's accumulator as in ``_first_hit``."""
+    init = F.struct(*[t.alias(f"t{i}") for i, t in enumerate(texts)], F.array().cast("array<string>").alias("hits"))
+
+    def step(acc, p):
+        ts = [acc[f"t{i}"] for i in range(len(texts))]
+        return F.struct(*[x.alias(f"t{i}") for i, x in enumerate(ts)],
+                        F.when(test(ts, p), F.array_append(acc["hits"], p)).otherwise(acc["hits"]).alias("hits"))
+    return F.aggregate(_patterns(patterns), init, step)["hits"]
+
+
 def first_contained(text_lower: Column, patterns: list[str]) -> Column:
     """First pattern (list order) that is a substring of ``text_lower``."""
     return _first_hit([text_lower], patterns, lambda ts, p: F.contains(ts[0], p))

@@ -111,14 +111,15 @@ S6_HITS = ("hits AS (SELECT 'rejected_location' AS rule_set, unnest(list_filter(
 def s6(spark, sf):
     """The ordered rule tables with how often each pattern fires on the
     data (every contained pattern, not only the first)."""
-    def fired(df, name, pats, text_of):
-        arr = F.array(*[F.lit(x) for x in pats])
-        return df.select(F.lit(name).alias("rule_set"), F.explode(F.filter(arr, text_of)).alias("pattern"))
+    def fired(df, name, pats, texts, test):
+        hits = filters.all_hits(texts, pats, test)
+        return df.select(F.lit(name).alias("rule_set"), F.explode(hits).alias("pattern"))
     loc = fired(tb.located(spark, sf), "rejected_location", rules.REJECTED_LOCATIONS,
-                lambda p: F.contains(F.lower(F.col("location")), p))
+                [F.lower(F.col("location"))], lambda ts, p: F.contains(ts[0], p))
     com = fired(tb.described(spark, sf), "overseas_company", rules.OVERSEAS_COMPANY_PATTERNS,
-                lambda p: F.contains(F.lower(F.col("company")), p) | F.contains(F.lower(F.col("title")), p))
-    trk = fired(tb.read(spark, sf, "pages"), "tracker", rules.TRACKER_PATTERNS, lambda p: F.contains(F.lower(F.col("url")), p))
+                [F.lower(F.col("company")), F.lower(F.col("title"))], lambda ts, p: F.contains(ts[0], p) | F.contains(ts[1], p))
+    trk = fired(tb.read(spark, sf, "pages"), "tracker", rules.TRACKER_PATTERNS, [F.lower(F.col("url"))],
+                lambda ts, p: F.contains(ts[0], p))
     counts = loc.unionByName(com).unionByName(trk).groupBy("rule_set", "pattern").agg(F.count(F.lit(1)).alias("hits"))
     # the rule table has a fixed, small size (the lists in rules.py)
     return (F.broadcast(rules.rules_frame(spark)).join(counts, ["rule_set", "pattern"], "left")
