@@ -19,8 +19,11 @@ from postline.session import written
 def recheck(jobs: DataFrame, scorer: Callable | None = None, strip_prior_reason: bool = False) -> DataFrame:
     """To Apply + Irrelevant rows are rebuilt from their stored
     evaluation (P22), pre-filtered (P11), the rest re-scored (X1) and routed
-    (P15).  Returns (id, stage, ai_summary) for every rechecked row."""
-    s = jobs.where(F.col("stage").isin("To Apply", "Irrelevant"))
+    (P15).  Returns (id, stage, ai_summary) for every rechecked row; rows
+    whose stored location is not text are skipped (left unchanged)."""
+    # a stored location that is not text makes the rebuilt posting unusable:
+    # such rows are left as they are
+    s = jobs.where(F.col("stage").isin("To Apply", "Irrelevant") & ~ev.non_string_field(F.col("ai_summary"), "location"))
     s = s.select("id", "title", "company", "url",
                  ev.recheck_location(F.col("ai_summary")).alias("location"),
                  ev.recheck_input(F.col("ai_summary"), strip_prior_reason).alias("description"))

@@ -314,3 +314,13 @@ def test_ingest_admits_on_canonical_urls(spark):
                                   "seq long, title string, company string, url string, location string, description string")
     ins = cycle.ingest(store, posts, F.lit(datetime(2024, 6, 1)))["inserted"].collect()
     assert [(r.title, r.url) for r in ins] == [("Student Dev", "https://x.com/j/2")]
+
+
+def test_recheck_skips_non_text_location(spark):
+    from postline.plans import cycle
+    jobs = spark.createDataFrame([(1, "Student Dev", "Acme", "u1", "To Apply", '{"location": null, "summary": "s"}'),
+                                  (2, "Student Dev", "Beta", "u2", "To Apply", '{"location": 5}'),
+                                  (3, "Student Dev", "Gamma", "u3", "To Apply", '{"summary": "no location key"}'),
+                                  (4, "Student Dev", "Delta", "u4", "To Apply", "not json")],
+                                 "id long, title string, company string, url string, stage string, ai_summary string")
+    assert sorted(r.id for r in cycle.recheck(jobs).collect()) == [3, 4]
