@@ -69,21 +69,36 @@ def evolve_schema(old: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Versioned table folders
 # ---------------------------------------------------------------------------
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, root: str, complete_only: bool = True) -> list[int]:
+    """Version numbers under ``root``: complete ones (with ``_SUCCESS``), or
+    every folder when choosing the next number (a crashed write leaves an
+    incomplete folder that must not be reused)."""
+    fs, path = _fs(spark, root)
     if not fs.exists(path):
         return []
     out = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        if name.startswith("v=") and (not complete_only or fs.exists(
+                spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
             out.append(int(name[2:]))
     return sorted(out)
 
 
+def has_marker(spark: SparkSession, root: str, marker: str) -> bool:
+    """Whether a complete version carries ``marker`` (see ``write_version``)."""
+    for v in reversed(_versions(spark, root)):
+        fs, p = _fs(spark, f"{root.rstrip('/')}/v={v:06d}/{marker}")
+        if fs.exists(p):
+            return True
+    return False
+
+
 def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
     vs = _versions(spark, root)
     if not vs:
@@ -91,13 +106,19 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root.rstrip('/')}/v={vs[-1]:06d}")
 
 
-def write_version(df: DataFrame, root: str, partition_by: str | None = "stage") -> str:
+def write_version(df: DataFrame, root: str, partition_by: str | None = "stage", marker: str | None = None) -> str:
     """Write ``df`` as the next version; partitioned by stage so S1's stage
-    predicate prunes folders."""
+    predicate prunes folders.  ``marker`` (a name starting with '_', which
+    readers ignore) is created inside the version folder before the data:
+    it becomes visible exactly when the version completes, so "this batch
+    was applied" and the version itself commit together."""
     spark = df.sparkSession
-    vs = _versions(spark, root)
+    vs = _versions(spark, root, complete_only=False)
     target = f"{root.rstrip('/')}/v={(vs[-1] + 1 if vs else 1):06d}"
-    w = df.write.mode("errorifexists")
+    if marker:
+        fs, p = _fs(spark, f"{target}/{marker}")
+        fs.create(p, False).close()
+    w = df.write.mode("append" if marker else "errorifexists")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(target)

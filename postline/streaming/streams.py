@@ -135,27 +135,22 @@ def mail_updates_stream(spark: SparkSession, raw_path: str, jobs_root: str, chec
 def mail_updates_stream_into(spark: SparkSession, raw_path: str, store: str, checkpoint: str,
                              classifier: Callable | None = None) -> None:
     """T3 into a table that other jobs also version (the command line's
-    store): each micro-batch writes the next version and then a marker
-    ``_applied/<stream>-<batch>``; a replayed batch whose marker exists is
-    skipped.  A crash between the two writes re-applies that batch once
-    (at-least-once); ``mail_updates_stream`` is exactly-once when the stream
-    owns the table."""
+    store).  Each micro-batch writes the next version with the marker
+    ``_applied_<stream>-<batch>`` inside it; the marker and the version
+    complete together, so a replayed batch whose marker is in a complete
+    version is skipped and every batch is applied exactly once."""
     import hashlib
     tag = hashlib.md5(checkpoint.encode("utf-8")).hexdigest()[:12]
     raw = read_message_table_stream(spark, raw_path)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        marker = f"{store.rstrip('/')}/_applied/{tag}-{batch_id:09d}"
-        jvm = spark._jvm
-        mpath = jvm.org.apache.hadoop.fs.Path(marker)
-        fs = mpath.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(mpath):
+        marker = f"_applied_{tag}-{batch_id:09d}"
+        if state.has_marker(spark, store, marker):
             return
         jobs = state.read_latest(spark, store)
         parsed = mail.parse_messages(batch).where(F.col("error").isNull())
         updates = cycle.mail_updates(parsed, jobs, classifier)
-        state.write_version(state.apply_updates(jobs, updates), store)
-        fs.create(mpath, False).close()
+        state.write_version(state.apply_updates(jobs, updates), store, marker=marker)
 
     run_available_now(raw.writeStream.foreachBatch(per_batch), checkpoint)
 

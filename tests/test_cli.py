@@ -52,3 +52,14 @@ def test_scratch_tables_are_dropped(spark):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) and not scratch_tables()
+
+
+def test_next_version_skips_a_crashed_write(spark):
+    base = scratch_path(spark, f"versions_{uuid.uuid4().hex}")
+    df = spark.createDataFrame([(1, "To Apply")], "id long, stage string")
+    state.write_version(df, base)
+    fs, p = state._fs(spark, f"{base}/v=000002/part-crashed")          # a half-written version 2
+    fs.create(p, False).close()
+    assert state.write_version(df, base, marker="_applied_x").endswith("v=000003")
+    assert state._versions(spark, base) == [1, 3] and state.has_marker(spark, base, "_applied_x")
+    assert state.read_latest(spark, base).count() == 1
