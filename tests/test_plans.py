@@ -39,3 +39,15 @@ def test_top_k_is_take_ordered(spark):
 def test_survivorship_has_partial_aggregation(spark):
     p = plan(Q["A1"](spark, SF_SMALL))
     assert "partial_min" in p and "Window" not in p
+
+
+def test_stage_scan_prunes_store_folders(spark):
+    import uuid
+    from postline.operators import state
+    from postline.session import scratch_path
+    root = scratch_path(spark, f"pruning_{uuid.uuid4().hex}")
+    path = state.write_version(tb.jobs(spark, SF_SMALL), root)
+    scan = tb.read_jobs(spark, path, ["To Apply", "Irrelevant"]).select("id")
+    p = plan(scan)
+    assert "PartitionFilters: [" in p and "stage" in p.split("PartitionFilters: [")[1].split("]")[0]
+    assert scan.count() == tb.jobs(spark, SF_SMALL).where(F.col("stage").isin("To Apply", "Irrelevant")).count()
