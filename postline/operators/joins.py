@@ -114,7 +114,7 @@ def _grams(texts: DataFrame, lengths: list[int]) -> DataFrame:
     expressions, no per-element lambda."""
     chars = F.regexp_extract_all(F.col("_text"), F.lit("(?s)."), 0)
     pos = (texts.select("seq", "_is_sender", "_text", chars.alias("_chars"))
-           .select("seq", "_is_sender", "_text", "_chars", F.posexplode("_chars").alias("_p0", "_c0")))
+           .select("seq", "_is_sender", "_text", "_chars", F.posexplode_outer("_chars").alias("_p0", "_c0")))
     if len(lengths) > 1:
         pos = pos.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in lengths])))
     else:
@@ -123,6 +123,8 @@ def _grams(texts: DataFrame, lengths: list[int]) -> DataFrame:
     n = F.size("_chars")
     parts = [F.col("_c0")] + [F.when(F.col("_k") > j, F.try_element_at("_chars", i + j)).otherwise(F.lit(""))
                               for j in range(1, max(lengths))]
+    # (the outer form keeps Catalyst from adding a size(...) > 0 filter that
+    # would split the text a second time; an empty text's NULL row fails here)
     return (pos.where(i + F.col("_k") - 1 <= n)
             .select("seq", "_is_sender", "_text", i.alias("_i"), "_k", F.concat(*parts).alias("_gram")))
 
