@@ -18,6 +18,9 @@ SESSION_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # JSON with a repeated key: the last value wins, as Python's json.loads does
+    # (by default VARIANT parsing rejects such text)
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -45,6 +45,7 @@ def test_score_parsing_goldens(spark):
         ('{"match_score": 85}', 85, 85), ('{"match_score": "85"}', 85, 85), ('{"match_score": 85.7}', 85, 85),
         ('{"match_score": "85.7"}', 0, None), ('{"match_score": null}', 0, None), ('{"match_score": true}', 1, 1),
         ('{"is_relevant": "false"}', 0, 0), ("not json", 0, None), ("[1]", 0, None), ("", 0, None),
+        ('{"match_score":1,"match_score":2}', 2, 2),          # the last repeated key wins, as in Python
     ]
     df = _one_col(spark, [c[0] for c in cases])
     got = {r.v: (r.s, r.n) for r in df.select("v", ev.parse_score(F.col("v")).alias("s"),
