@@ -5,7 +5,7 @@ keyword rules -- both native expressions.  A user-supplied callable (for
 instance a model client) runs per partition in ``mapInPandas``: one
 client per task, Arrow batches in and out, and its raw output is coerced
 natively (F6 / F9).  ``mapInPandas`` is evaluated once per row; callers
-that branch on the result should checkpoint it first (see X4).
+that branch on the result write it once first (``session.written``, as X4 does).
 """
 
 from __future__ import annotations
