@@ -890,9 +890,24 @@ def p21(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# A6 (iterative, rows-only here; tests compare it with a sequential loop)
+# The same round scheme as a recursive CTE (each iteration takes the
+# undecided items, admits those first in both their URL and title groups and
+# rejects those sharing a key with a newly admitted one, until none is left)
 # ---------------------------------------------------------------------------
-@query("A6")
+A6_SQL = d.with_(d.ARRIVALS).replace("WITH ", "WITH RECURSIVE ", 1) + (
+    ", items AS (SELECT seq, url, title, coalesce(url, chr(2) || CAST(seq AS VARCHAR)) AS u, "
+    "CASE WHEN coalesce(title, '') <> '' AND coalesce(company, '') <> '' THEN lower(trim(title)) || chr(1) || "
+    "lower(trim(company)) END AS tk FROM arrivals), "
+    "rounds(seq, u, tk, st) AS (SELECT seq, u, tk, 'U' FROM items UNION ALL "
+    "SELECT seq, u, tk, CASE WHEN adm THEN 'A' WHEN hit_u OR hit_t THEN 'R' ELSE 'U' END FROM ("
+    "SELECT *, bool_or(adm) OVER (PARTITION BY u) AS hit_u, "
+    "CASE WHEN tk IS NULL THEN false ELSE bool_or(adm) OVER (PARTITION BY tk) END AS hit_t FROM ("
+    "SELECT seq, u, tk, (seq = min(seq) OVER (PARTITION BY u) AND (tk IS NULL OR seq = min(seq) OVER (PARTITION BY tk))) "
+    "AS adm FROM rounds WHERE st = 'U') a) b) "
+    "SELECT i.seq, i.url, i.title FROM items i JOIN rounds r ON i.seq = r.seq AND r.st = 'A'")
+
+
+@query("A6", A6_SQL)
 def a6(spark, sf):
     return dedup.admit_batch(tb.arrivals(spark, sf)).select("seq", "url", "title")
 

@@ -171,3 +171,27 @@ def test_company_matching_matches_loop(spark, companies, texts):
     mdf = spark.createDataFrame(msgs, "seq long, sender string, subject string")
     got = {r.seq: (r.company_key, r.tier) for r in joins.match_company(mdf, joins.company_index(jobs)).collect()}
     assert got == match_model(msgs, companies)
+
+
+def test_admission_oracle_sql_matches_loop():
+    """The recursive-CTE oracle of A6 (DuckDB) agrees with the sequential
+    loop on random batches and on a long chain."""
+    import random
+
+    import duckdb
+
+    from postline.plans.registry import A6_SQL
+    body = A6_SQL[A6_SQL.index(", items AS"):]
+    con = duckdb.connect()
+
+    def run(items):
+        vals = ", ".join(f"({s}, '{u}', '{t}', 'Co')" for s, u, t in items)
+        q = f"WITH RECURSIVE arrivals AS (SELECT * FROM (VALUES {vals}) v(seq, url, title, company))" + body
+        return sorted(r[0] for r in con.execute(q).fetchall())
+    rnd = random.Random(11)
+    for _ in range(100):
+        n, a, b = rnd.randint(1, 50), rnd.randint(1, 10), rnd.randint(1, 10)
+        items = [(i + 1, f"u{rnd.randint(0, a)}", f"t{rnd.randint(0, b)}") for i in range(n)]
+        assert run(items) == admit_model(items), items
+    chain = [(i + 1, f"u{(i + 1) // 2}", f"t{i // 2}") for i in range(40)]
+    assert run(chain) == admit_model(chain)
