@@ -1073,3 +1073,40 @@ def t5(spark, sf):
     m = streams.read_cycle_metrics(spark, data)
     return m.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "site", "attempts", "successes",
                     "jobs_found")
+
+
+# T1 = the ingest of the cycle inputs: canonical URLs, admission (the A6
+# rounds), seen checks, pre-filter, rule score, routing, ids after the store's
+T1_POSTS = ("posts AS (SELECT id AS seq, title, company, url, location, title || ' ' || CASE CAST(floor(id / 2) AS BIGINT) % 4 "
+            "WHEN 0 THEN 'student position' WHEN 1 THEN 'entry level role' WHEN 2 THEN 'junior developer' ELSE 'position' END "
+            "AS description FROM batch)")
+A6_ROUNDS = A6_SQL[A6_SQL.index(", items AS"):A6_SQL.index(" SELECT i.seq")]
+T1_SQL = (d.with_(d.JOBS, d.STORE, d.BATCH, T1_POSTS).replace("WITH ", "WITH RECURSIVE ", 1)[:-1]
+          + ", canon AS (" + d.canonical_url("posts", "url", "curl", False, "seq, title, company, location, description") + ")"
+          + ", arrivals AS (SELECT seq, coalesce(curl, '') AS url, title, company, location, description FROM canon)"
+          + A6_ROUNDS
+          + ", admitted AS (SELECT a.* FROM arrivals a JOIN rounds r ON a.seq = r.seq AND r.st = 'A')"
+          + ", fresh AS (SELECT * FROM admitted b WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.url = b.url) AND NOT "
+          + SEEN_TC + ")"
+          + f", scored AS (SELECT *, {P11_EXPR} AS reason, {F18_SCORE} AS score FROM fresh)"
+          + ", ins AS (SELECT (SELECT max(id) FROM store) + row_number() OVER (ORDER BY seq) AS id, title, company, url, "
+          "CASE WHEN reason IS NULL AND score >= 70 THEN 'To Apply' ELSE 'Irrelevant' END AS stage FROM scored) "
+          "SELECT id, title, company, url, stage FROM store UNION ALL SELECT id, title, company, url, stage FROM ins")
+ORACLE["T1"] = T1_SQL
+
+# X4 = T1's ingest (keeping the evaluation text and location of new rows),
+# then dedup (A1) -> demotion (P14) -> geo filter (P13) over the whole table
+X4_SQL = (T1_SQL[:T1_SQL.index(", ins AS (")]
+          + ", ins AS (SELECT (SELECT max(id) FROM store) + row_number() OVER (ORDER BY seq) AS id, title, company, url, "
+          "CASE WHEN reason IS NULL AND score >= 70 THEN 'To Apply' ELSE 'Irrelevant' END AS stage, "
+          f"CASE WHEN reason IS NOT NULL THEN {d.rejected_eval('reason', 'location')} ELSE {X3_EVAL} END AS ai_summary, "
+          f"coalesce(location, {d.q(rules.NOT_SPECIFIED)}) AS location FROM scored)"
+          ", allrows AS (SELECT id, title, company, url, stage, ai_summary, location FROM store UNION ALL "
+          "SELECT id, title, company, url, stage, ai_summary, location FROM ins)"
+          f", deduped AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(title)), "
+          f"lower(trim(company)) ORDER BY {RANK} DESC, {d.score('ai_summary')} DESC, id) AS rn FROM allrows) WHERE rn = 1)"
+          f", demoted AS (SELECT * REPLACE (CASE WHEN coalesce({DEMOTE}, false) THEN 'Irrelevant' ELSE stage END AS stage) "
+          "FROM deduped)"
+          f", geo AS (SELECT *, {GEO_REASON} AS geo_reason FROM demoted) "
+          "SELECT id, title, company, url, CASE WHEN geo_reason IS NOT NULL THEN 'Irrelevant' ELSE stage END AS stage FROM geo")
+ORACLE["X4"] = X4_SQL
