@@ -23,10 +23,11 @@ def test_matches_oracle(spark, con, name):
     assert res["ok"], res
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_rows_only_queries_run(spark, name):
-    df = QUERIES[name](spark, SF_SMALL)
-    assert df.count() >= 0 and df.columns
+def test_every_query_has_an_oracle_or_runs(spark):
+    # every registered query has an oracle today; any without one must still run
+    for name in sorted(set(QUERIES) - set(ORACLE)):
+        df = QUERIES[name](spark, SF_SMALL)
+        assert df.count() >= 0 and df.columns, name
 
 
 def test_entry_flagship(spark):
