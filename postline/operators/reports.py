@@ -192,6 +192,9 @@ def breaker_after_check(state: DataFrame, now: Column, threshold: int = rules.BR
 # ---------------------------------------------------------------------------
 # Rendering (F14-F16); inputs are bounded (one row, or a top-k)
 # ---------------------------------------------------------------------------
+# FIXED VALUES -- the message layouts of F14 and F16 below (labels, emoji,
+# line breaks, defaults) must equal the reproduced messages; they are kept
+# inline in their natural order.
 def render_job_message(jobs: DataFrame) -> DataFrame:
     """the single-match message per row."""
     js = F.col("ai_summary")

@@ -342,19 +342,14 @@ def p22(spark, sf):
     return tb.jobs(spark, sf).select("id", ev.recheck_input(F.col("ai_summary")).alias("description"))
 
 
-PROMPT_TAIL = ("\n\nRespond ONLY with a valid JSON object exactly following this schema (no markdown, no code blocks, "
-               "no extra text):\n{\"is_relevant\": true/false, \"match_score\": integer(0-100), \"summary\": \"string\", "
-               "\"location\": \"string\", \"key_features\": \"string\", \"important_qualifications\": \"string\"}\n")
-
-
 def _sql_text(s: str) -> str:
     parts = s.split("\n")
     return " || chr(10) || ".join(d.q(p) for p in parts)
 
 
-@query("P23", DESC + "SELECT id, " + _sql_text("Evaluate this job posting:\n\nJob Title: ") + " || title || "
-       + _sql_text("\nCompany: ") + " || company || " + _sql_text("\nLocation: ") + " || location || "
-       + _sql_text("\nDescription: ") + " || description || " + _sql_text(PROMPT_TAIL) + " AS prompt FROM described")
+@query("P23", DESC + "SELECT id, " + " || ".join(
+    f"{_sql_text(label)} || {col}" for label, col in zip(rules.PROMPT_LABELS, ["title", "company", "location", "description"]))
+    + " || " + _sql_text(rules.PROMPT_TAIL) + " AS prompt FROM described")
 def p23(spark, sf):
     t = tb.described(spark, sf)
     return t.select("id", ev.prompt_text(F.col("title"), F.col("company"), F.col("location"), F.col("description")).alias("prompt"))

@@ -124,6 +124,12 @@ UNKNOWN_COMPANY = "Unknown"
 DEFAULT_CARD_LOCATION = "Israel"
 RECHECK_DEFAULT_TEXT = "Re-evaluating based on updated strict geographical and student rules."
 
+# FIXED VALUES -- scoring prompt (P23): the labelled lines, then the answer schema
+PROMPT_LABELS = ["Evaluate this job posting:\n\nJob Title: ", "\nCompany: ", "\nLocation: ", "\nDescription: "]
+PROMPT_TAIL = ("\n\nRespond ONLY with a valid JSON object exactly following this schema (no markdown, no code blocks, "
+               "no extra text):\n{\"is_relevant\": true/false, \"match_score\": integer(0-100), \"summary\": \"string\", "
+               "\"location\": \"string\", \"key_features\": \"string\", \"important_qualifications\": \"string\"}\n")
+
 # FIXED VALUES -- the six boards: (site, base url, search url prefix, suffix)
 SITES = [
     ("linkedin", "https://www.linkedin.com", "https://www.linkedin.com/jobs/search?keywords=", "&location=Israel&f_AL=true"),
