@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postline.llm import chat, decontam, hdlang, jaccard, license, pieces, quality, urlfilter
+from postline.llm import chat, decontam, hdlang, jaccard, license, pieces, quality, suffix, urlfilter
 from postline.llm.textops import table
 
 
@@ -34,6 +34,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return hdlang.identify(docs.withColumn("held_out", _remainder(3) == 1), ~F.col("held_out"), keep=("held_out",))
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
