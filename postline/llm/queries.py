@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postline.llm import chat, decontam, hdlang, jaccard, license, pieces, quality, suffix, urlfilter
+from postline.llm import brown, chat, decontam, hdlang, jaccard, license, pieces, quality, suffix, urlfilter
 from postline.llm.textops import table
 
 
@@ -15,6 +15,10 @@ def _remainder(n: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
 
 
+def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"), _remainder(5) != 1)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed URLs: those that a feed links to (``utm_source=feed``)."""
     pages = table(spark, sf_dir, "pages")
@@ -62,6 +66,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_brown_scores": op1_brown_scores,
     "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,

@@ -9,8 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postline.llm import decontam, quality
+from postline.llm import decontam, jaccard, pieces, quality, suffix
 from postline.llm.textops import table
 from postline.session import scratch_path, scratch_tables
 
@@ -20,12 +21,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, the one with the least id."""
+    return jaccard.dedup(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; bytes that repeated strings cover are cut from their
+    texts.  ``n_chars`` follows the text."""
+    cut = suffix.dedup(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality_rules), ("decontamination", decontamination)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, with their language and source; ``round_trip``
+    tells that the ids decode to the text."""
+    return pieces.encode(docs, keep=("lang", "source"))
+
+
+STAGES = [("quality_rules", quality_rules), ("jaccard_join", jaccard_join), ("suffix_dedup", suffix_dedup),
+          ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
