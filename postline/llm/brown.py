@@ -5,16 +5,15 @@ text.  The model is a class bigram: P(w | v) = P(class w | class v) *
 P(w | class w), with an end of text before the first word.
 
 Every word has a class, seen in training or not.  The ``WORDS`` most frequent words
-are units of their own; any other word belongs to the unit of its last three bytes
+(that occur ``UNIT_COUNT`` times at least) are units of their own; any other word belongs to the unit of its last three bytes
 (``ENDINGS`` of them).  Units, not single rare words, are clustered, so the model
 has a fixed size, while counts cover all words of the corpus.
 
 Exchange clustering: all units start in a class by rank; a round counts
-for each unit the classes before and after it over the whole training corpus, and
-moves a unit to the class that raises the likelihood of the class bigrams most.  Half of
-the units (by a hash) may move in a round, which keeps simultaneous moves
-from chasing each other; the reducers decide the moves, and only the new class of each unit
-(a table of fixed size) goes to the driver.
+for each unit the classes before and after it over the whole training corpus
+(summed per task, then per block of units), and one pass over the units moves each to the
+class that raises the likelihood of the class bigrams most.  That pass is one task:
+its input has the size of the model, not of the corpus.
 
 Smoothing: transitions fall back on the class's own share with the weight of
 ``PRIOR`` tokens; a word of a class has (count + 0.5) of the class's tokens
@@ -47,6 +46,7 @@ from postline.session import written
 
 CLASSES = 64
 WORDS = 28_672
+UNIT_COUNT = 20              # times that a unit of its own occurs in training at least
 ENDINGS = 4_096
 KNOWN = 1 << 18
 ROUNDS = 6
@@ -199,62 +199,92 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 def best_class(a: int, before: np.ndarray, after: np.ndarray, bigrams: np.ndarray, sizes: np.ndarray) -> tuple[int, float]:
     """The class that suits a unit of class a best, and how much better than a it is (natural log)."""
-    n = after.sum()
-    rest = bigrams.copy()
-    rest[:, a] -= before
-    rest[a, :] -= after
-    np.maximum(rest, 0, out=rest)
+    rows, cols, n = np.flatnonzero(before), np.flatnonzero(after), after.sum()
+    into, out = bigrams[rows], bigrams[:, cols]     # copies without the unit
+    into[:, a] -= before[rows]
+    into[rows == a] -= after
+    out[a] -= after[cols]
+    out[:, cols == a] -= before[:, None]
+    np.maximum(into, 0, out=into)
+    np.maximum(out, 0, out=out)
     size = sizes.copy()
-    size[a] -= n
-    np.maximum(size, 0, out=size)
-    now = _xlogx(rest)
-    gain = ((_xlogx(rest + before[:, None]) - now).sum(0) + (_xlogx(rest + after[None, :]) - now).sum(1)
+    size[a] = max(size[a] - n, 0)
+    gain = ((_xlogx(into + before[rows, None]) - _xlogx(into)).sum(0) + (_xlogx(out + after[cols]) - _xlogx(out)).sum(1)
             - 2 * (_xlogx(size + n) - _xlogx(size)))
     b = int(gain.argmax())
     return b, float(gain[b] - gain[a])
 
 
-def _moves(counted: DataFrame, classes: np.ndarray, turn: int, n_classes: int) -> DataFrame:
-    """(unit, class) of the units that move this turn; and for unit -1 - i the class bigrams of row i."""
-    shared = counted.sparkSession.sparkContext.broadcast(classes)
+def exchange(classes: np.ndarray, blocks: Iterator[tuple[int, np.ndarray]], bigrams: np.ndarray, fixed: int) -> np.ndarray:
+    """One round of the exchange: units in turn, each to its best class.  The
+    bigrams follow every move at once; the counts around a unit are those of
+    the round's start.  Class 0 stays the class of the ``fixed`` unit."""
+    classes, n_classes = classes.copy(), len(bigrams)
+    bigrams = bigrams.astype(float)
+    for first, seen in blocks:
+        seen = seen.reshape(-1, 2 * n_classes)
+        for i in np.flatnonzero(seen.any(1)):
+            unit = first + int(i)
+            a, before, after = int(classes[unit]), seen[i, :n_classes], seen[i, n_classes:]
+            if unit == fixed:
+                continue
+            b, better = best_class(a, before, after, bigrams, bigrams.sum(1))
+            if b and better > 1e-9:
+                bigrams[:, a] -= before
+                bigrams[a] -= after
+                bigrams[:, b] += before
+                bigrams[b] += after
+                np.maximum(bigrams, 0, out=bigrams)
+                classes[unit] = b
+    return classes
+
 
+def _summed(counted: DataFrame, n_classes: int) -> DataFrame:
+    """One row a block: its unit counts (dense) and the class bigrams of the corpus."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, width, now = shared.value, 2 * n_classes, None
-
-        def decide():
-            sizes = bigrams.sum(1)
-            out = []
-            for i in range(BLOCK):
-                unit = now * BLOCK + i
-                row = seen[i * width:(i + 1) * width]
-                if unit < len(of) and row.any() and int(X.mix(np.array([unit * 64 + turn + 1], np.uint64))[0]) & 1:
-                    b, better = best_class(int(of[unit]), row[:n_classes], row[n_classes:], bigrams, sizes)
-                    if better > 1e-9 and b != of[unit]:
-                        out.append((unit, b))
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int32()), pa.array([c for _, c in out], pa.int32())], ["unit", "class"])
+        now, width = None, 2 * n_classes
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([seen.tobytes()], pa.binary()), pa.array([bigrams.tobytes()], pa.binary())],
+                                              ["block", "seen", "bigrams"])
 
         for batch in batches:
             for block, at, n, pairs in zip(*(x.to_pylist() for x in batch.columns)):
                 if block != now:
                     if now is not None:
-                        yield decide()
-                    now, seen, bigrams = block, np.zeros(BLOCK * width), np.zeros((n_classes, n_classes))
+                        yield row()
+                    now, seen, bigrams = block, np.zeros(BLOCK * width), np.zeros(n_classes * n_classes)
                 seen[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
-                bigrams += np.frombuffer(pairs, np.int64).reshape(n_classes, n_classes)
+                bigrams += np.frombuffer(pairs, np.int64)
         if now is not None:
-            yield decide()
-    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(run, "unit int, class int")
+            yield row()
+    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, seen binary, bigrams binary")
+
+
+def _round(summed: DataFrame, classes: np.ndarray, end: int, n_classes: int) -> DataFrame:
+    """The units' classes after a round.  One task: its input, the units' counts by
+    class, has a fixed size (the model's), whatever the corpus."""
+    shared = summed.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(x.to_pylist() for x in batch.columns))]
+        if rows:
+            bigrams = np.frombuffer(rows[0][2]).reshape(n_classes, n_classes)
+            blocks = ((block * BLOCK, np.frombuffer(seen)) for block, seen, _ in sorted(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([exchange(shared.value, blocks, bigrams, end).astype(np.int32).tobytes()], pa.binary())], ["classes"])
+    return summed.repartition(1).mapInArrow(run, "classes binary")
 
 
 def cluster(sequences: DataFrame, n_units: int, end: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """The class of every unit.  The end of text has a class of its own (0)."""
     classes = (np.arange(n_units) % (n_classes - 1) + 1).astype(np.int32)
     classes[end] = 0
-    for turn in range(rounds):
-        moves = _moves(_context_counts(sequences, classes, n_units, end, n_classes), classes, turn, n_classes).toArrow()
-        unit, to = np.asarray(moves.column(0).combine_chunks()), np.asarray(moves.column(1).combine_chunks())
-        stay = (unit == end) | (to == 0)
-        classes[unit[~stay]] = to[~stay]
+    for _ in range(rounds):
+        counted = _context_counts(sequences, classes, n_units, end, n_classes)
+        moved = _round(_summed(counted, n_classes), classes, end, n_classes).first()
+        if moved is None or np.array_equal(found := np.frombuffer(moved[0], np.int32), classes):
+            break
+        classes = found
     return classes
 
 
@@ -278,7 +308,7 @@ def class_bigrams(sequences: DataFrame, classes: np.ndarray, end: int, n_classes
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", n_classes: int = CLASSES,
-          rounds: int = ROUNDS, known_words: int = KNOWN, unit_words: int = WORDS) -> DataFrame:
+          rounds: int = ROUNDS, known_words: int = KNOWN, unit_words: int = WORDS, unit_count: int = UNIT_COUNT) -> DataFrame:
     """Learn from the rows where ``training`` holds; score all rows: doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity."""
     spark = docs.sparkSession
@@ -293,7 +323,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     known = frequent(counts, known_words)
     known_names = np.array([w for w, _ in known], np.int64).view(np.uint64)
     known_counts = np.array([n for _, n in known], np.float64)
-    own = [i for i, w in enumerate(known_names) if w != END][:unit_words]
+    own = [i for i, (w, n) in enumerate(zip(known_names, known_counts)) if w != END and n >= unit_count][:unit_words]
     end, first_ending = len(own), len(own) + 1
     unit = np.full(len(known), -1)
     unit[own] = np.arange(len(own))
