@@ -5,21 +5,20 @@ Exact, yet without sorting a suffix for every byte.  Suffixes are sampled at
 *anchors*: a position is one if the hash of its ``gram`` leading bytes is the least
 in some window of ``length`` bytes.  The choice depends on the window's bytes
 alone, so two equal windows have an anchor at the same place, and every
-window contains the whole leading gram of one of its anchors.  An anchor's *context* is
-all that such windows can see: up to ``length - gram`` bytes before it and
-``length`` bytes after it.  Windows of one anchor that repeat cover one run of bytes
-around it, so each context needs two numbers: how far it is covered to the left and to the right.
-
-1. Contexts are counted by (hash of the gram, hash of the context), a partial
-   aggregate.  One that occurs twice is covered whole.  An anchor whose gram
-   occurs once is covered nowhere.  Only contexts that occur once, in a gram
-   that has several, are left open, with one of each context they can share with.
-2. These suffixes are range-partitioned by their leading bytes (Spark samples the
-   splitters; the number of buckets follows the number of suffixes).  Each bucket is
-   sorted by multikey quicksort; suffixes with a common gram are then
-   neighbours and are compared to the left and right.  A run that the bucket's
-   boundary cuts is known by its length (the gram's number of contexts
-   is known) and is compared with its other part across the boundary, in a second pass.
+window belongs to an anchor whose leading gram it contains.  An anchor's *context* is
+all that its windows see, from some bytes before it to at most ``length`` bytes after
+it.  Windows of one anchor that repeat cover one run of bytes around it, so each context
+needs two numbers: how far it is covered to the left and to the right.
+
+1. Grams that occur once are covered nowhere and go first (partial aggregates of
+   hashes).  The other contexts are counted by their hash: one that occurs twice
+   is covered whole.  A context that occurs once, in a gram that has several, is open.
+2. Open contexts and one of each context they may share with are fetched.  Splitters,
+   sampled from the suffixes' leading bytes, range-partition them; equal grams stay in
+   one bucket (suffixes that start with several splitters are spread by their gram), so
+   nothing has to be compared across a boundary that could match.  Buckets are sorted
+   by multikey quicksort; the common lengths of neighbours, and those of
+   the sorted left sides, give the classes of equal windows for each offset.
 3. Grams with more than ``GROUP`` contexts are never gathered.  Their windows are
    split into bands of offsets: contexts that share all a band can see are
    covered in it, those that share nothing of what all its windows see are not, and
@@ -51,10 +50,12 @@ from postline.llm import textops as X
 from postline.session import written
 
 LENGTH = 400
-GRAM = 96
-GROUP = 64
-BANDS = (48, 6, 1)
-BUCKET_ROWS = 50_000         # suffixes sorted in one task
+GRAM = 192
+GROUP = 20_000               # contexts of one gram compared in one task at most
+BANDS = (105, 15, 3, 1)
+BUCKET_ROWS = 40_000         # suffixes sorted in one task
+MAX_RANGES = 4_096           # ranges of leading bytes; more buckets than that share ranges
+MAX_GRAMS = 1_000_000        # repeated grams that may be broadcast
 PIECE = 1 << 22              # bytes of one text read at once
 MAX_IDS = 500_000            # text names that may be broadcast
 SEED = 6
@@ -95,14 +96,24 @@ class Finder:
         inside[offsets[:-1][long]] += 1
         inside[offsets[1:][long] - length + 1] -= 1
         least = least * (np.cumsum(inside[:len(least)]) > 0)
+        # runs of windows with one least value; an anchor holds that value in all of them that contain it
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        last = np.append(first[1:], len(least)) - 1
+        first, last = first[least[first] > 0], last[least[first] > 0]
+        value = least[first].astype(np.uint64) << np.uint64(32)
         around = np.zeros(len(least) + 2 * (self.windows - 1), np.uint32)
         around[self.windows - 1:self.windows - 1 + len(least)] = least
         at = np.flatnonzero(self._slide(around, np.maximum) == rank)
+        key = np.sort(rank[at].astype(np.uint64) << np.uint64(32) | at.astype(np.uint64))
+        lo = np.searchsorted(key, value | first.astype(np.uint64))
+        hi = np.searchsorted(key, value | (last + self.windows - 1).astype(np.uint64), side="right")
+        run = np.repeat(np.arange(len(first)), hi - lo)
+        at = (key[np.arange(len(run)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        begin = np.maximum(first[run], at - self.windows + 1)
+        end = np.minimum(last[run], at) + length
         text = np.searchsorted(offsets, at, side="right") - 1
-        left = np.minimum(at - offsets[text], length - gram)
-        right = np.minimum(offsets[text + 1] - at, length)
-        context = X.mix(X.mix((sums[at + right] - sums[at - left]) * down[at - left]) + (left * 1024 + right).astype(np.uint64))
-        return at, text, grams[at], context, left, right
+        context = X.mix(X.mix((sums[end] - sums[begin]) * down[begin]) + ((at - begin) * 1024 + end - at).astype(np.uint64))
+        return at, text, grams[at], context, at - begin, end - at
 
 
 def _text(docs: DataFrame, text_col: str):
@@ -110,8 +121,9 @@ def _text(docs: DataFrame, text_col: str):
 
 
 def anchors(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Rows (g, c, t, at): gram hash, context hash, text name, and position
-    with the context's extent (packed: position, 10 bits left, 10 bits right)."""
+    """Rows (g, c, t, at, lead): gram hash, context hash, text name, position with
+    the context's extent (packed: position, 10 bits left, 10 bits right), and the
+    suffix's first bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(length, gram)
         for batch in X.slices(batches, "text"):
@@ -126,11 +138,15 @@ def anchors(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
                 mine = (at + lo >= own) & (at + lo < to)
                 at, text, g, c, left, right = (x[mine] for x in (at, text, g, c, left, right))
                 place = at + lo - offsets[text]
-                yield pa.RecordBatch.from_arrays([X.int64(g), X.int64(c), pa.array(names[text]), pa.array(place << 20 | left << 10 | right)], ["g", "c", "t", "at"])
+                lead = np.zeros(len(at), np.int64)
+                for k in range(min(7, gram)):
+                    lead = lead << 8 | data[at + lo + k]
+                yield pa.RecordBatch.from_arrays([X.int64(g), X.int64(c), pa.array(names[text]), pa.array(place << 20 | left << 10 | right), pa.array(lead)],
+                                                 ["g", "c", "t", "at", "lead"])
 
     text = _text(docs, text_col)
     return (docs.where(F.octet_length(text) >= length).select(F.xxhash64(text).alias("t"), text.alias("text"))
-            .mapInArrow(run, "g long, c long, t long, at long"))
+            .mapInArrow(run, "g long, c long, t long, at long, lead long"))
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -159,91 +175,62 @@ def _matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(v.ljust(width, b"\x00") for v in values), np.uint8).reshape(len(values), width), size
 
 
-def _common(m: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length of the common start of rows i and j."""
-    differ = m[i] != m[j]
-    first = np.where(differ.any(1), differ.argmax(1), m.shape[1])
-    return np.minimum(first, np.minimum(size[i], size[j]))
+def _common(m: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Length of the common start of each row and the one before it (0 for the first)."""
+    out = np.zeros(len(m), np.int64)
+    for a in range(1, len(m), 8192):
+        b = min(a + 8192, len(m))
+        differ = m[a:b] != m[a - 1:b - 1]
+        out[a:b] = np.where(differ.any(1), differ.argmax(1), m.shape[1])
+    out[1:] = np.minimum(out[1:], np.minimum(size[1:], size[:-1]))
+    return out
 
 
-def compare(suffix: list[bytes], left: list[bytes], bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Within each run bounds[k]:bounds[k+1] of suffixes with a common gram:
+def compare(suffix: list[bytes], left: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorts the suffixes of some contexts; returns their order and, in that order,
     how far each context is covered to the left and right (0, 0: not at all)."""
-    s, s_size = _matrix(suffix, length)
-    p, p_size = _matrix(left, length - gram)
-    to_left, to_right = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
-    size = np.diff(bounds)
-    for m in np.unique(size[size > 1]).tolist():
-        i0, j0 = np.triu_indices(m, 1)
-        begins = bounds[:-1][size == m]
-        step = max(1, 8192 // len(i0))
-        for at in range(0, len(begins), step):
-            i = (begins[at:at + step, None] + i0).ravel()
-            j = (begins[at:at + step, None] + j0).ravel()
-            right, before = _common(s, s_size, i, j), _common(p, p_size, i, j)
-            hit = right + before >= length
-            for rows in (i[hit], j[hit]):
-                np.maximum.at(to_left, rows, before[hit])
-                np.maximum.at(to_right, rows, right[hit])
-    return to_left, to_right
-
-
-_RESOLVED = "g long, c long, l int, r int, suffix binary, left binary, m int"
-
-
-def _resolved(g, c, l, r, suffix, left, m) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(l, pa.int32()), pa.array(r, pa.int32()),
-                                       pa.array(suffix, pa.binary()), pa.array(left, pa.binary()), pa.array(m, pa.int32())],
-                                      ["g", "c", "l", "r", "suffix", "left", "m"])
-
-
-def _sort_buckets(length: int, gram: int):
-    """Task function of step 2: sort the bucket, compare whole runs; rows of
-    runs that the boundary cuts come back with their bytes and no result."""
-    width = -(-length // 8) * 8
-
+    width = lambda n: -(-n // 8) * 8
+    s, s_size = _matrix(suffix, width(length))
+    order = multikey_quicksort(s.view(">u8").astype(np.uint64))
+    s, s_size, left = s[order], s_size[order], [left[i] for i in order]
+    n = len(order)
+    near = _common(s, s_size)                       # with the row before
+    group = np.cumsum(near < gram)
+    p, p_size = _matrix(left, max(8, width(length - gram)))
+    by_left = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8), p], 1)
+    back = multikey_quicksort(by_left.view(">u8").astype(np.uint64))
+    near_left = _common(by_left[back], p_size[back] + 8) - 8    # below 0: another group
+    to_left, to_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    many = np.bincount(group, minlength=int(group[-1]) + 1)[group] > 1
+    for offset in range(0, length - gram + 1):
+        can = many & (p_size >= offset) & (s_size >= length - offset)
+        if not can.any():
+            continue
+        right_class = np.cumsum(near < length - offset)
+        left_class = np.empty(n, np.int64)
+        left_class[back] = np.cumsum(near_left < offset)
+        at = np.flatnonzero(can)
+        key = right_class[at] * (n + 1) + left_class[at]
+        ranked = np.argsort(key)
+        same = key[ranked][1:] == key[ranked][:-1]
+        twice = at[ranked[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
+        to_left[twice] = offset
+        to_right[twice] = np.maximum(to_right[twice], length - offset)
+    return order, to_left, to_right
+
+
+def _buckets(length: int, gram: int):
+    """Task function of step 2: all rows of a bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
         if not found:
             return
         rows = pa.Table.from_batches(found)
-        g, c, m = (np.asarray(rows.column(x).combine_chunks()) for x in ("g", "c", "m"))
-        suffix, left = (rows.column(x).to_pylist() for x in ("suffix", "left"))
-        s, size = _matrix(suffix, width)
-        order = multikey_quicksort(s.copy().view(">u8").astype(np.uint64))
-        near = _common(s, size, order[:-1], order[1:]) >= gram if len(order) > 1 else np.zeros(0, bool)
-        bounds = np.flatnonzero(np.concatenate([[True], ~near, [True]]))
-        g, c, m = g[order], c[order], m[order]
-        suffix, left = [suffix[i] for i in order], [left[i] for i in order]
-        whole = np.diff(bounds) == m[bounds[:-1]]
-        l, r = compare(suffix, left, bounds, length, gram)
-        whole = np.repeat(whole, np.diff(bounds))
-        if (done := np.flatnonzero(whole & (l + r > 0))).size:
-            yield _resolved(g[done], c[done], l[done], r[done], [None] * len(done), [None] * len(done), m[done])
-        if (cut := np.flatnonzero(~whole)).size:
-            yield _resolved(g[cut], c[cut], [None] * len(cut), [None] * len(cut), [suffix[i] for i in cut], [left[i] for i in cut], m[cut])
-    return run
-
-
-def _across_boundaries(length: int, gram: int):
-    """Task function of the second pass: rows come sorted by g."""
-    def flush(rows):
-        g = np.array([x[0] for x in rows])
-        bounds = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-        l, r = compare([x[2] for x in rows], [x[3] for x in rows], bounds, length, gram)
-        hit = np.flatnonzero(l + r > 0)
-        return _resolved(g[hit], [rows[i][1] for i in hit], l[hit], r[hit], *[[None] * len(hit)] * 3)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns)):
-                if len(rows) > 5000 and rows[-1][0] != row[0]:
-                    yield flush(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield flush(rows)
+        order, l, r = compare(rows.column("suffix").to_pylist(), rows.column("left").to_pylist(), length, gram)
+        hit = l + r > 0
+        at = pa.array(order[hit])
+        yield pa.RecordBatch.from_arrays([rows.column("g").combine_chunks().take(at), rows.column("c").combine_chunks().take(at),
+                                          pa.array(l[hit].astype(np.int32)), pa.array(r[hit].astype(np.int32))], ["g", "c", "l", "r"])
     return run
 
 
@@ -297,26 +284,29 @@ def _by_bands(contexts: DataFrame, length: int, gram: int) -> DataFrame | None:
     return found.groupBy("g", "c").agg(F.max("last").cast("int").alias("l"), (length - F.min("first")).cast("int").alias("r"))
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """The bytes of wanted contexts (t, at, g, c, n, m): suffix, and what is to the left, reversed."""
+def _contexts(docs: DataFrame, wanted: DataFrame, text_col: str, length: int, cuts: np.ndarray, share: int = 1) -> DataFrame:
+    """The bytes of wanted contexts (t, at, g, c, n, lead): suffix, and what is to the left, reversed; and the bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches, "text", 1 << 20):
-            out = []
-            for text, places in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
-                raw = text.as_py()
-                for p in places:
-                    at, l, r = p["at"] >> 20, p["at"] >> 10 & 1023, p["at"] & 1023
-                    out.append((p["g"], p["c"], p["n"], p["m"], raw[at:at + r], raw[at - l:at][::-1]))
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                                              pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())],
-                                             ["g", "c", "n", "m", "suffix", "left"])
+            raw = [x.as_py() for x in batch.column(0).cast(pa.binary())]
+            lists = batch.column(1)
+            owner = np.repeat(np.arange(len(raw)), np.asarray(lists.value_lengths())).tolist()
+            places = lists.flatten()
+            at = np.asarray(places.field("at"))
+            place, left, right = (at >> 20).tolist(), (at >> 10 & 1023).tolist(), (at & 1023).tolist()
+            suffixes = [raw[i][a:a + r] for i, a, r in zip(owner, place, right)]
+            before = [raw[i][a - l:a][::-1] for i, a, l in zip(owner, place, left)]
+            for k in range(0, len(owner), 2000):
+                own = places.slice(k, 2000)
+                bucket = bucket_of(np.asarray(own.field("lead")), np.asarray(own.field("g")), cuts, share).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(own.field(x) for x in ("g", "c", "n")), pa.array(bucket), pa.array(suffixes[k:k + 2000], pa.binary()),
+                                                  pa.array(before[k:k + 2000], pa.binary())], ["g", "c", "n", "bucket", "suffix", "left"])
 
     text = _text(docs, text_col)
-    places = wanted.groupBy("t").agg(F.collect_list(F.struct("at", "g", "c", "n", "m")).alias("places"))
+    places = wanted.groupBy("t").agg(F.collect_list(F.struct("at", "g", "c", "n", "lead")).alias("places"))
     texts = docs.where(F.octet_length(text) >= length).select(F.xxhash64(text).alias("t"), text.alias("text"))
     texts = _having(texts, wanted.select("t")).groupBy("t").agg(F.first("text").alias("text"))
-    return texts.join(places, "t").select("text", "places").mapInArrow(run, "g long, c long, n long, m int, suffix binary, left binary")
+    return texts.join(places, "t").select("text", "places").mapInArrow(run, "g long, c long, n long, bucket int, suffix binary, left binary")
 
 
 def _having(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -325,33 +315,50 @@ def _having(texts: DataFrame, names: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(names), "t", "left_semi") if names.count() <= MAX_IDS else texts
 
 
-def covered(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def _splitters(wanted: DataFrame, ranges: int) -> np.ndarray:
+    """Quantiles of the suffixes' leading bytes (a sketch of bounded size)."""
+    cuts = wanted.agg(F.percentile_approx("lead", [i / ranges for i in range(1, ranges)], F.lit(10 * ranges))).first()[0] if ranges > 1 else None
+    return np.array(cuts or [], np.int64)
+
+
+def bucket_of(lead: np.ndarray, g: np.ndarray, cuts: np.ndarray, share: int) -> np.ndarray:
+    """The bucket of each suffix: its range among the splitters (where one
+    value is several splitters, one of their ranges, by the gram), and one of
+    ``share`` parts of that range by the gram."""
+    lo, hi = np.searchsorted(cuts, lead, "left"), np.searchsorted(cuts, lead, "right")
+    g = X.mix(g.astype(np.int64).view(np.uint64))
+    at = np.where(hi > lo, lo + 1 + (g % np.maximum(hi - lo, 1).astype(np.uint64)).astype(np.int64), hi)
+    return at * share + (g >> np.uint64(32)).astype(np.int64) % share
+
+
+def covered(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP,
+            bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(t, spans): for every text (named by its hash) with covered bytes, the covered intervals, which may overlap."""
+    spark = docs.sparkSession
     found = written(anchors(docs, text_col, length, gram), "suffix_anchors")
-    counted = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("t", "at")).alias("one"))
-    counted = written(counted.select("g", "c", "n", "one.t", "one.at"), "suffix_counted")
-    grams = (counted.groupBy("g").agg(F.count("*").cast("int").alias("m"), F.sum("n").alias("total"), F.min("n").alias("least"))
-             .where("total > 1").select("g", "m", "least"))
-    shared = written(counted.join(grams, "g"), "suffix_shared")
+    grams = found.groupBy("g").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").select("g", "mixed")
+    grams = written(grams, "suffix_grams")
+    repeated = found.join(F.broadcast(grams) if grams.count() <= MAX_GRAMS else grams, "g")
+    shared = repeated.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("t", "at")).alias("one"), F.first("lead").alias("lead"), F.first("mixed").alias("mixed"))
+    shared = written(shared.select("g", "c", "n", "one.t", "one.at", "lead", "mixed"), "suffix_shared")
     cover = shared.where("n > 1").select("g", "c", F.shiftright("at", 10).bitwiseAND(F.lit(1023)).cast("int").alias("l"),
                                          F.col("at").bitwiseAND(F.lit(1023)).cast("int").alias("r"))
-    left_open = shared.where("m > 1 and least = 1")
-    contexts = written(_contexts(docs, left_open, text_col, length, gram), "suffix_contexts")
-    small = contexts.where(F.col("m") <= group)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-small.count() // BUCKET_ROWS))
-    sorted_ = written(small.select("g", "c", "m", "suffix", "left").repartitionByRange(parts, "suffix", "left").mapInArrow(
-        _sort_buckets(length, gram), _RESOLVED), "suffix_sorted")
-    crossing = (sorted_.where("l is null").select("g", "c", "suffix", "left").repartition("g").sortWithinPartitions("g")
-                .mapInArrow(_across_boundaries(length, gram), _RESOLVED))
-    resolved = sorted_.where("l is not null").select("g", "c", "l", "r").unionByName(crossing.select("g", "c", "l", "r"))
-    once = shared.where("n = 1").select("g", "c")
+    sizes = shared.where("mixed").groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1").select("g", "m")
+    wanted = written(shared.where("mixed").join(sizes, "g"), "suffix_wanted")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // bucket_rows))
+    ranges = min(parts, MAX_RANGES)
+    share = -(-parts // ranges)
+    once = shared.where("mixed and n = 1").select("g", "c")
+    small = wanted.where(F.col("m") <= group)
+    small = _contexts(docs, small, text_col, length, _splitters(small, ranges), share).repartitionById(ranges * share, F.col("bucket"))
+    resolved = small.select("g", "c", "suffix", "left").mapInArrow(_buckets(length, gram), "g long, c long, l int, r int")
     cover = cover.unionByName(resolved.join(once, ["g", "c"], "left_semi"))
-    large = contexts.where(F.col("m") > group)
+    large = wanted.where(F.col("m") > group)
     if not large.isEmpty():
-        cover = cover.unionByName(_by_bands(large, length, gram).join(once, ["g", "c"], "left_semi"))
-    cover = written(cover, "suffix_cover")
+        contexts = written(_contexts(docs, large, text_col, length, np.zeros(0, np.int64)).drop("bucket"), "suffix_contexts")
+        cover = cover.unionByName(_by_bands(contexts, length, gram).join(once, ["g", "c"], "left_semi"))
     place = F.shiftright("at", 20)
-    return (found.join(cover, ["g", "c"]).select("t", (place - F.col("l")).alias("a"), (place + F.col("r")).alias("b"))
+    return (repeated.join(written(cover, "suffix_cover"), ["g", "c"]).select("t", (place - F.col("l")).alias("a"), (place + F.col("r")).alias("b"))
             .groupBy("t").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
 
@@ -371,22 +378,31 @@ def _cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(ends, [*[a for a, _ in runs], len(raw)]))
 
 
-def _touched(docs: DataFrame, text_col: str, **options) -> tuple[DataFrame, DataFrame]:
-    """Documents with covered bytes (with their spans), and all others."""
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _touched(docs: DataFrame, text_col: str, found: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Documents with covered bytes (their spans in the column ``found``), and all others."""
+    t = _fresh(docs, "_text_name")
     spans = written(covered(docs, text_col, **options), "suffix_spans")
-    named = docs.withColumn("_t", F.xxhash64(_text(docs, text_col)))
-    spans = spans.withColumnRenamed("t", "_t").withColumnRenamed("spans", "_spans")
+    named = docs.withColumn(t, F.xxhash64(_text(docs, text_col)))
+    spans = spans.select(F.col("t").alias(t), F.col("spans").alias(found))
     if spans.count() <= MAX_IDS:   # untouched texts need no shuffle
-        names = F.broadcast(spans.select("_t"))
-        return named.join(names, "_t", "left_semi").join(spans.hint("shuffle_hash"), "_t").drop("_t"), named.join(names, "_t", "left_anti").drop("_t")
-    both = named.join(spans.hint("shuffle_hash"), "_t", "left").drop("_t")
-    return both.where("_spans is not null"), both.where("_spans is null").drop("_spans")
+        names = F.broadcast(spans.select(t))
+        return named.join(names, t, "left_semi").join(spans.hint("shuffle_hash"), t).drop(t), named.join(names, t, "left_anti").drop(t)
+    both = named.join(spans.hint("shuffle_hash"), t, "left").drop(t)
+    return both.where(F.col(found).isNotNull()), both.where(F.col(found).isNull()).drop(found)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    touched, rest = _touched(docs, "text", **options)
+    touched, rest = _touched(docs, "text", "_spans", **options)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,16 +425,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 def dedup(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All documents and columns, covered bytes cut from the text.  Bytes of
     a character that a cut leaves incomplete go too, so the text stays text."""
-    touched, rest = _touched(docs, text_col, **options)
+    found, cut_col = _fresh(docs, "_spans"), _fresh(docs, "_cut")
+    touched, rest = _touched(docs, text_col, found, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches, "_cut"):
-            at = batch.schema.get_field_index("_cut")
+        for batch in X.slices(batches, cut_col):
+            at = batch.schema.get_field_index(cut_col)
             texts = [_cut(text.as_py() or b"", merged(spans)).decode("utf-8", "ignore")
                      for text, spans in zip(batch.column(at).cast(pa.binary()), batch.column(at + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], batch.schema.names[:at + 1])
 
     others = [c for c in docs.columns if c != text_col]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    cut = touched.select(*others, F.col(text_col).alias("_cut"), "_spans").mapInArrow(run, f"{shape}, _cut string")
-    return rest.select(*docs.columns).unionByName(cut.withColumnRenamed("_cut", text_col).select(*docs.columns))
+    shape = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text_col)
+    cut = touched.select(*others, F.col(text_col).alias(cut_col), found).mapInArrow(run, f"{shape}`{cut_col}` string")
+    return rest.select(*docs.columns).unionByName(cut.withColumnRenamed(cut_col, text_col).select(*docs.columns))
