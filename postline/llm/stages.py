@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from postline.llm import decontam, jaccard, pieces, quality, suffix
 from postline.llm.textops import table
-from postline.session import scratch_path, scratch_tables
+from postline.session import remember_scratch, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = scratch_path(spark, f"pipeline_{name}_{uuid.uuid4().hex}")
-            docs.write.parquet(path)
-            scratch_tables().append(path)
+            docs.write.parquet(remember_scratch(path))
             docs = spark.read.parquet(path)
     return docs
