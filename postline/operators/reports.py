@@ -74,7 +74,7 @@ def top_new_matches(matches: DataFrame, k: int = 3) -> DataFrame:
     return matches.orderBy(F.col("score").desc(), F.col("id")).limit(k)
 
 
-def evict_cache(results: DataFrame, keep: int = rules.CACHE_MAX_ENTRIES) -> DataFrame:
+def evict_cache(results: DataFrame, keep: int) -> DataFrame:
     """K5: the newest ``keep`` cache entries by expiry."""
     return results.orderBy(F.col("expiry").desc(), F.col("task_key")).limit(keep)
 
@@ -170,18 +170,42 @@ def health_report(metrics: DataFrame) -> DataFrame:
         "total_requests", F.col("total_jobs_found").alias("jobs_found"))
 
 
-def breaker_state(attempts: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
-                  recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
-    """A site's breaker is open iff its trailing failures reach the
-    threshold and the last failure is no more than ``recovery`` seconds old.
-    The state is the one after a check at ``now``: a count at the threshold
-    whose last failure is older than ``recovery`` is reset to 0."""
-    return breaker_after_check(trailing_failures(attempts), now, threshold, recovery_seconds)
+def breaker_counts(attempts: DataFrame, threshold: int = rules.BREAKER_THRESHOLD,
+                   recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
+    """The failure count that every site's breaker holds after all its attempts
+    (site, trailing_failures, last_failure_ts).
+
+    Each attempt first asks whether the breaker is open; a count at the threshold
+    whose last failure is more than ``recovery`` seconds old restarts at 0.  A success sets
+    it to 0.  So only failures after the last success count, and of these the gaps of more than the
+    window matter.  They are reduced (partial aggregate) to one row for each site
+    and window-long time slot: within a slot no gap is that long.  The slots of a
+    site, whose number is bounded by the time spanned and not by its attempts, are folded in
+    order."""
+    last_ok = attempts.groupBy("site").agg(F.max(F.when(F.col("success"), F.struct("ts", "id"))).alias("_ok"))
+    after = F.col("_ok").isNull() | (F.struct("ts", "id") > F.col("_ok"))
+    failed = attempts.where(~F.col("success")).join(last_ok, "site").where(after)
+    width = max(1, int(recovery_seconds * 1_000_000))
+    slots = failed.groupBy("site", F.floor(F.unix_micros("ts") / width).alias("_slot")).agg(
+        F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b"), F.count(F.lit(1)).alias("n"))
+    per_site = slots.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("a", "b", "n"))).alias("_slots"))
+
+    def step(s, x):
+        restart = (s["n"] >= threshold) & (x["a"] - s["b"] > recovery_seconds * 1_000_000)
+        return F.struct((F.when(restart, F.lit(0).cast("bigint")).otherwise(s["n"]) + x["n"]).alias("n"), x["b"].alias("b"))
+
+    count = F.aggregate("_slots", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("b")), step)["n"]
+    last = attempts.groupBy("site").agg(F.max(F.when(~F.col("success"), F.col("ts"))).alias("last_failure_ts"))
+    counts = per_site.select("site", count.alias("_n"))
+    return last.join(counts, "site", "left").select("site", F.coalesce("_n", F.lit(0)).cast("bigint").alias("trailing_failures"), "last_failure_ts")
 
 
-def breaker_after_check(state: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
-                        recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
-    """(site, trailing_failures, last_failure_ts) -> (site, trailing_failures, is_open) after a check at ``now``."""
+def breaker_state(attempts: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
+                  recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
+    """(site, trailing_failures, is_open) after a check at ``now``: open iff
+    the count has reached the threshold and the last failure is no more than
+    ``recovery`` seconds old; a count at the threshold whose last failure is older is reset to 0."""
+    state = breaker_counts(attempts, threshold, recovery_seconds)
     age = (F.unix_micros(now) - F.unix_micros(F.col("last_failure_ts"))) / 1e6
     reached = F.col("trailing_failures") >= threshold
     is_open = F.coalesce(reached & (age <= recovery_seconds), F.lit(False))
@@ -200,27 +224,28 @@ def render_job_message(jobs: DataFrame) -> DataFrame:
     js = F.col("ai_summary")
     text = F.concat(
         F.lit("\U0001F916 *New Job Match!*\n\n*"), F.col("title"), F.lit("* at "), F.col("company"),
-        F.lit("\n\U0001F4CD "), ev.json_field(js, "location", rules.NOT_SPECIFIED),
-        F.lit(" | \U0001F3AF Score: "), F.coalesce(ev.json_field(js, "match_score", "None"), F.lit("None")),
-        F.lit("/100\n✨ "), ev.json_field(js, "key_features", "N/A"),
-        F.lit("\n\nSummary: "), ev.json_field(js, "summary", "None"),
+        F.lit("\n\U0001F4CD "), ev.json_text(js, "location", rules.NOT_SPECIFIED),
+        F.lit(" | \U0001F3AF Score: "), ev.json_text(js, "match_score", "None"),
+        F.lit("/100\n✨ "), ev.json_text(js, "key_features", "N/A"),
+        F.lit("\n\nSummary: "), ev.json_text(js, "summary", "None"),
         F.lit("\n\nApply here: "), F.col("url"))
     return jobs.select("id", text.alias("message"))
 
 
 def render_top_jobs(top: DataFrame, dashboard_link: str = "") -> DataFrame:
-    """F16: numbered list of the top jobs (input already limited, K3)."""
+    """F16: numbered list of the top jobs (input already limited, K3), whole; a
+    sender's length limit is the outbox's (``state.outbox_sink``)."""
     js = F.col("ai_summary")
-    summary = ev.json_field(js, "summary", "")
-    feats = ev.json_field(js, "key_features", "")
+    summary = ev.json_text(js, "summary", "")
+    feats = ev.json_text(js, "key_features", "")
     w = W.orderBy(F.col("score").desc(), F.col("id"))
     item = F.concat(
         F.lit("*"), F.col("rank").cast("string"), F.lit(". "), F.coalesce(F.col("title"), F.lit("Unknown")), F.lit("*\n"),
         F.lit("   @ "), F.coalesce(F.col("company"), F.lit("Unknown")), F.lit("\n"),
-        F.lit("   Score: "), F.col("score").cast("string"), F.lit("/100 | "), ev.json_field(js, "location", rules.NOT_SPECIFIED),
+        F.lit("   Score: "), F.col("score").cast("string"), F.lit("/100 | "), ev.json_text(js, "location", rules.NOT_SPECIFIED),
         F.lit("\n"),
-        F.when(summary != "", F.concat(F.lit("   "), summary, F.lit("\n"))).otherwise(F.lit("")),
-        F.when(feats != "", F.concat(F.lit("   "), feats, F.lit("\n"))).otherwise(F.lit("")),
+        F.when(ev.json_truthy(js, "summary"), F.concat(F.lit("   "), summary, F.lit("\n"))).otherwise(F.lit("")),
+        F.when(ev.json_truthy(js, "key_features"), F.concat(F.lit("   "), feats, F.lit("\n"))).otherwise(F.lit("")),
         F.lit("   Apply: "), F.coalesce(F.col("url"), F.lit("")), F.lit("\n\n"))
     ranked = top.withColumn("rank", F.row_number().over(w)).withColumn("_item", item)
     msg = ranked.agg(F.count(F.lit(1)).alias("n"),
@@ -228,7 +253,7 @@ def render_top_jobs(top: DataFrame, dashboard_link: str = "") -> DataFrame:
     text = F.concat(F.lit("*Top "), F.col("n").cast("string"), F.lit(" Job Matches*\n\n"), F.coalesce(F.col("_body"), F.lit("")),
                     F.lit(f"Dashboard: {dashboard_link}" if dashboard_link else ""))
     stripped = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return msg.select(ev.truncate_text(stripped, rules.MESSAGE_LIMIT, rules.TRUNCATION_SUFFIX).alias("message"))
+    return msg.select(stripped.alias("message"))
 
 
 # FIXED VALUES -- scan summary message text (labels in display order)
@@ -255,17 +280,17 @@ SUMMARY_LINK = "\n\U0001F4F1 *View Kanban Dashboard:*\n"
 
 
 def render_scan_summary(summary: DataFrame, top3: DataFrame, dashboard_link: str = "") -> DataFrame:
-    """KPI block, tier block, top-3 block and link; truncated, stripped.
+    """KPI block, tier block, top-3 block and link, stripped.
     ``summary`` is G4's one row; ``top3`` is K4's output (score, title, company,
     url, ai_summary)."""
     js = F.col("ai_summary")
-    feats = ev.json_field(js, "key_features", "")
+    feats = ev.json_text(js, "key_features", "")
     w = W.orderBy(F.col("score").desc(), F.col("id"))
     item = F.concat(
         F.lit("  "), F.col("rank").cast("string"), F.lit(". *"), F.col("title"), F.lit("* @ "), F.col("company"),
-        F.lit(PICK_LOCATION), ev.json_field(js, "location", "N/A"),
+        F.lit(PICK_LOCATION), ev.json_text(js, "location", "N/A"),
         F.lit(PICK_SCORE), F.col("score").cast("string"), F.lit("/100\n"),
-        F.when(feats != "", F.concat(F.lit(PICK_FEATURES), feats, F.lit("\n"))).otherwise(F.lit("")),
+        F.when(ev.json_truthy(js, "key_features"), F.concat(F.lit(PICK_FEATURES), feats, F.lit("\n"))).otherwise(F.lit("")),
         F.lit(PICK_LINK), F.col("url"), F.lit("\n"))
     picks = (top3.withColumn("rank", F.row_number().over(w)).withColumn("_item", item)
              .agg(F.expr("listagg(_item, '') WITHIN GROUP (ORDER BY rank)").alias("_picks")))
@@ -282,5 +307,4 @@ def render_scan_summary(summary: DataFrame, top3: DataFrame, dashboard_link: str
                        F.concat(F.lit(SUMMARY_PICKS_HEAD), F.col("_picks"))).otherwise(F.lit(""))
     link = F.lit(f"{SUMMARY_LINK}{dashboard_link}" if dashboard_link else "")
     msg = F.concat(head, top_block, link)
-    truncated = ev.truncate_text(msg, rules.MESSAGE_LIMIT, rules.TRUNCATION_SUFFIX)
-    return one.select(F.regexp_replace(truncated, r"(?U)^\s+|\s+$", "").alias("message"))
+    return one.select(F.regexp_replace(msg, r"(?U)^\s+|\s+$", "").alias("message"))

@@ -9,19 +9,24 @@ which readers skip.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postline import rules
 from postline.functions import urls
+from postline.functions.evaluation import truncate_text
 from postline.operators import dedup
 
 
 def append_new(jobs: DataFrame, batch: DataFrame, now: Column, first_id: Column | None = None) -> DataFrame:
     """Rows to insert: canonical URL, URL conflicts (with stored rows or
     earlier batch rows) silently skipped, ``date_found`` stamped, new ids
-    continuing after the stored maximum in arrival order."""
-    b = batch.withColumn("url", urls.normalize_url(F.col("url")))
+    continuing after the stored maximum in arrival order.  Rows without a
+    title, company or URL are left out first: the table forbids them."""
+    b = batch.where(F.col("title").isNotNull() & F.col("company").isNotNull() & F.col("url").isNotNull())
+    b = b.withColumn("url", urls.normalize_url(F.col("url")))
     # stored URLs restricted to the batch's URLs first (bounded by the batch)
     known = jobs.select("url").join(b.select("url").distinct(), "url", "left_semi").distinct()
     b = b.join(known, "url", "left_anti")
@@ -91,40 +96,87 @@ def _versions(spark: SparkSession, root: str, complete_only: bool = True) -> lis
 
 
 def has_marker(spark: SparkSession, root: str, marker: str) -> bool:
-    """Whether a complete version carries ``marker`` (see ``write_version``)."""
-    for v in reversed(_versions(spark, root)):
-        fs, p = _fs(spark, f"{root.rstrip('/')}/v={v:06d}/{marker}")
-        if fs.exists(p):
-            return True
-    return False
+    """Whether the newest complete version carries ``marker`` (see ``write_version``)."""
+    vs = _versions(spark, root)
+    if not vs:
+        return False
+    fs, p = _fs(spark, f"{root.rstrip('/')}/v={vs[-1]:06d}/{marker}")
+    return fs.exists(p)
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest complete version with its deltas: inserted rows added, then
+    the last update of each id laid over (S8)."""
     vs = _versions(spark, root)
     if not vs:
         return None
-    return spark.read.parquet(f"{root.rstrip('/')}/v={vs[-1]:06d}")
+    base = spark.read.parquet(f"{root.rstrip('/')}/v={vs[-1]:06d}")
+    inserts, updates = (read_deltas(spark, root, kind) for kind in ("inserts", "updates"))
+    if inserts is not None:
+        base = base.unionByName(inserts.drop("_n"), allowMissingColumns=True)
+    if updates is not None:
+        last = updates.groupBy("id").agg(F.max(F.struct("_n", "seq", "new_stage", "new_sub_stage")).alias("u"))
+        base = apply_updates(base, last.select("id", "u.new_stage", "u.new_sub_stage"))
+    return base
 
 
 def write_version(df: DataFrame, root: str, partition_by: str | None = "stage", marker: str | None = None) -> str:
-    """Write ``df`` as the next version; partitioned by stage so S1's stage
-    predicate prunes folders.  ``marker`` (a name starting with '_', which
-    readers ignore) is created inside the version folder before the data:
-    it becomes visible exactly when the version completes, so "this batch
-    was applied" and the version itself commit together."""
+    """Write ``df`` as the next version (without deltas); partitioned by stage so
+    S1's stage predicate prunes folders.  The data are written beside and renamed
+    to the version's folder, so two writers never mix files in one version.  ``marker`` is
+    a file in it (its name starts with '_', which readers ignore)."""
     spark = df.sparkSession
     vs = _versions(spark, root, complete_only=False)
     target = f"{root.rstrip('/')}/v={(vs[-1] + 1 if vs else 1):06d}"
-    if marker:
-        fs, p = _fs(spark, f"{target}/{marker}")
-        fs.create(p, False).close()
-    w = df.write.mode("append" if marker else "errorifexists")
+    made = f"{root.rstrip('/')}/_writing_{uuid.uuid4().hex}"
+    w = df.write
     if partition_by:
         w = w.partitionBy(partition_by)
-    w.parquet(target)
+    w.parquet(made)
+    if marker:
+        fs, p = _fs(spark, f"{made}/{marker}")
+        fs.create(p, False).close()
+    fs, p = _fs(spark, target)
+    if fs.exists(p) or not fs.rename(_fs(spark, made)[1], p):
+        raise RuntimeError(f"another job wrote {target}")
     return target
 
 
-def outbox_sink(messages: DataFrame, path: str) -> None:
-    """Rendered messages as rows for an external sender (append)."""
-    messages.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
+# A version's deltas: what micro-batches added to it.  The bytes written
+# follow the batch, not the table; ``write_version(read_latest(...))``
+# compacts.  A delta is a folder ``<number>-<tag>`` under ``d=<version>/<kind>``; the
+# tag names the stream and its micro-batch, so a replayed batch is found.
+def _deltas(spark: SparkSession, root: str, kind: str, version: int | None = None) -> list[str]:
+    """Folders of complete deltas, of the newest version or of ``version``, in order."""
+    vs = _versions(spark, root)
+    fs, path = _fs(spark, f"{root.rstrip('/')}/d={(vs[-1] if version is None else version):06d}/{kind}")
+    if not fs.exists(path):
+        return []
+    found = [st.getPath() for st in fs.listStatus(path)]
+    return sorted(p.toString() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_deltas(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
+    paths = _deltas(spark, root, kind)
+    return spark.read.parquet(*paths) if paths else None
+
+
+def has_delta(spark: SparkSession, root: str, kind: str, tag: str) -> bool:
+    return any(p.endswith(f"-{tag}") for v in _versions(spark, root) for p in _deltas(spark, root, kind, v))
+
+
+def write_delta(df: DataFrame, root: str, kind: str, tag: str) -> None:
+    spark = df.sparkSession
+    n = len(_deltas(spark, root, kind)) + 1
+    target = f"{root.rstrip('/')}/d={_versions(spark, root)[-1]:06d}/{kind}/{n:06d}-{tag}"
+    df.withColumn("_n", F.lit(n)).write.mode("overwrite").parquet(target)
+
+
+def outbox_sink(messages: DataFrame, path: str, batch: str, limit: int | None = None) -> str:
+    """Rendered messages as rows for an external sender.  Each batch is a
+    folder of its own, overwritten when the batch is delivered again, so a replay doubles
+    nothing.  ``limit`` is the sender's message length (P24), none by default."""
+    text = F.col("message") if limit is None else truncate_text(F.col("message"), limit, rules.TRUNCATION_SUFFIX)
+    target = f"{path.rstrip('/')}/batch={batch}"
+    messages.withColumns({"message": text, "created_at": F.current_timestamp()}).write.mode("overwrite").parquet(target)
+    return target

@@ -122,34 +122,44 @@ def valid_classification(c: Column) -> Column:
             & (c["new_sub_stage"].isNull() | c["new_sub_stage"].isin(rules.SUB_STAGES)))
 
 
-def invalid_classifications(classified: DataFrame) -> DataFrame:
-    """Relevant classifications that ``mail_updates`` leaves out, for an error table."""
-    k = F.col("classification")
-    return filters.relevant_updates(classified).where(~F.coalesce(valid_classification(k), F.lit(False)))
-
-
-def mail_updates(messages: DataFrame, jobs: DataFrame, classifier: Callable | None = None,
-                 active_stages: list[str] | None = None, validate: bool = True) -> DataFrame:
+def mail_outcomes(messages: DataFrame, jobs: DataFrame, classifier: Callable | None = None,
+                  active_stages: list[str] | None = None, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Section 3.2 as one job: J3 -> X2 -> P21 -> J4 -> A4.  Returns the
-    updates (id, seq, new_stage, new_sub_stage) to apply with S8.
+    updates (id, seq, new_stage, new_sub_stage) to apply with S8, and the relevant
+    classifications that name no known stage (for an error table; none of
+    them without ``validate``).
 
     Every job of a company receives the same messages, so the last relevant
     message per company decides each of its jobs (A4): the messages are
     reduced per company (partial max) before the fan-out join (J4), which
     then yields one row per job instead of messages x jobs.  ``active_stages``
-    defaults to To Apply + In Process (Applied is not tracked, Q16);
-    classifications with an unknown stage are left out (``validate``)."""
+    defaults to To Apply + In Process (Applied is not tracked, Q16).  A user
+    classifier's output is written once, since both results read it."""
     active = filters.active_jobs(jobs, active_stages)
     companies = joins.company_index(active)
     matched = joins.match_company(messages, companies)
     with_text = matched.join(messages.select("seq", "subject", "body"), "seq")
     classified = scoring.classify_messages(with_text, classifier)
-    relevant = filters.relevant_updates(classified)
-    if validate:
-        relevant = relevant.where(F.coalesce(valid_classification(F.col("classification")), F.lit(False)))
-    latest = relevant.groupBy("company_key").agg(
-        F.max(F.struct(F.col("seq"), F.col("classification.new_stage").alias("new_stage"),
-                       F.col("classification.new_sub_stage").alias("new_sub_stage"))).alias("_u"))
+    relevant = filters.relevant_updates(classified).select("seq", "company_key", "classification")
+    if classifier is not None:
+        relevant = written(relevant, "classified")
+    valid = F.coalesce(valid_classification(F.col("classification")), F.lit(False)) if validate else F.lit(True)
+    latest = latest_per_company(relevant.where(valid))
     fanned = joins.fan_out_updates(latest, active)
-    return fanned.select("id", F.col("_u.seq").alias("seq"), F.col("_u.new_stage").alias("new_stage"),
-                         F.col("_u.new_sub_stage").alias("new_sub_stage"))
+    updates = fanned.select("id", "seq", "new_stage", "new_sub_stage")
+    return updates, relevant.where(~valid)
+
+
+def latest_per_company(relevant: DataFrame) -> DataFrame:
+    """The last relevant message of each company (company_key, seq, new_stage,
+    new_sub_stage): a partial max, so its number is bounded by the companies."""
+    c = F.col("classification")
+    return relevant.groupBy("company_key").agg(
+        F.max(F.struct(F.col("seq"), c["new_stage"].alias("new_stage"), c["new_sub_stage"].alias("new_sub_stage"))).alias("_u")
+    ).select("company_key", "_u.*")
+
+
+def mail_updates(messages: DataFrame, jobs: DataFrame, classifier: Callable | None = None,
+                 active_stages: list[str] | None = None, validate: bool = True) -> DataFrame:
+    """The updates of ``mail_outcomes``."""
+    return mail_outcomes(messages, jobs, classifier, active_stages, validate)[0]

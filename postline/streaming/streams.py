@@ -1,29 +1,31 @@
 """Structured Streaming forms of the pipeline.
 
 The batch operators are reused unchanged: a stream either applies them
-per row (T2 dedup, T5 windowed counts) or hands each micro-batch to
-``foreachBatch`` (T1 ingest, T3 mail updates, T4 breaker state), which
-reads the current table version, applies the batch operators and writes
-the next version.
-
-Exactly-once with a non-transactional table: the version written for
-micro-batch ``b`` is ``v = b + 1``.  A replayed batch (after a driver or
-executor loss) finds its version already complete and does nothing; an
-interrupted write leaves a folder without ``_SUCCESS`` that readers skip
-and the replay overwrites.
+per row (T2 dedup) or hands each micro-batch to ``foreachBatch`` (T1 ingest, T3
+mail updates, T4 breaker state, T5 hourly metrics).  T1, T3 and T5 write what
+the micro-batch adds and nothing else; T4 rewrites its own small state.
+
+Exactly-once with a non-transactional table: what a micro-batch writes is a
+folder named after it.  A replayed batch (after a driver or executor loss) finds
+its folder complete and does nothing; an interrupted write leaves a folder
+without ``_SUCCESS``, which readers skip and the replay overwrites.
+
+No row is dropped for being late: T2 keeps every key it has passed, T4 keeps what a
+late success could change, T5 adds partial counts up when they are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postline import rules
-from postline.operators import dedup, state
+from postline.operators import state
 from postline.plans import cycle
-from postline.session import drop_scratch, scratch_path
+from postline.session import drop_scratch, remember_scratch, scratch_path, written
 from postline.sources import mail
 
 
@@ -75,32 +77,35 @@ def seed_table(df: DataFrame, root: str) -> str:
 # Ingest stream
 # ---------------------------------------------------------------------------
 def ingest_stream(spark: SparkSession, postings_path: str, store_root: str, checkpoint: str,
-                  schema, now: Column | None = None, scorer: Callable | None = None, every: str | None = None):
+                  schema, now: Column | None = None, scorer: Callable | None = None, every: str | None = None,
+                  files_per_batch: int | None = None):
     """New posting files -> in-batch admission, seen check, pre-filter,
-    scoring, routing and append (``cycle.ingest``), one store version per
-    micro-batch."""
-    postings = spark.readStream.schema(schema).parquet(postings_path)
+    scoring, routing and append (``cycle.ingest``).  Each micro-batch writes
+    its inserted rows as a delta of the store (``state.read_latest`` reads them)."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    tag = _stream_tag(checkpoint)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        target = _version_path(store_root, batch_id)
-        if _done(spark, target):
+        if state.has_delta(spark, store_root, "inserts", f"{tag}-{batch_id:09d}"):
             return                                             # replayed batch: already applied
-        store = _base_version(spark, store_root, batch_id)
         stamp = F.current_timestamp() if now is None else now
-        step = cycle.ingest(store, batch, stamp, scorer)
-        step["store"].write.mode("overwrite").parquet(target)
+        step = cycle.ingest(state.read_latest(spark, store_root), batch, stamp, scorer)
+        state.write_delta(step["inserted"], store_root, "inserts", f"{tag}-{batch_id:09d}")
         drop_scratch(spark)           # the batch's lineage cuts are no longer read
 
-    return run_stream(postings.writeStream.foreachBatch(per_batch), checkpoint, every)
+    return run_stream(reader.parquet(postings_path).writeStream.foreachBatch(per_batch), checkpoint, every)
 
 
 # ---------------------------------------------------------------------------
 # Stream dedup
 # ---------------------------------------------------------------------------
-def stream_dedup(stream: DataFrame, key: str = "url", event_time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """A posting is passed on the first time its key is seen; the state
-    for a key is dropped once the watermark passes (bounded state)."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+def stream_dedup(stream: DataFrame, key: str = "url") -> DataFrame:
+    """A posting is passed on the first time its key is seen, and never
+    again.  The state is one entry a key, kept for good (in RocksDB, see
+    ``session.SESSION_DEFAULTS``): dropping keys after a while would pass old postings again."""
+    return stream.dropDuplicates([key])
 
 
 # ---------------------------------------------------------------------------
@@ -112,74 +117,59 @@ def read_message_table_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema("seq bigint, content binary").parquet(path)
 
 
+def _stream_tag(checkpoint: str) -> str:
+    return hashlib.md5(checkpoint.encode("utf-8")).hexdigest()[:12]
+
+
 def mail_updates_stream(spark: SparkSession, raw_path: str, jobs_root: str, checkpoint: str,
-                        classifier: Callable | None = None, every: str | None = None):
+                        classifier: Callable | None = None, every: str | None = None, raw: DataFrame | None = None):
     """Each micro-batch of raw messages is parsed (S5), matched against a
     snapshot of the active jobs taken once per batch (J3), classified (X2),
-    fanned out (J4), reduced to the last update per job (A4) and applied
-    (S8) as the next jobs version."""
-    raw = read_message_table_stream(spark, raw_path)
+    fanned out (J4), reduced to the last update per job (A4) and written as a delta of
+    updates, which readers lay over the table (S8).  Messages that can't be parsed
+    and classifications that may not be applied go to the delta ``errors`` (seq, error).
+    ``raw`` replaces the message table, e.g. by ``mail.read_messages_stream``."""
+    raw = read_message_table_stream(spark, raw_path) if raw is None else raw
+    tag = _stream_tag(checkpoint)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        target = _version_path(jobs_root, batch_id)
-        if _done(spark, target):
+        name = f"{tag}-{batch_id:09d}"
+        if state.has_delta(spark, jobs_root, "updates", name):
             return
-        jobs = _base_version(spark, jobs_root, batch_id)
-        parsed = mail.parse_messages(batch).where(F.col("error").isNull())
-        updates = cycle.mail_updates(parsed, jobs, classifier)
-        state.apply_updates(jobs, updates).write.mode("overwrite").parquet(target)
+        jobs = state.read_latest(spark, jobs_root)
+        if "seq" not in batch.columns:
+            batch = mail.number_messages(batch, batch_id)
+        parsed = written(mail.parse_messages(batch), "parsed")
+        updates, invalid = cycle.mail_outcomes(parsed.where(F.col("error").isNull()), jobs, classifier)
+        errors = parsed.where(F.col("error").isNotNull()).select("seq", "error").unionByName(
+            invalid.select("seq", F.concat(F.lit("classification not applied: "), F.to_json("classification")).alias("error")))
+        state.write_delta(errors, jobs_root, "errors", name)
+        state.write_delta(updates, jobs_root, "updates", name)      # last: it marks the batch as applied
+        drop_scratch(spark)
 
     return run_stream(raw.writeStream.foreachBatch(per_batch), checkpoint, every)
 
 
-def mail_updates_stream_into(spark: SparkSession, raw_path: str, store: str, checkpoint: str,
-                             classifier: Callable | None = None) -> None:
-    """T3 into a table that other jobs also version (the command line's
-    store).  Each micro-batch writes the next version with the marker
-    ``_applied_<stream>-<batch>`` inside it; the marker and the version
-    complete together, so a replayed batch whose marker is in a complete
-    version is skipped and every batch is applied exactly once."""
-    import hashlib
-    tag = hashlib.md5(checkpoint.encode("utf-8")).hexdigest()[:12]
-    raw = read_message_table_stream(spark, raw_path)
-
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        marker = f"_applied_{tag}-{batch_id:09d}"
-        if state.has_marker(spark, store, marker):
-            return
-        jobs = state.read_latest(spark, store)
-        parsed = mail.parse_messages(batch).where(F.col("error").isNull())
-        updates = cycle.mail_updates(parsed, jobs, classifier)
-        state.write_version(state.apply_updates(jobs, updates), store, marker=marker)
-
-    run_available_now(raw.writeStream.foreachBatch(per_batch), checkpoint)
-
-
 # ---------------------------------------------------------------------------
 # T4: breaker state per site
 # ---------------------------------------------------------------------------
-BREAKER_STATE = "site string, trailing_failures bigint, last_failure_ts timestamp"
+BREAKER_STATE = "site string, ts timestamp, id bigint, success boolean"
 
 
 def merge_breaker_state(old: DataFrame, batch: DataFrame) -> DataFrame:
-    """New per-site state from the old state and one micro-batch of attempts
-    (later than everything before).  The batch is first reduced to one row
-    per site natively (A5, partial aggregation), so a hot site costs one
-    row in the merge join: a success in the batch restarts the count,
-    otherwise the batch's failures add to it."""
-    seg = dedup.trailing_failures(batch).select(
-        "site", F.col("trailing_failures").alias("_seg"), F.col("last_failure_ts").alias("_seg_ts"),
-        F.col("has_success").alias("_ok"))
-    j = old.join(seg, "site", "full_outer")
-    count = F.when(F.col("_seg").isNull(), F.col("trailing_failures")) \
-        .when(F.col("_ok"), F.col("_seg")) \
-        .otherwise(F.coalesce(F.col("trailing_failures"), F.lit(0)) + F.col("_seg"))
-    last = F.greatest(F.col("last_failure_ts"), F.col("_seg_ts"))
-    return j.select("site", count.cast("bigint").alias("trailing_failures"), last.alias("last_failure_ts"))
+    """The attempts that still count after one more micro-batch: per site the
+    last success (by time, then id) and the failures after it.  Attempts may
+    come in any order and more than once; what an earlier or later success does to
+    them is decided by their time, not by their batch."""
+    every = old.unionByName(batch.select("site", "ts", "id", "success")).dropDuplicates(["site", "ts", "id", "success"])
+    order = F.struct(F.col("ts"), F.col("id"))
+    last = every.where("success").groupBy("site").agg(F.max(order).alias("_last"))
+    kept = every.join(last, "site", "left").where(F.col("_last").isNull() | (order >= F.col("_last")))
+    return kept.drop("_last")
 
 
 def breaker_stream(spark: SparkSession, attempts: DataFrame, state_root: str, checkpoint: str) -> None:
-    """T4: keeps the per-site consecutive-failure state as a versioned table."""
+    """T4: keeps the attempts that decide each site's breaker as a versioned table."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         target = _version_path(state_root, batch_id)
         if _done(spark, target):
@@ -193,43 +183,37 @@ def breaker_stream(spark: SparkSession, attempts: DataFrame, state_root: str, ch
 def breaker_open(st: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
                  recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
     """G7 over the streamed state."""
-    from postline.operators.reports import breaker_after_check
-    return breaker_after_check(st, now, threshold, recovery_seconds)
+    from postline.operators.reports import breaker_state
+    return breaker_state(st, now, threshold, recovery_seconds)
 
 
 # ---------------------------------------------------------------------------
 # T5: attempts per site per hour
 # ---------------------------------------------------------------------------
-def cycle_metrics(attempts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """T5: attempts, successes and postings found per site per tumbling
-    hour; the watermark bounds the window state."""
-    return (attempts.withWatermark("ts", delay)
-            .groupBy(F.window("ts", "1 hour").alias("w"), "site")
+def cycle_metrics(attempts: DataFrame) -> DataFrame:
+    """T5: attempts, successes and postings found per site per tumbling hour."""
+    return (attempts.groupBy(F.window("ts", "1 hour").alias("w"), "site")
             .agg(F.count(F.lit(1)).cast("bigint").alias("attempts"),
                  F.count_if(F.col("success")).cast("bigint").alias("successes"),
                  F.coalesce(F.sum("jobs_found"), F.lit(0)).cast("bigint").alias("jobs_found")))
 
 
-def cycle_metrics_stream(spark: SparkSession, attempts: DataFrame, out_path: str, checkpoint: str,
-                         delay: str = "1 hour") -> None:
-    """T5 sink: update mode; every micro-batch appends its changed window
-    rows tagged with the batch id (readers keep the newest per window)."""
-    agg = cycle_metrics(attempts, delay)
-
+def cycle_metrics_stream(spark: SparkSession, attempts: DataFrame, out_path: str, checkpoint: str) -> None:
+    """T5 sink: every micro-batch writes the counts of its own rows, in a folder of its own."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        cycle_metrics(batch).write.mode("overwrite").parquet(_version_path(out_path, batch_id))
 
-    run_available_now(agg.writeStream.outputMode("update").foreachBatch(per_batch), checkpoint)
+    run_available_now(attempts.writeStream.foreachBatch(per_batch), checkpoint)
 
 
 def read_cycle_metrics(spark: SparkSession, out_path: str) -> DataFrame:
-    """Latest value of every (window, site) written by ``cycle_metrics_stream``."""
-    rows = spark.read.parquet(out_path)
-    return dedup.keep_best(rows, ["w", "site"], [-F.col("batch_id")]).drop("batch_id")
+    """The counts of all micro-batches added up; late rows count in their hour."""
+    parts = spark.read.parquet(*[f"{out_path.rstrip('/')}/v={v:06d}" for v in state._versions(spark, out_path)])
+    return parts.groupBy("w", "site").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("attempts", "successes", "jobs_found")])
 
 
 def stream_scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     """A fresh (data, checkpoint) folder pair in the shared checkpoint folder."""
     import uuid
-    base = scratch_path(spark, f"stream_{name}_{uuid.uuid4().hex}")
+    base = remember_scratch(scratch_path(spark, f"stream_{name}_{uuid.uuid4().hex}"))
     return f"{base}/data", f"{base}/checkpoint"

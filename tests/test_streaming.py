@@ -23,17 +23,25 @@ def _split_by_time(df, parts, path):
         w.where(F.col("_b") == b).drop("_b").coalesce(1).write.mode("append").parquet(path)
 
 
-def test_breaker_state_over_micro_batches(spark):
+def _shuffled(df, parts, path):
+    """Write ``df`` as ``parts`` files (one per micro-batch), each with rows of all times."""
+    for b in range(parts):
+        df.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_breaker_state_over_late_micro_batches(spark):
     a = tb.attempts(spark, SF_SMALL)
+    now = F.lit(a.agg(F.max("ts")).first()[0])
     base = scratch_path(spark, f"test_breaker_{uuid.uuid4().hex}")
-    _split_by_time(a, 3, f"{base}/in")
+    _shuffled(a, 4, f"{base}/in")
     stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     streams.seed_table(spark.createDataFrame([], streams.BREAKER_STATE), f"{base}/state")
     streams.breaker_stream(spark, stream, f"{base}/state", f"{base}/ck")
     st = state.read_latest(spark, f"{base}/state")
-    batch = dedup.trailing_failures(a)
-    assert rows(st, "site", "trailing_failures", "last_failure_ts") == rows(batch, "site", "trailing_failures",
-                                                                         "last_failure_ts")
+    assert rows(streams.breaker_open(st, now)) == rows(reports.breaker_state(a, now))
+    failures = st.where("not success").groupBy("site").agg(F.count("*").alias("n"))
+    want = dedup.trailing_failures(a).where("trailing_failures > 0").select("site", "trailing_failures")
+    assert rows(failures) == rows(want)          # nothing but what still counts is kept
     # a second run over the same checkpoint finds nothing new and changes nothing
     streams.breaker_stream(spark, stream, f"{base}/state", f"{base}/ck")
     assert rows(state.read_latest(spark, f"{base}/state")) == rows(st)
@@ -54,42 +62,98 @@ def test_ingest_stream_equals_batch_ingest(spark):
     assert rows(streamed, *cols) == rows(batch_store, *cols)
 
 
-def test_mail_stream_equals_batch(spark):
+def _bytes(spark, path):
+    fs, p = state._fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
+def test_ingest_writes_deltas_and_replays_nothing(spark):
+    """Three files, a micro-batch each: equal to three batch ingests in turn; the
+    seed (partitioned by stage) is not written again, and a lost checkpoint's replay of an applied batch does nothing."""
+    store, batch = tb.store_and_batch(spark, SF_SMALL)
+    postings = batch.select(F.col("id").alias("seq"), "title", "company", "url", "location",
+                            F.concat_ws(" ", F.col("title"), F.lit("position")).alias("description"))
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    base = scratch_path(spark, f"test_delta_{uuid.uuid4().hex}")
+    root = state.write_version(store, f"{base}/store").rpartition("/")[0]
+    seed = _bytes(spark, f"{root}/v=000001")
+    want = store
+    for k in (1, 3, 5):
+        part = postings.where(F.col("seq") % 6 == k)
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        want = cycle.ingest(want, part, now)["store"]
+    streams.ingest_stream(spark, f"{base}/in", root, f"{base}/ck", postings.schema, now=now, files_per_batch=1)
+    cols = ("id", "url", "stage")
+    got = state.read_latest(spark, root)
+    assert rows(got, *cols) == rows(want, *cols)
+    assert state._versions(spark, root) == [1] and _bytes(spark, f"{root}/v=000001") == seed
+    assert len(state._deltas(spark, root, "inserts")) == 3
+    streams.ingest_stream(spark, f"{base}/in", root, f"{base}/ck", postings.schema, now=now, files_per_batch=1)
+    assert rows(state.read_latest(spark, root), *cols) == rows(want, *cols)
+    state.write_version(state.read_latest(spark, root), root)               # compaction
+    assert state._deltas(spark, root, "inserts") == [] and rows(state.read_latest(spark, root), *cols) == rows(want, *cols)
+
+
+def test_mail_stream_over_micro_batches_equals_batches(spark):
     from postline.sources.mail import render_rfc822
     jobs = tb.mail_jobs(spark, SF_SMALL).withColumn("sub_stage", F.lit(None).cast("string"))
     msgs = tb.messages(spark, SF_SMALL)
     base = scratch_path(spark, f"test_mail_{uuid.uuid4().hex}")
-    render_rfc822(msgs).write.parquet(f"{base}/raw")
+    want = jobs
+    cut = msgs.agg(F.expr("percentile(seq, 0.5)")).first()[0]
+    for part in (msgs.where(F.col("seq") <= cut), msgs.where(F.col("seq") > cut)):
+        render_rfc822(part).coalesce(1).write.mode("append").parquet(f"{base}/raw")
+        want = state.apply_updates(want, cycle.mail_updates(part, want))
     streams.seed_table(jobs, f"{base}/jobs")
-    streams.mail_updates_stream(spark, f"{base}/raw", f"{base}/jobs", f"{base}/ck")
-    streamed = state.read_latest(spark, f"{base}/jobs")
-    batch = state.apply_updates(jobs, cycle.mail_updates(msgs, jobs))
-    assert rows(streamed, "id", "stage", "sub_stage") == rows(batch, "id", "stage", "sub_stage")
+    raw = spark.readStream.schema("seq bigint, content binary").option("maxFilesPerTrigger", 1).parquet(f"{base}/raw")
+    streams.mail_updates_stream(spark, "", f"{base}/jobs", f"{base}/ck", raw=raw)
+    assert rows(state.read_latest(spark, f"{base}/jobs"), "id", "stage", "sub_stage") == rows(want, "id", "stage", "sub_stage")
+    assert len(state._deltas(spark, f"{base}/jobs", "updates")) == 2
+
+
+def test_mail_from_files_with_errors(spark, tmp_path):
+    """.eml files: numbered by arrival; what can't be parsed or applied goes to the error table."""
+    import os
+    jobs = spark.createDataFrame([(1, "acme", "To Apply", None), (2, "beta corp", "To Apply", None)], "id long, company string, stage string, sub_stage string")
+    jobs = jobs.withColumn("date_found", F.lit("2024-01-01").cast("timestamp"))
+    mails = {"b": ("hr@acme.com", "Subject: hi\r\n", "unfortunately"), "a": ("hr@acme.com", "Subject: hi\r\n", "x" * 3000 + " hr screen"),
+             "c": ("x@beta.com", "", "no subject"), "d": ("x@beta.com", "Subject: odd\r\n", "offer")}
+    for k, (name, (sender, subject, body)) in enumerate(mails.items()):
+        path = tmp_path / f"{name}.eml"
+        path.write_text(f"From: {sender}\r\n{subject}Content-Type: text/plain\r\n\r\n{body}")
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    (tmp_path / "note.txt").write_text("no mail")
+    from postline.sources import mail
+    read = mail.parse_messages(mail.read_messages(spark, str(tmp_path))).orderBy("seq").collect()
+    assert [(r.seq, (r.body or "")[:3], r.error is None) for r in read] == [(1, "unf", True), (2, "xxx", True), (3, "", False), (4, "off", True)]
+    assert len(read[2].error) > 5
+
+    def classifier(subject, body, company):
+        if subject == "odd":
+            return {"is_relevant_update": True, "new_stage": "Hired!!", "new_sub_stage": None}
+        return {"is_relevant_update": True, "new_stage": "Declined" if "unfort" in body else "In Process", "new_sub_stage": None}
+
+    base = scratch_path(spark, f"test_eml_{uuid.uuid4().hex}")
+    streams.seed_table(jobs, f"{base}/jobs")
+    streams.mail_updates_stream(spark, "", f"{base}/jobs", f"{base}/ck", classifier, raw=mail.read_messages_stream(spark, str(tmp_path)))
+    assert rows(state.read_latest(spark, f"{base}/jobs"), "id", "stage") == [(1, "In Process"), (2, "To Apply")]
+    errors = state.read_deltas(spark, f"{base}/jobs", "errors").orderBy("seq").collect()
+    assert [e.seq for e in errors] == [3, 4] and "Hired!!" in errors[1].error
 
 
-def test_hourly_metrics_stream_equals_batch(spark):
+def test_hourly_metrics_stream_equals_batch_with_late_rows(spark):
     a = tb.attempts(spark, SF_SMALL)
     base = scratch_path(spark, f"test_metrics_{uuid.uuid4().hex}")
-    stream = spark.readStream.schema(tb.read(spark, SF_SMALL, "events").schema) \
-        .option("pathGlobFilter", "events.parquet").parquet(SF_SMALL).selectExpr(*tb.ATTEMPTS)
-    streams.cycle_metrics_stream(spark, stream, f"{base}/out", f"{base}/ck")
+    _shuffled(a, 4, f"{base}/in")
+    for _ in range(2):
+        stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        streams.cycle_metrics_stream(spark, stream, f"{base}/out", f"{base}/ck")
     got = streams.read_cycle_metrics(spark, f"{base}/out").select(F.col("w.start").alias("h"), "site", "attempts", "successes")
     want = a.groupBy(F.date_trunc("hour", "ts").alias("h"), "site").agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if("success").alias("successes"))
     assert rows(got) == rows(want, "h", "site", "attempts", "successes")
 
 
-def test_breaker_stream_open_flags_match_batch(spark):
-    a = tb.attempts(spark, SF_SMALL)
-    now = F.lit(a.agg(F.max("ts")).first()[0])
-    base = scratch_path(spark, f"test_open_{uuid.uuid4().hex}")
-    a.write.parquet(f"{base}/in")
-    streams.seed_table(spark.createDataFrame([], streams.BREAKER_STATE), f"{base}/state")
-    streams.breaker_stream(spark, spark.readStream.schema(a.schema).parquet(f"{base}/in"), f"{base}/state", f"{base}/ck")
-    got = streams.breaker_open(state.read_latest(spark, f"{base}/state"), now)
-    assert rows(got) == rows(reports.breaker_state(a, now))
-
-
 def test_incremental_cycle_equals_full_cycle(spark):
     """Second cycle over the output of a first one: incremental == full."""
     store, batch = tb.store_and_batch(spark, SF_SMALL)
@@ -114,18 +178,15 @@ def test_incremental_cycle_equals_full_cycle(spark):
     assert inc["message"].first()[0] == full["message"].first()[0]
 
 
-def test_stream_dedup_across_micro_batches(spark):
+def test_stream_dedup_across_late_micro_batches(spark):
     e = tb.read(spark, SF_SMALL, "events")
     arr = e.withColumn("n", F.lit(e.count())).selectExpr(*tb.ARRIVALS, "CAST(ts AS TIMESTAMP) AS ts", "event_id AS id")
     base = scratch_path(spark, f"test_dedup_{uuid.uuid4().hex}")
-    _split_by_time(arr, 3, f"{base}/in")
+    _shuffled(arr, 3, f"{base}/in")
     stream = spark.readStream.schema(arr.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = (streams.stream_dedup(stream, delay="40 days").writeStream.format("parquet")
-         .option("path", f"{base}/out"))
-    streams.run_available_now(q, f"{base}/ck")
+    streams.run_available_now(streams.stream_dedup(stream).writeStream.format("parquet").option("path", f"{base}/out"), f"{base}/ck")
     out = spark.read.parquet(f"{base}/out")
-    assert out.count() == arr.select("url").distinct().count()          # each URL passed once, over 3 batches
-    assert out.select("url").distinct().count() == out.count()
+    assert rows(out.select("url")) == rows(arr.select("url").distinct())      # each URL passed once, over 3 batches
 
 
 def test_continuous_ingest_picks_up_new_files(spark):
