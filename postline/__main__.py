@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from postline import rules
 from postline.operators import dedup, filters, reports, state
 from postline.plans import cycle
 from postline.session import drop_scratch, get_session
@@ -41,14 +43,18 @@ def cmd_init(spark, a):
     print(state.write_version(state.evolve_schema(old), a.store))
 
 
+CYCLED = "_cycled"      # marks a version that a finished cycle wrote
+
+
 def cmd_cycle(spark, a):
+    """Only a store that a finished cycle wrote, and nothing has changed since, may
+    be cycled incrementally; such a store is, unless ``--full`` is given."""
+    incremental = not a.full and state.has_marker(spark, a.store, CYCLED) and state.read_deltas(spark, a.store, "inserts") is None \
+        and state.read_deltas(spark, a.store, "updates") is None
     store = _latest(spark, a.store)
     postings = tb.scan_postings(spark, a.postings)
-    if "seq" not in postings.columns:
-        postings = postings.withColumn("seq", F.monotonically_increasing_id())
-    out = cycle.run_cycle(store, postings, F.current_timestamp(), dashboard_link=a.link or "",
-                          incremental=a.incremental)
-    print(state.write_version(out["store"], a.store))
+    out = cycle.run_cycle(store, postings, F.current_timestamp(), dashboard_link=a.link or "", incremental=incremental)
+    print(state.write_version(out["store"], a.store, marker=CYCLED))
     print(out["message"].first()["message"])
 
 
@@ -75,19 +81,21 @@ def cmd_cleanup(spark, a):
 def cmd_stats(spark, a):
     jobs = _latest(spark, a.store)
     reports.stage_counts(jobs).orderBy("stage").show(truncate=False)
-    dedup.duplicate_groups(jobs).orderBy(F.col("cnt").desc(), "norm_title", "norm_company", "id").show(50, truncate=False)
+    groups = dedup.duplicate_groups(jobs).orderBy(F.col("cnt").desc(), "norm_title", "norm_company", "id")
+    groups.write.mode("overwrite").parquet(a.out)
+    print(f"duplicate groups: {a.out}")
 
 
 def cmd_top(spark, a):
     top = reports.top_jobs(_latest(spark, a.store), a.k)
     msg = reports.render_top_jobs(top)
     if a.outbox:
-        state.outbox_sink(msg, a.outbox)
+        state.outbox_sink(msg, a.outbox, datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f"), rules.MESSAGE_LIMIT)
     print(msg.first()["message"])
 
 
 def cmd_mail(spark, a):
-    streams.mail_updates_stream_into(spark, a.inbox, a.store, a.checkpoint)
+    streams.mail_updates_stream(spark, a.inbox, a.store, a.checkpoint)
     print(state.read_latest(spark, a.store).groupBy("stage").count().orderBy("stage").collect())
 
 
@@ -103,8 +111,10 @@ def main(argv=None) -> int:
         if name == "cycle":
             sp.add_argument("--postings", required=True)
             sp.add_argument("--link", default="")
-            sp.add_argument("--incremental", action="store_true",
-                            help="the store is the output of an earlier cycle: recompute touched groups only")
+            sp.add_argument("--full", action="store_true",
+                            help="recompute all groups, also when the store is the output of an earlier cycle")
+        if name == "stats":
+            sp.add_argument("--out", required=True, help="folder for the duplicate report (all groups)")
         if name == "top":
             sp.add_argument("--k", type=int, default=5)
             sp.add_argument("--outbox", default=None)

@@ -47,6 +47,9 @@ def let(values: dict[str, Column], body) -> Column:
     return F.aggregate(F.array(F.lit(0)), init, lambda acc, _x: acc, body)
 
 
+# a lower-case scheme, a host and a plain path, nothing else: canonical as it is
+_PLAIN_URL = r"^[a-z][a-z0-9+.\-]*://[^/?#;\s]+(?:/[^?#;\s]*)?$"
+
 _PAIR = "struct<g:int,pos:int,k:string,v:string>"
 
 
@@ -88,7 +91,7 @@ def _canonical(url: Column, drop_key) -> Column:
                 .otherwise(path))
         return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")), body, query_part)
 
-    return F.when(url.isNull() | (url == ""), url).otherwise(let(parts, build))
+    return F.when(url.isNull() | (url == "") | url.rlike(_PLAIN_URL), url).otherwise(let(parts, build))
 
 
 def normalize_url(url: Column, drop=None) -> Column:

@@ -63,6 +63,11 @@ def dedup_losers(jobs: DataFrame, survivors: DataFrame) -> DataFrame:
     return jobs.join(survivors.select("id"), "id", "left_anti")
 
 
+def keep_rows(jobs: DataFrame, survivors: DataFrame) -> DataFrame:
+    """S9 for survivorship: only the surviving rows stay, by one semi join."""
+    return jobs.join(survivors.select("id"), "id", "left_semi")
+
+
 def delete_rows(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     """Jobs without the given ids."""
     return jobs.join(ids.select("id"), "id", "left_anti")
@@ -79,7 +84,7 @@ def dedup_by_url(df: DataFrame, score: str = "score") -> DataFrame:
     return keep_best(df, ["url"], [-F.col(score), F.col("id")])
 
 
-def cap_per_task(postings: DataFrame, cap: int = rules.CARDS_PER_TASK) -> DataFrame:
+def cap_per_task(postings: DataFrame, cap: int) -> DataFrame:
     """A3: the first ``cap`` cards of each (site, query) in page order.
     Catalyst plans the rank filter as a WindowGroupLimit on both sides of
     the shuffle, so at most ``cap`` rows per task and key cross it."""
@@ -118,16 +123,24 @@ def failure_runs(attempts: DataFrame, threshold: int = rules.BREAKER_THRESHOLD)
     """Runs of consecutive failures per site: start, end, length and the
     time the run reached ``threshold`` (NULL if it never did).
 
-    A failure's run number is the count of successes before it, i.e. its
-    position among all of the site's attempts minus its position among the
-    site's failures.  Both positions come from ``global_positions`` (a
-    range-partitioned sort), so a site holding a large share of all
-    attempts is spread over many tasks instead of one window partition."""
-    from postline.operators.reports import global_positions
+    A failure's run number is the count of successes before it.  Attempts are
+    range-partitioned by site and time once; running counts inside a partition plus the
+    counts of earlier partitions give the run, so a site holding a large share of
+    all attempts is spread over many tasks instead of one window partition."""
     order = [F.col("ts"), F.col("id")]
-    allpos = global_positions(attempts.select("site", "ts", "id", "success"), ["site"], order, out="_q")
-    fails = global_positions(allpos.where(~F.col("success")), ["site"], order, out="_f")
-    fails = fails.withColumn("run_no", (F.col("_q") - F.col("_f")).cast("bigint"))
+    n = int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one range sort; the copy keeps the partitions (range bounds are sampled anew in each computation)
+    rows = attempts.select("site", "ts", "id", "success").repartitionByRange(n, "site", *order).withColumn("_pid", F.spark_partition_id())
+    rows = written(rows, "failure_runs")
+    inside = W.partitionBy("_pid", "site").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    counted = rows.withColumn("_f", F.count_if(~F.col("success")).over(inside)).withColumn("_s", F.count_if("success").over(inside))
+    # what earlier partitions hold of the site: one row a partition and site
+    parts = rows.groupBy("_pid", "site").agg(F.count_if(~F.col("success")).alias("_pf"), F.count_if("success").alias("_ps"))
+    before = W.partitionBy("site").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("_pid", "site", F.coalesce(F.sum("_pf").over(before), F.lit(0)).alias("_of"),
+                         F.coalesce(F.sum("_ps").over(before), F.lit(0)).alias("_os"))
+    fails = (counted.where(~F.col("success")).join(parts, ["_pid", "site"])
+             .select("site", (F.col("_s") + F.col("_os")).alias("run_no"), "ts", (F.col("_f") + F.col("_of")).alias("_f")))
     runs = fails.groupBy("site", "run_no").agg(
         F.min("ts").alias("run_start"), F.max("ts").alias("run_end"),
         F.count(F.lit(1)).cast("bigint").alias("run_length"), F.min("_f").alias("_f0"))

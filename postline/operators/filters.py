@@ -47,6 +47,11 @@ def _first_hit(texts: list[Column], patterns: list[str], test) -> Column:
     return F.aggregate(_patterns(patterns), init, step)["hit"]
 
 
+def _any_of(patterns: list[str]) -> str:
+    """One alternation of literal patterns (Java syntax)."""
+    return "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in patterns)
+
+
 def all_hits(texts: list[Column], patterns: list[str], test) -> Column:
     """Every pattern (list order) for which ``test(texts, pattern)`` holds,
     with the texts carried in the fold's accumulator as in ``_first_hit``."""
@@ -61,7 +66,9 @@ def all_hits(texts: list[Column], patterns: list[str], test) -> Column:
 
 def first_contained(text_lower: Column, patterns: list[str]) -> Column:
     """First pattern (list order) that is a substring of ``text_lower``."""
-    return _first_hit([text_lower], patterns, lambda ts, p: F.contains(ts[0], p))
+    # most texts hold none: one compiled alternation tells, and the ordered
+    # (interpreted) fold runs only on texts that hold one
+    return F.when(text_lower.rlike(_any_of(patterns)), _first_hit([text_lower], patterns, lambda ts, p: F.contains(ts[0], p)))
 
 
 _NON_WORD = r"[^\p{L}\p{N}]+"
@@ -98,16 +105,17 @@ def overseas_company(company: Column, title: Column, word_boundary: bool = False
     """The first overseas pattern found in company or title, or NULL."""
     if word_boundary:
         return _first_word_match([company, title], rules.OVERSEAS_COMPANY_PATTERNS)
-    return _first_hit([F.lower(company), F.lower(title)], rules.OVERSEAS_COMPANY_PATTERNS,
-                      lambda ts, p: F.contains(ts[0], p) | F.contains(ts[1], p))
+    c, t = F.lower(company), F.lower(title)
+    some = _any_of(rules.OVERSEAS_COMPANY_PATTERNS)
+    hit = _first_hit([c, t], rules.OVERSEAS_COMPANY_PATTERNS, lambda ts, p: F.contains(ts[0], p) | F.contains(ts[1], p))
+    return F.when(c.rlike(some) | t.rlike(some), hit)
 
 
 def foreign_university(company: Column) -> Column:
     """Company mentions university/college and no listed local one."""
     c = F.lower(company)
     marked = F.contains(c, F.lit("university")) | F.contains(c, F.lit("college"))
-    local = _first_hit([c], rules.LOCAL_UNIVERSITIES, lambda ts, u: F.contains(ts[0], u)).isNotNull()
-    return marked & ~local
+    return marked & ~c.rlike(_any_of(rules.LOCAL_UNIVERSITIES))
 
 
 def is_overseas(title: Column, company: Column, location: Column) -> Column:
@@ -126,7 +134,8 @@ def senior_title(title: Column, escape: bool = False) -> Column:
     # a literal keyword ending in a non-word character ('sr.') has no \b after it
     hit = F.coalesce(*[F.when(t.rlike(r"(?U)\b" + p + (r"\b" if not escape or kw[-1].isalnum() else "")), F.lit(kw))
                        for kw, p in pats])
-    return F.when(~exempt, hit)
+    some = t.rlike("(?U)" + "|".join(r"\b(?:" + p + ")" for _, p in pats))
+    return F.when(some & ~exempt, hit)
 
 
 EXPERIENCE_REGEX = "(?U)" + "|".join(f"(?:{p})" for p in rules.EXPERIENCE_PATTERNS)

@@ -103,30 +103,16 @@ def company_index(active: DataFrame) -> DataFrame:
                                         F.count(F.lit(1)).cast("bigint").alias("n_jobs"))
 
 
-def _grams(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(seq, _is_sender, _text, _i, _k, _gram): for every code-point position
-    of the text and gram length k in ``lengths``, the k characters there.
-
-    The text is split into code points once; positions come from
-    ``posexplode`` of that array and each gram is assembled with
-    constant-time ``element_at`` (a substring per position would rescan
-    multi-byte text from its start) -- all plain, code-generated
-    expressions, no per-element lambda."""
+def _positions(texts: DataFrame, longest: Column) -> DataFrame:
+    """(seq, _is_sender, _slice): for every code-point position of the text the
+    characters from there on, as many as the longest needle has.
+
+    The text is split into code points once; slices of that array cost no
+    rescan of multi-byte text.  Nothing longer than a needle leaves this step, so what
+    a shuffle carries is linear in the text's length."""
     chars = F.regexp_extract_all(F.col("_text"), F.lit("(?s)."), 0)
-    pos = (texts.select("seq", "_is_sender", "_text", chars.alias("_chars"))
-           .select("seq", "_is_sender", "_text", "_chars", F.posexplode_outer("_chars").alias("_p0", "_c0")))
-    if len(lengths) > 1:
-        pos = pos.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in lengths])))
-    else:
-        pos = pos.withColumn("_k", F.lit(lengths[0]))
-    i = F.col("_p0") + 1
-    n = F.size("_chars")
-    parts = [F.col("_c0")] + [F.when(F.col("_k") > j, F.try_element_at("_chars", i + j)).otherwise(F.lit(""))
-                              for j in range(1, max(lengths))]
-    # (the outer form keeps Catalyst from adding a size(...) > 0 filter that
-    # would split the text a second time; an empty text's NULL row fails here)
-    return (pos.where(i + F.col("_k") - 1 <= n)
-            .select("seq", "_is_sender", "_text", i.alias("_i"), "_k", F.concat(*parts).alias("_gram")))
+    pos = texts.select("seq", "_is_sender", chars.alias("_chars")).select("seq", "_is_sender", "_chars", F.posexplode("_chars").alias("_p", "_c"))
+    return pos.select("seq", "_is_sender", F.array_join(F.slice("_chars", F.col("_p") + 1, longest), "").alias("_slice"))
 
 
 def word_parts(company: Column) -> Column:
@@ -141,12 +127,13 @@ def match_company(messages: DataFrame, companies: DataFrame) -> DataFrame:
     substring of the sender.  Within a tier the company first in active order
     wins.  Returns (seq, company_key, tier).
 
-    Plan: the messages are cut into (position, gram of length 1..3) rows;
-    every needle (a whole key for tier 1, a part for tier 2) is keyed by its
-    first min(len, 3) characters.  One equi-join on (length, gram) yields
-    the candidates, an exact substring test keeps the hits, and a partial
-    ``min`` aggregate per message picks the winner.  No cross join: a
-    position only meets needles that start with its gram."""
+    Plan: the messages are cut into one slice for each position; every needle (a whole key
+    for tier 1, a part for tier 2) is keyed by its first three characters, shorter ones by
+    all they have.  A slice meets the needles that start with its first one, two or
+    three characters in an equi-join, an exact prefix test keeps the hits, and a
+    partial ``min`` aggregate per message picks the winner.  Slices whose
+    grams start no needle are dropped by a semi-join with the distinct grams,
+    before anything is multiplied.  No cross join, and no job runs while planning."""
     both = F.array(
         F.struct(F.lit(True).alias("is_sender"), _as_text(F.col("sender")).alias("text")),
         F.struct(F.lit(False).alias("is_sender"), _as_text(F.col("subject")).alias("text")))
@@ -157,19 +144,14 @@ def match_company(messages: DataFrame, companies: DataFrame) -> DataFrame:
                .unionByName(c.select("company_key", "company_ord", F.lit(2).alias("tier"),
                                      F.explode(word_parts(F.col("company_key"))).alias("_needle")))
                .where(F.length("_needle") > 0)
-               .withColumn("_len", F.length("_needle"))
-               .withColumn("_k", F.least(F.col("_len"), F.lit(3)))
-               .withColumn("_gram", F.col("_needle").substr(F.lit(1), F.col("_k"))))
-    # gram lengths present among the needles (at most three values): positions
-    # only emit those, so short names cost nothing when there are none
-    lengths = sorted(r[0] for r in needles.select("_k").distinct().collect())
-    if not lengths:
-        return messages.select("seq", F.lit(None).cast("string").alias("company_key"),
-                               F.lit(None).cast("int").alias("tier")).limit(0)
-    cand = _grams(texts, lengths).join(needles, ["_k", "_gram"])
+               .withColumn("_gram", F.substring("_needle", 1, 3)))
+    longest = needles.agg(F.coalesce(F.max(F.length("_needle")), F.lit(0))).scalar()
+    at = _positions(texts, longest)
+    grams = F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.substring(F.col("_slice"), F.lit(1), k)))
+    keyed = at.select("*", F.explode(grams).alias("_gram"))
+    keyed = keyed.join(needles.select("_gram").distinct(), "_gram", "left_semi")
     # exact check, only for candidates (the gram join keeps few positions)
-    hits = cand.where(((F.col("tier") == 1) | F.col("_is_sender"))
-                      & (F.col("_text").substr(F.col("_i"), F.col("_len")) == F.col("_needle")))
+    hits = keyed.join(needles, "_gram").where(((F.col("tier") == 1) | F.col("_is_sender")) & F.col("_slice").startswith(F.col("_needle")))
     best = F.min(F.struct("tier", "company_ord", "company_key"))
     return (hits.groupBy("seq").agg(best.alias("_b"))
             .select("seq", F.col("_b.company_key").alias("company_key"), F.col("_b.tier").alias("tier")))

@@ -127,8 +127,33 @@ def p11(title: str, company: str, location: str, desc: str) -> str:
 
 
 def dumps_str(x: str) -> str:
-    esc = f"replace(replace({x}, '\\', '\\\\'), '\"', '\\\"')"
-    return f"('\"' || {esc} || '\"')"
+    """A JSON string literal, character by character."""
+    u = "'\\u' || format('{:04x}', %s)"
+    return ("('\"' || array_to_string(list_transform(string_split(" + x + ", ''), lambda c: CASE WHEN c = '' THEN '' "
+            "WHEN c = '\"' THEN '\\\"' WHEN c = '\\' THEN '\\\\' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' "
+            "WHEN c = chr(9) THEN '\\t' WHEN c = chr(8) THEN '\\b' WHEN c = chr(12) THEN '\\f' "
+            "WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN " + u % "unicode(c)"
+            + " ELSE " + u % "55296 + ((unicode(c) - 65536) >> 10)" + " || " + u % "56320 + ((unicode(c) - 65536) & 1023)" + " END), '') || '\"')")
+
+
+def py_text(js: str, key: str, default: str) -> str:
+    """``str(json.get(key, default))`` for scalars and lists of scalars."""
+    v = valid(js)
+    at = f"json_extract({v}, '$.{key}')"
+    # (a JSON null becomes NULL in the cast)
+    item = ("coalesce(CASE json_type(x) WHEN 'VARCHAR' THEN chr(39) || json_extract_string(x, '$') || chr(39) WHEN 'NULL' THEN 'None' "
+            "WHEN 'BOOLEAN' THEN upper(substr(CAST(x AS VARCHAR), 1, 1)) || substr(CAST(x AS VARCHAR), 2) ELSE CAST(x AS VARCHAR) END, 'None')")
+    return (f"(CASE WHEN NOT {is_obj(js)} OR {at} IS NULL THEN {q(default)} WHEN json_type({at}) = 'NULL' THEN 'None' "
+            f"WHEN json_type({at}) = 'ARRAY' THEN '[' || array_to_string(list_transform(CAST({at} AS JSON[]), lambda x: {item}), ', ') || ']' "
+            f"ELSE json_extract_string({v}, '$.{key}') END)")
+
+
+# evaluations in which some fields are lists or null
+LISTED_SUMMARY = ("CASE WHEN id % 11 = 0 THEN replace(ai_summary, '\"key_features\": \"', "
+                  "'\"key_features\": [\"Python\", \"SQL\", 3, null, true], \"kf\": \"') "
+                  "WHEN id % 13 = 0 THEN replace(replace(ai_summary, '\"key_features\": \"', '\"key_features\": null, \"kf\": \"'), "
+                  "'\"summary\": \"', '\"summary\": [], \"s\": \"') ELSE ai_summary END")
+LISTED = f"listed AS (SELECT * REPLACE ({LISTED_SUMMARY} AS ai_summary) FROM jobs)"
 
 
 def rejected_eval(reason: str, loc: str) -> str:

@@ -62,23 +62,23 @@ CARDS_SQL = d.with_(d.CARDS)
 
 @query("S2", CARDS_SQL + "SELECT page_id, position, title, url FROM cards")
 def s2(spark, sf):
-    from postline.session import scratch_path
+    from postline.session import remember_scratch, scratch_path
     import uuid
-    path = scratch_path(spark, f"postings_{uuid.uuid4().hex}")
+    path = remember_scratch(scratch_path(spark, f"postings_{uuid.uuid4().hex}"))
     cards = html.extract_list_cards(tb.read(spark, sf, "pages"))
     cards.select("site", "query", "position", "title", "company", "url", "location",
-                 F.lit(None).cast("string").alias("description"), "page_id").write.parquet(path)
-    back = spark.read.schema(tb.POSTING_SCHEMA + ", page_id bigint").parquet(path)
-    return back.select("page_id", "position", "title", "url")
+                 F.lit(None).cast("string").alias("description")).write.parquet(path)
+    back = tb.scan_postings(spark, path)
+    return back.select(F.col("query").cast("bigint").alias("page_id"), "position", "title", "url")
 
 
 def _clean_cards(spark, sf):
-    return html.clean_postings(html.extract_list_cards(tb.read(spark, sf, "pages")), cap=5)
+    return html.clean_postings(html.extract_list_cards(tb.read(spark, sf, "pages")))
 
 
-CLEAN_SQL = (d.with_(d.CARDS, "capped AS (SELECT * FROM cards WHERE position <= 5 AND title IS NOT NULL AND title <> '')",
+CLEAN_SQL = (d.with_(d.CARDS, "titled AS (SELECT * FROM cards WHERE title IS NOT NULL AND title <> '')",
                      "linked AS (SELECT *, CASE WHEN url IS NOT NULL AND url <> '' AND NOT starts_with(url, 'http') "
-                     "THEN base_url || url ELSE url END AS link FROM capped)"))
+                     "THEN base_url || url ELSE url END AS link FROM titled)"))
 
 
 @query("S3", CLEAN_SQL + "SELECT page_id, position, title, company, location, f2 AS url, "
@@ -88,6 +88,56 @@ def s3(spark, sf):
     return _clean_cards(spark, sf).select("page_id", "position", "title", "company", "location", "url", "description")
 
 
+# one page a part, in the card layout of one of the six boards: a full card, then
+# one without company and location; list items stay open, as pages leave them
+BOARD_CARDS = [
+    ("linkedin", "<ul><li><div class='base-card'><h3 class='base-search-card__title'>{t}</h3>{c}<a class='base-card__full-link' href='{u}'>o</a>{l}</div>",
+     "<h4 class='base-search-card__subtitle'>{c}</h4>", "<span class='job-search-card__location'>{l}</span>"),
+    ("indeed", "<div class='job_seen_beacon'><h2 class='jobTitle'><a href='{u}'><span>{t}</span></a></h2>{c}{l}</div>",
+     "<span data-testid='company-name'>{c}</span>", "<div data-testid='text-location'>{l}</div>"),
+    ("jobmaster", "<div class='JobItem'><div class='CardHeader'><a href='{u}'>{t}</a></div>{c}{l}</div>",
+     "<div>{c}</div>", "<span class='jobLocation'>{l}</span>"),
+    ("drushim", "<div class='job-item-main'><a class='job-url' href='{u}'>{t}</a>{c}{l}</div>",
+     "<p class='company-name'>{c}", "<div class='job-location'>{l}</div>"),
+    ("alljobs", "<div class='job-content'><div class='job-content-title'><a href='{u}'>{t}</a></div>{c}{l}</div>",
+     "<div class='job-content-company'>{c}</div>", "<div class='job-content-location'>{l}</div>"),
+    ("nisha", "<article class='job'><h3><a href='{u}'>{t}</a></h3>{c}{l}</article>",
+     "<span class='company'>{c}</span>", "<span class='location'>{l}</span>"),
+]
+
+
+def _board_pages(spark, sf):
+    part = tb.read(spark, sf, "part")
+
+    def filled(layout: str, **values) -> Column:
+        out = F.lit(layout)
+        for name, value in values.items():
+            out = F.replace(out, F.lit("{" + name + "}"), value)
+        return out
+
+    def page(layout, company, location):
+        both = [filled(layout, c=filled(company, c=F.col("p_brand")), l=filled(location, l=F.col("p_type")),
+                       t=F.concat("p_name", F.lit(" &amp; co")), u=F.concat(F.lit("/jobs/"), "p_partkey")),
+                filled(layout, c=F.lit(""), l=F.lit(""), t=F.col("p_name"), u=F.lit("/more"))]
+        return F.concat(F.lit("<html><body>" + "<div>" * 3), *both, F.lit("</body></html>"))
+
+    i = F.col("p_partkey") % len(BOARD_CARDS)
+    return part.select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("query"),
+                       F.coalesce(*[F.when(i == k, F.lit(x[0])) for k, x in enumerate(BOARD_CARDS)]).alias("site"),
+                       F.coalesce(*[F.when(i == k, page(*x[1:])) for k, x in enumerate(BOARD_CARDS)]).alias("html"))
+
+
+_BOARD_OF = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN {d.q(x[0])}" for i, x in enumerate(BOARD_CARDS)) + " END AS site"
+
+
+@query("S3_boards", f"SELECT p_partkey AS page_id, {_BOARD_OF}, 1 AS position, p_name || ' & co' AS title, p_brand AS company, "
+       "'/jobs/' || p_partkey AS url, p_type AS location, CAST(NULL AS VARCHAR) AS error FROM part UNION ALL "
+       f"SELECT p_partkey, {_BOARD_OF}, 2, p_name, 'Unknown', '/more', 'Israel', NULL FROM part")
+def s3_boards(spark, sf):
+    """S3 over the six board profiles."""
+    return html.extract_cards(_board_pages(spark, sf)).select("page_id", "site", "position", "title", "company", "url", "location", "error")
+
+
 @query("S5", d.with_(d.MESSAGES) + "SELECT seq, sender, subject, body FROM messages")
 def s5(spark, sf):
     raw = tb.messages(spark, sf)
@@ -162,8 +212,7 @@ A1_SQL = SCORED_JOBS + (f"SELECT id, stage FROM (SELECT *, row_number() OVER (PA
 @query("S9", A1_SQL.replace("SELECT id, stage FROM (", "SELECT id, title FROM jobs WHERE id IN (SELECT id FROM (", 1) + ")")
 def s9(spark, sf):
     j = tb.jobs(spark, sf)
-    losers = dedup.dedup_losers(j, dedup.dedup_postings(j))
-    return dedup.delete_rows(j, losers).select("id", "title")
+    return dedup.keep_rows(j, dedup.dedup_postings(j)).select("id", "title")
 
 
 @query("S11", J + "SELECT id, CASE WHEN ai_summary ILIKE 'Irrelevant:%' OR ai_summary ILIKE '%\"is_relevant\": false%' "
@@ -200,7 +249,7 @@ def p1(spark, sf):
 
 @query("P2", CLEAN_SQL + "SELECT page_id, position, link FROM linked")
 def p2(spark, sf):
-    c = filters.valid_postings(dedup.cap_per_task(html.extract_list_cards(tb.read(spark, sf, "pages")), 5))
+    c = filters.valid_postings(html.extract_list_cards(tb.read(spark, sf, "pages")))
     return c.select("page_id", "position", urls.absolutise_link(F.col("url"), F.col("base_url")).alias("link"))
 
 
@@ -293,11 +342,15 @@ def p15(spark, sf):
     return j.select("id", ev.route_by_score(ev.is_relevant(F.col("ai_summary")), ev.parse_score(F.col("ai_summary"))).alias("routed"))
 
 
-@query("P16", DESC + f"SELECT id, {d.rejected_eval('reason', 'location')} AS ai_summary FROM "
+# locations with characters that JSON escapes (quotes, control characters, Hebrew, beyond the BMP)
+ODD_TEXT = "CASE WHEN id % 3 = 0 THEN location || ' \"' || chr(9) || chr(1) || chr(127) || '\u05ea\u05dc \U0001F4CD' ELSE location END"
+
+
+@query("P16", DESC + f"SELECT id, {d.rejected_eval('reason', '(' + ODD_TEXT + ')')} AS ai_summary FROM "
        f"(SELECT id, location, {P11_EXPR} AS reason FROM described) WHERE reason IS NOT NULL")
 def p16(spark, sf):
     pf = filters.pre_filter(tb.described(spark, sf)).where(F.col("is_rejected"))
-    return pf.select("id", ev.rejected_evaluation(F.col("reject_reason"), F.col("location")).alias("ai_summary"))
+    return pf.select("id", ev.rejected_evaluation(F.col("reject_reason"), F.expr(ODD_TEXT)).alias("ai_summary"))
 
 
 @query("P17", "SELECT page_id, (CASE page_id % 4 WHEN 0 THEN 'document' WHEN 1 THEN 'image' WHEN 2 THEN 'script' "
@@ -527,12 +580,20 @@ def g6(spark, sf):
 NOW_SQL = "(SELECT max(ts) FROM attempts)"
 
 
-G7_OPEN = (f"coalesce(trailing_failures >= {rules.BREAKER_THRESHOLD} AND (epoch_us({NOW_SQL}) - epoch_us(last_failure_ts)) "
-           f"/ 1e6 <= {rules.BREAKER_RECOVERY_SECONDS}, false)")
+# the breaker as a recursive replay of every attempt, one after another
+_GAP = f"epoch_us(s.ts) - epoch_us(r.lf) > {rules.BREAKER_RECOVERY_SECONDS} * 1000000"
+REPLAY_SQL = d.with_(d.ATTEMPTS).replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + (
+    ", seqd AS (SELECT site, ts, success, row_number() OVER (PARTITION BY site ORDER BY ts, id) AS rn FROM attempts), "
+    "replay(site, rn, c, lf) AS (SELECT DISTINCT site, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP) FROM attempts "
+    "UNION ALL SELECT s.site, s.rn, CASE WHEN s.success THEN 0 WHEN r.c >= " + str(rules.BREAKER_THRESHOLD) + f" AND {_GAP} THEN 1 "
+    "ELSE r.c + 1 END, CASE WHEN s.success THEN r.lf ELSE s.ts END FROM replay r JOIN seqd s ON s.site = r.site AND s.rn = r.rn + 1), "
+    f"ended AS (SELECT site, arg_max(c, rn) AS c, epoch_us({NOW_SQL}) - epoch_us(max(lf)) > {rules.BREAKER_RECOVERY_SECONDS} * 1000000 AS old "
+    "FROM replay GROUP BY site), "
+    f"breaker AS (SELECT site, CASE WHEN c >= {rules.BREAKER_THRESHOLD} AND old THEN 0 ELSE c END AS trailing_failures, "
+    f"c >= {rules.BREAKER_THRESHOLD} AND NOT coalesce(old, true) AS is_open FROM ended) ")
 
 
-@query("G7", TRAIL_SQL + f"SELECT site, CASE WHEN trailing_failures >= {rules.BREAKER_THRESHOLD} AND NOT {G7_OPEN} THEN 0 "
-       f"ELSE trailing_failures END AS trailing_failures, {G7_OPEN} AS is_open FROM trail")
+@query("G7", REPLAY_SQL + "SELECT site, trailing_failures, is_open FROM breaker")
 def g7(spark, sf):
     a = tb.attempts(spark, sf)
     now = a.agg(F.max("ts")).scalar()
@@ -639,11 +700,13 @@ def j3(spark, sf):
     return _matched(spark, sf)[0].select("seq", "company_key", "tier")
 
 
-@query("J4", MATCH_SQL + "SELECT m.seq, a.id, m.company_key, m.tier FROM matched m JOIN active a "
-       "ON lower(" + d.strip("a.company") + ") = m.company_key")
+@query("J4", MATCH_SQL + "SELECT m.seq, a.id, m.company_key FROM (SELECT company_key, max(seq) AS seq FROM matched GROUP BY company_key) m "
+       "JOIN active a ON lower(" + d.strip("a.company") + ") = m.company_key")
 def j4(spark, sf):
+    """Every job of a company gets the same messages, and the last one decides: one row a job."""
     matched, active = _matched(spark, sf)
-    return joins.fan_out_updates(matched, active).select("seq", "id", "company_key", "tier")
+    latest = matched.groupBy("company_key").agg(F.max("seq").alias("seq"))
+    return joins.fan_out_updates(latest, active).select("seq", "id", "company_key")
 
 
 @query("J5", d.with_(d.ATTEMPTS, QUERIES_SQL) + "SELECT s.site, qs.query, qs.query_ord FROM (SELECT DISTINCT site FROM attempts) s, qs")
@@ -671,9 +734,8 @@ def j6(spark, sf):
     return to_fetch.select("site", "query", "task_key")
 
 
-@query("J7", TRAIL_SQL[:-1] + ", tasks AS (SELECT DISTINCT site, query FROM attempts) SELECT site, query FROM tasks WHERE site NOT IN "
-    f"(SELECT site FROM trail WHERE trailing_failures >= {rules.BREAKER_THRESHOLD} AND "
-    f"(epoch_us({NOW_SQL}) - epoch_us(last_failure_ts)) / 1e6 <= {rules.BREAKER_RECOVERY_SECONDS})")
+@query("J7", REPLAY_SQL[:-1] + ", tasks AS (SELECT DISTINCT site, query FROM attempts) SELECT site, query FROM tasks WHERE site NOT IN "
+       "(SELECT site FROM breaker WHERE is_open)")
 def j7(spark, sf):
     a = tb.attempts(spark, sf)
     tasks = a.select("site", "query").distinct()
@@ -721,7 +783,7 @@ def k5(spark, sf):
     a = tb.attempts(spark, sf).where(F.col("success")).withColumn("task_key", urls.task_key(F.col("site"), F.col("query")))
     latest = dedup.keep_best(a, ["task_key"], [-F.unix_micros(F.col("ts"))])
     entries = latest.select("task_key", (F.col("ts") + F.make_dt_interval(secs=F.lit(rules.CACHE_TTL_SECONDS))).alias("expiry"))
-    out = reports.evict_cache(entries)
+    out = reports.evict_cache(entries, rules.CACHE_MAX_ENTRIES)
     return out.select("task_key", F.date_format("expiry", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("expiry"))
 
 
@@ -796,13 +858,20 @@ def f9(spark, sf):
                     p["new_sub_stage"].alias("new_sub_stage"))
 
 
-# evaluation field values in the three shapes a scorer returns: list, dict with a list, plain text
-F10_VALUE = ("CASE p_partkey % 3 WHEN 0 THEN '[\"' || replace(p_type, ' ', '\", \"') || '\"]' "
-             "WHEN 1 THEN p_type ELSE '{\"bullet_points\": [\"' || replace(p_type, ' ', '\", \"') || '\"]}' END")
+# evaluation field values in the shapes a scorer returns: list, text, object with a
+# list, object without, number, JSON string, hand-written list, Python literal
+F10_WORDS = "replace(p_type, ' ', '\", \"')"
+F10_VALUE = ("CASE p_partkey % 8 WHEN 0 THEN '[\"' || " + F10_WORDS + " || '\", \"\", null, 7, true]' WHEN 1 THEN p_type "
+             "WHEN 2 THEN '{\"bullet_points\": [\"' || " + F10_WORDS + " || '\"]}' "
+             "WHEN 3 THEN ' {\"zeta_key\": \"' || p_type || '\", \"empty\": \"\", \"a_list\": [\"x\", 2]} ' WHEN 4 THEN '85' "
+             "WHEN 5 THEN '\"' || p_type || '\"' WHEN 6 THEN '[' || replace(p_type, ' ', ', ') || ', c d]' "
+             "ELSE '[' || chr(39) || replace(p_type, ' ', chr(39) || ', ' || chr(39)) || chr(39) || ', None, 3]' END")
+_F10_LINES = "'- ' || replace(p_type, ' ', chr(10) || '- ')"
 
 
-@query("F10", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 1 THEN p_type ELSE '- ' || replace(p_type, ' ', chr(10) || '- ') "
-       "END AS formatted FROM part")
+@query("F10", f"SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN {_F10_LINES} || chr(10) || '- 7' || chr(10) || '- True' WHEN 1 THEN p_type "
+       f"WHEN 2 THEN {_F10_LINES} WHEN 3 THEN '- **Zeta Key:** ' || p_type || chr(10) || '- **A List:** [' || chr(39) || 'x' || chr(39) || ', 2]' "
+       f"WHEN 4 THEN NULL WHEN 5 THEN p_type WHEN 6 THEN {_F10_LINES} || chr(10) || '- c d' ELSE {_F10_LINES} || chr(10) || '- 3' END AS formatted FROM part")
 def f10(spark, sf):
     v = tb.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr(F10_VALUE).alias("value"))
     return v.select("id", ev.format_field(F.col("value")).alias("formatted"))
@@ -826,32 +895,35 @@ JOB_MSG = ("'\U0001F916 *New Job Match!*' || chr(10) || chr(10) || '*' || title
            "chr(10) || chr(10) || 'Summary: ' || {summ} || chr(10) || chr(10) || 'Apply here: ' || url")
 
 
-def _guarded_field(key: str, default: str) -> str:
-    return f"(CASE WHEN {d.is_obj('ai_summary')} THEN {d.field('ai_summary', key, default)} ELSE {d.q(default)} END)"
+def _listed(spark, sf):
+    """The jobs, some with list or null fields in their evaluation."""
+    return tb.jobs(spark, sf).withColumn("ai_summary", F.expr(d.LISTED_SUMMARY))
 
 
-@query("F14", J + "SELECT id, " + JOB_MSG.format(
-    loc=_guarded_field("location", rules.NOT_SPECIFIED), score=_guarded_field("match_score", "None"),
-    feat=_guarded_field("key_features", "N/A"), summ=_guarded_field("summary", "None")) + " AS message FROM jobs")
+@query("F14", d.with_(d.JOBS, d.LISTED) + "SELECT id, " + JOB_MSG.format(
+    loc=d.py_text("ai_summary", "location", rules.NOT_SPECIFIED), score=d.py_text("ai_summary", "match_score", "None"),
+    feat=d.py_text("ai_summary", "key_features", "N/A"), summ=d.py_text("ai_summary", "summary", "None")) + " AS message FROM listed")
 def f14(spark, sf):
-    return reports.render_job_message(tb.jobs(spark, sf))
+    return reports.render_job_message(_listed(spark, sf))
 
 
+FALSY = "('', 'None', '[]')"
 TOP_ITEM = ("'*' || rk || '. ' || coalesce(title, 'Unknown') || '*' || chr(10) || '   @ ' || coalesce(company, 'Unknown') "
-            "|| chr(10) || '   Score: ' || score || '/100 | ' || {loc} || chr(10) || CASE WHEN {summ} <> '' THEN '   ' || "
-            "{summ} || chr(10) ELSE '' END || CASE WHEN {feat} <> '' THEN '   ' || {feat} || chr(10) ELSE '' END || "
+            "|| chr(10) || '   Score: ' || score || '/100 | ' || {loc} || chr(10) || CASE WHEN {summ} NOT IN " + FALSY + " THEN '   ' || "
+            "{summ} || chr(10) ELSE '' END || CASE WHEN {feat} NOT IN " + FALSY + " THEN '   ' || {feat} || chr(10) ELSE '' END || "
             "'   Apply: ' || coalesce(url, '') || chr(10) || chr(10)")
 
 
-@query("F16", SCORED_JOBS + "SELECT regexp_replace('*Top ' || count(*) || ' Job Matches*' || chr(10) || chr(10) || "
+@query("F16", d.with_(d.JOBS, d.LISTED, f"sj AS (SELECT *, {d.score('ai_summary')} AS score FROM listed)")
+       + "SELECT regexp_replace('*Top ' || count(*) || ' Job Matches*' || chr(10) || chr(10) || "
        "coalesce(string_agg(item, '' ORDER BY rk), ''), '^\\s+|\\s+$', '', 'g') AS message FROM (SELECT *, "
-       + TOP_ITEM.format(loc=_guarded_field("location", rules.NOT_SPECIFIED), summ=_guarded_field("summary", ""),
-                         feat=_guarded_field("key_features", "")) +
+       + TOP_ITEM.format(loc=d.py_text("ai_summary", "location", rules.NOT_SPECIFIED), summ=d.py_text("ai_summary", "summary", ""),
+                         feat=d.py_text("ai_summary", "key_features", "")) +
        " AS item FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rk FROM (SELECT *, row_number() OVER "
        "(PARTITION BY url ORDER BY score DESC, id) AS rn FROM sj WHERE stage = 'To Apply') WHERE rn = 1 ORDER BY score DESC, "
-       "id LIMIT 5))")
+       "id LIMIT 40))")
 def f16(spark, sf):
-    return reports.render_top_jobs(reports.top_jobs(tb.jobs(spark, sf)))
+    return reports.render_top_jobs(reports.top_jobs(_listed(spark, sf), 40))
 
 
 @query("F17", SITE_METRICS_SQL + "SELECT site, round(success_rate, 6) AS success_rate, round(avg_response_ms, 3) "
@@ -864,7 +936,7 @@ def f17(spark, sf):
 # ---------------------------------------------------------------------------
 # mail: X2 (classification), P21 (relevant updates)
 # ---------------------------------------------------------------------------
-KW = d.keyword_classification("subject", "substr(body, 1, 2000)")
+KW = d.keyword_classification("subject", "body")
 
 
 @query("X2", d.with_(d.MESSAGES) + f"SELECT seq, {KW['is_relevant_update']} AS is_relevant_update, {KW['new_stage']} AS new_stage, "
@@ -924,8 +996,7 @@ def _f15_sql() -> str:
              "row_number() OVER (ORDER BY score DESC, id) AS rk FROM (SELECT * FROM mt ORDER BY score DESC, id LIMIT 3))))")
     msg = (f"{head} || CASE WHEN coalesce(p, '') <> '' THEN {_sql_text(reports.SUMMARY_PICKS_HEAD)} || p ELSE '' END")
     return (d.with_(*G4_CTES, f"g AS ({g4_select})", picks)
-            + f"SELECT regexp_replace(CASE WHEN length(msg) > {rules.MESSAGE_LIMIT} THEN substr(msg, 1, {rules.MESSAGE_LIMIT}) || "
-            f"{_sql_text(rules.TRUNCATION_SUFFIX)} ELSE msg END, '^\\s+|\\s+$', '', 'g') AS message FROM (SELECT {msg} AS msg "
+            + f"SELECT regexp_replace(msg, '^\\s+|\\s+$', '', 'g') AS message FROM (SELECT {msg} AS msg "
             "FROM g, picks)")
 
 
@@ -994,7 +1065,8 @@ def s4(spark, sf):
 @query("S10", ORACLE["F14"])
 def s10(spark, sf):
     data, _ = streams.stream_scratch(spark, "outbox")
-    state.outbox_sink(reports.render_job_message(tb.jobs(spark, sf)), data)
+    for _ in range(2):      # delivered again: the batch replaces itself
+        state.outbox_sink(reports.render_job_message(_listed(spark, sf)), data, "1")
     return spark.read.parquet(data).select("id", "message")
 
 
@@ -1012,24 +1084,27 @@ def t1(spark, sf):
     return state.read_latest(spark, f"{data}/store").select("id", "title", "company", "url", "stage")
 
 
-def _event_stream(spark, sf):
-    schema = tb.read(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def _event_stream(spark, sf, data):
+    """The events as a stream of ten micro-batches, each with rows of all
+    times: most rows arrive after later ones have been seen."""
+    events = tb.read(spark, sf, "events")
+    events.repartition(10, "event_id").write.parquet(f"{data}/events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{data}/events")
 
 
 @query("T2", d.with_(d.ARRIVALS) + "SELECT DISTINCT url FROM arrivals")
 def t2(spark, sf):
     n = tb.read(spark, sf, "events").count()
-    s = _event_stream(spark, sf).withColumn("n", F.lit(n)).selectExpr(*tb.ARRIVALS, "CAST(ts AS TIMESTAMP) AS ts")
     data, ck = streams.stream_scratch(spark, "dedup")
-    streams.run_available_now(streams.stream_dedup(s).writeStream.format("parquet").option("path", data), ck)
-    return spark.read.parquet(data).select("url")
+    s = _event_stream(spark, sf, data).withColumn("n", F.lit(n)).selectExpr(*tb.ARRIVALS)
+    streams.run_available_now(streams.stream_dedup(s).writeStream.format("parquet").option("path", f"{data}/out"), ck)
+    return spark.read.parquet(f"{data}/out").select("url")
 
 
 T3_SQL = MATCH_SQL[:-1] + (
-    f", cls AS (SELECT m.seq, m.company_key, {d.keyword_classification('g.subject', 'substr(g.body, 1, 2000)')['is_relevant_update']} "
-    f"AS rel, {d.keyword_classification('g.subject', 'substr(g.body, 1, 2000)')['new_stage']} AS ns, "
-    f"{d.keyword_classification('g.subject', 'substr(g.body, 1, 2000)')['new_sub_stage']} AS nss "
+    f", cls AS (SELECT m.seq, m.company_key, {d.keyword_classification('g.subject', 'g.body')['is_relevant_update']} "
+    f"AS rel, {d.keyword_classification('g.subject', 'g.body')['new_stage']} AS ns, "
+    f"{d.keyword_classification('g.subject', 'g.body')['new_sub_stage']} AS nss "
     "FROM matched m JOIN messages g ON m.seq = g.seq), "
     "fan AS (SELECT a.id, c.seq, c.ns, c.nss FROM cls c JOIN active a ON lower(" + d.strip("a.company") + ") = c.company_key "
     "WHERE c.rel), "
@@ -1050,8 +1125,8 @@ def t3(spark, sf):
 
 @query("T4", ORACLE["G7"])
 def t4(spark, sf):
-    a = _event_stream(spark, sf).selectExpr(*tb.ATTEMPTS)
     data, ck = streams.stream_scratch(spark, "breaker")
+    a = _event_stream(spark, sf, data).selectExpr(*tb.ATTEMPTS)
     streams.seed_table(spark.createDataFrame([], streams.BREAKER_STATE), f"{data}/state")
     streams.breaker_stream(spark, a, f"{data}/state", ck)
     st = state.read_latest(spark, f"{data}/state")
@@ -1062,10 +1137,10 @@ def t4(spark, sf):
        "count(*) AS attempts, count(*) FILTER (WHERE success) AS successes, CAST(coalesce(sum(jobs_found), 0) AS BIGINT) "
        "AS jobs_found FROM attempts GROUP BY ALL")
 def t5(spark, sf):
-    a = _event_stream(spark, sf).selectExpr(*tb.ATTEMPTS)
     data, ck = streams.stream_scratch(spark, "metrics")
-    streams.cycle_metrics_stream(spark, a, data, ck)
-    m = streams.read_cycle_metrics(spark, data)
+    a = _event_stream(spark, sf, data).selectExpr(*tb.ATTEMPTS)
+    streams.cycle_metrics_stream(spark, a, f"{data}/out", ck)
+    m = streams.read_cycle_metrics(spark, f"{data}/out")
     return m.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "site", "attempts", "successes",
                     "jobs_found")
 

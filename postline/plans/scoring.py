@@ -86,13 +86,13 @@ def score_postings(df: DataFrame, scorer: Callable | None = None, max_concurrenc
     return scored.withColumn("evaluation", ev.coerce_evaluation(F.col("raw_evaluation"))).drop("raw_evaluation")
 
 
-def _classifier_batches(classifier: Callable):
+def _classifier_batches(classifier: Callable, body_limit: int | None):
     def run(batches):
         for pdf in batches:
             out = []
             for subj, body, comp in zip(pdf["subject"], pdf["body"], pdf["company_key"]):
                 try:
-                    r = classifier(subj, (body or "")[: rules.MAIL_BODY_LIMIT], comp)
+                    r = classifier(subj, (body or "")[:body_limit], comp)
                     out.append(r if isinstance(r, str) else json.dumps(r))
                 except Exception:
                     out.append(None)
@@ -102,11 +102,12 @@ def _classifier_batches(classifier: Callable):
     return run
 
 
-def classify_messages(df: DataFrame, classifier: Callable | None = None) -> DataFrame:
-    """(subject, body[:2000], company) -> ``classification`` struct."""
+def classify_messages(df: DataFrame, classifier: Callable | None = None, body_limit: int | None = None) -> DataFrame:
+    """(subject, body, company) -> ``classification`` struct.  The built-in
+    keyword rules read the whole body; ``body_limit`` bounds the characters
+    sent to a (paid) user classifier, none by default."""
     if classifier is None:
-        body = F.substring(F.col("body"), 1, rules.MAIL_BODY_LIMIT)
-        return df.withColumn("classification", keyword_classification(F.col("subject"), body))
+        return df.withColumn("classification", keyword_classification(F.col("subject"), F.col("body")))
     schema = T.StructType(df.schema.fields + [T.StructField("raw_classification", T.StringType())])
-    out = df.mapInPandas(_classifier_batches(classifier), schema)
+    out = df.mapInPandas(_classifier_batches(classifier, body_limit), schema)
     return out.withColumn("classification", ev.parse_classification(F.col("raw_classification"))).drop("raw_classification")

@@ -116,7 +116,6 @@ CARDS_PER_TASK = 40
 MESSAGE_LIMIT = 1550
 TRUNCATION_SUFFIX = "\n...(truncated)"
 MAIL_BODY_LIMIT = 2000
-ERROR_TEXT_LIMIT = 120
 
 # FIXED VALUES -- sentinels
 NOT_SPECIFIED = "Not specified"
@@ -155,6 +154,15 @@ MAIL_PROVIDERS = [
     ("icloud", "imap.mail.me.com", 993),
 ]
 
+# FIXED VALUES -- parts of a mail domain that name its provider, in order;
+# any other domain counts as the first provider above
+PROVIDER_MARKS = [
+    ("gmail", ["gmail.com"]),
+    ("outlook", ["outlook", "office365", "live.", "hotmail."]),
+    ("yahoo", ["yahoo"]),
+    ("icloud", ["icloud.com", "me.com"]),
+]
+
 # FIXED VALUES -- card selectors per board, each an ordered fallback list
 # (card, title, company, link, location)
 SITE_SELECTORS = {
@@ -234,6 +242,28 @@ def rules_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def priorities_frame(spark: SparkSession, path: str) -> DataFrame:
+    """The priorities text as an ordered table (ordinal, line); no rows
+    if the file is empty."""
+    text = spark.read.text(path, wholetext=True)
+    lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("p", "line"))
+    return lines.where(F.trim("line") != "").select((F.col("p") + 1).alias("ordinal"), "line")
+
+
+def system_prompt(priorities: DataFrame, profile: str = "") -> DataFrame:
+    """The scorer's instructions (one row, ``prompt``) from the profile and
+    the ordered priorities; the wording is this package's."""
+    body = priorities.agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY ordinal)").alias("_t"))
+    return body.select(F.concat(F.lit(SYSTEM_PROMPT_HEAD), F.lit(profile), F.lit(SYSTEM_PROMPT_PRIORITIES), F.coalesce("_t", F.lit("")),
+                                F.lit(SYSTEM_PROMPT_TAIL)).alias("prompt"))
+
+
+SYSTEM_PROMPT_HEAD = "You rate job postings for one candidate.\n\nPROFILE\n"
+SYSTEM_PROMPT_PRIORITIES = "\n\nPRIORITIES\n"
+SYSTEM_PROMPT_TAIL = ("\n\nThe priorities decide. Give match_score inside the band of the tier that they name. "
+                      "A posting that breaks a REJECT rule gets is_relevant false and match_score 0; when in doubt, reject.\n")
+
+
 def site_profile(index: Column) -> Column:
     """The board profile at 0-based ``index`` as a struct (site, base_url,
     search_prefix, search_suffix), from an array literal: no join."""

@@ -25,7 +25,7 @@ from postline.operators.dedup import cap_per_task
 from postline.operators.filters import valid_postings
 
 CARD_SCHEMA = ("page_id bigint, site string, query string, position int, title string, company string, "
-               "url string, location string, base_url string")
+               "url string, location string, base_url string, error string")
 
 _LI_A = r'(?is)<li[^>]*>\s*<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 
@@ -52,9 +52,10 @@ def extract_list_cards(pages: DataFrame) -> DataFrame:
         F.lit(rules.DEFAULT_CARD_LOCATION).alias("location"), urls.url_origin(F.col("url")).alias("base_url"))
 
 
-def clean_postings(cards: DataFrame, cap: int = rules.CARDS_PER_TASK) -> DataFrame:
-    """A3 cap per (site, query) in page order, then P3, P2, F2 and P4."""
-    c = valid_postings(cap_per_task(cards, cap))
+def clean_postings(cards: DataFrame, cap: int | None = None) -> DataFrame:
+    """P3, P2, F2 and P4 over all cards; with ``cap`` only over the first ones of
+    each (site, query) in page order (A3)."""
+    c = valid_postings(cards if cap is None else cap_per_task(cards, cap))
     link = urls.absolutise_link(F.col("url"), F.col("base_url"))
     site_cap = F.concat(F.upper(F.substring(F.col("site"), 1, 1)), F.lower(F.substring(F.col("site"), 2, 1 << 20)))
     desc = F.concat(site_cap, F.lit(" Job: "), F.col("title"), F.lit(" @ "), F.coalesce(F.col("company"), F.lit("Unknown")))
@@ -74,13 +75,40 @@ class _Node:
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+# FIXED VALUES -- elements whose end tag HTML lets authors leave out: a start tag
+# ends the open elements named first, inside the nearest element named second
+_IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table", "thead", "tbody", "tfoot"}),
+    "td": ({"td", "th"}, {"tr"}),
+    "th": ({"td", "th"}, {"tr"}),
+    "option": ({"option"}, {"select", "datalist"}),
+}
+_ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+           "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+
+
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = _Node("#root", {}, None)
         self.cur = self.root
 
+    def _end(self, names, scope):
+        n, last = self.cur, None
+        while n is not self.root and n.tag not in scope:
+            last = n if n.tag in names else last
+            n = n.parent
+        if last is not None:
+            self.cur = last.parent
+
     def handle_starttag(self, tag, attrs):
+        if tag in _IMPLIED:
+            self._end(*_IMPLIED[tag])
+        elif tag in _ENDS_P and self.cur.tag == "p":
+            self.cur = self.cur.parent
         n = _Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
         self.cur.children.append(n)
         if tag not in _VOID:
@@ -102,9 +130,11 @@ def _elements(n):
 
 
 def _walk(n):
-    for c in _elements(n):
+    todo = _elements(n)[::-1]
+    while todo:
+        c = todo.pop()
         yield c
-        yield from _walk(c)
+        todo += _elements(c)[::-1]
 
 
 def _inner_text(n):
@@ -219,16 +249,24 @@ def _extract_batches(batches):
     for pdf in batches:
         rows = []
         for page_id, site, query, html, base in zip(pdf["page_id"], pdf["site"], pdf["query"], pdf["html"], pdf["base_url"]):
-            for i, (title, comp, link, loc) in enumerate(_extract_page(html, site, site == "jobmaster")):
-                rows.append((page_id, site, query, i + 1, title, comp, link, loc, base))
-        yield pd.DataFrame(rows, columns=["page_id", "site", "query", "position", "title", "company", "url",
-                                          "location", "base_url"])
+            try:
+                cards = _extract_page(html, site, site == "jobmaster")
+            except Exception as e:              # one page must not fail the others
+                rows.append((page_id, site, query, None, None, None, None, None, base, f"{type(e).__name__}: {e}"))
+                continue
+            for i, (title, comp, link, loc) in enumerate(cards):
+                rows.append((page_id, site, query, i + 1, title, comp, link, loc, base, None))
+        out = pd.DataFrame(rows, columns=["page_id", "site", "query", "position", "title", "company", "url",
+                                          "location", "base_url", "error"])
+        out["position"] = out["position"].astype("Int32")
+        yield out
 
 
 def extract_cards(pages: DataFrame) -> DataFrame:
     """S3 (board profiles): ``pages`` has page_id, site, query, html; the
     site's base URL comes from the site table.  Cards in document order,
-    first matching node per field, defaults as the boards' scripts use."""
+    first matching node per field, defaults as the boards' scripts use.  A page that
+    can't be read (an unknown board, say) gives one row with ``error`` and no title."""
     base = pages.sparkSession.createDataFrame([(s, b) for s, b, _, _ in rules.SITES], "site string, base_url string")
     p = pages.join(F.broadcast(base), "site", "left").select("page_id", "site", "query", "html", "base_url")
     return p.mapInPandas(_extract_batches, CARD_SCHEMA)

@@ -20,17 +20,26 @@ PARSED_SCHEMA = "seq bigint, sender string, subject string, body string, error s
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """S4 (batch): raw message files; ``seq`` is the file's position by
-    modification time then name (inbox order)."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.col("path"), F.col("modificationTime").alias("received_at"), F.col("content"))
+    """S4 (batch): raw message files (seq, content) in inbox order."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(path)
+    return number_messages(raw.select("path", F.col("modificationTime").alias("received_at"), "content"))
 
 
 def read_messages_stream(spark: SparkSession, path: str) -> DataFrame:
-    """S4 (streaming): each file is delivered once; the checkpoint of the
-    query remembers what was consumed, like the UNSEEN flag does."""
+    """S4 (streaming): each file is delivered once (path, received_at,
+    content); the checkpoint of the query remembers what was consumed, like the
+    UNSEEN flag does.  Micro-batches are numbered by ``number_messages``."""
     return (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.eml").load(path)
-            .select(F.col("path"), F.col("modificationTime").alias("received_at"), F.col("content")))
+            .select("path", F.col("modificationTime").alias("received_at"), "content"))
+
+
+def number_messages(raw: DataFrame, batch_id: int = 0) -> DataFrame:
+    """(seq, content): ``seq`` is the file's position by modification time, then
+    path, after those of earlier micro-batches."""
+    from postline.operators.reports import global_positions
+    order = global_positions(raw.select("path", "received_at").withColumn("_all", F.lit(1)), ["_all"], [F.col("received_at"), F.col("path")], out="_n")
+    seq = F.lit(batch_id).cast("bigint") * F.lit(1 << 32) + F.col("_n")
+    return raw.select("path", "content").join(order.select("path", "_n"), "path").select(seq.alias("seq"), "content")
 
 
 def render_rfc822(messages: DataFrame) -> DataFrame:
@@ -95,7 +104,7 @@ def _parse_batches(batches):
                 out["sender"].append(None)
                 out["subject"].append(None)
                 out["body"].append(None)
-                out["error"].append(f"{type(e).__name__}: {e}"[: rules.ERROR_TEXT_LIMIT])
+                out["error"].append(f"{type(e).__name__}: {e}")
         yield pd.DataFrame(out)
 
 
@@ -127,12 +136,8 @@ def mail_provider(address: Column, exact_domain: bool = False) -> Column:
         name = name.otherwise(F.lit("gmail"))
         host = F.coalesce(*[F.when(name == n, F.lit(h)) for n, h, _ in rules.MAIL_PROVIDERS])
         return F.struct(name.alias("provider"), host.alias("host"), F.lit(993).alias("port"))
-    name = (F.when(F.contains(dom, F.lit("gmail.com")), F.lit("gmail"))
-            .when(F.contains(dom, F.lit("outlook")) | F.contains(dom, F.lit("office365")) | F.contains(dom, F.lit("live."))
-                  | F.contains(dom, F.lit("hotmail.")), F.lit("outlook"))
-            .when(F.contains(dom, F.lit("yahoo")), F.lit("yahoo"))
-            .when(F.contains(dom, F.lit("icloud.com")) | F.contains(dom, F.lit("me.com")), F.lit("icloud"))
-            .otherwise(F.lit("gmail")))
+    marks = [(prov, F.contains(dom, F.lit(part))) for prov, parts in rules.PROVIDER_MARKS for part in parts]
+    name = F.coalesce(*[F.when(hit, F.lit(prov)) for prov, hit in marks], F.lit(rules.MAIL_PROVIDERS[0][0]))
     host = F.coalesce(*[F.when(name == n, F.lit(h)) for n, h, _ in rules.MAIL_PROVIDERS])
     return F.struct(name.alias("provider"), host.alias("host"), F.lit(993).alias("port"))
 

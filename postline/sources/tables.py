@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from postline import rules
 
@@ -204,12 +205,23 @@ def read_jobs(spark: SparkSession, path: str, stages=None) -> DataFrame:
 
 
 POSTING_SCHEMA = ("site string, query string, position int, title string, company string, url string, "
-                  "location string, description string")
+                  "location string, description string, seq bigint")
 
 
 def scan_postings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The raw postings of a cycle, with an explicit schema."""
-    return spark.read.schema(POSTING_SCHEMA).format(fmt).load(path)
+    """The raw postings of a cycle, with an explicit schema.  ``seq`` is the
+    order of arrival.  Files without it get it from the order of the files
+    (modification time, then path) and the row's place in its file, so it doesn't depend on
+    how files are packed into tasks; only parquet knows that place."""
+    df = spark.read.schema(POSTING_SCHEMA).format(fmt).load(path)
+    if fmt != "parquet":
+        return df
+    # one row a file: a small table, numbered in one task
+    files = df.select("_metadata.file_path", "_metadata.file_modification_time").distinct()
+    numbers = files.select(F.col("file_path").alias("_file"), F.row_number().over(W.orderBy("file_modification_time", "file_path")).alias("_no"))
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).join(numbers, "_file")
+    arrival = F.shiftleft(F.col("_no").cast("bigint"), 40) + F.col("_row")
+    return placed.withColumn("seq", F.coalesce("seq", arrival)).drop("_file", "_no", "_row")
 
 
 __all__ = ["read", "jobs", "located", "described", "attempts", "stage_log", "board", "messages", "arrivals",

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from conftest import SF_SMALL, rows
 from postline.__main__ import main
 from postline.operators import state
 from postline.session import scratch_path
@@ -27,19 +27,28 @@ def test_commands_version_the_store(spark, capsys):
     assert "Job Search Scan Completed" in out
     after = state.read_latest(spark, s)
     assert after.count() > 0 and set(after.columns) >= {"id", "title", "company", "url", "stage", "ai_summary"}
-    assert main(["cycle", "--store", s, "--postings", f"{base}/postings", "--incremental"]) == 0
+    from postline.__main__ import CYCLED
+    assert state.has_marker(spark, s, CYCLED)          # the next cycle is incremental
+    assert main(["cycle", "--store", s, "--postings", f"{base}/postings"]) == 0
+    again = state.read_latest(spark, s)
+    assert main(["cycle", "--store", s, "--postings", f"{base}/postings", "--full"]) == 0
+    assert rows(state.read_latest(spark, s), "id", "stage") == rows(again, "id", "stage")
     for cmd in ("recheck", "geo", "cleanup"):
         assert main([cmd, "--store", s]) == 0
+        assert not state.has_marker(spark, s, CYCLED)  # changed since: the next cycle is a full one
     assert main(["top", "--store", s, "--k", "3", "--outbox", f"{base}/outbox"]) == 0
     assert spark.read.parquet(f"{base}/outbox").count() == 1
-    assert main(["stats", "--store", s]) == 0
+    assert main(["stats", "--store", s, "--out", f"{base}/groups"]) == 0
+    from postline.operators import dedup
+    assert spark.read.parquet(f"{base}/groups").count() == dedup.duplicate_groups(state.read_latest(spark, s)).count()
     # mail: messages addressed to companies of the stored jobs
     msgs = tb.messages(spark, SF_SMALL).limit(50)
     render_rfc822(msgs).write.parquet(f"{base}/inbox")
     before = len(state._versions(spark, s))
     assert main(["mail", "--store", s, "--inbox", f"{base}/inbox", "--checkpoint", f"{base}/ck"]) == 0
     assert main(["mail", "--store", s, "--inbox", f"{base}/inbox", "--checkpoint", f"{base}/ck"]) == 0
-    assert len(state._versions(spark, s)) == before + 1          # the replay found nothing new
+    assert len(state._versions(spark, s)) == before              # a delta, no new version
+    assert len(state._deltas(spark, s, "updates")) == 1          # the replay found nothing new
     assert n0 > 0
 
 
@@ -62,4 +71,6 @@ def test_next_version_skips_a_crashed_write(spark):
     fs.create(p, False).close()
     assert state.write_version(df, base, marker="_applied_x").endswith("v=000003")
     assert state._versions(spark, base) == [1, 3] and state.has_marker(spark, base, "_applied_x")
+    state.write_version(df, base)
+    assert not state.has_marker(spark, base, "_applied_x")                # of the newest version
     assert state.read_latest(spark, base).count() == 1

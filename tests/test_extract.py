@@ -53,3 +53,32 @@ def test_cap_applies_before_title_filter(spark):
     kept = html.clean_postings(html.extract_list_cards(pages), cap=4).orderBy("position").collect()
     assert [r.title for r in kept] == ["Job 2", "Job 4"]
     assert kept[0].url == "https://b.example.com/j/2"
+
+
+def test_deep_and_sloppy_pages(spark):
+    deep = "<div>" * 3000 + '<div class="base-card"><h3 class="base-search-card__title">Deep</h3></div>' + "</div>" * 3000
+    item = "<li><div class='job_seen_beacon'><h2><a href='/{0}'><span>Job {0}</span></a></h2>"
+    rows = [(1, "linkedin", "q", deep), (2, "indeed", "q", "<ul>" + item.format(1) + item.format(2) + "</ul>"), (3, "nowhere", "q", "x"), (4, "indeed", "q", None)]
+    cards = html.extract_cards(spark.createDataFrame(rows, "page_id long, site string, query string, html string")).collect()
+    got = sorted((c.page_id, c.title, c.url) for c in cards if c.error is None)
+    assert got == [(1, "Deep", ""), (2, "Job 1", "/1"), (2, "Job 2", "/2")]
+    assert [c.page_id for c in cards if c.error] == [3]
+
+
+def test_all_cards_are_kept_without_a_cap(spark):
+    items = "".join(f'<li><a href="/j/{i}">Job {i}</a></li>' for i in range(60))
+    pages = spark.createDataFrame([(1, "https://b.example.com/list", f"<ul>{items}</ul>")], "page_id long, url string, html string")
+    assert html.clean_postings(html.extract_list_cards(pages)).count() == 60
+
+
+def test_arrival_order_of_postings(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from postline.sources import tables as tb
+    cols = "site string, query string, position int, title string, company string, url string, location string, description string"
+    for k in (2, 0, 1):
+        df = spark.createDataFrame([("s", "q", i, f"{k}-{i}", "c", "u", None, None) for i in range(3)], cols).coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / "p"))
+    got = tb.scan_postings(spark, str(tmp_path / "p")).orderBy("seq").collect()
+    assert [r.title for r in got] == [f"{k}-{i}" for k in (2, 0, 1) for i in range(3)] and len({r.seq for r in got}) == 9
+    spark.createDataFrame([("s", "q", 1, "t", "c", "u", None, None, 77)], cols + ", seq long").write.parquet(str(tmp_path / "q"))
+    assert tb.scan_postings(spark, str(tmp_path / "q")).select(F.col("seq")).first()[0] == 77

@@ -2,12 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from postline.functions import evaluation as ev
 from postline.functions import urls
-from postline.operators import dedup, filters, joins, reports
+from postline.operators import dedup, filters, joins, reports, state
 from postline.sources.mail import mail_provider
 
 
@@ -172,6 +173,83 @@ def test_format_field(spark):
     assert got == cases
 
 
+def test_format_field_literals_and_order(spark):
+    cases = {"['a', None, 'b c']": "- a\n- b c", "{'z_key': 'x', 'a': ['p', 2]}": "- **Z Key:** x\n- **A:** ['p', 2]",
+             '{"z": 1, "a": true, "m": {"q": "r"}, "e": []}': "- **Z:** 1\n- **A:** True\n- **M:** {'q': 'r'}",
+             '{"x": "y", "list": ["l"], "items": ["i"]}': "- i", "True": None, "None": "", "null": "", "[]": "", "0": "", "(1, 2)": None, "  ": "",
+             '"quoted"': "quoted", '"[1, 2]"': "- 1\n- 2", "[broken": "[broken", "-dash text": "-dash text", " as it is ": " as it is ", "['x', 'it\\'s']": "- x\n- it's"}
+    df = _one_col(spark, [*cases, None])
+    got = dict(df.select("v", ev.format_field(F.col("v")).alias("f")).collect())
+    assert got == cases | {None: None}
+
+
+def test_json_strings_parse_and_equal_dumps(spark):
+    import json
+    texts = ['a"b\\c', "tab\tnl\nret\rbell\x07 del\x7f nul\x00", "תל אביב", "é😀", "", "plain ascii ~ !"]
+    df = _one_col(spark, texts)
+    got = {r.v: (r.j, r.e) for r in df.select("v", ev.json_string(F.col("v")).alias("j"), ev.rejected_evaluation(F.col("v"), F.col("v")).alias("e")).collect()}
+    for t in texts:
+        assert got[t][0] == json.dumps(t)
+        assert json.loads(got[t][1])["location"] == t
+
+
+def test_rendered_fields_print_as_python_does(spark):
+    import json
+    values = [["Python", "SQL"], ["it's", 'a "b"', 3, None, True, 1.5], None, "text", 7, False, [], {"k": "v", "n": [1]}]
+    df = spark.createDataFrame([(i, json.dumps({"f": v})) for i, v in enumerate(values)] + [(98, "{}"), (99, "no json")], "i int, js string")
+    got = {r.i: (r.t, r.b) for r in df.select("i", ev.json_text(F.col("js"), "f", "dflt").alias("t"), ev.json_truthy(F.col("js"), "f").alias("b")).collect()}
+    for i, v in enumerate(values[:7]):
+        assert got[i] == (str(v), bool(v))
+    assert got[7] == ("{'k': 'v', 'n': [1]}", True) and got[98] == got[99] == ("dflt", False)
+
+
+def test_append_leaves_out_what_the_table_forbids(spark):
+    store = spark.createDataFrame([(4, "A", "Co", "https://x/1")], "id long, title string, company string, url string")
+    rows_ = [(1, None, "c", "https://x/2"), (2, "t", None, "https://x/3"), (3, "t", "c", None), (4, "u", "c", None), (5, "ok", "c", "https://x/4")]
+    batch = spark.createDataFrame([(*r, None, None, None) for r in rows_],
+                                  "seq long, title string, company string, url string, ai_summary string, stage string, location string")
+    got = state.append_new(store, batch, F.lit("2024-01-01").cast("timestamp")).select("id", "title").collect()
+    assert [tuple(r) for r in got] == [(5, "ok")]
+
+
+def test_priorities_reader_and_prompt(spark, tmp_path):
+    from postline import rules
+    path = tmp_path / "priorities.txt"
+    path.write_text("first: student\r\n\nsecond: no experience\n")
+    frame = rules.priorities_frame(spark, str(path))
+    assert [tuple(r) for r in frame.orderBy("ordinal").collect()] == [(1, "first: student"), (3, "second: no experience")]
+    prompt = rules.system_prompt(frame, "a profile").first().prompt
+    assert "a profile" in prompt and "first: student\nsecond: no experience" in prompt
+
+
+def test_whole_bodies_are_classified(spark):
+    from postline.plans import scoring
+    df = spark.createDataFrame([(1, "s", "x " * 3000 + "unfortunately", "c")], "seq long, subject string, body string, company_key string")
+    assert scoring.classify_messages(df).first().classification.new_stage == "Declined"
+    seen = scoring.classify_messages(df, lambda s, b, c: {"is_relevant_update": True, "new_stage": str(len(b)), "new_sub_stage": None}, body_limit=2000)
+    assert seen.first().classification.new_stage == "2000"
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder(spark, monkeypatch):
+    from postline import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Fake:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Fake())
+
+
 def test_quirk_options(spark):
     df = _one_col(spark, ["Sr. Developer", "srx", "ÉCOLE "])
     r = {x.v: x for x in df.select("v", filters.senior_title(F.col("v"), escape=True).alias("k"),
