@@ -29,7 +29,8 @@ def read_messages_stream(spark: SparkSession, path: str) -> DataFrame:
     """S4 (streaming): each file is delivered once (path, received_at,
     content); the checkpoint of the query remembers what was consumed, like the
     UNSEEN flag does.  Micro-batches are numbered by ``number_messages``."""
-    return (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.eml").load(path)
+    return (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+            .option("pathGlobFilter", "*.eml").load(path)
             .select("path", F.col("modificationTime").alias("received_at"), "content"))
 
 
