@@ -43,6 +43,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 COVERAGE = 0.75
 MIN_CELL = 100
+MAX_CELLS = 100_000          # cells that may be broadcast
 STEPS = 4
 CUTOFF = 75.0
 DIMS = 4
@@ -100,7 +101,7 @@ def base_failed() -> Column:
 
 def vector() -> list[Column]:
     """The transformed statistics of a text that passed the base rules."""
-    n = F.col("n_words").cast("double")
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return [F.log(F.greatest(F.col("word_chars") / n, F.lit(1.0))),
             F.log1p(F.col("n_symbols") / (0.5 + 0.01 * n)),
             F.col("n_dup_lines") / (F.col("n_lines") + 5.0),
@@ -136,44 +137,51 @@ def _cholesky(cov: DataFrame) -> DataFrame:
 
 
 def _cells(vectors: DataFrame, min_cell: int) -> DataFrame:
-    """One row per (language, source): the cell that judges it, or null."""
-    pairs = vectors.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"))
+    """One row per (language, source) that has a cell: the cell that judges it."""
+    pairs = written(vectors.groupBy("g_lang", "g_source").agg(F.count("*").alias("n")), "quality_pairs")
     langs = pairs.groupBy("g_lang").agg(F.sum("n").alias("n_lang"))
-    total = pairs.agg(F.sum("n").alias("n_all"))
-    return (pairs.join(langs, "g_lang").join(F.broadcast(total), F.lit(True))
+    n_all = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    none = F.lit(None).cast("string")
+    return (pairs.join(langs, "g_lang")
             .select("g_lang", "g_source",
                     F.when(F.col("n") >= min_cell, F.struct("g_lang", "g_source"))
-                    .when(F.col("n_lang") >= min_cell, F.struct("g_lang", F.lit(None).cast("string").alias("g_source")))
-                    .when(F.col("n_all") >= min_cell, F.struct(F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source")))
+                    .when(F.col("n_lang") >= min_cell, F.struct("g_lang", none.alias("g_source")))
+                    .when(F.lit(n_all >= min_cell), F.struct(none.alias("g_lang"), none.alias("g_source")))
                     .alias("cell"))
             .where("cell is not null").withColumn("cell", F.to_json("cell")))
 
 
+def _small(table: DataFrame, name: str) -> DataFrame:
+    """A table of one row a cell, written; sent to all tasks if it has no more than ``MAX_CELLS`` rows."""
+    table = written(table, name)
+    return F.broadcast(table) if table.count() <= MAX_CELLS else table
+
+
 def estimates(vectors: DataFrame, coverage: float = COVERAGE, min_cell: int = MIN_CELL, steps: int = STEPS) -> DataFrame:
     """MCD estimates: one row per (g_lang, g_source) with the center m<i>, the
     Cholesky factor l<i><j> and the scale s of its cell."""
-    cells = written(_cells(vectors, min_cell), "quality_cells")
+    cells = _small(_cells(vectors, min_cell), "quality_cells")
     rows = vectors.join(cells, ["g_lang", "g_source"])
 
     def quantile(col, q):
         return F.percentile_approx(col, F.lit(q), F.lit(10000))
 
     start = rows.groupBy("cell").agg(*[quantile(_x(i), 0.5).alias(f"m{i}") for i in range(DIMS)])
-    start = written(start, "quality_start")
+    start = _small(start, "quality_start")
     spread = rows.join(start, "cell").groupBy("cell").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)],
         *[F.pow(quantile(F.abs(_x(i) - F.col(f"m{i}")), 0.5) * 1.4826, F.lit(2)).alias(f"c{i}{i}") for i in range(DIMS)])
     for i in range(DIMS):
         for j in range(i):
             spread = spread.withColumn(f"c{i}{j}", F.lit(0.0))
-    model = written(_cholesky(spread), "quality_model")
+    model = _small(_cholesky(spread), "quality_model")
     for _ in range(steps):
         near = rows.join(model, "cell").select("cell", *[f"x{i}" for i in range(DIMS)], _square_distance().alias("d"))
-        limit = near.groupBy("cell").agg(quantile("d", coverage).alias("limit"))
+        limit = _small(near.groupBy("cell").agg(quantile("d", coverage).alias("limit")), "quality_limit")
         half = near.join(limit, "cell").where("d <= limit").groupBy("cell").agg(
             *[F.avg(_x(i)).alias(f"m{i}") for i in range(DIMS)],
             *[F.covar_pop(_x(i), _x(j)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)])
-        model = written(_cholesky(half), "quality_model")
+        model = _small(_cholesky(half), "quality_model")
     scale = (rows.join(model, "cell").groupBy("cell")
              .agg((F.greatest(quantile(_square_distance(), 0.5) / CHI2_MEDIAN, F.lit(1.0))).alias("s")))
     return cells.join(model, "cell").join(scale, "cell")
@@ -188,7 +196,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                                    F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("g_source"))).drop("text")
     found = written(found.withColumn("base_failed", base_failed()), "quality_statistics")
     vectors = found.where("not base_failed").select("g_lang", "g_source", *[v.alias(f"x{i}") for i, v in enumerate(vector())])
-    model = written(estimates(vectors, coverage, min_cell), "quality_estimates")
+    model = _small(estimates(vectors, coverage, min_cell), "quality_estimates")
     judged = found.withColumns({f"x{i}": v for i, v in enumerate(vector())}).join(model, ["g_lang", "g_source"], "left")
     distance = F.when(~F.col("base_failed"), _square_distance() / F.col("s"))
     return (judged.withColumn("distance", distance)
