@@ -53,7 +53,7 @@ LENGTH = 400
 GRAM = 192
 GROUP = 20_000               # contexts of one gram compared in one task at most
 BANDS = (105, 15, 3, 1)
-BUCKET_ROWS = 40_000         # suffixes sorted in one task
+BUCKET_ROWS = 20_000         # suffixes sorted in one task
 MAX_RANGES = 4_096           # ranges of leading bytes; more buckets than that share ranges
 MAX_GRAMS = 1_000_000        # repeated grams that may be broadcast
 PIECE = 1 << 22              # bytes of one text read at once
@@ -287,7 +287,7 @@ def _by_bands(contexts: DataFrame, length: int, gram: int) -> DataFrame | None:
 def _contexts(docs: DataFrame, wanted: DataFrame, text_col: str, length: int, cuts: np.ndarray, share: int = 1) -> DataFrame:
     """The bytes of wanted contexts (t, at, g, c, n, lead): suffix, and what is to the left, reversed; and the bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches, "text", 1 << 20):
+        for batch in X.slices(batches, "text"):
             raw = [x.as_py() for x in batch.column(0).cast(pa.binary())]
             lists = batch.column(1)
             owner = np.repeat(np.arange(len(raw)), np.asarray(lists.value_lengths())).tolist()
@@ -344,7 +344,8 @@ def covered(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     cover = shared.where("n > 1").select("g", "c", F.shiftright("at", 10).bitwiseAND(F.lit(1023)).cast("int").alias("l"),
                                          F.col("at").bitwiseAND(F.lit(1023)).cast("int").alias("r"))
     sizes = shared.where("mixed").groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1").select("g", "m")
-    wanted = written(shared.where("mixed").join(sizes, "g"), "suffix_wanted")
+    sizes = written(sizes, "suffix_sizes")
+    wanted = written(shared.where("mixed").join(F.broadcast(sizes) if sizes.count() <= MAX_GRAMS else sizes, "g"), "suffix_wanted")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // bucket_rows))
     ranges = min(parts, MAX_RANGES)
     share = -(-parts // ranges)
