@@ -53,7 +53,8 @@ MAX_LEVELS = 9
 RECALL = 0.995
 BUCKET = 64
 MARGIN = 0.15
-BLOCK = 512
+BLOCK = 512                  # nodes of a block, about
+BLOCK_ITEMS = 300_000        # shingles of a block, about
 SEED = 10
 MAX_IDS = 500_000            # node ids that may be broadcast to find their texts
 
@@ -241,12 +242,12 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     both = count[item] > 1
     owner, item = owner[both], item[both]
     _, item = np.unique(item, return_inverse=True)
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n))
     order = np.argsort(item, kind="stable")
     owner, item = owner[order], item[order]
-    for at in range(0, int(item[-1]) + 1 if len(item) else 0, 8192):
-        a, b = np.searchsorted(item, (at, at + 8192))
-        has = np.zeros((n, 8192), np.float32)
+    for at in range(0, int(item[-1]) + 1 if len(item) else 0, 4096):
+        a, b = np.searchsorted(item, (at, at + 4096))
+        has = np.zeros((n, 4096), np.float32)
         has[owner[a:b], item[a:b] - at] = 1
         out += has @ has.T
     return out.astype(np.int64)
@@ -314,7 +315,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     nodes = written(all_rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "jaccard_nodes")
     groups = written(components(candidates(nodes, threshold, runs), "jaccard_candidates"), "jaccard_groups")
-    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = (groups.join(nodes.select("node", "size"), "node").groupBy("label")
+             .agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_ITEMS)).cast("int").alias("blocks")))
     wanted = (groups.join(sizes, "label").join(nodes.select("node", "id", "copies"), "node")
               .select("id", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"), "node", "copies"))
     sets = _sets(docs, written(wanted, "jaccard_wanted"), kind).dropDuplicates(["node"])
