@@ -50,23 +50,36 @@ def letter_table() -> np.ndarray:
     return np.where(table >= LETTERS, table % LETTERS | 1 << 15, table).astype(np.uint32)
 
 
-def trigrams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, trigram) pairs and how often they occur; a trigram is 48 bits
-    (three letters), each text stands between two blanks."""
-    points = [np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    if not points:
-        return (np.zeros(0, np.int64),) * 3
-    letters = table[np.concatenate(points)].astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(p) for p in points])
+PIECE = 1 << 20              # characters and trigrams handled at once
+
+
+def letters_of(text: str, table: np.ndarray) -> np.ndarray:
+    """Lower-case letters of a text between two blanks, one blank for each run of other characters."""
+    blank = np.full(1, BLANK, np.uint16)
+    parts = [table[np.frombuffer(text[i:i + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint16) for i in range(0, len(text), PIECE)]
+    letters = np.concatenate([blank, *parts, blank])
     keep = np.ones(len(letters), bool)
-    keep[1:] = (letters[1:] != BLANK) | (letters[:-1] != BLANK) | (owner[1:] != owner[:-1])
-    letters, owner = letters[keep], owner[keep]
-    same = owner[2:] == owner[:-2]
-    grams = (letters[:-2] << np.uint64(32) | letters[1:-1] << np.uint64(16) | letters[2:])[same]
-    keys = np.sort(owner[2:][same] << np.uint64(48) | grams)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(first, len(keys)))
-    return (keys[first] >> np.uint64(48)).astype(np.int64), keys[first] & np.uint64((1 << 48) - 1), counts
+    keep[1:] = (letters[1:] != BLANK) | (letters[:-1] != BLANK)
+    return letters[keep]
+
+
+def trigrams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, trigram) pairs and how often they occur; a trigram is 48 bits (three letters)."""
+    found = [letters_of(t, table) for t in texts]
+    letters = np.concatenate([*found, np.zeros(0, np.uint16)])
+    ends = np.cumsum([len(f) for f in found])
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at in range(0, max(len(letters) - 2, 0), PIECE):
+        to = min(at + PIECE, len(letters) - 2)
+        x, start = letters[at:to + 2].astype(np.uint64), np.arange(at, to)
+        owner = np.searchsorted(ends, start, side="right")
+        grams = owner.astype(np.uint64) << np.uint64(48) | x[:-2] << np.uint64(32) | x[1:-1] << np.uint64(16) | x[2:]
+        k, c = np.unique(grams[start + 2 < ends[owner]], return_counts=True)
+        keys.append(k)
+        counts.append(c)
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
+    return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), count
 
 
 class Space:
@@ -121,8 +134,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def has_letter(texts: list[str], table: np.ndarray) -> np.ndarray:
-    return np.array([any(c.isalpha() for c in t[:64]) or bool((table[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] != BLANK).any())
-                     for t in texts], bool)
+    def any_letter(t: str) -> bool:
+        return any(c.isalpha() for c in t[:64]) or bool((letters_of(t, table) != BLANK).any())
+
+    return np.array([any_letter(t) for t in texts], bool)
 
 
 def profiles(training: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:

@@ -306,7 +306,7 @@ def test_pipeline_stages_have_their_effect(spark):
     vocab = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
     prose = lambda n: " ".join(rng.choice(vocab, n))
     item = textops.table(spark, SF, "benchmark").orderBy(F.length("text").desc()).first().text
-    clean = {i: prose(120) for i in range(40)}
+    clean = {i: prose(120) for i in range(99)} | {i: prose(120) for i in range(200, 230)}
     near = clean[3].split()
     near[50] = "changed"
     passage = prose(130)

@@ -111,8 +111,11 @@ def test_best_class_is_the_best_of_all_moves():
     rng = np.random.RandomState(0)
     n_classes, words = 4, 12
     of = np.arange(words) % n_classes
-    counts = rng.poisson(1.5, (words, words)).astype(float)
-    np.fill_diagonal(counts, 0)
+    text = [0]
+    while len(text) < 200 or text[-1] == text[0]:      # no word stands beside itself
+        text.append((text[-1] + 1 + rng.randint(words - 1)) % words)
+    counts = np.zeros((words, words))
+    np.add.at(counts, (text, text[1:] + text[:1]), 1)
 
     def likelihood(cls):
         n = np.zeros((n_classes, n_classes))
@@ -127,11 +130,12 @@ def test_best_class_is_the_best_of_all_moves():
         after = np.array([counts[w, of == c].sum() for c in range(n_classes)])
         big = np.array([[counts[np.ix_(of == a, of == b)].sum() for b in range(n_classes)] for a in range(n_classes)])
         b, better = brown.best_class(int(of[w]), before, after, big, big.sum(1))
-        assert better >= 0 and 0 <= b < n_classes
-        if better > 0.5:     # sides may weigh a little differently, a clear gain is a gain
+        gains = []
+        for c in range(n_classes):
             moved = of.copy()
-            moved[w] = b
-            assert likelihood(moved) > likelihood(of)
+            moved[w] = c
+            gains.append(likelihood(moved) - likelihood(of))
+        assert b == int(np.argmax(gains)) and better == pytest.approx(max(gains), abs=1e-9)
 
 
 def test_brown_edges(spark):
@@ -317,12 +321,13 @@ def test_sketch_never_misses():
 
 # --- 7 --------------------------------------------------------------------
 
-def test_language_vectors_match_plain_version():
+def test_language_vectors_match_plain_version(monkeypatch):
     table, space = hdlang.letter_table(), hdlang.Space(64)
-    texts = ["Abc abc!", "", "12 34", "É a", None]
+    texts = ["Abc abc!", "", "12 34", "É a", None, "ab  cd " * 5]
+    monkeypatch.setattr(hdlang, "PIECE", 7)
     got = space.bundle([t or "" for t in texts], table)
     for t, v in zip(texts, got):
-        s = " " + re.sub(r"[^^\W\d_]+", " ", " " + (t or "").lower() + " ").strip() + " "
+        s = " " + re.sub(r"[\W\d_]+", " ", " " + (t or "").lower() + " ").strip() + " "
         want = np.zeros(64)
         if s.strip():
             for a, b, c in zip(s, s[1:], s[2:]):
