@@ -11,7 +11,7 @@ has a fixed size, while counts cover all words of the corpus.
 
 Exchange clustering: all units start in a class by rank; a round counts
 for each unit the classes before and after it over the whole training corpus
-(summed per task, then per block of units), and one pass over the units moves each to the
+(summed per task, then per block of units, in two steps), and one pass over the units moves each to the
 class that raises the likelihood of the class bigrams most.  That pass is one task:
 its input has the size of the model, not of the corpus.
 
@@ -51,6 +51,7 @@ ENDINGS = 4_096
 KNOWN = 1 << 18
 ROUNDS = 6
 PRIOR = 2.0
+TOKENS_AT_ONCE = 1 << 20
 BLOCK = 512                  # units counted in one row of the shuffle
 SEED = 3
 END = 0                      # name of the end of text
@@ -163,8 +164,8 @@ def _sequences(texts: DataFrame, shared) -> DataFrame:
     return texts.select("text").mapInArrow(run, "units binary")
 
 
-def _context_counts(sequences: DataFrame, classes: np.ndarray, n_units: int, end: int, n_classes: int) -> DataFrame:
-    """Per task and block of units: how often a unit has each class before
+def _context_counts(sequences: DataFrame, classes: np.ndarray, n_units: int, end: int, n_classes: int, shares: int) -> DataFrame:
+    """Per task (each in one of ``shares`` shares) and block of units: how often a unit has each class before
     and after it (sparse), and the class bigrams of the task (in every block's row)."""
     shared = sequences.sparkSession.sparkContext.broadcast(classes)
 
@@ -172,25 +173,43 @@ def _context_counts(sequences: DataFrame, classes: np.ndarray, n_units: int, end
         of = shared.value.astype(np.int64)
         width = 2 * n_classes
         seen, bigrams, any_ = np.zeros(n_units * width, np.int32), np.zeros(n_classes * n_classes, np.int64), False
+        kept: list[np.ndarray] = []
+
+        def count():    # every row ends with an end of text, so rows can stand one after another
+            nonlocal seen, bigrams
+            u = np.concatenate([np.full(1, end, np.uint16), *kept]).astype(np.int64)
+            kept.clear()
+            c = of[u]
+            for i in range(0, len(u) - 1, TOKENS_AT_ONCE):
+                to = min(i + TOKENS_AT_ONCE, len(u) - 1)
+                a, b = slice(i, to), slice(i + 1, to + 1)
+                seen += np.bincount(u[b] * width + c[a], minlength=len(seen)).astype(np.int32)
+                seen += np.bincount(u[a] * width + n_classes + c[b], minlength=len(seen)).astype(np.int32)
+                bigrams += np.bincount(c[a] * n_classes + c[b], minlength=len(bigrams))
+
         for batch in batches:
             for raw in batch.column(0):
-                u = np.frombuffer(raw.as_py(), np.uint16).astype(np.int64)
-                u = np.concatenate([[end], u])         # a text before the first ended, too
-                c = of[u]
-                for i in range(0, len(u) - 1, 1 << 20):
-                    a, b = slice(i, min(i + (1 << 20), len(u) - 1)), slice(i + 1, min(i + (1 << 20), len(u) - 1) + 1)
-                    seen += np.bincount(u[b] * width + c[a], minlength=len(seen)).astype(np.int32)
-                    seen += np.bincount(u[a] * width + n_classes + c[b], minlength=len(seen)).astype(np.int32)
-                    bigrams += np.bincount(c[a] * n_classes + c[b], minlength=len(bigrams))
                 any_ = True
+                kept.append(np.frombuffer(raw.as_py(), np.uint16))
+                if sum(map(len, kept)) >= TOKENS_AT_ONCE:
+                    count()
+        if kept:
+            count()
         if any_:
-            for block in range(0, n_units, BLOCK):
-                part = seen[block * width:(block + BLOCK) * width]
-                at = np.flatnonzero(part)
-                yield pa.RecordBatch.from_arrays([pa.array([block // BLOCK], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
-                                                  pa.array([part[at].tobytes()], pa.binary()), pa.array([bigrams.tobytes()], pa.binary())],
-                                                 ["block", "at", "n", "bigrams"])
-    return sequences.mapInArrow(run, "block int, at binary, n binary, bigrams binary")
+            # frequent units come first by number: dealing them out in turn fills the blocks alike
+            blocks = -(-n_units // BLOCK)
+            by_unit = seen.reshape(n_units, width)
+            part = TaskContext.get().partitionId() % shares
+            for block in range(blocks):
+                own = by_unit[block::blocks].ravel()
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
+                                                  pa.array([own[at].astype(np.int64).tobytes()], pa.binary()), pa.array([bigrams.tobytes()], pa.binary())],
+                                                 ["block", "share", "at", "n", "bigrams"])
+    return sequences.mapInArrow(run, _COUNTS)
+
+
+_COUNTS = "block int, share int, at binary, n binary, bigrams binary"
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -211,20 +230,24 @@ def best_class(a: int, before: np.ndarray, after: np.ndarray, bigrams: np.ndarra
     size[a] = max(size[a] - n, 0)
     gain = ((_xlogx(into + before[rows, None]) - _xlogx(into)).sum(0) + (_xlogx(out + after[cols]) - _xlogx(out)).sum(1)
             - 2 * (_xlogx(size + n) - _xlogx(size)))
+    # a class's bigram with itself gets both sides at once
+    itself = bigrams.diagonal().copy()
+    itself[a] = max(itself[a] - before[a] - after[a], 0)
+    gain += _xlogx(itself + before + after) - _xlogx(itself + before) - _xlogx(itself + after) + _xlogx(itself)
     b = int(gain.argmax())
     return b, float(gain[b] - gain[a])
 
 
-def exchange(classes: np.ndarray, blocks: Iterator[tuple[int, np.ndarray]], bigrams: np.ndarray, fixed: int) -> np.ndarray:
+def exchange(classes: np.ndarray, blocks: Iterator[tuple[int, int, np.ndarray]], bigrams: np.ndarray, fixed: int) -> np.ndarray:
     """One round of the exchange: units in turn, each to its best class.  The
     bigrams follow every move at once; the counts around a unit are those of
     the round's start.  Class 0 stays the class of the ``fixed`` unit."""
     classes, n_classes = classes.copy(), len(bigrams)
     bigrams = bigrams.astype(float)
-    for first, seen in blocks:
+    for first, step, seen in blocks:
         seen = seen.reshape(-1, 2 * n_classes)
         for i in np.flatnonzero(seen.any(1)):
-            unit = first + int(i)
+            unit = first + step * int(i)
             a, before, after = int(classes[unit]), seen[i, :n_classes], seen[i, n_classes:]
             if unit == fixed:
                 continue
@@ -239,26 +262,29 @@ def exchange(classes: np.ndarray, blocks: Iterator[tuple[int, np.ndarray]], bigr
     return classes
 
 
-def _summed(counted: DataFrame, n_classes: int) -> DataFrame:
-    """One row a block: its unit counts (dense) and the class bigrams of the corpus."""
+def _summed(counted: DataFrame, n_classes: int, *keys: str) -> DataFrame:
+    """Counts summed over all rows with equal keys: one row each, in the same form."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, width = None, 2 * n_classes
+        now, total, width = None, None, 2 * n_classes
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([seen.tobytes()], pa.binary()), pa.array([bigrams.tobytes()], pa.binary())],
-                                              ["block", "seen", "bigrams"])
+            at = np.flatnonzero(total[1])
+            return pa.RecordBatch.from_arrays([pa.array([total[0][0]], pa.int32()), pa.array([total[0][1]], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
+                                               pa.array([total[1][at].tobytes()], pa.binary()), pa.array([total[2].tobytes()], pa.binary())],
+                                              ["block", "share", "at", "n", "bigrams"])
 
         for batch in batches:
-            for block, at, n, pairs in zip(*(x.to_pylist() for x in batch.columns)):
-                if block != now:
+            for block, share, at, n, pairs in zip(*(x.to_pylist() for x in batch.columns)):
+                key = (block, share)[:len(keys)]
+                if key != now:
                     if now is not None:
                         yield row()
-                    now, seen, bigrams = block, np.zeros(BLOCK * width), np.zeros(n_classes * n_classes)
-                seen[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
-                bigrams += np.frombuffer(pairs, np.int64)
+                    now, total = key, ((block, share), np.zeros((BLOCK + 1) * width, np.int64), np.zeros(n_classes * n_classes, np.int64))
+                total[1][np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+                total[2][:] += np.frombuffer(pairs, np.int64)
         if now is not None:
             yield row()
-    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, seen binary, bigrams binary")
+    return counted.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _COUNTS)
 
 
 def _round(summed: DataFrame, classes: np.ndarray, end: int, n_classes: int) -> DataFrame:
@@ -269,8 +295,15 @@ def _round(summed: DataFrame, classes: np.ndarray, end: int, n_classes: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in zip(*(x.to_pylist() for x in batch.columns))]
         if rows:
-            bigrams = np.frombuffer(rows[0][2]).reshape(n_classes, n_classes)
-            blocks = ((block * BLOCK, np.frombuffer(seen)) for block, seen, _ in sorted(rows))
+            bigrams = np.frombuffer(rows[0][4], np.int64).reshape(n_classes, n_classes)
+
+            def dense(at, n):
+                out = np.zeros((BLOCK + 1) * 2 * n_classes)
+                out[np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int64)
+                return out
+
+            step = -(-len(shared.value) // BLOCK)
+            blocks = ((block, step, dense(at, n)) for block, _, at, n, _ in sorted(rows))
             yield pa.RecordBatch.from_arrays([pa.array([exchange(shared.value, blocks, bigrams, end).astype(np.int32).tobytes()], pa.binary())], ["classes"])
     return summed.repartition(1).mapInArrow(run, "classes binary")
 
@@ -279,9 +312,12 @@ def cluster(sequences: DataFrame, n_units: int, end: int, n_classes: int = CLASS
     """The class of every unit.  The end of text has a class of its own (0)."""
     classes = (np.arange(n_units) % (n_classes - 1) + 1).astype(np.int32)
     classes[end] = 0
+    # tasks' counts are summed in two steps, each over the root of their number
+    shares = math.isqrt(sequences.rdd.getNumPartitions()) + 1
     for _ in range(rounds):
-        counted = _context_counts(sequences, classes, n_units, end, n_classes)
-        moved = _round(_summed(counted, n_classes), classes, end, n_classes).first()
+        counted = _context_counts(sequences, classes, n_units, end, n_classes, shares)
+        summed = _summed(_summed(counted, n_classes, "block", "share"), n_classes, "block")
+        moved = _round(summed, classes, end, n_classes).first()
         if moved is None or np.array_equal(found := np.frombuffer(moved[0], np.int32), classes):
             break
         classes = found
