@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 21          # bytes of text handled at once inside a task
+SLICE_BYTES = 1 << 19          # bytes of text handled at once inside a task
 HASH_BYTES = 1 << 18           # bytes hashed at once (stays in cache)
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SHINGLE = 5                    # words of a shingle
