@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from postline.llm import textops as X
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-KEPT = 1_000_000
-CHUNK = 1 << 20              # bytes of new segments indexed at once
+KEPT = 250_000
+CHUNK = 1 << 17              # bytes of new segments indexed at once
 BLANK = "▁"
 FIRST_PIECE = 259            # ids before it: unknown, begin, end, 256 bytes
 BYTE = 3                     # id of byte 0
