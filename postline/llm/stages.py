@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postline.llm import decontam, jaccard, pieces, quality, suffix
+from postline.llm import decontam, jaccard, passages, pieces, quality, suffix
 from postline.llm.textops import table
 from postline.session import remember_scratch, scratch_path
 
@@ -27,9 +27,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; bytes that repeated strings cover are cut from their
-    texts.  ``n_chars`` follows the text."""
-    cut = suffix.dedup(docs)
+    """All documents stay; what repeated strings of 400 bytes and repeated runs of
+    over 50 words cover is cut from their texts.  ``n_chars`` follows the text."""
+    cut = suffix.dedup(docs, words=passages.WORDS)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 

@@ -46,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postline.llm import passages
 from postline.llm import textops as X
 from postline.session import written
 
@@ -387,10 +388,15 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _touched(docs: DataFrame, text_col: str, found: str, **options) -> tuple[DataFrame, DataFrame]:
-    """Documents with covered bytes (their spans in the column ``found``), and all others."""
+def _touched(docs: DataFrame, text_col: str, found: str, words: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Documents with covered bytes (their spans in the column ``found``), and all others.
+    With ``words``, repeated runs of that many words are covered too, however few bytes they have."""
     t = _fresh(docs, "_text_name")
-    spans = written(covered(docs, text_col, **options), "suffix_spans")
+    spans = covered(docs, text_col, **options)
+    if words:
+        spans = (spans.unionByName(passages.covered(docs, text_col, words))
+                 .groupBy("t").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    spans = written(spans, "suffix_spans")
     named = docs.withColumn(t, F.xxhash64(_text(docs, text_col)))
     spans = spans.select(F.col("t").alias(t), F.col("spans").alias(found))
     if spans.count() <= MAX_IDS:   # untouched texts need no shuffle
@@ -425,7 +431,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 def dedup(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All documents and columns, covered bytes cut from the text.  Bytes of
-    a character that a cut leaves incomplete go too, so the text stays text."""
+    a character that a cut leaves incomplete go too, so the text stays text.
+    With the option ``words``, repeated runs of that many words are cut as well."""
     found, cut_col = _fresh(docs, "_spans"), _fresh(docs, "_cut")
     touched, rest = _touched(docs, text_col, found, **options)
 

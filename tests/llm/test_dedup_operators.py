@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from postline.llm import decontam, graph, jaccard, quality, queries, stages, suffix, textops
+from postline.llm import decontam, graph, jaccard, passages, quality, queries, stages, suffix, textops
 
 SF = "/root/testdata/sf0.001"
 SPACE = "[\x20\x09-\x0d]+"
@@ -107,6 +107,60 @@ def test_suffix_dedup_keeps_rows_columns_and_ids(spark):
     assert suffix.dedup(df.where("false")).count() == 0
 
 
+def words_plain(texts, n):
+    """Byte masks of the words that a repeated run of n words covers."""
+    found = [[(m.group(), *m.span()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())] for t in texts]
+    seen = Counter(tuple(w[0] for w in x[i:i + n]) for x in found for i in range(len(x) - n + 1))
+    masks = []
+    for t, x in zip(texts, found):
+        mask = bytearray(len((t or "").encode()))
+        for i in range(len(x) - n + 1):
+            if seen[tuple(w[0] for w in x[i:i + n])] > 1:
+                mask[x[i][1]:x[i + n - 1][2]] = b"\x01" * (x[i + n - 1][2] - x[i][1])
+        masks.append(mask)
+    return masks
+
+
+@pytest.mark.parametrize("seed,piece", [(0, 300_000), (1, 40)])
+def test_repeated_words_match_plain_version(spark, monkeypatch, seed, piece):
+    r = random.Random(seed)
+    common = [[r.choice("aé b c dd e".split()) + str(r.randint(0, 9)) for _ in range(r.randint(6, 30))] for _ in range(5)]
+    texts = [r.choice([" ", "\n "]).join(sum((r.choice(common)[r.randint(0, 3):] if r.random() < .5 else [f"w{r.randint(0, 30)}" for _ in range(r.randint(1, 9))]
+                                             for _ in range(r.randint(1, 6))), [])) for _ in range(80)]
+    texts += [None, "", "a " * 40, "a b " * 9, texts[0], texts[0]]
+    if piece < 100:     # pieces are for texts that are alone in their slice
+        monkeypatch.setattr(passages, "PIECE", piece)
+        monkeypatch.setattr(textops.slices, "__defaults__", (1,))
+        monkeypatch.setattr(passages, "MAX_IDS", 0)
+        monkeypatch.setattr(passages, "MAX_GRAMS", 0)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spans = {x.t: suffix.merged(x.spans) for x in passages.covered(df, words=12, gram=5).collect()}
+    got = {x.doc_id: spans.get(x.t, []) for x in df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    for i, mask in enumerate(words_plain(texts, 12)):
+        have = bytearray(len(mask))
+        for a, b in got[i]:
+            have[a:b] = b"\x01" * (b - a)
+        assert have == mask, (i, texts[i])
+
+
+def test_stage_cuts_all_passages_of_over_50_words(spark):
+    rng = np.random.RandomState(5)
+    vocab = [f"{a}{b}" for a in "bdfgklmn" for b in ("a", "e", "io", "u")]
+    prose = lambda n: " ".join(rng.choice(vocab, n))
+    rows, planted = [], {}
+    for n in (40, 50, *range(51, 61)):
+        passage = prose(n)
+        for side in range(2):   # the words around the passage differ, so it isn't longer than meant
+            before, after = prose(70) + f" x{n}{side}", f"y{n}{side} " + prose(70)
+            planted[len(rows)] = (n, passage, before, after)
+            rows.append((len(rows), f"{before} {passage} {after}"))
+    assert len(planted[22][1]) < 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in stages.suffix_dedup(spark, docs, SF).collect()}
+    for i, (n, passage, before, after) in planted.items():
+        assert got[i] == (f"{before}  {after}" if n > 50 else rows[i][1]), n
+
+
 def test_multikey_quicksort_and_buckets():
     rng = np.random.RandomState(0)
     words_ = rng.randint(0, 3, (3000, 5)).astype(np.uint64)
