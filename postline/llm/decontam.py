@@ -226,6 +226,8 @@ def _joined(docs: DataFrame, items: DataFrame, index: DataFrame, widths: list[in
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **options) -> DataFrame:
-    """The documents (all their columns) that contain no item.  Documents
-    with one id go together."""
-    return X.drop_ids(docs, search(docs, items, doc_id, doc_text, **options).select("doc_id"), doc_id)
+    """The documents (all their columns) that contain no item.  Texts are
+    searched under their own name, so ids may be null or repeat."""
+    name = X.fresh(docs, "_text_name")
+    named = docs.withColumn(name, X.text_name(F.col(doc_text)))
+    return X.drop_ids(named, search(named, items, name, doc_text, **options).select("doc_id"), name).drop(name)

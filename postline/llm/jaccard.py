@@ -95,7 +95,7 @@ def set_key(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, kind: str) -> DataFrame:
-    """doc_id, node (hash of the set; null without words), size, tokens (minimum hashes)."""
+    """doc_id, t (text name), node (hash of the set; null without words), size, tokens (minimum hashes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = X.Hasher(SEED)
         for batch in X.slices(batches, "text"):
@@ -111,9 +111,9 @@ def sketches(docs: DataFrame, kind: str) -> DataFrame:
                 nodes[rows], sizes[rows] = set_key(h, begin, size), size
             empty = sizes == 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes.view(np.int64), mask=empty), pa.array(sizes),
-                 X.binary_rows(tokens.ravel(), np.arange(batch.num_rows + 1, dtype=np.int64) * COORDS)], ["doc_id", "node", "size", "tokens"])
-    return docs.mapInArrow(run, f"doc_id {kind}, node long, size int, tokens binary")
+                [batch.column(0), batch.column(2), pa.array(nodes.view(np.int64), mask=empty), pa.array(sizes),
+                 X.binary_rows(tokens.ravel(), np.arange(batch.num_rows + 1, dtype=np.int64) * COORDS)], ["doc_id", "t", "node", "size", "tokens"])
+    return docs.select("doc_id", "text", "t").mapInArrow(run, f"doc_id {kind}, t long, node long, size int, tokens binary")
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -283,9 +283,9 @@ def _compare(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.mapInArrow(run, "node long, links long, root long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
-    """The sets of wanted nodes: rows of ``wanted`` (id, node, ...) with the set, from the text of their id."""
-    names = [c for c in wanted.columns if c != "id"]
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of wanted nodes: rows of ``wanted`` (id, t, node, ...) with the set, from the text of that id and name."""
+    names = [c for c in wanted.columns if c not in ("id", "t")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = X.Hasher(SEED)
@@ -296,49 +296,67 @@ def _sets(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
             full = np.flatnonzero(np.diff(bounds))
             keys = np.zeros(batch.num_rows, np.uint64)
             keys[full] = set_key(h, bounds[:-1][full], np.diff(bounds)[full])
-            mine = pa.array(keys.view(np.int64) == np.asarray(batch.column(at)))  # an id may have other texts too
+            mine = pa.array(keys.view(np.int64) == np.asarray(batch.column(at)))  # names are hashes
             out = pa.RecordBatch.from_arrays([*batch.columns[:-1], X.binary_rows(h, bounds)], [*names, "members"])
             yield out.filter(mine)
 
     ids = F.broadcast(wanted) if wanted.count() <= MAX_IDS else wanted.hint("shuffle_hash")
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name != "id")
-    return (docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"])).select(*names, "text")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name in names)
+    return (docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]) & (docs["t"] == ids["t"])).select(*names, "text")
             .mapInArrow(run, f"{shape}, members binary"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, runs: int | None = None) -> DataFrame:
-    """One row per text: doc_id, class_id (least id of the texts that links
-    connect it with) and n_links."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, runs: int | None = None) -> DataFrame:
+    """One row per text: doc_id, t (text name), node, one (the class's least
+    row by id, null last, and text name; null without words) and n_links."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), X.text_name(F.col(text_col)).alias("t"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     all_rows = written(sketches(docs, kind), "jaccard_sketches")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "t"))
     nodes = written(all_rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "jaccard_nodes")
+        one.alias("one"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "jaccard_nodes")
     groups = written(components(candidates(nodes, threshold, runs), "jaccard_candidates"), "jaccard_groups")
     sizes = (groups.join(nodes.select("node", "size"), "node").groupBy("label")
              .agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_ITEMS)).cast("int").alias("blocks")))
-    wanted = (groups.join(sizes, "label").join(nodes.select("node", "id", "copies"), "node")
-              .select("id", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"), "node", "copies"))
-    sets = _sets(docs, written(wanted, "jaccard_wanted"), kind).dropDuplicates(["node"])
+    wanted = (groups.join(sizes, "label").join(nodes.select("node", "one.id", "one.t", "copies"), "node")
+              .select("id", "t", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"), "node", "copies"))
+    sets = _sets(docs, written(wanted, "jaccard_wanted")).dropDuplicates(["node"])
     blocks = (sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("label", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "node", "copies", "members")
               .repartition("label", "p", "q").sortWithinPartitions("label", "p", "q", "node"))
     compared = written(_compare(blocks, threshold), "jaccard_links")
     classes = components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard_classes")
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
-    named = (nodes.select("node", "id", "copies").join(links, "node", "left").join(classes, "node", "left")
-             .select("node", "id", F.coalesce("label", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    least = named.groupBy("class").agg(F.min("id").alias("class_id"))
-    known = written(named.join(least, "class").select("node", "class_id", "n_links"), "jaccard_named")
-    rows = all_rows.select("doc_id", "node")
-    return (rows.where("node is not null").join(known, "node").select("doc_id", "class_id", "n_links")
-            .unionByName(rows.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))))
+    named = (nodes.select("node", "one", "copies").join(links, "node", "left").join(classes, "node", "left")
+             .select("node", "one", F.coalesce("label", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    least = named.groupBy("class").agg(F.min("one").alias("one"))
+    known = written(named.drop("one").join(least, "class").select("node", "one", "n_links"), "jaccard_named")
+    rows = all_rows.select("doc_id", "t", "node")
+    none = rows.where("node is null").withColumns({"one": F.lit(None).cast(known.schema["one"].dataType), "n_links": F.lit(0).cast("long")})
+    return rows.where("node is not null").join(known, "node").select("doc_id", "t", "node", "one", "n_links").unionByName(none)
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, runs: int | None = None) -> DataFrame:
+    """One row per text: doc_id, class_id (least id of the texts that links
+    connect it with) and n_links."""
+    return (_classes(docs, id_col, text_col, threshold, runs)
+            .select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("one.id")).alias("class_id"), "n_links"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents (all their columns) with one of each class: the one whose
-    id is the least.  Of rows with one id, one stays."""
-    classes = written(join(docs, id_col, text_col, **options), "jaccard_result")
-    kept = X.drop_ids(docs, classes.where("doc_id != class_id").select("doc_id"), id_col)
-    repeated = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+    """The documents (all their columns) with one row of each class: the least
+    by id (null last), text name and the other columns (as JSON).  Ids may be null or repeat."""
+    t = X.fresh(docs, "_text_name")
+    named = docs.withColumn(t, X.text_name(F.col(text_col)))
+    classes = written(_classes(docs, id_col, text_col, **options).where("node is not null")
+                      .select("doc_id", "t", (F.col("doc_id").eqNullSafe(F.col("one.id")) & (F.col("t") == F.col("one.t"))).alias("least")), "jaccard_result")
+    kept = X.drop_ids(named, classes.where("not least").select("doc_id", "t"), [id_col, t])
+    repeated = classes.where("least").groupBy("doc_id", "t").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "t")
+    repeated = written(repeated, "jaccard_repeated")
+    if repeated.isEmpty():
+        return kept.drop(t)
+    same = [kept[id_col].eqNullSafe(repeated["doc_id"]), kept[t] == repeated["t"]]
+    others = [f"`{c}`" for c in docs.columns if c != text_col]
+    one = (kept.join(repeated.hint("shuffle_hash"), same, "left_semi").groupBy(id_col, t)
+           .agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.to_json(F.struct(*others))).alias("_row")).select("_row.*"))
+    return X.drop_ids(kept, repeated, [id_col, t]).drop(t).unionByName(one)

@@ -188,12 +188,12 @@ def estimates(vectors: DataFrame, coverage: float = COVERAGE, min_cell: int = MI
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-          cutoff: float = CUTOFF, coverage: float = COVERAGE, min_cell: int = MIN_CELL) -> DataFrame:
+          cutoff: float = CUTOFF, coverage: float = COVERAGE, min_cell: int = MIN_CELL, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, the statistics, base_failed, distance (squared
-    Mahalanobis, null where none is taken) and kept."""
+    Mahalanobis, null where none is taken) and kept; and the columns ``keep``."""
     found = statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                                    F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("g_lang"),
-                                   F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("g_source"))).drop("text")
+                                   F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("g_source"), *keep)).drop("text")
     found = written(found.withColumn("base_failed", base_failed()), "quality_statistics")
     vectors = found.where("not base_failed").select("g_lang", "g_source", *[v.alias(f"x{i}") for i, v in enumerate(vector())])
     model = _small(estimates(vectors, coverage, min_cell), "quality_estimates")
@@ -201,9 +201,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     distance = F.when(~F.col("base_failed"), _square_distance() / F.col("s"))
     return (judged.withColumn("distance", distance)
             .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", *keep))
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents (all their columns) that are kept.  Documents with one id go together."""
-    return X.drop_ids(docs, judge(docs, id_col, **options).where("not kept").select("doc_id"), id_col)
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """The documents (all their columns) that are kept.  Rows are judged, not
+    ids: a verdict goes to the rows of its id, text, language and source."""
+    key = X.fresh(docs, "_judged")
+    named = docs.withColumn(key, F.xxhash64(X.text_name(F.col(text_col)), F.coalesce(F.col(lang_col).cast("string"), F.lit("")),
+                                            F.coalesce(F.col(source_col).cast("string"), F.lit(""))))
+    rejected = judge(named, id_col, text_col, lang_col, source_col, keep=(key,), **options).where("not kept")
+    return X.drop_ids(named, rejected.select("doc_id", key), [id_col, key]).drop(key)

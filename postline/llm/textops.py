@@ -172,14 +172,29 @@ def int64(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_rows: int = 500_000) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids`` (one column).  The ids
-    are written once; they are broadcast only if their number, measured
-    then, is within ``max_rows``; else they are the build side of a hash join."""
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str | list[str], max_rows: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids`` (the columns of
+    ``id_col``, null-safe).  The ids are written once; they are broadcast only if their
+    number, measured then, is within ``max_rows``; else they are the build side of a hash join."""
     from postline.session import written
-    ids = written(ids.toDF("_drop").distinct(), "drop_ids")
+    cols = [id_col] if isinstance(id_col, str) else id_col
+    ids = written(ids.toDF(*[f"_drop{i}" for i in range(len(cols))]).distinct(), "drop_ids")
+    same = [docs[c].eqNullSafe(ids[f"_drop{i}"]) for i, c in enumerate(cols)]
     ids = F.broadcast(ids) if ids.count() <= max_rows else ids.hint("shuffle_hash")
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_drop"]), "left_anti")
+    return docs.join(ids, same, "left_anti")
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def text_name(col):
+    """The 64-bit hash that names a text (null: empty)."""
+    return F.xxhash64(F.coalesce(col, F.lit("")))
 
 
 def let(value, body):

@@ -403,6 +403,33 @@ def test_pipeline_query_matches_plain_version(spark):
     assert got == {i: model.encode(t) for i, t in rows.items() if i not in bad} and bad
 
 
+def test_stages_judge_rows_not_ids(spark):
+    """Null and repeated ids with different texts: only the rows that are meant go."""
+    rng = np.random.RandomState(9)
+    vocab = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    prose = lambda n: " ".join(rng.choice(vocab, n))
+    item = textops.table(spark, SF, "benchmark").orderBy(F.length("text").desc()).first().text
+    ids = [None] * 5 + [7] * 5 + list(range(20, 26))
+    clean = [(i, prose(120), f"clean{k}") for k, i in enumerate(ids)]
+    near = lambda k: " ".join(["changed", *clean[k][1].split()[1:]])
+
+    def stays(stage, bad):
+        rows = [(i, t, "en", "s", n) for i, t, n in clean + bad]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _drop0 string").repartition(3)
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        return sorted((r.doc_id or 0, r.text or "", r._drop0) for r in out.collect())
+
+    want = sorted((i or 0, t, n) for i, t, n in clean)
+    short = [(None, "too short", "q"), (7, "short too", "q"), (20, "", "q"), (None, None, "q")]
+    assert stays(stages.quality_rules, short) == want
+    leak = [(i, prose(60) + " " + item + " " + prose(60), "d") for i in (None, 7, 21)]
+    assert stays(stages.decontamination, leak) == want
+    copies = [(None, near(15), "j"), (25, near(14), "j"), (None, clean[10][1], "j"), (7, clean[5][1], "j"), (None, clean[0][1], "j")]
+    empty = [(None, None, "e1"), (None, None, "e2"), (7, "", "e3"), (7, "", "e4")]
+    assert stays(stages.jaccard_join, copies + empty) == sorted(want + [(i or 0, t or "", n) for i, t, n in empty])
+
+
 def test_entry_registers_all(spark):
     entry = importlib.import_module("__spark_entry__")
     names = [n for n in entry.queries() if re.match(r"op\d+_|pipeline", n)]
