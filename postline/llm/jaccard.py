@@ -11,7 +11,7 @@ linked if the Jaccard similarity of their sets is ``threshold`` or more.
    are split by the shared token (their minimum hash) at the chosen coordinates.
    Nodes that share more than ``threshold`` of their tokens stay together on
    some path with a probability that the number of levels gives; runs are repeated
-   until the target recall is reached at the threshold itself.
+   until the target recall is reached at the threshold itself and at ``MAX_LEVELS``.
 3. Buckets of up to ``BUCKET`` nodes are compared by brute force (agreement
    of all coordinates, with a margin below the threshold); larger ones are split again,
    down to ``MAX_LEVELS`` shared tokens; what still stays together then is linked to
@@ -65,12 +65,18 @@ SHIFT = _rng.randint(0, 2 ** 31, COORDS).astype(np.uint32)
 CHOICE = _rng.randint(1, 2 ** 62, COORDS).astype(np.uint64)
 
 
-def runs_needed(threshold: float = THRESHOLD, levels: int = LEVELS, recall: float = RECALL) -> int:
-    """Runs until a pair exactly at the threshold is found with the target recall."""
-    stay = 1.0
+def runs_needed(threshold: float = THRESHOLD, levels: int = MAX_LEVELS, recall: float = RECALL) -> int:
+    """Runs until a pair exactly at the threshold is found with the target
+    recall at the deepest level, over the spread of its agreeing minimum hashes."""
+    agree = np.arange(COORDS + 1)
+    weight = np.array([math.comb(COORDS, m) * threshold ** m * (1 - threshold) ** (COORDS - m) for m in range(COORDS + 1)])
+    stay = np.ones(COORDS + 1)
     for _ in range(levels):
-        stay = 1 - (1 - stay / COORDS) ** COORDS
-    return math.ceil(math.log(1 - recall) / math.log(1 - stay))
+        stay = 1 - (1 - stay / (threshold * COORDS)) ** agree
+    runs = 1
+    while weight @ (1 - (1 - stay) ** runs) < recall:
+        runs += 1
+    return runs
 
 
 def distinct_shingles(batch: pa.RecordBatch, hasher: X.Hasher, text_at: int) -> tuple[np.ndarray, np.ndarray]:

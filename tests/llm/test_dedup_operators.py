@@ -331,6 +331,28 @@ def test_runs_reach_the_target_recall():
     assert found >= 0.97 * pairs
 
 
+def test_pairs_of_a_family_are_found_below_the_first_split(spark):
+    """Pairs at 0.8 in a family of similarity 0.5, whose buckets are split down to the last level."""
+    rng = np.random.RandomState(4)
+    pairs, shared = 300, rng.randint(0, 2 ** 31, jaccard.COORDS)
+    rows = []
+    for k in range(pairs):     # a hash is the family's with 0.7, so two texts agree in about a half
+        a = np.where(rng.random_sample(jaccard.COORDS) < 0.7, shared, rng.randint(0, 2 ** 31, jaccard.COORDS)).astype(np.uint32)
+        b = np.where(rng.random_sample(jaccard.COORDS) < 0.8, a, rng.randint(0, 2 ** 31, jaccard.COORDS)).astype(np.uint32)
+        rows += [(2 * k, bytearray(a.tobytes())), (2 * k + 1, bytearray(b.tobytes()))]
+    nodes = spark.createDataFrame(rows, "node long, tokens binary")
+    found = {frozenset(r) for r in jaccard._likely(_deepest(nodes), nodes, 0.8).collect()}
+    assert sum(frozenset((2 * k, 2 * k + 1)) in found for k in range(pairs)) >= 0.97 * pairs
+
+
+def _deepest(nodes):
+    """Members of the paths of the last level."""
+    paths = jaccard._first_paths(nodes, jaccard.runs_needed(), 0.8)
+    for _ in range(2 * jaccard.LEVELS, jaccard.MAX_LEVELS + 1, jaccard.LEVELS):
+        paths = jaccard._next_paths(jaccard._shared(paths), nodes, 0.8)
+    return jaccard._shared(paths)
+
+
 def test_intersections():
     rng = np.random.RandomState(3)
     sets = [np.unique(rng.randint(0, 60, rng.randint(1, 50))).astype(np.uint64) for _ in range(20)] + [np.zeros(0, np.uint64)]
