@@ -425,6 +425,18 @@ def test_pipeline_query_matches_plain_version(spark):
     assert got == {i: model.encode(t) for i, t in rows.items() if i not in bad} and bad
 
 
+def test_suffix_stage_matches_plain_version_with_words(spark):
+    """On documents of over 50 parts: windows of 400 bytes and runs of over 50 words."""
+    docs = textops.table(spark, SF, "documents").where(F.size(F.split("text", " ")) > 50)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    raw, masks = cut_plain([t for _, t in rows], 400)
+    more = words_plain([t for _, t in rows], 51)
+    want = {i: bytes(b for b, f, g in zip(x, m, w) if not f and not g).decode("utf-8", "ignore") if any(m) or any(w) else t
+            for (i, t), x, m, w in zip(rows, raw, masks, more)}
+    assert {r.doc_id: r.text for r in stages.suffix_dedup(spark, docs, SF).collect()} == want
+    assert any(any(g and not f for f, g in zip(m, w)) for m, w in zip(masks, more))
+
+
 def test_stages_judge_rows_not_ids(spark):
     """Null and repeated ids with different texts: only the rows that are meant go."""
     rng = np.random.RandomState(9)
