@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postline.llm import brown, chat, decontam, hdlang, jaccard, license, pieces, quality, suffix, urlfilter
+from postline.llm import brown, chat, decontam, hdlang, jaccard, license, pieces, quality, suffix, urlfilter, whitening
 from postline.llm.textops import table
 
 
@@ -65,6 +65,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_brown_scores": op1_brown_scores,
     "op2_url_filter": op2_url_filter,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
