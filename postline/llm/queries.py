@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postline.llm import brown, chat, decontam, hdlang, jaccard, license, pieces, quality, suffix, urlfilter, whitening
+from postline.llm import brown, chat, decontam, hdlang, jaccard, license, pieces, quality, suffix, urlfilter, variants, whitening
 from postline.llm.textops import table
 
 
@@ -65,6 +65,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -154,5 +159,46 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(head) + length(body) + length('<turn ' || '>' || chr(10) || chr(10) || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
+""",
+    # near words: equal to the other without one code point, or equal without the code point at the same place
+    "op12_spelling_variants": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) AS t(i))
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents
+), folded AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs WHERE length(run) >= 5
+), hashed AS (
+  SELECT run, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+                    CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), 128 + (unicode(c) & 63)] END))),
+                  lambda h, b: xor(h >> 8, crc[CAST(xor(h, b) & 255 AS INTEGER) + 1])), 4294967295) AS h
+  FROM folded, crc_table
+), words AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING count(*) >= 3
+), shorter AS (
+  SELECT word, i, word[1:i] || word[i + 2:] AS less FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.less = w.word
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.less = w.word
+), best AS (
+  SELECT p.word, count(*) AS n_near, arg_min(p.other, {'n': -o.n, 'w': p.other}) AS other, max(o.n) AS other_n
+  FROM pairs p JOIN words o ON o.word = p.other GROUP BY p.word
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form,
+         CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), walk AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk w USING (word) JOIN forms last ON last.word = w.at WHERE last.form IS NULL
 """,
 }
