@@ -6,10 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postline.llm import brown, chat, decontam, hdlang, jaccard, license, pieces, quality, suffix, urlfilter, variants, whitening
+from postline.llm import brown, chat, decontam, hdlang, jaccard, license, pieces, quality, suffix, urlfilter, variants, wavelet, whitening
 from postline.llm.textops import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a vocabulary file of the public tokenizers is."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _remainder(n: int):
     """crc32 of the id as text, modulo n (null id: 0)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
@@ -65,6 +71,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_back(wavelet.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"))
 
@@ -84,6 +94,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_wavelet_shards": op11_wavelet_shards,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
