@@ -1,14 +1,19 @@
 """Join operators.
 
 J1's "URL known OR (title, company) known" is two chained anti joins (an
-OR condition would plan as a nested-loop join).  J3's substring match is
+OR condition would plan as a nested-loop join).  J3's substring match runs an
+automaton of the tracked names over the messages; beyond a bound on the names it is
 an exact equi-join on character grams followed by a verification, never a
-cross join: a text position can only start a company name if the first
-characters agree.
+cross join.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +22,12 @@ from postline.functions import urls
 from postline.operators.dedup import norm_key
 from postline.operators.filters import py_strip
 
+#: Names and parts of names that are sent to all tasks: their number and characters.
+MAX_NEEDLES = 50_000
+MAX_NEEDLE_CHARS = 1_000_000
+#: Characters of a gram that names and texts are joined on beyond that.
+GRAM = 3
+
 
 def _has_title_company(title: Column, company: Column) -> Column:
     return (F.coalesce(title, F.lit("")) != "") & (F.coalesce(company, F.lit("")) != "")
@@ -103,57 +114,114 @@ def company_index(active: DataFrame) -> DataFrame:
                                         F.count(F.lit(1)).cast("bigint").alias("n_jobs"))
 
 
-def _positions(texts: DataFrame, longest: Column) -> DataFrame:
-    """(seq, _is_sender, _slice): for every code-point position of the text the
-    characters from there on, as many as the longest needle has.
-
-    The text is split into code points once; slices of that array cost no
-    rescan of multi-byte text.  Nothing longer than a needle leaves this step, so what
-    a shuffle carries is linear in the text's length."""
-    chars = F.regexp_extract_all(F.col("_text"), F.lit("(?s)."), 0)
-    pos = texts.select("seq", "_is_sender", chars.alias("_chars")).select("seq", "_is_sender", "_chars", F.posexplode("_chars").alias("_p", "_c"))
-    return pos.select("seq", "_is_sender", F.array_join(F.slice("_chars", F.col("_p") + 1, longest), "").alias("_slice"))
-
-
 def word_parts(company: Column) -> Column:
     """the parts of a name split on single spaces, longer than 2 characters."""
     return F.filter(F.split(company, " "), lambda p: F.length(p) > 2)
 
 
-def match_company(messages: DataFrame, companies: DataFrame) -> DataFrame:
+def _needles(companies: DataFrame) -> DataFrame:
+    """What the matcher looks for: whole keys (tier 1) and their parts (tier 2)."""
+    c = companies.select("company_key", "company_ord")
+    return (c.select("company_key", "company_ord", F.lit(1).alias("tier"), F.col("company_key").alias("needle"))
+            .unionByName(c.select("company_key", "company_ord", F.lit(2).alias("tier"), F.explode(word_parts(F.col("company_key"))).alias("needle")))
+            .where(F.length("needle") > 0))
+
+
+def match_company(messages: DataFrame, companies: DataFrame, max_needles: int = MAX_NEEDLES, max_chars: int = MAX_NEEDLE_CHARS) -> DataFrame:
     """Per message the company to update.  Tier 1: the company key is a
     substring of the lowered sender or subject; tier 2 (only without a tier-1
     hit): a space-separated part of the key longer than 2 characters is a
     substring of the sender.  Within a tier the company first in active order
     wins.  Returns (seq, company_key, tier).
 
-    Plan: the messages are cut into one slice for each position; every needle (a whole key
-    for tier 1, a part for tier 2) is keyed by its first three characters, shorter ones by
-    all they have.  A slice meets the needles that start with its first one, two or
-    three characters in an equi-join, an exact prefix test keeps the hits, and a
-    partial ``min`` aggregate per message picks the winner.  Slices whose
-    grams start no needle are dropped by a semi-join with the distinct grams,
-    before anything is multiplied.  No cross join, and no job runs while planning."""
-    both = F.array(
-        F.struct(F.lit(True).alias("is_sender"), _as_text(F.col("sender")).alias("text")),
-        F.struct(F.lit(False).alias("is_sender"), _as_text(F.col("subject")).alias("text")))
-    texts = (messages.select("seq", F.explode(both).alias("_m"))
-             .select("seq", F.col("_m.is_sender").alias("_is_sender"), F.col("_m.text").alias("_text")))
-    c = companies.select("company_key", "company_ord")
-    needles = (c.select("company_key", "company_ord", F.lit(1).alias("tier"), F.col("company_key").alias("_needle"))
-               .unionByName(c.select("company_key", "company_ord", F.lit(2).alias("tier"),
-                                     F.explode(word_parts(F.col("company_key"))).alias("_needle")))
-               .where(F.length("_needle") > 0)
-               .withColumn("_gram", F.substring("_needle", 1, 3)))
-    longest = needles.agg(F.coalesce(F.max(F.length("_needle")), F.lit(0))).scalar()
-    at = _positions(texts, longest)
-    grams = F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.substring(F.col("_slice"), F.lit(1), k)))
-    keyed = at.select("*", F.explode(grams).alias("_gram"))
-    keyed = keyed.join(needles.select("_gram").distinct(), "_gram", "left_semi")
-    # exact check, only for candidates (the gram join keeps few positions)
-    hits = keyed.join(needles, "_gram").where(((F.col("tier") == 1) | F.col("_is_sender")) & F.col("_slice").startswith(F.col("_needle")))
-    best = F.min(F.struct("tier", "company_ord", "company_key"))
-    return (hits.groupBy("seq").agg(best.alias("_b"))
+    The names and parts of the tracked companies are fetched, at most one more than the
+    bound.  Within it (number and characters) they are sent to all tasks as an Aho-Corasick
+    automaton, and the messages are matched where they are, without a shuffle.  Beyond it the
+    distinct texts meet the names in an equi-join on character grams.  Both give the same rows."""
+    needles = _needles(companies)
+    found = needles.limit(max_needles + 1).collect()
+    if len(found) <= max_needles and sum(len(r["needle"]) for r in found) <= max_chars:
+        return _match_by_automaton(messages, found)
+    return _match_by_grams(messages, needles)
+
+
+_AUTOMATA: dict[int, object] = {}       # of this worker process: the automaton last used
+
+
+def _automaton(number: int, needles: dict):
+    if number not in _AUTOMATA:
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for needle, ranks in needles.items():
+            automaton.add_word(needle, ranks)
+        automaton.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[number] = automaton
+    return _AUTOMATA[number]
+
+
+def _match_by_automaton(messages: DataFrame, found: list) -> DataFrame:
+    # the order of a struct: field by field, nulls first
+    found = sorted(found, key=lambda r: (r["tier"], [(v is not None, v) for v in r["company_ord"]], r["company_key"]))
+    none = len(found)
+    ranks: dict[str, list[int]] = {}
+    for i, r in enumerate(found):
+        mine = ranks.setdefault(r["needle"], [none, none])
+        mine[r["tier"] - 1] = min(mine[r["tier"] - 1], i)
+    shared = messages.sparkSession.sparkContext.broadcast(
+        ({n: (whole, min(whole, part)) for n, (whole, part) in ranks.items()}, [r["company_key"] for r in found], [r["tier"] for r in found]))
+    number = uuid.uuid4().int
+
+    def best(texts: pa.Array, which: int) -> np.ndarray:
+        """The least rank found in each text, looked up once for equal texts of a batch."""
+        coded = texts.dictionary_encode()
+        automaton = _automaton(number, shared.value[0])
+        least = [min((ranks[which] for _, ranks in automaton.iter(t)), default=none) for t in coded.dictionary.to_pylist()]
+        return np.array(least, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(texts) else np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, keys, tiers = shared.value
+        for batch in batches:
+            rank = np.minimum(best(batch.column(1), 1), best(batch.column(2), 0))
+            hit = np.flatnonzero(rank < none)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array([keys[i] for i in rank[hit]], pa.string()),
+                                              pa.array([tiers[i] for i in rank[hit]], pa.int32())], ["seq", "company_key", "tier"])
+
+    texts = messages.select("seq", _as_text(F.col("sender")).alias("sender"), _as_text(F.col("subject")).alias("subject"))
+    kind = texts.schema["seq"].dataType.simpleString()
+    if not found:
+        return texts.limit(0).select("seq", F.lit(None).cast("string").alias("company_key"), F.lit(None).cast("int").alias("tier"))
+    return texts.mapInArrow(run, f"seq {kind}, company_key string, tier int")
+
+
+def _match_by_grams(messages: DataFrame, needles: DataFrame) -> DataFrame:
+    """The match for any number of names.  Each distinct text is split into code points once.
+    Names of three characters or more are looked for at the positions whose first
+    three characters are theirs: a position carries a slice as long as the longest
+    name, so what a shuffle carries is linear in the text.  Shorter names are among the
+    text's distinct short grams."""
+    heads = messages.select("seq", _as_text(F.col("sender")).alias("_s"), _as_text(F.col("subject")).alias("_j"))
+    both = F.array(F.struct(F.lit(True).alias("is_sender"), F.col("_s").alias("text")), F.struct(F.lit(False).alias("is_sender"), F.col("_j").alias("text")))
+    texts = heads.select(F.explode(both).alias("_m")).select("_m.*").distinct()
+    texts = texts.select(F.xxhash64("is_sender", "text").alias("_h"), "*")
+    long, short = needles.where(F.length("needle") >= GRAM), needles.where(F.length("needle") < GRAM)
+    longest = long.agg(F.coalesce(F.max(F.length("needle")), F.lit(0))).scalar()
+    chars = texts.select("_h", "is_sender", F.regexp_extract_all(F.col("text"), F.lit("(?s)."), F.lit(0)).alias("_chars"))
+    at = (chars.select("_h", "is_sender", "_chars", F.posexplode("_chars").alias("_p", "_c"))
+          .select("_h", "is_sender", F.array_join(F.slice("_chars", F.col("_p") + 1, longest), "").alias("_slice"))
+          .withColumn("_gram", F.substring("_slice", 1, GRAM)))
+    long = long.withColumn("_gram", F.substring("needle", 1, GRAM))
+    at = at.join(long.select("_gram").distinct(), "_gram", "left_semi")
+    hits = at.join(long, "_gram").where(F.col("_slice").startswith(F.col("needle")))
+    grams = F.array_distinct(F.flatten(F.transform("_chars", lambda c, i: F.array(c, F.array_join(F.slice("_chars", i + 1, 2), "")))))
+    few = chars.select("_h", "is_sender", F.explode(grams).alias("needle")).join(short, "needle")
+    columns = ["_h", "is_sender", "tier", "company_ord", "company_key"]
+    hits = hits.select(*columns).unionByName(few.select(*columns)).where((F.col("tier") == 1) | F.col("is_sender"))
+    best = hits.groupBy("_h").agg(F.min(F.struct("tier", "company_ord", "company_key")).alias("_b"))
+    known = texts.join(best, "_h").select("is_sender", "text", "_b")
+    sender = known.where("is_sender").select(F.col("text").alias("_s"), F.col("_b").alias("_bs"))
+    subject = known.where("not is_sender").select(F.col("text").alias("_j"), F.col("_b").alias("_bj"))
+    return (heads.join(sender, "_s", "left").join(subject, "_j", "left").select("seq", F.least("_bs", "_bj").alias("_b")).where("_b is not null")
             .select("seq", F.col("_b.company_key").alias("company_key"), F.col("_b.tier").alias("tier")))
 
 

@@ -167,6 +167,9 @@ def test_company_matching_rules(spark, companies, texts):
     msgs = [(i + 1, s, j) for i, (s, j) in enumerate(texts)]
     mdf = spark.createDataFrame(msgs, "seq long, sender string, subject string")
     got = {r.seq: (r.company_key, r.tier) for r in joins.match_company(mdf, joins.company_index(jobs)).collect()}
+    by_grams = joins.match_company(mdf, joins.company_index(jobs), max_needles=0)
+    assert {r.seq: (r.company_key, r.tier) for r in by_grams.collect()} == got
+
     def part_in(c, text):
         return any(len(p) > 2 and p in text for p in c.split(" "))
 
@@ -190,11 +193,26 @@ def test_company_matching_long_text_carries_no_text(spark):
     jobs = spark.createDataFrame([(1, "blue gear", "To Apply", datetime(2024, 1, 1))], "id long, company string, stage string, date_found timestamp")
     long = "filler é " * 20_000
     mdf = spark.createDataFrame([(1, "hr@x", long + "Blue Gear"), (2, "hr@x", long)], "seq long, sender string, subject string")
-    out = joins.match_company(mdf, joins.company_index(jobs))
-    assert [(r.seq, r.company_key, r.tier) for r in out.collect()] == [(1, "blue gear", 1)]
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
-    assert exchanged and not any("_text" in line or "_chars" in line for line in exchanged)
+    companies = joins.company_index(jobs)
+    want = [(1, "blue gear", 1)]
+    plans = []
+    for bound in (joins.MAX_NEEDLES, 0):
+        out = joins.match_company(mdf, companies, max_needles=bound)
+        assert [(r.seq, r.company_key, r.tier) for r in out.collect()] == want
+        plans.append([line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line])
+    assert not plans[0]                               # the messages are matched where they are
+    assert plans[1] and not any("_chars" in line or ("_slice" in line and "text" in line) for line in plans[1])
+
+
+def test_company_matching_without_companies(spark):
+    from postline.operators import joins
+    mdf = spark.createDataFrame([(1, "hr@x", None), (2, None, "none")], "seq long, sender string, subject string")
+    none = spark.createDataFrame([], "company_key string, company_ord struct<b:int,d:long,id:long>, n_jobs long")
+    one = spark.createDataFrame([("none", (0, None, 1), 1)], none.schema)
+    for bound in (joins.MAX_NEEDLES, 0):
+        assert joins.match_company(mdf, none, max_needles=bound).collect() == []
+        # a missing header reads as 'none'
+        assert sorted(r.seq for r in joins.match_company(mdf, one, max_needles=bound).collect()) == [1, 2]
 
 
 def test_admission_oracle_sql_matches_loop():
