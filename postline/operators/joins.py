@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from postline import rules
 from postline.functions import urls
+from postline.operators import seen
 from postline.operators.dedup import norm_key
 from postline.operators.filters import py_strip
+from postline.operators.seen import KeyIndex
 
 #: Names and parts of names that are sent to all tasks: their number and characters.
 MAX_NEEDLES = 50_000
@@ -56,28 +58,46 @@ def _keyed(batch: DataFrame) -> DataFrame:
             .withColumn("_t", norm_key(F.col("title"))).withColumn("_c", norm_key(F.col("company"))))
 
 
-def drop_seen(batch: DataFrame, jobs: DataFrame, empty_url_fallback: bool = False) -> DataFrame:
+def _known_by_index(batch: DataFrame, index: KeyIndex, empty_url_fallback: bool):
+    """The batch with its keys (_ku, _kt), and the stored ones among them."""
+    url = F.when(F.col("_nu") != "", F.col("_nu")) if empty_url_fallback else F.col("_nu")
+    b = batch.withColumns({"_ku": seen.url_key(url), "_kt": seen.title_key(F.col("title"), F.col("company"))})
+    return b, index.known(b.select(F.explode(F.array("_ku", "_kt")).alias("key")))
+
+
+def drop_seen(batch: DataFrame, jobs: DataFrame | None, empty_url_fallback: bool = False, index: KeyIndex | None = None) -> DataFrame:
     """Postings whose canonical URL is not stored and whose (title,
     company), compared lower/trim and only when both are non-empty, is not
     stored either.  Two equi anti joins (an OR condition would plan as a
     nested-loop join).  By default an empty URL matches a stored empty URL
-    (as a UNIQUE column does); ``empty_url_fallback`` ignores empty URLs."""
+    (as a UNIQUE column does); ``empty_url_fallback`` ignores empty URLs.
+    With an ``index`` of the stored keys, ``jobs`` is not read."""
     b = _keyed(batch)
+    if index is not None:
+        b, known = _known_by_index(b, index, empty_url_fallback)
+        for key in ("_ku", "_kt"):
+            b = b.join(known.withColumnRenamed("key", key), key, "left_anti")
+        return b.drop("_nu", "_t", "_c", "_ku", "_kt")
     seen_url, seen_tc = _known_keys(b, jobs, empty_url_fallback)
     b = b.join(seen_url, "_nu", "left_anti")
     cond = (b["_t"] == seen_tc["_t"]) & (b["_c"] == seen_tc["_c"]) & _has_title_company(b["title"], b["company"])
     return b.join(seen_tc, cond, "left_anti").drop("_nu", "_t", "_c")
 
 
-def is_processed(batch: DataFrame, jobs: DataFrame, empty_url_fallback: bool = False) -> DataFrame:
+def is_processed(batch: DataFrame, jobs: DataFrame | None, empty_url_fallback: bool = False, index: KeyIndex | None = None) -> DataFrame:
     """J1 as a flag: ``seen_by`` is 'url', 'title_company' or NULL."""
     b = _keyed(batch)
-    seen_url, seen_tc = _known_keys(b, jobs, empty_url_fallback)
-    out = (b.join(seen_url.withColumn("_hit_u", F.lit(True)), "_nu", "left")
-           .join(seen_tc.withColumn("_hit_t", F.lit(True)), ["_t", "_c"], "left"))
+    if index is not None:
+        b, known = _known_by_index(b, index, empty_url_fallback)
+        out = (b.join(known.select(F.col("key").alias("_ku"), F.lit(True).alias("_hit_u")), "_ku", "left")
+               .join(known.select(F.col("key").alias("_kt"), F.lit(True).alias("_hit_t")), "_kt", "left"))
+    else:
+        seen_url, seen_tc = _known_keys(b, jobs, empty_url_fallback)
+        out = (b.join(seen_url.withColumn("_hit_u", F.lit(True)), "_nu", "left")
+               .join(seen_tc.withColumn("_hit_t", F.lit(True)), ["_t", "_c"], "left"))
     flag = (F.when(F.col("_hit_u"), F.lit("url"))
             .when(F.col("_hit_t") & _has_title_company(F.col("title"), F.col("company")), F.lit("title_company")))
-    return out.withColumn("seen_by", flag).drop("_nu", "_t", "_c", "_hit_u", "_hit_t")
+    return out.withColumn("seen_by", flag).drop("_nu", "_t", "_c", "_hit_u", "_hit_t", "_ku", "_kt")
 
 
 # ---------------------------------------------------------------------------

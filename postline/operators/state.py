@@ -17,23 +17,31 @@ from pyspark.sql import functions as F
 from postline import rules
 from postline.functions import urls
 from postline.functions.evaluation import truncate_text
-from postline.operators import dedup
+from postline.operators import dedup, seen
+from postline.operators.seen import KeyIndex
 
 
-def append_new(jobs: DataFrame, batch: DataFrame, now: Column, first_id: Column | None = None) -> DataFrame:
+def append_new(jobs: DataFrame | None, batch: DataFrame, now: Column, index: KeyIndex | None = None) -> DataFrame:
     """Rows to insert: canonical URL, URL conflicts (with stored rows or
     earlier batch rows) silently skipped, ``date_found`` stamped, new ids
     continuing after the stored maximum in arrival order.  Rows without a
-    title, company or URL are left out first: the table forbids them."""
+    title, company or URL are left out first: the table forbids them.  With an
+    ``index`` of the stored keys, ``jobs`` is not read."""
     b = batch.where(F.col("title").isNotNull() & F.col("company").isNotNull() & F.col("url").isNotNull())
     b = b.withColumn("url", urls.normalize_url(F.col("url")))
-    # stored URLs restricted to the batch's URLs first (bounded by the batch)
-    known = jobs.select("url").join(b.select("url").distinct(), "url", "left_semi").distinct()
-    b = b.join(known, "url", "left_anti")
+    if index is None:
+        # stored URLs restricted to the batch's URLs first (bounded by the batch)
+        known = jobs.select("url").join(b.select("url").distinct(), "url", "left_semi").distinct()
+        b = b.join(known, "url", "left_anti")
+        # the stored maximum is a scalar subquery: evaluated once, no join
+        max_id = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    else:
+        key = seen.url_key(F.col("url"))
+        known = index.known(b.select(key.alias("key")))
+        b = b.withColumn("_ku", key).join(known.withColumnRenamed("key", "_ku"), "_ku", "left_anti").drop("_ku")
+        max_id = index.largest_id()
     # first arrival per URL wins (a conflicting later insert is ignored)
     b = dedup.keep_best(b, ["url"], [F.col("seq")])
-    # the stored maximum is a scalar subquery: evaluated once, no join
-    max_id = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     from postline.operators.reports import global_positions
     numbered = global_positions(b.withColumn("_all", F.lit(1)), ["_all"], [F.col("seq")], out="_n").drop("_all")
     return numbered.select(
@@ -172,6 +180,22 @@ def write_delta(df: DataFrame, root: str, kind: str, tag: str) -> None:
     df.withColumn("_n", F.lit(n)).write.mode("overwrite").parquet(target)
 
 
+def key_index(spark: SparkSession, root: str) -> KeyIndex:
+    """The keys of the newest version as an index (written beside the version when first
+    asked for), with the inserts since as its recent rows."""
+    version = _versions(spark, root)[-1]
+    path = f"{root.rstrip('/')}/k={version:06d}"
+    fs, done = _fs(spark, f"{path}/_meta/_SUCCESS")
+    if not fs.exists(done):
+        made = f"{root.rstrip('/')}/_writing_{uuid.uuid4().hex}"
+        written = seen.write_index(spark.read.parquet(f"{root.rstrip('/')}/v={version:06d}"), made)
+        spark.sql(f"DROP TABLE {written.table}")             # the files stay
+        if not fs.rename(_fs(spark, made)[1], _fs(spark, path)[1]) and not fs.exists(done):
+            raise RuntimeError(f"another job writes {path}")
+    inserts = read_deltas(spark, root, "inserts")
+    return KeyIndex(spark, path, None if inserts is None else inserts.select("url", "title", "company", "id"))
+
+
 def outbox_sink(messages: DataFrame, path: str, batch: str, limit: int | None = None) -> str:
     """Rendered messages as rows for an external sender.  Each batch is a
     folder of its own, overwritten when the batch is delivered again, so a replay doubles

@@ -12,6 +12,7 @@ from postline import rules
 from postline.functions import evaluation as ev
 from postline.functions import urls
 from postline.operators import dedup, filters, joins, reports, state
+from postline.operators.seen import KeyIndex
 from postline.plans import scoring
 from postline.session import written
 
@@ -38,7 +39,7 @@ def recheck(jobs: DataFrame, scorer: Callable | None = None, strip_prior_reason:
     return rejected.unionByName(routed)
 
 
-def ingest(store: DataFrame, postings: DataFrame, now: Column, scorer: Callable | None = None) -> dict:
+def ingest(store: DataFrame | None, postings: DataFrame, now: Column, scorer: Callable | None = None, index: KeyIndex | None = None) -> dict:
     """The per-posting part of X4: in-batch admission (A6), seen check (J1),
     pre-filter (P11), rejected evaluation (P16) or score + route (X1, P15),
     append (S7).  Returns the new store and the cycle's new matches.
@@ -46,13 +47,16 @@ def ingest(store: DataFrame, postings: DataFrame, now: Column, scorer: Callable
     Only batch-sized data is materialised: the postings left after the
     seen check (read by both branches), the inserted rows (read by the new
     store and by the matches) and, with a user scorer, its output (so every
-    posting is scored once)."""
+    posting is scored once).  With an ``index`` of the stored keys the store itself
+    is not read; then it may be left out, and the result has none."""
     # the seen check and the insert both compare canonical URLs, so a later
     # posting whose URL differs only by tracking parameters is a repeat
     canonical = postings.withColumn("url", F.coalesce(urls.normalize_url(F.col("url")), F.lit("")))
     admitted = dedup.admit_batch(canonical)
     # batch-sized and read by several branches below: written once
-    fresh = written(joins.drop_seen(admitted, store), "fresh")
+    if index is not None:
+        admitted = written(admitted, "admitted")      # its keys are fetched first
+    fresh = written(joins.drop_seen(admitted, store, index=index), "fresh")
     pf = filters.pre_filter(fresh)
     rejected = pf.where(F.col("is_rejected")).select(
         "seq", "title", "company", "url", "location",
@@ -67,10 +71,10 @@ def ingest(store: DataFrame, postings: DataFrame, now: Column, scorer: Callable
                            ev.route_by_score(e["is_relevant"], e["match_score"]).alias("stage"),
                            e["match_score"].alias("score"))
     outcomes = joins.union_outcomes(rejected, routed)
-    inserted = written(state.append_new(store, outcomes, now), "inserted")
+    inserted = written(state.append_new(store, outcomes, now, index), "inserted")
     # routed To Apply rows are exactly the inserted To Apply rows
     matches = inserted.where(F.col("stage") == "To Apply").withColumn("score", ev.parse_score(F.col("ai_summary")))
-    new_store = store.unionByName(inserted)
+    new_store = None if store is None else store.unionByName(inserted)
     return {"admitted": admitted, "outcomes": outcomes, "inserted": inserted, "store": new_store, "matches": matches}
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from postline import rules
 from postline.functions import evaluation as ev
 from postline.functions import urls
-from postline.operators import dedup, filters, joins, reports, state
+from postline.operators import dedup, filters, joins, reports, seen, state
 from postline.plans import duck as d
 from postline.plans import cycle, scoring
 from postline.sources import html
@@ -192,6 +192,20 @@ def s7(spark, sf):
     return ins.select("url", "title", "id")
 
 
+def _store_index(spark, sf):
+    """The stored half as an index of its keys, and the batch."""
+    store, batch = tb.store_and_batch(spark, sf)
+    data, _ = streams.stream_scratch(spark, "keys")
+    return seen.write_index(store, f"{data}/index"), batch
+
+
+@query("S7_index", ORACLE["S7"])
+def s7_index(spark, sf):
+    index, batch = _store_index(spark, sf)
+    ins = state.append_new(None, batch.withColumnRenamed("id", "seq"), F.lit("2024-06-01 00:00:00").cast("timestamp"), index)
+    return ins.select("url", "title", "id")
+
+
 UPDATES_SQL = d.with_(d.JOBS, d.STAGE_LOG,
                       "latest AS (SELECT id, max(seq) AS seq, arg_max({'s': new_stage, 'ss': new_sub_stage}, seq) AS u "
                       "FROM stage_log GROUP BY id)")
@@ -676,6 +690,18 @@ def j2(spark, sf):
     return joins.is_processed(batch, store).select("id", "seen_by")
 
 
+@query("J1_index", ORACLE["J1"])
+def j1_index(spark, sf):
+    index, batch = _store_index(spark, sf)
+    return joins.drop_seen(batch, None, index=index).select("id")
+
+
+@query("J2_index", ORACLE["J2"])
+def j2_index(spark, sf):
+    index, batch = _store_index(spark, sf)
+    return joins.is_processed(batch, None, index=index).select("id", "seen_by")
+
+
 MATCH_SQL = d.with_(
     d.MAIL_JOBS, d.MESSAGES,
     "active AS (SELECT * FROM mail_jobs WHERE stage IN ('To Apply', 'In Process'))",

@@ -81,7 +81,9 @@ def ingest_stream(spark: SparkSession, postings_path: str, store_root: str, chec
                   files_per_batch: int | None = None):
     """New posting files -> in-batch admission, seen check, pre-filter,
     scoring, routing and append (``cycle.ingest``).  Each micro-batch writes
-    its inserted rows as a delta of the store (``state.read_latest`` reads them)."""
+    its inserted rows as a delta of the store (``state.read_latest`` reads them).  Known
+    postings are found in the version's key index and the deltas since; the
+    store itself isn't read."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -91,7 +93,7 @@ def ingest_stream(spark: SparkSession, postings_path: str, store_root: str, chec
         if state.has_delta(spark, store_root, "inserts", f"{tag}-{batch_id:09d}"):
             return                                             # replayed batch: already applied
         stamp = F.current_timestamp() if now is None else now
-        step = cycle.ingest(state.read_latest(spark, store_root), batch, stamp, scorer)
+        step = cycle.ingest(None, batch, stamp, scorer, state.key_index(spark, store_root))
         state.write_delta(step["inserted"], store_root, "inserts", f"{tag}-{batch_id:09d}")
         drop_scratch(spark)           # the batch's lineage cuts are no longer read
 
