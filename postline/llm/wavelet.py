@@ -1,7 +1,8 @@
 """Token ids in wavelet matrices, one file per shard.
 
 Documents are dealt by range of (id, text name) and encoded in the task that
-writes them, in ascending order.  A task closes a shard when it has ``SHARD_TOKENS``
+writes them, in ascending order.  A piece of text that no token crosses is encoded once by a worker
+process and remembered; a 64-bit hash finds its other places in a slice.  A task closes a shard when it has ``SHARD_TOKENS``
 ids; a document is never split.  Shard names sort in document order.
 
 A shard holds one bit-plane for each bit of the largest id, the highest first.  Each plane orders the
@@ -34,6 +35,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -54,7 +56,9 @@ from postline.session import remember_scratch, scratch_path, written
 MAGIC = b"WAVELET1"
 BLOCK = 1 << 15              # bits of a block
 SHARD_TOKENS = 1 << 21       # ids of a shard, at least, but for the last of a task
-MEMO = 200_000               # words whose ids a task remembers
+MEMO = 1_000_000             # pieces whose ids a worker process remembers
+SEED = 11
+SLICE = 1 << 21             # bytes of text encoded at once
 CACHE = 256                  # blocks that a reader keeps
 MANIFEST = "shard string, path string, n_docs long, n_tokens long, bytes long"
 
@@ -70,19 +74,21 @@ def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 # ---------------------------------------------------------------------------
 def planes_of(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     """The bit-planes (packed) and the number of zeros of each."""
-    planes, zeros = [], []
+    planes, zeros, below = [], [], np.empty_like(ids)
     for k in range(bits - 1, -1, -1):
-        ones = (ids >> ids.dtype.type(k)) & ids.dtype.type(1) == 1
+        ones = (ids & ids.dtype.type(1 << k)).astype(bool)
         planes.append(np.packbits(ones, bitorder="little"))
-        ids = np.concatenate([ids[~ones], ids[ones]])
-        zeros.append(len(ids) - int(ones.sum()))
+        zeros.append(len(ids) - int(np.count_nonzero(ones)))
+        np.compress(~ones, ids, out=below[:zeros[-1]])
+        np.compress(ones, ids, out=below[zeros[-1]:])
+        ids, below = below, np.empty_like(ids) if k == bits - 1 else ids
     return planes, zeros
 
 
 def pack(ids: np.ndarray, ends: np.ndarray, doc_ids: list) -> bytes:
     """The file of a shard: ids (unsigned) of all documents, their ends, their ids."""
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    planes, zeros = planes_of(ids, bits)
+    planes, zeros = planes_of(ids.astype(np.uint16) if bits <= 16 else ids, bits)
     blocks = -(-len(ids) // BLOCK)
     squeeze = zstandard.ZstdCompressor(level=3).compress
     ones, places, data = np.zeros((bits, blocks + 1), np.uint64), [0], []
@@ -201,42 +207,135 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All ids."""
-        ids, blocks = np.zeros(self.n, np.uint32), self.ones.shape[1] - 1
+        ids, blocks = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32), self.ones.shape[1] - 1
         for plane in range(self.bits - 1, -1, -1):
             packed = np.concatenate([self._bytes(plane, b) for b in range(blocks)]) if blocks else np.zeros(0, np.uint8)
-            ones = np.unpackbits(packed, bitorder="little")[:self.n] == 1
+            ones = np.unpackbits(packed, bitorder="little")[:self.n].view(bool)
             above = np.empty_like(ids)
             above[~ones] = ids[:self.zeros[plane]]
-            above[ones] = ids[self.zeros[plane]:] | np.uint32(1 << (self.bits - 1 - plane))
+            above[ones] = ids[self.zeros[plane]:] | ids.dtype.type(1 << (self.bits - 1 - plane))
             ids = above
-        return ids
+        return ids.astype(np.uint32)
 
 
 # ---------------------------------------------------------------------------
 # encoding
 # ---------------------------------------------------------------------------
+SPACE, LETTER, DIGIT, OTHER = range(4)
+#: Class of each byte of a plain text: the tokenizer's pre-tokenizer cuts into runs of letters, single digits and
+#: runs of other characters.  Bytes of Latin-1 letters (C3, 80 to BF) are letters.
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[[*range(9, 14), 32]] = SPACE
+CLASS[[*range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = LETTER
+CLASS[[*range(0x30, 0x3A)]] = DIGIT
+#: What a single apostrophe takes along from the letters after it (fixed values of the pre-tokenizer).
+SHORT, LONG = b"stmd", (b"re", b"ve", b"ll")
+#: Byte-level BPE shows each byte as a character: printable ones as themselves, the others from U+0100 on.
+PRINTED = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+SHOWN = {b: chr(b) for b in PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+#: Pieces that normalising and cutting leave as they are: letters in lower case.
+LOWER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def plain_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts are cut by byte classes: those without characters beyond ASCII but
+    Latin-1 letters (lead byte C3, without the signs C3 97 and C3 B7), and without a bar, which
+    the special tokens have."""
+    odd = (data >= 0xC2) & (data != 0xC3) | (data == 0x7C)
+    odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    at = np.concatenate([[0], np.cumsum(odd)])
+    return at[offsets[1:]] == at[offsets[:-1]]
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts (A-Z lower-cased where plain), and start and end of their pieces, which no token
+    crosses: of plain texts what the pre-tokenizer cuts, of others words between ASCII white space."""
+    plain = np.repeat(plain_texts(data, offsets), np.diff(offsets))
+    data = np.where(plain, X.LOWER[data], data)
+    kind = CLASS[data]
+    kind[~plain & (kind != SPACE)] = OTHER
+    begin = np.zeros(len(data) + 4, bool)
+    begin[offsets] = True
+    edge = begin.copy()                                  # where a text begins, or all end
+    begin[0] = True
+    begin[1:len(data)] |= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    quote = np.flatnonzero((data == 0x27) & begin[:len(data)] & plain)
+    padded, of = np.concatenate([data, np.zeros(4, np.uint8)]), np.concatenate([kind, np.full(4, SPACE, np.uint8)])
+    quote = quote[(of[quote + 1] == LETTER) & ~edge[quote + 1]]
+    one = np.isin(padded[quote + 1], np.frombuffer(SHORT, np.uint8))
+    pair = padded[quote + 1].astype(np.int64) << 8 | padded[quote + 2]
+    two = np.isin(pair, [a << 8 | b for a, b in LONG]) & ~edge[quote + 2]
+    for at, size in ((quote[one], 1), (quote[two], 2)):
+        begin[at + 1] = False
+        rest = at + size + 1
+        begin[rest[of[rest] == LETTER]] = True
+    begin[len(data)] = True
+    bounds = np.flatnonzero(begin[:len(data) + 1])
+    whole = kind[bounds[:-1]] != SPACE
+    return data, bounds[:-1][whole], bounds[1:][whole]
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file.  The tokenizer drops white space and no
-    token crosses it, so words between ASCII white space are encoded once and remembered."""
+    """Ids of texts by a tokenizer file.  Each piece is encoded once and remembered; within a
+    slice, a piece's 64-bit hash tells where it occurs again."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(tokenizer_file)
-        self.memo: dict[bytes, tuple] = {}
-        self.numbers = list(range(self.model.get_vocab_size()))
-
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO and self.memo:
-            self.memo.clear()
-            new = list(dict.fromkeys(words))
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for word, found in zip(part, self.model.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.memo[word] = tuple(self.numbers[t] for t in found.ids)
-        return np.fromiter(itertools.chain.from_iterable(map(self.memo.__getitem__, words)), np.uint32)
+        self.hasher = X.Hasher(SEED, fold=False)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[bytes, int] = {}              # number of each piece
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        bpe, show = self.model.model, SHOWN
+        lower = [w for w in new if LOWER.fullmatch(w)]
+        found = [[t.id for t in bpe.tokenize(w.decode("latin-1").translate(show))] for w in lower]
+        rest = list(set(new).difference(lower))
+        found += [e.ids for i in range(0, len(rest), 4096)
+                  for e in self.model.encode_batch([w.decode() for w in rest[i:i + 4096]], add_special_tokens=False)]
+        size, n = np.array([len(f) for f in found], np.int64), len(self.places)
+        total = int(size.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(new) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.ids[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
+        self.begin[n:n + len(new)], self.size[n:n + len(new)] = self.used + np.cumsum(size) - size, size
+        self.used += total
+        self.places.update(zip(lower + rest, range(n, n + len(new))))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts given as bytes one after another, and the number of ids of each."""
+        data, starts, ends = cut(data, offsets)
+        raw = data.tobytes()
+        _, first, of = np.unique(self.hasher.words(data, starts, ends), return_index=True, return_inverse=True)
+        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        new = [w for w in pieces if w not in self.places]
+        if len(self.places) + len(new) > MEMO and self.places:
+            self._forget()
+            new = pieces
+        if new:
+            self._learn(new)
+        rows = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))[of]
+        size = self.size[rows]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.begin[rows] - stop[:-1], size) + np.arange(stop[-1])
+        return self.ids[at], np.diff(stop[np.searchsorted(starts, offsets)])
+
+
+_ENCODERS: dict[str, Encoder] = {}      # of this worker process; tasks that follow one another share what it remembers
+
+
+def _encoder(tokenizer_file: str) -> Encoder:
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 def write(docs: DataFrame, tokenizer_file: str, end: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -248,12 +347,12 @@ def write(docs: DataFrame, tokenizer_file: str, end: int = 2, folder: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        encoder, (fs, at) = Encoder(tokenizer_file), _open(folder)
+        encoder, (fs, at) = _encoder(tokenizer_file), _open(folder)
         task = TaskContext.get().partitionId()
-        done, parts, ids, size = [], [], [], 0
+        done, last = [], np.array([end], np.uint32)
+        parts, ids, lengths, size = [], [], [], 0
 
         def close():
-            lengths = np.array([len(p) for p in parts], np.int64)
             whole = pack(np.concatenate(parts), np.cumsum(lengths), ids)
             name = f"{task:08d}-{len(done):08d}.wm"
             fs.create_dir(at, recursive=True)
@@ -261,18 +360,19 @@ def write(docs: DataFrame, tokenizer_file: str, end: int = 2, folder: str | None
             with fs.open_output_stream(aside) as out:
                 out.write(whole)
             fs.move(aside, f"{at}/{name}")
-            done.append((name, f"{folder}/{name}", len(ids), int(lengths.sum()), len(whole)))
+            done.append((name, f"{folder}/{name}", len(ids), int(size), len(whole)))
 
-        for batch in X.slices(batches, "text"):
-            data, offsets = X.text_bytes(batch.column(1))
-            raw = data.tobytes()
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                parts.append(np.append(encoder.encode(raw[offsets[i]:offsets[i + 1]]), np.uint32(end)))
+        for batch in X.slices(batches, "text", SLICE):
+            found, count = encoder.encode(*X.text_bytes(batch.column(1)))
+            ends = np.cumsum(count)
+            for doc, a, b in zip(batch.column(0).to_pylist(), ends - count, ends):
+                parts += [found[a:b], last]
                 ids.append(doc)
-                size += len(parts[-1])
+                lengths.append(b - a + 1)
+                size += lengths[-1]
                 if size >= shard_tokens:
                     close()
-                    parts, ids, size = [], [], 0
+                    parts, ids, lengths, size = [], [], [], 0
         if ids:
             close()
         if done:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,8 +54,27 @@ def model():
 def test_words_encode_as_texts_do(spark):
     """White space never changes what a word's ids are."""
     tk, encoder = model(), wavelet.Encoder(TOKENIZER)
-    texts = [t or "" for t in TEXTS] + [r.text or "" for r in textops.table(spark, SF, "documents").select("text").collect()]
-    assert all(encoder.encode(t.encode()).tolist() == tk.encode(t, add_special_tokens=False).ids for t in texts)
+    texts = TEXTS + ["L'ÉTÉ's 'Tis I'LL 'sup x'd \"'s ''re 12a3 __ a_b", "ÀÿÖ×÷ß", "µ ª\xa0b\x85c", "<|ENDOFTEXT|> <|endoftext|>.", "e\u0301 E\u0301 \u212bngström", "don’t “q” – x…"]
+    texts += [r.text for r in textops.table(spark, SF, "documents").select("text").collect()]
+    want = [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for memo in (wavelet.MEMO, 5):
+        wavelet.MEMO, whole = memo, wavelet.MEMO
+        try:
+            ids, count = encoder.encode(*textops.text_bytes(pa.array(texts)))
+        finally:
+            wavelet.MEMO = whole
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abzAZ'srvemltd 09\n\t.,-_<|>\x1c\x00éÉ×÷ßÿ\xa0\u0301’日", max_size=40), max_size=4))
+def test_any_text_encodes_as_the_tokenizer_does(texts):
+    if not hasattr(test_any_text_encodes_as_the_tokenizer_does, "both"):
+        test_any_text_encodes_as_the_tokenizer_does.both = model(), wavelet.Encoder(TOKENIZER)
+    tk, encoder = test_any_text_encodes_as_the_tokenizer_does.both
+    ids, count = encoder.encode(*textops.text_bytes(pa.array(texts, pa.string())))
+    assert ids.tolist() == [i for t in texts for i in tk.encode(t, add_special_tokens=False).ids]
+    assert count.tolist() == [len(tk.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 @pytest.mark.parametrize("shard_tokens", [wavelet.SHARD_TOKENS, 500])
