@@ -32,10 +32,15 @@ from postline.streaming import streams
 
 
 def _latest(spark, store):
-    jobs = state.read_latest(spark, store)
-    if jobs is None:
+    return _snapshot(spark, store)[0]
+
+
+def _snapshot(spark, store):
+    """The table and the deltas it holds; deltas that streams write from now on stay on top of the next version."""
+    found = state.read_snapshot(spark, store)
+    if found is None:
         raise SystemExit(f"no table under {store}; run 'init' first")
-    return jobs
+    return found
 
 
 def cmd_init(spark, a):
@@ -49,33 +54,32 @@ CYCLED = "_cycled"      # marks a version that a finished cycle wrote
 def cmd_cycle(spark, a):
     """Only a store that a finished cycle wrote, and nothing has changed since, may
     be cycled incrementally; such a store is, unless ``--full`` is given."""
-    incremental = not a.full and state.has_marker(spark, a.store, CYCLED) and state.read_deltas(spark, a.store, "inserts") is None \
-        and state.read_deltas(spark, a.store, "updates") is None
-    store = _latest(spark, a.store)
+    store, folded = _snapshot(spark, a.store)
+    incremental = not a.full and state.has_marker(spark, a.store, CYCLED) and not folded
     postings = tb.scan_postings(spark, a.postings)
     out = cycle.run_cycle(store, postings, F.current_timestamp(), dashboard_link=a.link or "", incremental=incremental)
-    print(state.write_version(out["store"], a.store, marker=CYCLED))
+    print(state.write_version(out["store"], a.store, marker=CYCLED, folded=folded))
     print(out["message"].first()["message"])
 
 
 def cmd_recheck(spark, a):
-    jobs = _latest(spark, a.store)
+    jobs, folded = _snapshot(spark, a.store)
     rechecked = cycle.recheck(jobs)
     updated = (jobs.join(rechecked.select("id", F.col("stage").alias("_s"), F.col("ai_summary").alias("_a")), "id", "left")
                .withColumn("stage", F.coalesce(F.col("_s"), F.col("stage")))
                .withColumn("ai_summary", F.coalesce(F.col("_a"), F.col("ai_summary"))).drop("_s", "_a"))
-    print(state.write_version(updated, a.store))
+    print(state.write_version(updated, a.store, folded=folded))
 
 
 def cmd_geo(spark, a):
-    geo = filters.apply_geo_filter(_latest(spark, a.store))
-    print(state.write_version(geo.drop("geo_reason"), a.store))
+    jobs, folded = _snapshot(spark, a.store)
+    print(state.write_version(filters.apply_geo_filter(jobs).drop("geo_reason"), a.store, folded=folded))
 
 
 def cmd_cleanup(spark, a):
-    jobs = _latest(spark, a.store)
+    jobs, folded = _snapshot(spark, a.store)
     kept = filters.demote_low_scores(dedup.dedup_postings(jobs)).drop("demoted")
-    print(state.write_version(kept, a.store))
+    print(state.write_version(kept, a.store, folded=folded))
 
 
 def cmd_stats(spark, a):

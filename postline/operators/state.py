@@ -9,6 +9,7 @@ which readers skip.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,56 +113,97 @@ def has_marker(spark: SparkSession, root: str, marker: str) -> bool:
     return fs.exists(p)
 
 
-def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest complete version with its deltas: inserted rows added, then
-    the last update of each id laid over (S8)."""
+def read_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, list[str]] | None:
+    """The newest complete version with its deltas (inserted rows added, then the last
+    update of each id laid over, S8), and the names of the deltas it holds."""
     vs = _versions(spark, root)
     if not vs:
         return None
     base = spark.read.parquet(f"{root.rstrip('/')}/v={vs[-1]:06d}")
-    inserts, updates = (read_deltas(spark, root, kind) for kind in ("inserts", "updates"))
-    if inserts is not None:
-        base = base.unionByName(inserts.drop("_n"), allowMissingColumns=True)
-    if updates is not None:
+    paths = {kind: _deltas(spark, root, kind) for kind in FOLDED}
+    if paths["inserts"]:
+        base = base.unionByName(spark.read.parquet(*paths["inserts"]).drop("_n"), allowMissingColumns=True)
+    if paths["updates"]:
+        updates = spark.read.parquet(*paths["updates"])
         last = updates.groupBy("id").agg(F.max(F.struct("_n", "seq", "new_stage", "new_sub_stage")).alias("u"))
         base = apply_updates(base, last.select("id", "u.new_stage", "u.new_sub_stage"))
-    return base
+    return base, [_delta_name(kind, p) for kind in FOLDED for p in paths[kind]]
+
+
+def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
+    """The table of ``read_snapshot``."""
+    found = read_snapshot(spark, root)
+    return None if found is None else found[0]
 
 
-def write_version(df: DataFrame, root: str, partition_by: str | None = "stage", marker: str | None = None) -> str:
-    """Write ``df`` as the next version (without deltas); partitioned by stage so
+def write_version(df: DataFrame, root: str, partition_by: str | None = "stage", marker: str | None = None, folded: list[str] | None = None) -> str:
+    """Write ``df`` as the next version; partitioned by stage so
     S1's stage predicate prunes folders.  The data are written beside and renamed
     to the version's folder, so two writers never mix files in one version.  ``marker`` is
-    a file in it (its name starts with '_', which readers ignore)."""
+    a file in it (its name starts with '_', which readers ignore).
+
+    ``folded`` names the deltas that ``df`` holds (``read_snapshot``).  The version
+    records them; every other delta, also one that is written meanwhile, stays in force on top
+    of it.  Without it the table may have no deltas."""
     spark = df.sparkSession
     vs = _versions(spark, root, complete_only=False)
+    if folded is None:
+        folded = []
+        if any(_deltas(spark, root, kind) for kind in FOLDED):
+            raise ValueError(f"{root} has deltas: pass the names that read_snapshot gave")
+    done = _folded(spark, root) | set(folded)
     target = f"{root.rstrip('/')}/v={(vs[-1] + 1 if vs else 1):06d}"
     made = f"{root.rstrip('/')}/_writing_{uuid.uuid4().hex}"
     w = df.write
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(made)
-    if marker:
-        fs, p = _fs(spark, f"{made}/{marker}")
-        fs.create(p, False).close()
+    for name, text in ((marker, ""), (FOLDED_FILE, "\n".join(sorted(done)))):
+        if name:
+            fs, p = _fs(spark, f"{made}/{name}")
+            out = fs.create(p, False)
+            out.write(bytearray(text.encode("utf-8")))
+            out.close()
     fs, p = _fs(spark, target)
     if fs.exists(p) or not fs.rename(_fs(spark, made)[1], p):
         raise RuntimeError(f"another job wrote {target}")
     return target
 
 
-# A version's deltas: what micro-batches added to it.  The bytes written
-# follow the batch, not the table; ``write_version(read_latest(...))``
-# compacts.  A delta is a folder ``<number>-<tag>`` under ``d=<version>/<kind>``; the
-# tag names the stream and its micro-batch, so a replayed batch is found.
-def _deltas(spark: SparkSession, root: str, kind: str, version: int | None = None) -> list[str]:
-    """Folders of complete deltas, of the newest version or of ``version``, in order."""
+# Deltas: what micro-batches add to the table.  The bytes written follow the batch,
+# not the table; ``write_version`` of a snapshot compacts, also beside running streams.
+# A delta is a folder ``d/<kind>/<tag>``; the tag names the stream and its
+# micro-batch, so a replayed batch is found by its path.
+FOLDED = ("inserts", "updates")          # kinds that a version takes in
+FOLDED_FILE = "_folded"                  # the names of those that it and earlier versions took in
+
+
+def _delta_name(kind: str, path: str) -> str:
+    return f"{kind}/{path.rstrip('/').rpartition('/')[2]}"
+
+
+def _folded(spark: SparkSession, root: str) -> set[str]:
     vs = _versions(spark, root)
-    fs, path = _fs(spark, f"{root.rstrip('/')}/d={(vs[-1] if version is None else version):06d}/{kind}")
+    if not vs:
+        return set()
+    fs, p = _fs(spark, f"{root.rstrip('/')}/v={vs[-1]:06d}/{FOLDED_FILE}")
+    if not fs.exists(p):
+        return set()
+    stream = fs.open(p)
+    try:
+        return set(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split())
+    finally:
+        stream.close()
+
+
+def _deltas(spark: SparkSession, root: str, kind: str) -> list[str]:
+    """Folders of complete deltas that the newest version doesn't hold."""
+    fs, path = _fs(spark, f"{root.rstrip('/')}/d/{kind}")
     if not fs.exists(path):
         return []
-    found = [st.getPath() for st in fs.listStatus(path)]
-    return sorted(p.toString() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    done = _folded(spark, root) if kind in FOLDED else set()
+    found = [st.getPath().toString() for st in fs.listStatus(path)]
+    return sorted(p for p in found if _delta_name(kind, p) not in done and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
 def read_deltas(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
@@ -170,14 +212,13 @@ def read_deltas(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
 
 
 def has_delta(spark: SparkSession, root: str, kind: str, tag: str) -> bool:
-    return any(p.endswith(f"-{tag}") for v in _versions(spark, root) for p in _deltas(spark, root, kind, v))
+    fs, done = _fs(spark, f"{root.rstrip('/')}/d/{kind}/{tag}/_SUCCESS")
+    return fs.exists(done)
 
 
 def write_delta(df: DataFrame, root: str, kind: str, tag: str) -> None:
-    spark = df.sparkSession
-    n = len(_deltas(spark, root, kind)) + 1
-    target = f"{root.rstrip('/')}/d={_versions(spark, root)[-1]:06d}/{kind}/{n:06d}-{tag}"
-    df.withColumn("_n", F.lit(n)).write.mode("overwrite").parquet(target)
+    """Later deltas win: ``_n`` is the time of writing."""
+    df.withColumn("_n", F.lit(time.time_ns() // 1000)).write.mode("overwrite").parquet(f"{root.rstrip('/')}/d/{kind}/{tag}")
 
 
 def key_index(spark: SparkSession, root: str) -> KeyIndex:

@@ -115,6 +115,11 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     return raw.select("seq", "content").mapInPandas(_parse_batches, PARSED_SCHEMA)
 
 
+def write_parsed(parsed: DataFrame, path: str, batch_id: int) -> None:
+    """Sink of S4/S5: a folder for each micro-batch, replaced when the batch is replayed."""
+    parsed.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+
 # exact-domain mode (Q23): provider domains
 PROVIDER_DOMAINS = {
     "gmail": ["gmail.com", "googlemail.com"],
