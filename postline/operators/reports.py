@@ -171,7 +171,7 @@ def health_report(metrics: DataFrame) -> DataFrame:
 
 
 def breaker_counts(attempts: DataFrame, threshold: int = rules.BREAKER_THRESHOLD,
-                   recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
+                   recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS, settled: DataFrame | None = None) -> DataFrame:
     """The failure count that every site's breaker holds after all its attempts
     (site, trailing_failures, last_failure_ts).
 
@@ -181,7 +181,10 @@ def breaker_counts(attempts: DataFrame, threshold: int = rules.BREAKER_THRESHOLD
     window matter.  They are reduced (partial aggregate) to one row for each site
     and window-long time slot: within a slot no gap is that long.  The slots of a
     site, whose number is bounded by the time spanned and not by its attempts, are folded in
-    order."""
+    order.
+
+    ``settled`` (site, n, b: one row a site at most) gives counts to begin with, and the time of their last
+    failure in microseconds."""
     last_ok = attempts.groupBy("site").agg(F.max(F.when(F.col("success"), F.struct("ts", "id"))).alias("_ok"))
     after = F.col("_ok").isNull() | (F.struct("ts", "id") > F.col("_ok"))
     failed = attempts.where(~F.col("success")).join(last_ok, "site").where(after)
@@ -192,12 +195,18 @@ def breaker_counts(attempts: DataFrame, threshold: int = rules.BREAKER_THRESHOLD
 
     def step(s, x):
         restart = (s["n"] >= threshold) & (x["a"] - s["b"] > recovery_seconds * 1_000_000)
-        return F.struct((F.when(restart, F.lit(0).cast("bigint")).otherwise(s["n"]) + x["n"]).alias("n"), x["b"].alias("b"))
+        return F.struct((F.when(restart, F.lit(0).cast("bigint")).otherwise(s["n"]) + x["n"]).alias("n"), F.greatest(s["b"], x["b"]).alias("b"))
 
-    count = F.aggregate("_slots", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("b")), step)["n"]
-    last = attempts.groupBy("site").agg(F.max(F.when(~F.col("success"), F.col("ts"))).alias("last_failure_ts"))
-    counts = per_site.select("site", count.alias("_n"))
-    return last.join(counts, "site", "left").select("site", F.coalesce("_n", F.lit(0)).cast("bigint").alias("trailing_failures"), "last_failure_ts")
+    zero = F.lit(0).cast("bigint")
+    last = attempts.groupBy("site").agg(F.max(F.when(~F.col("success"), F.unix_micros("ts"))).alias("_last"))
+    if settled is None:
+        every = last.join(per_site, "site", "left").withColumns({"_n": zero, "_b": F.lit(None).cast("bigint")})
+    else:
+        begin = settled.select("site", F.col("n").alias("_n"), F.col("b").alias("_b"))
+        every = last.join(per_site, "site", "left").join(begin, "site", "full").withColumn("_n", F.coalesce("_n", zero))
+    slots = F.coalesce("_slots", F.array().cast(per_site.schema["_slots"].dataType))
+    count = F.aggregate(slots, F.struct(F.col("_n").alias("n"), F.coalesce("_b", zero).alias("b")), step)["n"]
+    return every.select("site", count.cast("bigint").alias("trailing_failures"), F.timestamp_micros(F.greatest("_last", "_b")).alias("last_failure_ts"))
 
 
 def breaker_state(attempts: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
@@ -205,7 +214,12 @@ def breaker_state(attempts: DataFrame, now: Column, threshold: int = rules.BREAK
     """(site, trailing_failures, is_open) after a check at ``now``: open iff
     the count has reached the threshold and the last failure is no more than
     ``recovery`` seconds old; a count at the threshold whose last failure is older is reset to 0."""
-    state = breaker_counts(attempts, threshold, recovery_seconds)
+    return breaker_check(breaker_counts(attempts, threshold, recovery_seconds), now, threshold, recovery_seconds)
+
+
+def breaker_check(state: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
+                  recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
+    """What a check at ``now`` finds of the counts (site, trailing_failures, last_failure_ts)."""
     age = (F.unix_micros(now) - F.unix_micros(F.col("last_failure_ts"))) / 1e6
     reached = F.col("trailing_failures") >= threshold
     is_open = F.coalesce(reached & (age <= recovery_seconds), F.lit(False))

@@ -1124,8 +1124,8 @@ def t2(spark, sf):
     n = tb.read(spark, sf, "events").count()
     data, ck = streams.stream_scratch(spark, "dedup")
     s = _event_stream(spark, sf, data).withColumn("n", F.lit(n)).selectExpr(*tb.ARRIVALS)
-    streams.run_available_now(streams.stream_dedup(s).writeStream.format("parquet").option("path", f"{data}/out"), ck)
-    return spark.read.parquet(f"{data}/out").select("url")
+    streams.dedup_stream(spark, s, f"{data}/out", ck)
+    return streams.read_passed(spark, f"{data}/out").select("url")
 
 
 T3_SQL = MATCH_SQL[:-1] + (
@@ -1150,12 +1150,23 @@ def t3(spark, sf):
     return state.read_latest(spark, f"{data}/jobs").select("id", "stage", "sub_stage")
 
 
+LATE = 6 * 3600          # seconds that an attempt of the T4 stream may be late
+
+
 @query("T4", ORACLE["G7"])
 def t4(spark, sf):
+    """The attempts land in ten deliveries in the order of their arrival, which is up to ``LATE``
+    seconds after their time; the stream is run after each."""
     data, ck = streams.stream_scratch(spark, "breaker")
-    a = _event_stream(spark, sf, data).selectExpr(*tb.ATTEMPTS)
+    events = tb.read(spark, sf, "events")
+    arrived = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(LATE))
+    first, last = events.agg(F.min(arrived), F.max(arrived)).first()
+    delivery = F.floor((arrived - F.lit(first or 0)) * 10 / ((last or 0) - (first or 0) + 1))
     streams.seed_table(spark.createDataFrame([], streams.BREAKER_STATE), f"{data}/state")
-    streams.breaker_stream(spark, a, f"{data}/state", ck)
+    for k in range(10):
+        events.where(delivery == k).write.mode("append").parquet(f"{data}/events")
+        a = spark.readStream.schema(events.schema).parquet(f"{data}/events").selectExpr(*tb.ATTEMPTS)
+        streams.breaker_stream(spark, a, f"{data}/state", ck, horizon_seconds=2 * LATE)
     st = state.read_latest(spark, f"{data}/state")
     return streams.breaker_open(st, _now(tb.attempts(spark, sf)))
 

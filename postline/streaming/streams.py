@@ -1,17 +1,17 @@
 """Structured Streaming forms of the pipeline.
 
 The batch operators are reused unchanged: a stream either applies them
-per row (T2 dedup) or hands each micro-batch to ``foreachBatch`` (T1 ingest, T3
-mail updates, T4 breaker state, T5 hourly metrics).  T1, T3 and T5 write what
-the micro-batch adds and nothing else; T4 rewrites its own small state.
+per row or hands each micro-batch to ``foreachBatch`` (T1 ingest, T2 dedup, T3
+mail updates, T4 breaker state, T5 hourly metrics).  T1, T2, T3 and T5 write what
+the micro-batch adds; T4 rewrites its own small state, whose size a horizon bounds.
 
 Exactly-once with a non-transactional table: what a micro-batch writes is a
 folder named after it.  A replayed batch (after a driver or executor loss) finds
-its folder complete and does nothing; an interrupted write leaves a folder
+its folder complete and does nothing, or writes the same again; an interrupted write leaves a folder
 without ``_SUCCESS``, which readers skip and the replay overwrites.
 
-No row is dropped for being late: T2 keeps every key it has passed, T4 keeps what a
-late success could change, T5 adds partial counts up when they are read.
+No row is dropped for being late: T2 looks keys up in all it has passed, T4 keeps what a
+late success could change (within its horizon, if it has one), T5 adds partial counts up.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postline import rules
-from postline.operators import state
+from postline.operators import reports, state
 from postline.plans import cycle
 from postline.session import drop_scratch, remember_scratch, scratch_path, written
 from postline.sources import mail
@@ -103,13 +103,60 @@ def ingest_stream(spark: SparkSession, postings_path: str, store_root: str, chec
 # ---------------------------------------------------------------------------
 # Stream dedup
 # ---------------------------------------------------------------------------
+PASSED_BUCKETS = 64
+
+
 def stream_dedup(stream: DataFrame, key: str = "url") -> DataFrame:
-    """A posting is passed on the first time its key is seen, and never
+    """T2 as a streaming operator: a posting is passed on the first time its key is seen, and never
     again.  The state is one entry a key, kept for good (in RocksDB, see
-    ``session.SESSION_DEFAULTS``): dropping keys after a while would pass old postings again."""
+    ``session.SESSION_DEFAULTS``); ``dedup_stream`` needs none."""
     return stream.dropDuplicates([key])
 
 
+def dedup_stream(spark: SparkSession, stream: DataFrame, out_path: str, checkpoint: str, key: str = "url",
+                 buckets: int = PASSED_BUCKETS, every: str | None = None):
+    """T2 with a sink: passes each key once, without any streaming state.  What was passed is the
+    sink's own table, one folder a micro-batch and hash bucket of the key; a micro-batch is
+    reduced to one row a key, and keys that earlier micro-batches passed are looked up in
+    the buckets that it hits.  Nothing is forgotten, so nothing is passed twice or lost however late it
+    comes; a replayed micro-batch replaces its own folder and looks only at earlier ones.  Keys are compared as
+    text; rows without a key are one key."""
+    name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        keyed = batch.withColumn("_key", name).dropDuplicates(["_key"]).withColumn("bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+        keyed = written(keyed, "dedup_batch")
+        target = f"{out_path.rstrip('/')}/batch={batch_id}"
+        passed = _passed(spark, out_path, batch_id)
+        if passed is not None:
+            hit = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]        # as many as buckets at most
+            old = passed.where(F.col("bucket").isin(hit)).select(name.alias("_key")).join(keyed.select("_key"), "_key", "left_semi")
+            keyed = keyed.join(old, "_key", "left_anti")
+        keyed.drop("_key").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        drop_scratch(spark)
+
+    return run_stream(stream.writeStream.foreachBatch(per_batch), checkpoint, every)
+
+
+def _passed(spark: SparkSession, out_path: str, before: int | None = None) -> DataFrame | None:
+    """What complete micro-batches (earlier than ``before``) have passed."""
+    fs, path = state._fs(spark, out_path)
+    if not fs.exists(path):
+        return None
+    names = [st.getPath().getName() for st in fs.listStatus(path)]
+    ids = sorted(int(n[6:]) for n in names if n.startswith("batch=") and _done(spark, f"{out_path.rstrip('/')}/{n}"))
+    # a micro-batch that passed nothing has no files, and so no schema
+    paths = [f"{out_path.rstrip('/')}/batch={i}" for i in ids if before is None or i < before]
+    paths = [p for p in paths if any(st.getPath().getName().startswith("bucket=") for st in fs.listStatus(state._fs(spark, p)[1]))]
+    return spark.read.option("basePath", out_path).parquet(*paths) if paths else None
+
+
+def read_passed(spark: SparkSession, out_path: str) -> DataFrame | None:
+    """Everything that ``dedup_stream`` has passed (None before its first posting)."""
+    found = _passed(spark, out_path)
+    return None if found is None else found.drop("batch", "bucket")
+
+
 # ---------------------------------------------------------------------------
 # Mail -> stage updates
 # ---------------------------------------------------------------------------
@@ -155,29 +202,52 @@ def mail_updates_stream(spark: SparkSession, raw_path: str, jobs_root: str, chec
 # ---------------------------------------------------------------------------
 # T4: breaker state per site
 # ---------------------------------------------------------------------------
-BREAKER_STATE = "site string, ts timestamp, id bigint, success boolean"
+BREAKER_STATE = "site string, ts timestamp, id bigint, success boolean, n bigint"
 
 
-def merge_breaker_state(old: DataFrame, batch: DataFrame) -> DataFrame:
-    """The attempts that still count after one more micro-batch: per site the
-    last success (by time, then id) and the failures after it.  Attempts may
+def merge_breaker_state(old: DataFrame, batch: DataFrame, horizon_seconds: int | None = None, threshold: int = rules.BREAKER_THRESHOLD,
+                        recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
+    """The state after one more micro-batch: per site the last success (by time, then id)
+    and the failures after it.  Attempts may
     come in any order and more than once; what an earlier or later success does to
-    them is decided by their time, not by their batch."""
-    every = old.unionByName(batch.select("site", "ts", "id", "success")).dropDuplicates(["site", "ts", "id", "success"])
+    them is decided by their time, not by their batch.
+
+    With a horizon, failures older than a site's newest attempt by more than it are
+    settled: one row a site (``n`` of them, ``ts`` of the last) stands for them all, so a
+    site that never succeeds keeps one horizon of failures, however long it fails.  The counts are
+    exact as long as no attempt comes later than the horizon.  One that does: a failure counts on; a
+    success clears what it is not older than, and settled failures after it keep the earlier ones alive."""
+    rows = batch.select("site", "ts", "id", "success", F.lit(None).cast("bigint").alias("n"))
+    every = old.unionByName(rows, allowMissingColumns=True).dropDuplicates(["site", "ts", "id", "success", "n"])
     order = F.struct(F.col("ts"), F.col("id"))
     last = every.where("success").groupBy("site").agg(F.max(order).alias("_last"))
-    kept = every.join(last, "site", "left").where(F.col("_last").isNull() | (order >= F.col("_last")))
-    return kept.drop("_last")
-
-
-def breaker_stream(spark: SparkSession, attempts: DataFrame, state_root: str, checkpoint: str) -> None:
-    """T4: keeps the attempts that decide each site's breaker as a versioned table."""
+    kept = every.join(last, "site", "left").where(F.col("_last").isNull() | F.when(F.col("n").isNotNull(), F.col("ts") > F.col("_last.ts"))
+                                                  .otherwise(order >= F.col("_last"))).drop("_last")
+    if horizon_seconds is None:
+        return kept
+    edge = kept.groupBy("site").agg((F.max("ts") - F.make_dt_interval(secs=F.lit(horizon_seconds))).alias("_edge"))
+    kept = written(kept.join(edge, "site").withColumn("_old", F.col("n").isNull() & ~F.col("success") & (F.col("ts") < F.col("_edge"))), "breaker_kept")
+    before = kept.where("n is not null").select("site", "n", F.unix_micros("ts").alias("b"))
+    counts = reports.breaker_counts(kept.where("_old").select("site", "ts", "id", "success"), threshold, recovery_seconds, before)
+    settled = counts.select("site", F.col("last_failure_ts").alias("ts"), F.lit(None).cast("bigint").alias("id"), F.lit(False).alias("success"),
+                            F.col("trailing_failures").alias("n"))
+    return kept.where("n is null and not _old").drop("_edge", "_old").unionByName(settled)
+
+
+def breaker_stream(spark: SparkSession, attempts: DataFrame, state_root: str, checkpoint: str, horizon_seconds: int | None = None) -> None:
+    """T4: keeps what decides each site's breaker as a versioned table, the two newest
+    versions of it."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         target = _version_path(state_root, batch_id)
         if _done(spark, target):
             return
         old = _base_version(spark, state_root, batch_id)
-        merge_breaker_state(old, batch).write.mode("overwrite").parquet(target)
+        merge_breaker_state(old, batch, horizon_seconds).write.mode("overwrite").parquet(target)
+        drop_scratch(spark)
+        for v in state._versions(spark, state_root):
+            if v < batch_id:                 # a replay reads the version before its own
+                fs, path = state._fs(spark, f"{state_root.rstrip('/')}/v={v:06d}")
+                fs.delete(path, True)
 
     run_available_now(attempts.writeStream.foreachBatch(per_batch), checkpoint)
 
@@ -185,8 +255,9 @@ def breaker_stream(spark: SparkSession, attempts: DataFrame, state_root: str, ch
 def breaker_open(st: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
                  recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
     """G7 over the streamed state."""
-    from postline.operators.reports import breaker_state
-    return breaker_state(st, now, threshold, recovery_seconds)
+    settled = st.where("n is not null").select("site", "n", F.unix_micros("ts").alias("b"))
+    counts = reports.breaker_counts(st.where("n is null").drop("n"), threshold, recovery_seconds, settled)
+    return reports.breaker_check(counts, now, threshold, recovery_seconds)
 
 
 # ---------------------------------------------------------------------------
@@ -200,18 +271,40 @@ def cycle_metrics(attempts: DataFrame) -> DataFrame:
                  F.coalesce(F.sum("jobs_found"), F.lit(0)).cast("bigint").alias("jobs_found")))
 
 
-def cycle_metrics_stream(spark: SparkSession, attempts: DataFrame, out_path: str, checkpoint: str) -> None:
-    """T5 sink: every micro-batch writes the counts of its own rows, in a folder of its own."""
+COUNTS = ("attempts", "successes", "jobs_found")
+
+
+def cycle_metrics_stream(spark: SparkSession, attempts: DataFrame, out_path: str, checkpoint: str, compact_every: int = 8) -> None:
+    """T5 sink: every micro-batch writes the counts of its own rows, in a folder of its own;
+    late rows are so merged into their hour as corrections.  Every ``compact_every`` micro-batches all counts so far are
+    added up into one table (``sum=<n>``), and readers start from the newest: what they read
+    follows the hours, plus a bounded number of micro-batches."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         cycle_metrics(batch).write.mode("overwrite").parquet(_version_path(out_path, batch_id))
+        if batch_id % compact_every == compact_every - 1:
+            _summed(spark, out_path, batch_id + 1).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/sum={batch_id + 1:06d}")
 
     run_available_now(attempts.writeStream.foreachBatch(per_batch), checkpoint)
 
 
+def _metric_folders(spark: SparkSession, out_path: str, upto: int | None = None) -> list[str]:
+    """The newest complete sum (before ``upto``, if given) and the micro-batches after it."""
+    fs, path = state._fs(spark, out_path)
+    sums = [int(st.getPath().getName()[4:]) for st in fs.listStatus(path) if st.getPath().getName().startswith("sum=")]
+    sums = [n for n in sums if (upto is None or n < upto) and _done(spark, f"{out_path.rstrip('/')}/sum={n:06d}")]
+    start = max(sums, default=0)
+    batches = [v for v in state._versions(spark, out_path) if v > start and (upto is None or v <= upto)]
+    return [f"{out_path.rstrip('/')}/sum={start:06d}"] * bool(start) + [f"{out_path.rstrip('/')}/v={v:06d}" for v in batches]
+
+
+def _summed(spark: SparkSession, out_path: str, upto: int | None = None) -> DataFrame:
+    parts = spark.read.parquet(*_metric_folders(spark, out_path, upto))
+    return parts.groupBy("w", "site").agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTS])
+
+
 def read_cycle_metrics(spark: SparkSession, out_path: str) -> DataFrame:
     """The counts of all micro-batches added up; late rows count in their hour."""
-    parts = spark.read.parquet(*[f"{out_path.rstrip('/')}/v={v:06d}" for v in state._versions(spark, out_path)])
-    return parts.groupBy("w", "site").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("attempts", "successes", "jobs_found")])
+    return _summed(spark, out_path)
 
 
 def stream_scratch(spark: SparkSession, name: str) -> tuple[str, str]:

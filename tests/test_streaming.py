@@ -219,6 +219,38 @@ def test_stream_dedup_across_late_micro_batches(spark):
     assert rows(out.select("url")) == rows(arr.select("url").distinct())      # each URL passed once, over 3 batches
 
 
+def test_dedup_stream_passes_each_key_once_without_state(spark):
+    """Twenty micro-batches of repeated, late and missing keys; a replay from the start changes nothing."""
+    base = scratch_path(spark, f"test_passed_{uuid.uuid4().hex}")
+    assert streams.read_passed(spark, f"{base}/out") is None
+    keys = [[f"u{(b * 7 + i * 3) % 23 if b < 18 else i % 3}" if i else None for i in range(12)] for b in range(20)]
+    for b, part in enumerate(keys):
+        spark.createDataFrame([(k, b) for k in part], "url string, batch_no int").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    want = sorted({k or "" for part in keys for k in part})
+    first = {k: min(b for b, part in enumerate(keys) if k in part) for k in {k for part in keys for k in part}}
+    for ck in ("ck", "ck", "ck_again"):
+        stream = spark.readStream.schema("url string, batch_no int").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        streams.dedup_stream(spark, stream, f"{base}/out", f"{base}/{ck}", buckets=5)
+        got = streams.read_passed(spark, f"{base}/out").collect()
+        assert sorted(r.url or "" for r in got) == want and all(r.batch_no == first[r.url] for r in got)
+    fs, p = state._fs(spark, f"{base}/ck/state")
+    assert not fs.exists(p)
+
+
+def test_metrics_are_summed_up_every_few_batches(spark):
+    a = tb.attempts(spark, SF_SMALL)
+    base = scratch_path(spark, f"test_sums_{uuid.uuid4().hex}")
+    _shuffled(a, 10, f"{base}/in")
+    for ck in ("ck", "ck_again"):
+        stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        streams.cycle_metrics_stream(spark, stream, f"{base}/out", f"{base}/{ck}", compact_every=4)
+        read = streams._metric_folders(spark, f"{base}/out")
+        assert [p.rpartition("/")[2] for p in read] == ["sum=000008", "v=000009", "v=000010"]
+        got = streams.read_cycle_metrics(spark, f"{base}/out").select(F.col("w.start").alias("h"), "site", "attempts", "successes", "jobs_found")
+        want = streams.cycle_metrics(a).select(F.col("w.start").alias("h"), "site", "attempts", "successes", "jobs_found")
+        assert rows(got) == rows(want)
+
+
 def test_continuous_ingest_picks_up_new_files(spark):
     store, batch = tb.store_and_batch(spark, SF_SMALL)
     postings = batch.select(F.col("id").alias("seq"), "title", "company", "url", "location",
