@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from postline import rules
 from postline.functions import evaluation as ev
@@ -72,6 +73,17 @@ def s2(spark, sf):
     return back.select(F.col("query").cast("bigint").alias("page_id"), "position", "title", "url")
 
 
+@query("S2_json", CARDS_SQL + "SELECT page_id, position, title, url, row_number() OVER (PARTITION BY page_id ORDER BY position) AS arrival FROM cards")
+def s2_json(spark, sf):
+    """Postings in JSON files get the order of arrival from the files: each page's cards stand in one file, in order."""
+    data, _ = streams.stream_scratch(spark, "postings")
+    cards = html.extract_list_cards(tb.read(spark, sf, "pages")).select("site", "query", "position", "title", "company", "url", "location")
+    cards.repartitionByRange("query").sortWithinPartitions("query", "position").write.json(data)
+    back = tb.scan_postings(spark, data, "json")
+    place = F.row_number().over(W.partitionBy("query").orderBy("seq"))        # the cards of one page
+    return back.select(F.col("query").cast("bigint").alias("page_id"), "position", "title", "url", place.alias("arrival"))
+
+
 def _clean_cards(spark, sf):
     return html.clean_postings(html.extract_list_cards(tb.read(spark, sf, "pages")))
 
@@ -422,6 +434,20 @@ def p23(spark, sf):
     return t.select("id", ev.prompt_text(F.col("title"), F.col("company"), F.col("location"), F.col("description")).alias("prompt"))
 
 
+@query("P23_system", "SELECT " + _sql_text(rules.SYSTEM_PROMPT_HEAD) + " || 'Looks for ' || (SELECT count(*) FROM part) || ' roles' || "
+       + _sql_text(rules.SYSTEM_PROMPT_PRIORITIES) + " || string_agg('TIER ' || n || ': ' || p_type || ' roles', chr(10) ORDER BY n) || "
+       + _sql_text(rules.SYSTEM_PROMPT_TAIL) + " AS prompt FROM (SELECT p_type, row_number() OVER (ORDER BY p_type) AS n FROM part GROUP BY p_type)")
+def p23_system(spark, sf):
+    """The scorer's instructions from a priorities text (S6): a file of ordered lines with blank ones between."""
+    data, _ = streams.stream_scratch(spark, "priorities")
+    part = tb.read(spark, sf, "part")
+    kinds = part.groupBy("p_type").count().select("p_type", F.row_number().over(W.orderBy("p_type")).alias("n"))   # a few kinds
+    line = F.concat(F.lit("TIER "), F.col("n").cast("string"), F.lit(": "), F.col("p_type"), F.lit(" roles\n"))
+    kinds.orderBy("n").coalesce(1).select(line.alias("value")).write.text(data)
+    profile = part.agg(F.concat(F.lit("Looks for "), F.count("*").cast("string"), F.lit(" roles"))).scalar()
+    return rules.system_prompt(rules.priorities_frame(spark, data), profile)
+
+
 @query("P24", DESC + "SELECT id, CASE WHEN length(description) > 20 THEN substr(description, 1, 20) || chr(10) || "
        "'...(truncated)' ELSE description END AS short_text FROM described")
 def p24(spark, sf):
@@ -746,8 +772,8 @@ FRESH_SQL = (f"(SELECT max(ts) FROM attempts) < ts + INTERVAL {rules.CACHE_TTL_S
 
 
 def _now(df: DataFrame) -> Column:
-    """The run's reference time as a literal (a one-value aggregate)."""
-    return F.lit(df.agg(F.max("ts")).first()[0])
+    """The run's reference time: a one-value aggregate, as a scalar subquery."""
+    return df.agg(F.max("ts")).scalar()
 
 
 @query("J6", TASKS_SQL + "SELECT site, query, md5(site || ':' || query) AS task_key FROM tasks WHERE md5(site || ':' || query) "

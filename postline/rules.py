@@ -250,11 +250,11 @@ def priorities_frame(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.trim("line") != "").select((F.col("p") + 1).alias("ordinal"), "line")
 
 
-def system_prompt(priorities: DataFrame, profile: str = "") -> DataFrame:
-    """The scorer's instructions (one row, ``prompt``) from the profile and
+def system_prompt(priorities: DataFrame, profile: str | Column = "") -> DataFrame:
+    """The scorer's instructions (one row, ``prompt``) from the profile (text or a column) and
     the ordered priorities; the wording is this package's."""
     body = priorities.agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY ordinal)").alias("_t"))
-    return body.select(F.concat(F.lit(SYSTEM_PROMPT_HEAD), F.lit(profile), F.lit(SYSTEM_PROMPT_PRIORITIES), F.coalesce("_t", F.lit("")),
+    return body.select(F.concat(F.lit(SYSTEM_PROMPT_HEAD), profile if isinstance(profile, Column) else F.lit(profile), F.lit(SYSTEM_PROMPT_PRIORITIES), F.coalesce("_t", F.lit("")),
                                 F.lit(SYSTEM_PROMPT_TAIL)).alias("prompt"))
 
 

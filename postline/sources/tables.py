@@ -212,16 +212,24 @@ def scan_postings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     """The raw postings of a cycle, with an explicit schema.  ``seq`` is the
     order of arrival.  Files without it get it from the order of the files
     (modification time, then path) and the row's place in its file, so it doesn't depend on
-    how files are packed into tasks; only parquet knows that place."""
+    how files are packed into tasks.  Parquet knows that place; rows of text formats (JSON, CSV)
+    are placed by the start of the block of the file they were read from and their order in it, and
+    numbered by a range-partitioned sort."""
     df = spark.read.schema(POSTING_SCHEMA).format(fmt).load(path)
-    if fmt != "parquet":
-        return df
     # one row a file: a small table, numbered in one task
     files = df.select("_metadata.file_path", "_metadata.file_modification_time").distinct()
     numbers = files.select(F.col("file_path").alias("_file"), F.row_number().over(W.orderBy("file_modification_time", "file_path")).alias("_no"))
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).join(numbers, "_file")
-    arrival = F.shiftleft(F.col("_no").cast("bigint"), 40) + F.col("_row")
-    return placed.withColumn("seq", F.coalesce("seq", arrival)).drop("_file", "_no", "_row")
+    if fmt == "parquet":
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).join(numbers, "_file")
+        arrival = F.shiftleft(F.col("_no").cast("bigint"), 40) + F.col("_row")
+        return placed.withColumn("seq", F.coalesce("seq", arrival)).drop("_file", "_no", "_row")
+    from postline.operators.reports import global_positions
+    # within a block of a file, rows come in the order of the file: their ids rise
+    read = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_row"))
+    placed = read.join(numbers, "_file").withColumn("_all", F.lit(1))
+    numbered = global_positions(placed, ["_all"], [F.col("_no"), F.col("_block"), F.col("_row")], out="_n")
+    return numbered.withColumn("seq", F.coalesce("seq", F.shiftleft(F.col("_no").cast("bigint"), 40) + F.col("_n"))).drop("_file", "_block", "_row", "_no", "_n", "_all")
 
 
 __all__ = ["read", "jobs", "located", "described", "attempts", "stage_log", "board", "messages", "arrivals",

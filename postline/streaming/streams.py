@@ -103,7 +103,7 @@ def ingest_stream(spark: SparkSession, postings_path: str, store_root: str, chec
 # ---------------------------------------------------------------------------
 # Stream dedup
 # ---------------------------------------------------------------------------
-PASSED_BUCKETS = 64
+PASSED_BUCKETS = 16
 
 
 def stream_dedup(stream: DataFrame, key: str = "url") -> DataFrame:
@@ -132,7 +132,7 @@ def dedup_stream(spark: SparkSession, stream: DataFrame, out_path: str, checkpoi
             hit = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]        # as many as buckets at most
             old = passed.where(F.col("bucket").isin(hit)).select(name.alias("_key")).join(keyed.select("_key"), "_key", "left_semi")
             keyed = keyed.join(old, "_key", "left_anti")
-        keyed.drop("_key").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        keyed.drop("_key").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
         drop_scratch(spark)
 
     return run_stream(stream.writeStream.foreachBatch(per_batch), checkpoint, every)

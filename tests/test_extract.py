@@ -82,3 +82,26 @@ def test_arrival_order_of_postings(spark, tmp_path):
     assert [r.title for r in got] == [f"{k}-{i}" for k in (2, 0, 1) for i in range(3)] and len({r.seq for r in got}) == 9
     spark.createDataFrame([("s", "q", 1, "t", "c", "u", None, None, 77)], cols + ", seq long").write.parquet(str(tmp_path / "q"))
     assert tb.scan_postings(spark, str(tmp_path / "q")).select(F.col("seq")).first()[0] == 77
+
+
+def test_arrival_order_of_json_files(spark, tmp_path):
+    """Files in the order of their times, lines in the order of the file, however it is cut into blocks."""
+    import json
+    import os
+
+    from postline.sources import tables as tb
+    want = []
+    for k, name in enumerate(("b", "a", "c")):
+        lines = [f"{name}{i}" for i in range(4000 if name == "a" else 3)]
+        path = tmp_path / f"{name}.json"
+        path.write_text("".join(json.dumps({"site": "s", "title": t, "description": "x" * 50}) + "\n" for t in lines))
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+        want += lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = tb.scan_postings(spark, str(tmp_path), "json")
+        assert got.schema.simpleString().startswith("struct<site:string,query:string,position:int,title:string")
+        rows = got.select("title", "seq").orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.title for r in rows] == want and len({r.seq for r in rows}) == len(want)
