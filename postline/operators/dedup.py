@@ -168,50 +168,95 @@ def _log_round(r: int) -> None:
         print(f"admit_batch round {r}", flush=True)
 
 
+CONTRACT_AFTER = 3       # rounds before forced chains are contracted
+
+
+def _with_firsts(undecided: DataFrame) -> DataFrame:
+    """The undecided items with the first item of their URL group (mu) and title group (mt); partial
+    aggregates, so a hot key reaches the shuffle as one row per task."""
+    mu = undecided.groupBy("u").agg(F.min("seq").alias("mu"))
+    mt = undecided.where(F.col("tk").isNotNull()).groupBy("tk").agg(F.min("seq").alias("mt"))
+    return undecided.join(mu, "u").join(mt, "tk", "left").select("seq", "u", "tk", "mu", F.coalesce("mt", "seq").alias("mt"))
+
+
+def _forced(placed: DataFrame) -> DataFrame:
+    """Items with exactly one undecided item before them in their two groups: first in one,
+    second in the other.  Such an item is admitted if and only if the one before it (``at``) is not."""
+    second_u = placed.where("seq != mu").groupBy("u").agg(F.min("seq").alias("su"))
+    second_t = placed.where("seq != mt").groupBy("tk").agg(F.min("seq").alias("st"))
+    by_u = placed.where("seq != mu and seq = mt").join(second_u.select(F.col("su").alias("seq")), "seq", "left_semi").select("seq", F.col("mu").alias("at"))
+    by_t = placed.where("seq != mt and seq = mu").join(second_t.select(F.col("st").alias("seq")), "seq", "left_semi").select("seq", F.col("mt").alias("at"))
+    return by_u.unionByName(by_t).withColumn("odd", F.lit(True))
+
+
+def _chase(links: DataFrame, spend) -> DataFrame:
+    """Where chains of forced items (seq, at, odd) end, by pointer doubling: each step halves
+    the links left.  ``odd``: an odd number of links, so the item is decided against its end."""
+    steps = written(links.join(links.select(F.col("seq").alias("at"), F.lit(True).alias("more")), "at", "left")
+                    .select("seq", "at", "odd", F.coalesce("more", F.lit(False)).alias("open")), "admit_chains")
+    while not steps.where("open").isEmpty():
+        spend()
+        ahead = steps.select(F.col("seq").alias("at"), F.col("at").alias("next"), F.col("odd").alias("flip"), F.col("open").alias("more"))
+        moved = steps.where("open").join(ahead, "at").select("seq", F.col("next").alias("at"), (F.col("odd") != F.col("flip")).alias("odd"), F.col("more").alias("open"))
+        steps = written(steps.where("not open").unionByName(moved), "admit_chains")
+    return steps.drop("open")
+
+
 def admit_batch(batch: DataFrame, seq: str = "seq", max_rounds: int | None = None) -> DataFrame:
     """The items a sequential loop would admit: an item is admitted when
     no earlier *admitted* item shares its URL or its (title, company) key.
 
     Round scheme (exact): among undecided items, those first by ``seq`` in
     both their URL group and their title group are admitted; undecided items
-    sharing a key with a newly admitted one are rejected.  The globally first
-    undecided item is admitted every round, so the loop ends.  Each round's
-    admitted and undecided sets are written to the shared checkpoint folder
+    whose group begins with a newly admitted one are rejected.  The globally first
+    undecided item is admitted every round, so the loop ends.  Batches that are not done
+    after ``CONTRACT_AFTER`` rounds hold chains, where each item waits for the one before it; from
+    then on, items that wait for a single other one are decided together, by
+    pointer doubling along their chains, so a chain of n links takes about log n steps.
+    Each round's admitted and undecided sets are written to the shared checkpoint folder
     and read back, so plans stay the same size however many rounds run and
-    a lost executor never replays earlier rounds.
+    a lost executor never replays earlier rounds.  ``max_rounds`` bounds rounds and doubling steps together.
     """
     tkey = F.concat_ws("\u0001", norm_key(F.col("title")), norm_key(F.col("company")))
     has_t = (F.coalesce(F.col("title"), F.lit("")) != "") & (F.coalesce(F.col("company"), F.lit("")) != "")
     # a NULL url never equals anything: give each its own key
     ukey = F.coalesce(F.col("url"), F.concat(F.lit("\u0002"), F.col(seq).cast("string")))
-    undecided = written(batch.select(F.col(seq).alias("seq"), ukey.alias("u"), F.when(has_t, tkey).alias("tk")),
-                        "admit_items")
-    news = []
+    undecided = written(batch.select(F.col(seq).alias("seq"), ukey.alias("u"), F.when(has_t, tkey).alias("tk")), "admit_items")
+    news: list[DataFrame] = []
     rounds = 0
-    while True:
+
+    def spend():
+        nonlocal rounds
         rounds += 1
         _log_round(rounds)
-        # first item of every URL group and of every title group (partial
-        # aggregates: a hot key reaches the shuffle as one row per task)
-        first_u = undecided.groupBy("u").agg(F.min("seq").alias("seq"))
-        first_t = undecided.where(F.col("tk").isNotNull()).groupBy("tk").agg(F.min("seq").alias("seq"))
-        cand = undecided.join(first_u.select("seq"), "seq", "left_semi")
-        new = written(cand.where(F.col("tk").isNull()).unionByName(cand.join(first_t.select("seq"), "seq", "left_semi")),
-                      "admit_new")
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError("admission did not converge within max_rounds")
+
+    while True:
+        spend()
+        placed = written(_with_firsts(undecided), "admit_placed")
+        new = placed.where("seq = mu and seq = mt").select("seq")
+        gone = None
+        if len(news) >= CONTRACT_AFTER:
+            ends = _chase(_forced(placed), spend).join(new.select(F.col("seq").alias("at")), "at", "left_semi")
+            ends = written(ends, "admit_forced")
+            new, gone = written(new.unionByName(ends.where("not odd").select("seq")), "admit_new"), ends.where("odd").select("seq")
         news.append(new)
-        rest = (undecided.join(new.select("seq"), "seq", "left_anti")
-                .join(new.select("u").distinct(), "u", "left_anti"))
-        # anti join keeps NULL-key rows (they never match)
-        rest = written(rest.join(new.where(F.col("tk").isNotNull()).select("tk").distinct(), "tk", "left_anti"),
-                       "admit_rest")
-        # the globally first undecided item is admitted every round, so the
-        # size of what is left (parquet footers) decides termination
-        if rest.count() == 0:
+        rest = placed
+        for key, first in (("u", "mu"), ("tk", "mt")):
+            if gone is None:
+                # only the first of a group can be new
+                rest = rest.join(new.select(F.col("seq").alias(first)), first, "left_anti")
+            else:
+                taken = placed.join(new, "seq", "left_semi").where(F.col(key).isNotNull()).select(key).distinct()
+                rest = rest.join(taken, key, "left_anti")
+        if gone is not None:
+            rest = rest.join(gone, "seq", "left_anti")
+        undecided = written(rest.select("seq", "u", "tk"), "admit_rest")
+        # the size of what is left (parquet footers) decides termination
+        if undecided.count() == 0:
             break
-        undecided = rest
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError("admission did not converge within max_rounds")
-    admitted = news[0].select("seq")
+    admitted = news[0]
     for n in news[1:]:
-        admitted = admitted.unionByName(n.select("seq"))
+        admitted = admitted.unionByName(n)
     return batch.join(admitted.withColumnRenamed("seq", seq), seq, "left_semi")
