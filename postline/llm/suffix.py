@@ -380,23 +380,19 @@ def _cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(ends, [*[a for a, _ in runs], len(raw)]))
 
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    """A column name that the documents don't have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _touched(docs: DataFrame, text_col: str, found: str, words: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Documents with covered bytes (their spans in the column ``found``), and all others.
     With ``words``, repeated runs of that many words are covered too, however few bytes they have."""
-    t = _fresh(docs, "_text_name")
     spans = covered(docs, text_col, **options)
     if words:
         spans = (spans.unionByName(passages.covered(docs, text_col, words))
                  .groupBy("t").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    spans = written(spans, "suffix_spans")
+    return _with_spans(docs, text_col, found, written(spans, "suffix_spans"))
+
+
+def _with_spans(docs: DataFrame, text_col: str, found: str, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents whose text has a row in the written table (t, spans), with it as the column ``found``; and all others."""
+    t = X.fresh(docs, "_text_name")
     named = docs.withColumn(t, F.xxhash64(_text(docs, text_col)))
     spans = spans.select(F.col("t").alias(t), F.col("spans").alias(found))
     if spans.count() <= MAX_IDS:   # untouched texts need no shuffle
@@ -406,34 +402,44 @@ def _touched(docs: DataFrame, text_col: str, found: str, words: int | None = Non
     return both.where(F.col(found).isNotNull()), both.where(F.col(found).isNull()).drop(found)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
+def _length(runs: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in runs)
+
+
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = passages.WORDS, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; and what
+    repeated runs of ``words`` words cover, which nothing is removed for: n_passage_bytes, in_passage."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    touched, rest = _touched(docs, "text", "_spans", **options)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    cut = covered(docs, "text", **options).select("t", "spans", F.lit(None).alias("passages"))
+    runs = passages.covered(docs, "text", words).select("t", F.lit(None).alias("spans"), F.col("spans").alias("passages"))
+    both = cut.unionByName(runs).groupBy("t").agg(F.struct(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages")).alias("spans"))
+    touched, rest = _with_spans(docs, "text", "_spans", written(both, "suffix_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches, "text"):
             out = []
-            for text, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
-                raw, runs = text.as_py() or b"", merged(spans)
-                out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_cut(raw, runs)).hexdigest()))
-            a, b, c, d = zip(*out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d)],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    text = F.coalesce("text", F.lit(""))
-    whole = rest.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-                        F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+            for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
+                raw, runs = text.as_py() or b"", merged(found["spans"] or [])
+                within = _length(merged(found["passages"] or []))
+                out.append((len(raw), _length(runs), len(runs), hashlib.sha256(_cut(raw, runs)).hexdigest(), within, within > 0))
+            a, b, c, d, e, f = zip(*out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d),
+                                              pa.array(e, pa.int64()), pa.array(f)],
+                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "in_passage"])
+
+    text, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    whole = rest.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+                        F.sha2(text, 256).alias("kept_sha256"), none.alias("n_passage_bytes"), F.lit(False).alias("in_passage"))
     return whole.unionByName(touched.select("doc_id", "text", "_spans").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, in_passage boolean"))
 
 
 def dedup(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All documents and columns, covered bytes cut from the text.  Bytes of
     a character that a cut leaves incomplete go too, so the text stays text.
     With the option ``words``, repeated runs of that many words are cut as well."""
-    found, cut_col = _fresh(docs, "_spans"), _fresh(docs, "_cut")
+    found, cut_col = X.fresh(docs, "_spans"), X.fresh(docs, "_cut")
     touched, rest = _touched(docs, text_col, found, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

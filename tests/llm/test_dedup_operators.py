@@ -61,7 +61,7 @@ def test_suffix_dedup_matches_plain_version(spark, monkeypatch, seed, group):
     monkeypatch.setattr(suffix, "BANDS", (4, 2, 1))
     texts = small_texts(seed)
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, t string").repartition(3)
-    got = {r[0]: tuple(r[1:]) for r in suffix.report(df, length=20, gram=6, group=group, bucket_rows=25).collect()}
+    got = {r[0]: tuple(r[1:5]) for r in suffix.report(df, length=20, gram=6, group=group, bucket_rows=25).collect()}
     assert got == {i: digest(*x) for i, x in enumerate(zip(*cut_plain(texts, 20)))}
 
 
@@ -77,7 +77,7 @@ def test_suffix_joins_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(suffix, "MAX_GRAMS", 0)
     texts = small_texts(5)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    got = {r[0]: tuple(r[1:]) for r in suffix.report(df, length=20, gram=6).collect()}
+    got = {r[0]: tuple(r[1:5]) for r in suffix.report(df, length=20, gram=6).collect()}
     assert got == {i: digest(*x) for i, x in enumerate(zip(*cut_plain(texts, 20)))}
 
 
@@ -90,7 +90,7 @@ def test_suffix_long_text_in_pieces(spark, monkeypatch):
     texts = [long, "x" + passage + "y", "zz" * 20]
     monkeypatch.setattr(textops.slices, "__defaults__", (1000,))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    got = {r[0]: tuple(r[1:]) for r in suffix.report(df, length=40, gram=12).collect()}
+    got = {r[0]: tuple(r[1:5]) for r in suffix.report(df, length=40, gram=12).collect()}
     assert got == {i: digest(*x) for i, x in enumerate(zip(*cut_plain(texts, 40)))}
 
 
@@ -411,6 +411,7 @@ def test_pipeline_query_matches_plain_version(spark):
     rows = {i: t for i, t in rows.items() if i in kept}
     rows = {i: rows[i] for i, least, _ in jaccard_plain(list(rows.items())) if i == least}
     raw, masks = cut_plain(list(rows.values()), 400)
+    masks = [bytes(a | b for a, b in zip(m, w)) for m, w in zip(masks, words_plain(list(rows.values()), 51))]
     rows = {i: t if not any(m) else bytes(b for b, f in zip(x, m) if not f).decode("utf-8", "ignore") for (i, t), x, m in zip(rows.items(), raw, masks)}
     items = [tuple(r) for r in textops.table(spark, SF, "benchmark").select("item_id", "text").collect()]
     shingles = {i: decontam.item_shingles(t, 5) for i, t in items}
@@ -425,6 +426,15 @@ def test_pipeline_query_matches_plain_version(spark):
     assert got == {i: model.encode(t) for i, t in rows.items() if i not in bad} and bad
 
 
+def test_suffix_report_tells_repeated_words(spark):
+    """Columns behind the contract: bytes in repeated runs of over 50 words, shorter or longer than 400 bytes."""
+    rows = [tuple(r) for r in textops.table(spark, SF, "documents").select("doc_id", "text").collect()]
+    df = textops.table(spark, SF, "documents")
+    got = {r.doc_id: (r.n_passage_bytes, r.in_passage) for r in suffix.report(df).collect()}
+    want = {i: (sum(m), any(m)) for (i, _), m in zip(rows, words_plain([t for _, t in rows], 51))}
+    assert got == want and any(v for _, v in got.values())
+
+
 def test_suffix_stage_matches_plain_version_with_words(spark):
     """On documents of over 50 parts: windows of 400 bytes and runs of over 50 words."""
     docs = textops.table(spark, SF, "documents").where(F.size(F.split("text", " ")) > 50)
@@ -469,11 +479,11 @@ def test_entry_registers_all(spark):
     names = [n for n in entry.queries() if re.match(r"op\d+_|pipeline", n)]
     assert sorted(names, key=lambda n: int((re.findall(r"\d+", n) or [99])[0])) == [
         "op1_brown_scores", "op2_url_filter", "op3_license_scan", "op4_sentencepiece", "op5_decontamination", "op6_suffix_dedup", "op7_language_id",
-        "op8_chat_format", "op9_quality_rules", "op10_jaccard_join", "pipeline"]
+        "op8_chat_format", "op9_quality_rules", "op10_jaccard_join", "op11_wavelet_shards", "op12_spelling_variants", "op13_embedding_whitening", "pipeline"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op5_decontamination", "op8_chat_format"])
+@pytest.mark.parametrize("name", ["op2_url_filter", "op5_decontamination", "op8_chat_format", "op12_spelling_variants"])
 def test_oracles(spark, name):
     import oracle_harness
     result = oracle_harness.compare(spark, oracle_harness.duck(SF), name, queries.QUERIES[name], queries.ORACLE[name], SF)
