@@ -1197,6 +1197,16 @@ def t4(spark, sf):
     return streams.breaker_open(st, _now(tb.attempts(spark, sf)))
 
 
+@query("K5_stream", ORACLE["K5"])
+def k5_stream(spark, sf):
+    """The result cache kept over ten micro-batches in no order of time."""
+    data, ck = streams.stream_scratch(spark, "cache")
+    a = _event_stream(spark, sf, data).selectExpr(*tb.ATTEMPTS)
+    streams.seed_table(spark.createDataFrame([], streams.CACHE), f"{data}/cache")
+    streams.result_cache_stream(spark, a, f"{data}/cache", ck)
+    return state.read_latest(spark, f"{data}/cache").select("task_key", F.date_format("expiry", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("expiry"))
+
+
 @query("T5", d.with_(d.ATTEMPTS) + "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, site, "
        "count(*) AS attempts, count(*) FILTER (WHERE success) AS successes, CAST(coalesce(sum(jobs_found), 0) AS BIGINT) "
        "AS jobs_found FROM attempts GROUP BY ALL")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postline import rules
+from postline.functions import urls
 from postline.operators import reports, state
 from postline.plans import cycle
 from postline.session import drop_scratch, remember_scratch, scratch_path, written
@@ -244,14 +245,19 @@ def breaker_stream(spark: SparkSession, attempts: DataFrame, state_root: str, ch
         old = _base_version(spark, state_root, batch_id)
         merge_breaker_state(old, batch, horizon_seconds).write.mode("overwrite").parquet(target)
         drop_scratch(spark)
-        for v in state._versions(spark, state_root):
-            if v < batch_id:                 # a replay reads the version before its own
-                fs, path = state._fs(spark, f"{state_root.rstrip('/')}/v={v:06d}")
-                fs.delete(path, True)
+        _drop_versions(spark, state_root, batch_id)
 
     run_available_now(attempts.writeStream.foreachBatch(per_batch), checkpoint)
 
 
+def _drop_versions(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Versions before the one that a replay of the micro-batch reads."""
+    for v in state._versions(spark, root):
+        if v < batch_id:
+            fs, path = state._fs(spark, f"{root.rstrip('/')}/v={v:06d}")
+            fs.delete(path, True)
+
+
 def breaker_open(st: DataFrame, now: Column, threshold: int = rules.BREAKER_THRESHOLD,
                  recovery_seconds: int = rules.BREAKER_RECOVERY_SECONDS) -> DataFrame:
     """G7 over the streamed state."""
@@ -307,6 +313,31 @@ def read_cycle_metrics(spark: SparkSession, out_path: str) -> DataFrame:
     return _summed(spark, out_path)
 
 
+# ---------------------------------------------------------------------------
+# Result cache (K5, J6) over a stream of attempts
+# ---------------------------------------------------------------------------
+CACHE = "task_key string, fetched_at timestamp, expiry timestamp"
+
+
+def merge_cache(old: DataFrame, attempts: DataFrame, keep: int = rules.CACHE_MAX_ENTRIES, ttl_seconds: int = rules.CACHE_TTL_SECONDS) -> DataFrame:
+    """The cache (task_key, fetched_at, expiry) after more attempts: the last success of each task, and of
+    these the newest ``keep`` by expiry.  Both are the same whether attempts come at once or in parts, in any order."""
+    done = attempts.where("success").select(urls.task_key(F.col("site"), F.col("query")).alias("task_key"), F.col("ts").alias("fetched_at"))
+    last = old.select("task_key", "fetched_at").unionByName(done).groupBy("task_key").agg(F.max("fetched_at").alias("fetched_at"))
+    return reports.evict_cache(last.withColumn("expiry", F.col("fetched_at") + F.make_dt_interval(secs=F.lit(ttl_seconds))), keep)
+
+
+def result_cache_stream(spark: SparkSession, attempts: DataFrame, root: str, checkpoint: str, keep: int = rules.CACHE_MAX_ENTRIES) -> None:
+    """K5 over a stream: a versioned table of at most ``keep`` rows, which J6 (``joins.skip_fresh``) reads."""
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        target = _version_path(root, batch_id)
+        if not _done(spark, target):
+            merge_cache(_base_version(spark, root, batch_id), batch, keep).coalesce(1).write.mode("overwrite").parquet(target)
+            _drop_versions(spark, root, batch_id)
+
+    run_available_now(attempts.writeStream.foreachBatch(per_batch), checkpoint)
+
+
 def stream_scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     """A fresh (data, checkpoint) folder pair in the shared checkpoint folder."""
     import uuid

@@ -251,6 +251,30 @@ def test_metrics_are_summed_up_every_few_batches(spark):
         assert rows(got) == rows(want)
 
 
+def test_cache_stream_equals_batch(spark):
+    """The cache after any micro-batch is that of all attempts so far, in at most two versions; J6 reads it."""
+    from postline.functions import urls
+    from postline.operators import joins
+    a = tb.attempts(spark, SF_SMALL)
+    base = scratch_path(spark, f"test_cache_{uuid.uuid4().hex}")
+    streams.seed_table(spark.createDataFrame([], streams.CACHE), f"{base}/cache")
+    empty = spark.createDataFrame([], streams.CACHE)
+    for part in range(3):
+        _shuffled(a.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == part), 2, f"{base}/in")
+        stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        streams.result_cache_stream(spark, stream, f"{base}/cache", f"{base}/ck", keep=20)
+        seen = a.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) <= part)
+        assert rows(state.read_latest(spark, f"{base}/cache")) == rows(streams.merge_cache(empty, seen, keep=20))
+    assert len(state._versions(spark, f"{base}/cache")) <= 2
+    now = F.lit(a.agg(F.max("ts")).first()[0])
+    cache = state.read_latest(spark, f"{base}/cache")
+    tasks = a.select("site", "query").distinct().withColumn("task_key", urls.task_key(F.col("site"), F.col("query")))
+    fresh = [r[0] for r in cache.where(F.col("expiry") > now).select("task_key").collect()]
+    results = tasks.join(cache, "task_key").select("site", "query", "fetched_at")
+    to_fetch, reused = joins.skip_fresh(tasks.drop("task_key"), results, now)
+    assert to_fetch.count() == tasks.where(~F.col("task_key").isin(fresh)).count() and reused.count() == len(fresh) > 0
+
+
 def test_continuous_ingest_picks_up_new_files(spark):
     store, batch = tb.store_and_batch(spark, SF_SMALL)
     postings = batch.select(F.col("id").alias("seq"), "title", "company", "url", "location",
