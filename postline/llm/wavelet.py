@@ -359,7 +359,12 @@ def write(docs: DataFrame, tokenizer_file: str, end: int = 2, folder: str | None
             aside = f"{at}/.{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(aside) as out:
                 out.write(whole)
-            fs.move(aside, f"{at}/{name}")
+            try:
+                fs.move(aside, f"{at}/{name}")
+            except OSError:                 # some stores don't replace: an earlier run of this task left an equal file
+                if fs.get_file_info(f"{at}/{name}").type != pyarrow.fs.FileType.File:
+                    raise
+                fs.delete_file(aside)
             done.append((name, f"{folder}/{name}", len(ids), int(size), len(whole)))
 
         for batch in X.slices(batches, "text", SLICE):
