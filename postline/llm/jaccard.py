@@ -13,8 +13,10 @@ linked if the Jaccard similarity of their sets is ``threshold`` or more.
    some path with a probability that the number of levels gives; runs are repeated
    until the target recall is reached at the threshold itself and at ``MAX_LEVELS``.
 3. Buckets of up to ``BUCKET`` nodes are compared by brute force (agreement
-   of all coordinates, with a margin below the threshold); larger ones are split again,
-   down to ``MAX_LEVELS`` shared tokens; what still stays together then is linked to
+   of all coordinates, with a margin below the threshold).  Members of larger ones are compared with
+   some of them, the anchors, first; a bucket of which these links make ``FAMILY`` one component is done: the rest is
+   linked to it, since step 4 compares components whole.  So a family of near copies isn't split again and again.
+   The other buckets are split, down to ``MAX_LEVELS`` shared tokens; what still stays together then is linked to
    its least node.  These candidate links give groups.
 4. Within each group all sets are compared exactly, in blocks of about ``BLOCK``
    nodes against ``BLOCK`` nodes, each pair of blocks in a task of its own.  Every
@@ -53,6 +55,9 @@ MAX_LEVELS = 9
 RECALL = 0.995
 BUCKET = 64
 MARGIN = 0.15
+ANCHORS = 2                  # members, besides the least, that all members of a large bucket are compared with, about
+FAMILY = 0.75                # share of a large bucket that must be one family
+HOPS = 4                     # links from a node to the one that names its family, at most
 BLOCK = 512                  # nodes of a block, about
 BLOCK_ITEMS = 300_000        # shingles of a block, about
 SEED = 10
@@ -224,20 +229,70 @@ def _likely(buckets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
             .repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long"))
 
 
+def _star(large: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of large buckets' members to some of them, the anchors, where the sketches come near the threshold.
+    Anchors are the least node and the members whose hash is below ``ANCHORS`` parts of the bucket's size,
+    about that many; the buckets of one family have mostly the same, so the pairs are
+    linear in the members."""
+    share = (F.xxhash64("node").cast("double") / 2.0 ** 64 + 0.5) * F.col("n")
+    least = large.groupBy("path").agg(F.min("node").alias("b"))
+    anchors = least.unionByName(large.where(share < ANCHORS).select("path", F.col("node").alias("b")))
+    pairs = large.select("path", F.col("node").alias("a")).join(anchors, "path").where("a != b")
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    tokens = nodes.select("node", "tokens")
+    pairs = (pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a")
+             .join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                near = (_tokens(part.column(2)) == _tokens(part.column(3))).sum(1) >= (threshold - MARGIN) * COORDS
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(near))
+
+    return written(pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long"), "jaccard_star")
+
+
+def _by_family(large: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What links make of large buckets: links (a, b) that settle those of which ``FAMILY`` belong to one
+    family, and the members of the others.  A node's family is the least node within ``HOPS``
+    links, so it is part of one component.  In a settled bucket the rest is linked
+    to the family as it is: step 4 compares all of a component, so no link is lost."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    for _ in range(HOPS - 1):
+        there = both.join(labels.withColumnRenamed("a", "b"), "b").select("a", "label")
+        labels = there.unionByName(labels).groupBy("a").agg(F.min("label").alias("label"))
+    labels = labels.withColumnRenamed("a", "node")
+    named = written(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard_named")
+    sizes = named.groupBy("path", "label").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+    main = sizes.where(F.col("m") >= FAMILY * F.col("n")).select("path", F.col("label").alias("family"))
+    judged = written(named.join(main, "path", "left"), "jaccard_families")
+    rest = judged.where("label != family").select(F.col("node").alias("a"), F.col("family").alias("b"))
+    return rest, judged.where("family is null").select("path", "node", "n")
+
+
 def candidates(nodes: DataFrame, threshold: float = THRESHOLD, runs: int | None = None) -> DataFrame:
     """Candidate links (a, b) among nodes (node, tokens)."""
     runs = runs_needed(threshold) if runs is None else runs
     shared = _shared(_first_paths(nodes, runs, threshold))
     links = _likely(shared.where(F.col("n") <= BUCKET), nodes, threshold)
+    stars = None
     for level in range(2 * LEVELS, MAX_LEVELS + 1, LEVELS):
         large = shared.where(F.col("n") > BUCKET)
+        if large.isEmpty():
+            return links
+        star = _star(large, nodes, threshold)
+        stars = star if stars is None else stars.unionByName(star)
+        rest, large = _by_family(large, stars)
+        links = links.unionByName(star).unionByName(rest)
         if large.isEmpty():
             return links
         shared = _shared(_next_paths(large, nodes, threshold))
         links = links.unionByName(_likely(shared.where(F.col("n") <= BUCKET), nodes, threshold))
     large = shared.where(F.col("n") > BUCKET)
-    star = large.join(large.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b")
-    return links.unionByName(star.where("a != b").distinct())
+    deep = large.join(large.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b")
+    return links.unionByName(deep.where("a != b").distinct())
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
