@@ -118,8 +118,14 @@ BOARD_CARDS = [
 ]
 
 
+BOARD_PAGES_PER_TASK = 4000
+
+
 def _board_pages(spark, sf):
     part = tb.read(spark, sf, "part")
+    # a part's row is small and its page takes far longer to parse than to read, so a task gets
+    # a number of rows, not of bytes; dealt before the pages are laid out
+    part = part.select("p_partkey", "p_name", "p_brand", "p_type").repartition(max(1, -(-part.count() // BOARD_PAGES_PER_TASK)))
 
     def filled(layout: str, **values) -> Column:
         out = F.lit(layout)
