@@ -57,7 +57,7 @@ BUCKET = 64
 MARGIN = 0.15
 ANCHORS = 2                  # members, besides the least, that all members of a large bucket are compared with, about
 FAMILY = 0.75                # share of a large bucket that must be one family
-HOPS = 4                     # links from a node to the one that names its family, at most
+JUMPS = 2                    # times that the pointers from anchor to anchor are doubled
 BLOCK = 512                  # nodes of a block, about
 BLOCK_ITEMS = 300_000        # shingles of a block, about
 SEED = 10
@@ -255,15 +255,20 @@ def _star(large: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 def _by_family(large: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What links make of large buckets: links (a, b) that settle those of which ``FAMILY`` belong to one
-    family, and the members of the others.  A node's family is the least node within ``HOPS``
-    links, so it is part of one component.  In a settled bucket the rest is linked
-    to the family as it is: step 4 compares all of a component, so no link is lost."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    family, and the members of the others.  An anchor points to the least anchor that it
+    is linked to or shares a node with; a node's family is where the pointers lead from its least anchor in up to 2 ** ``JUMPS``
+    steps, so it is part of one component.  A jump makes one row an anchor, not one a link.  In a settled bucket
+    the rest is linked to the family as it is: step 4 compares all of a component, so no link is lost."""
+    near = written(links.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("b")), "jaccard_near")  # a node's anchors
+    heads = near.select(F.explode("b").alias("a")).distinct()
+    linked = near.join(heads, "a").select("a", F.col("b")[0].alias("b"))
+    steps = near.select(F.explode("b").alias("a"), F.col("b")[0].alias("b")).unionByName(linked)  # (b, b) too: all anchors stand in it
+    both = written(steps.unionByName(steps.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "jaccard_heads")
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    for _ in range(HOPS - 1):
-        there = both.join(labels.withColumnRenamed("a", "b"), "b").select("a", "label")
-        labels = there.unionByName(labels).groupBy("a").agg(F.min("label").alias("label"))
-    labels = labels.withColumnRenamed("a", "node")
+    for _ in range(JUMPS):
+        labels = labels.join(labels.select(F.col("a").alias("label"), F.col("label").alias("next")), "label").select("a", F.col("next").alias("label"))
+    first = near.select(F.col("a").alias("node"), F.col("b")[0].alias("a")).join(heads.select(F.col("a").alias("node")), "node", "left_anti")
+    labels = first.join(labels, "a").select("node", "label").unionByName(labels.withColumnRenamed("a", "node"))
     named = written(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard_named")
     sizes = named.groupBy("path", "label").agg(F.count("*").alias("m"), F.first("n").alias("n"))
     main = sizes.where(F.col("m") >= FAMILY * F.col("n")).select("path", F.col("label").alias("family"))

@@ -311,6 +311,14 @@ def test_jaccard_join_matches_plain_version(spark, monkeypatch, seed, bucket, bl
     assert sorted(got, key=key) == sorted(jaccard_plain(rows), key=key)
 
 
+def test_jaccard_family_over_a_chain_of_anchors(spark):
+    """Halves linked to the ends of a chain of anchors are one family; a bucket without links is not settled."""
+    links = [(4, 1), (4, 0), (5, 2), (5, 1), (6, 3), (6, 2)] + [(i, 3 * (i % 2)) for i in range(7, 80)]
+    large = spark.createDataFrame([(1, i, 80) for i in range(80)] + [(2, i, 90) for i in range(100, 190)], "path long, node long, n long")
+    rest, left = jaccard._by_family(large, spark.createDataFrame(links, "a long, b long"))
+    assert rest.count() == 0 and {r.path for r in left.collect()} == {2} and left.count() == 90
+
+
 def test_jaccard_dedup_keeps_one_of_each(spark):
     rows = [(3, "a b c d e f g"), (1, "A b c d e f g"), (2, "x y z"), (5, None), (6, ""), (2, "x y z"), (9, "a b c d e f g")]
     df = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, class_id string")
