@@ -159,8 +159,8 @@ def s3_boards(spark, sf):
 @query("S5", d.with_(d.MESSAGES) + "SELECT seq, sender, subject, body FROM messages")
 def s5(spark, sf):
     raw = tb.messages(spark, sf)
-    from postline.sources.mail import render_rfc822, parse_messages
-    return parse_messages(render_rfc822(raw)).where(F.col("error").isNull()).select("seq", "sender", "subject", "body")
+    from postline.sources.mail import dealt, parse_messages, render_rfc822
+    return parse_messages(dealt(render_rfc822(raw))).where(F.col("error").isNull()).select("seq", "sender", "subject", "body")
 
 
 RULE_VALUES = ("rules AS (SELECT * FROM (VALUES " + ", ".join(
@@ -1113,7 +1113,7 @@ def s4(spark, sf):
     out = f"{data}/parsed"
 
     def per_batch(batch, batch_id):
-        mail.write_parsed(parse_messages(batch), out, batch_id)
+        mail.write_parsed(parse_messages(mail.dealt(batch)), out, batch_id)
 
     for run in (ck, ck, f"{ck}_again"):      # a second run finds nothing new; without its checkpoint every batch is replayed
         streams.run_available_now(streams.read_message_table_stream(spark, f"{data}/raw").writeStream

@@ -189,7 +189,7 @@ def mail_updates_stream(spark: SparkSession, raw_path: str, jobs_root: str, chec
         jobs = state.read_latest(spark, jobs_root)
         if "seq" not in batch.columns:
             batch = mail.number_messages(batch, batch_id)
-        parsed = written(mail.parse_messages(batch), "parsed")
+        parsed = written(mail.parse_messages(mail.dealt(batch)), "parsed")
         updates, invalid = cycle.mail_outcomes(parsed.where(F.col("error").isNull()), jobs, classifier)
         errors = parsed.where(F.col("error").isNotNull()).select("seq", "error").unionByName(
             invalid.select("seq", F.concat(F.lit("classification not applied: "), F.to_json("classification")).alias("error")))

@@ -319,6 +319,40 @@ def test_rfc822_parsing(spark):
     assert got[3].error is not None and got[3].subject is None
 
 
+def test_single_part_messages_read_like_the_standard_parser():
+    """Well-formed heads are read without the line-by-line parser, to the same message; others are left to it."""
+    import email
+    from postline.sources import mail
+    subject = b"Subject: =?utf-8?b?w4lxdWlwZQ==?=\r\n two\r\n"
+    plain = [b"From: a@b.com\r\n" + subject + b"\r\nbody\rof\n\r\ncaf\xc3\xa9", b"from:a@b.com\nSubject:\n\tfolded \r\n\n", b"X: 1\r\n\r\nno subject",
+             subject + b"From: \xc3\xa9 <a@b.com>\n\nx", b"Subject: \xe9\n\nx", b"Subject: a\nSubject: b\n\nSubject: c\n\nx",
+             *[b"Subject: s\r\nContent-Type: " + t + b"\r\nContent-Transfer-Encoding: " + e + b"\r\n\r\naGVsbG8=\r\n\xe9=20\r\n"
+               for t in (b"text/html; charset=latin-1", b"text/plain;\r\n charset=nope", b"image/png") for e in (b"base64", b"quoted-printable", b"8bit")]]
+    other = [b"", b"\r\nbody", b"Subject: no empty line", b" folded\r\nSubject: s\r\n\r\nx", b"From a@b.com\r\nSubject: s\r\n\r\nx", b"Subject: a\rTo: b\n\nx",
+             b"Subject: s\r\nno header\r\n\r\nx", b": v\r\n\r\nx", b"Subject: a\x0cb\r\n\r\nx", b"Subject: s\r\nContent-Type: multipart/mixed; boundary=X\r\n\r\n--X\r\n\r\np\r\n--X--",
+             b"Subject: s\r\nContent-Type: message/rfc822\r\n\r\nSubject: t\r\n\r\nx"]
+
+    def read(msg):
+        def tried(f):
+            try:
+                return f(msg)
+            except Exception as e:
+                return f"{type(e).__name__}: {e}"
+        return [(k, str(v)) for k, v in msg.items()], str(msg.get("From")), tried(mail._subject), mail._body(msg), msg.get_payload(decode=True), msg.get_content_type()
+
+    for content in plain:
+        assert read(mail._single_part(content)) == read(email.message_from_bytes(content))
+    assert [mail._single_part(c) for c in other] == [None] * len(other)
+
+
+def test_parsed_messages_keep_large_keys_beside_null_ones(spark):
+    from postline.sources.mail import parse_messages
+    content = bytearray(b"From: a@b.com\r\nSubject: s\r\n\r\nx")
+    raw = spark.createDataFrame([(2**53 + 1, content), (None, content), (3, None)], "seq long, content binary").coalesce(1)
+    got = sorted((r.seq or 0, r.subject, r.error is None) for r in parse_messages(raw).collect())
+    assert got == [(0, "s", True), (3, None, False), (2**53 + 1, "s", True)]
+
+
 def test_recheck_prior_reason_option(spark):
     from postline.plans import cycle
     stored = ev.rejected_evaluation(F.lit("Requires prior professional experience (3+ years)"), F.lit("Tel Aviv"))

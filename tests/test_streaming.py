@@ -171,6 +171,24 @@ def test_mail_from_files_with_errors(spark, tmp_path):
     assert [e.seq for e in errors] == [3, 4] and "Hired!!" in errors[1].error
 
 
+def test_messages_are_dealt_by_rows(spark, tmp_path):
+    """Messages of one small file are parsed by several tasks, in the stream and in its replay (names
+    may be null, keys repeat)."""
+    from postline.plans import registry
+    from postline.sources import mail
+    n = 2 * mail.MESSAGES_PER_TASK + 1000
+    events = spark.range(n).select((F.col("id") - F.when(F.col("id") % 100 == 99, 1).otherwise(0)).alias("event_id"), F.lit("view").alias("event_type"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    names = F.when(F.col("id") != 7, F.format_string("part %d", "id"))
+    spark.range(10).select(F.col("id").alias("p_partkey"), names.alias("p_name")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    want = [(k, f"part-{k % 10}@mail.com", "update" if k % 2 else f"part {k % 10}") for k in (i - (i % 100 == 99) for i in range(n)) if k % 10 != 7]
+    s4 = registry.s4(spark, str(tmp_path))
+    assert len(s4.inputFiles()) == 3 and rows(s4) == sorted(want)
+    s5 = registry.s5(spark, str(tmp_path))
+    assert max(r["count"] for r in s5.groupBy(F.spark_partition_id()).count().collect()) <= mail.MESSAGES_PER_TASK
+    assert rows(s5, "seq", "sender", "subject") == sorted(want)
+
+
 def test_hourly_metrics_stream_equals_batch_with_late_rows(spark):
     a = tb.attempts(spark, SF_SMALL)
     base = scratch_path(spark, f"test_metrics_{uuid.uuid4().hex}")
